@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import blockjoin, bpe, secrets, simhash, vafile, warc
-from tidewater.llm.common import table
+from tidewater.llm import blockjoin, bpe, packing, quality, secrets, simhash, substring, toxicity, vafile, warc
+from tidewater.llm.common import row_key, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,29 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockjoin.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", ~quality.held_out(F.col("doc_id"), 5, 0))
+    return quality.classify(docs, model, 5, 0)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id"), 4, 2))
+    return toxicity.classify(docs, model, 4, 2)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences without two documents of a source or of a near-duplicate component."""
+    docs = table(spark, sf_dir, "documents")
+    keep = {"source": F.col("source"), "n_tokens": packing.count_words(F.col("text"))} | dict(zip(("k1", "k2"), row_key(F.col("doc_id"), F.col("text")), strict=True))
+    return packing.pack(simhash.near_duplicates(docs, keep=keep).withColumnRenamed("component_id", "cluster"))
+
+
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -39,6 +63,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_nearest": op3_nearest,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
+    "op7_substring": op7_substring,
     "op8_secrets": op8_secrets,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_warc": op10_warc,
@@ -54,7 +82,7 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op3_nearest": f"""
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op10_warc": """

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -44,15 +44,19 @@ def fingerprint(data: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp, columns to keep) for every row; fp is the fingerprint as a signed long."""
+    keep = keep or {}
+    names = ["doc_id", "fp", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = pa.array([fingerprint(t.as_py(), width) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, *b.columns[2:]], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary"), *(c.alias(n) for n, c in keep.items()))
+    kept = "".join(f", {n} {t}" for n, t in rows.dtypes[2:])
+    return rows.mapInArrow(run, f"doc_id long, fp long{kept}")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -89,21 +93,22 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(near).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id and n_links for every row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id, n_copies and `keep` for every row of docs.
 
     Two rows are linked when their fingerprints differ in at most RADIUS bits; component_id
     is the smallest doc_id that links reach, a row's own included. Rows with equal
     fingerprints are one node, so copies never make pairs. n_copies counts the rows with
     the row's fingerprint. A null or wordless text has fingerprint zero and is linked like
     any other; repeated rows stay repeated; a row with null doc_id takes part and gives no
-    id (component_id is null if the whole component has none). Other columns are ignored.
+    id (component_id is null if the whole component has none). Other columns are ignored,
+    but for those given in `keep` by the name that they get.
     An empty table gives an empty result.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    fps = materialize(fingerprints(docs, id_col, text_col, width, keep), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "nodes")
     found = connected_components(links(nodes.select("fp")))
     placed = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialize(placed.join(smallest, "root").select("fp", "component_id", "n_copies"), "classes")
-    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
+    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies", *(keep or {}))
