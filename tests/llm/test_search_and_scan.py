@@ -158,13 +158,15 @@ def test_weak_parts_need_each_other():
 
 def test_scan_secrets(spark):
     df = spark.createDataFrame([(1, SECRET, 1), (2, None, 1), (None, "", 1), (1, SECRET, 1), (4, "word " * 50000, 1)], "doc_id long, text string, spans int")
-    got = rows(secrets.scan_secrets(df, redact=True), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    got = rows(secrets.scan_secrets(df), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     base = brute_base(SECRET)
     one = (1, base.count("assign"), base.count("access"), base.count("hex"), sha(base))
     assert got == sorted([one, one, (2, 0, 0, 0, sha("")), (None, 0, 0, 0, sha("")), (4, 0, 0, 0, sha(""))], key=repr)
     clean = secrets.redacted(SECRET, secrets.ordered(secrets.base_spans(SECRET)))
     assert "abc12345" not in clean and "AKIA" not in clean and brute_base(clean) == ""
+    assert [r.text for r in secrets.redact(df).where("doc_id = 1").collect()] == [clean] * 2
+    assert secrets.redact(df).where("text is null").count() == 1
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 

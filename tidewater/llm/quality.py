@@ -13,11 +13,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm.common import materialize
 
@@ -54,16 +55,15 @@ def statistics(data: bytes | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, one double column for each of STATISTICS) for every row."""
+@F.pandas_udf(T.StructType([T.StructField(s, T.DoubleType()) for s in STATISTICS]))
+def _statistics(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(np.array([statistics(t) for t in text], np.float64).reshape(-1, len(STATISTICS)), columns=list(STATISTICS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = np.array([statistics(t.as_py()) for t in b.column(1)], np.float64).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, i]) for i in range(len(STATISTICS)))], ["doc_id", *STATISTICS])
 
-    schema = "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary")).mapInArrow(run, schema)
+def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with one more column, `__stats`: the struct of STATISTICS of each whole text."""
+    once = _statistics.asNondeterministic()  # so that no rewrite computes it twice
+    return docs.withColumn("__stats", once(F.col(text_col).cast("binary")))
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ class Rule:
     bounds: tuple[tuple[str, float, float], ...]
 
     def column(self) -> Column:
-        tests = [F.col(s) > lo for s, lo, _ in self.bounds if lo > -np.inf] + [F.col(s) <= hi for s, _, hi in self.bounds if hi < np.inf]
+        tests = [F.col(f"__stats.{s}") > lo for s, lo, _ in self.bounds if lo > -np.inf] + [F.col(f"__stats.{s}") <= hi for s, _, hi in self.bounds if hi < np.inf]
         return reduce(Column.__and__, tests).cast("double")
 
 
@@ -114,14 +114,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, id_co
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(may_learn).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
-    rows = with_statistics(texts, "doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = rows.groupBy("doc_id", "label").agg(*(F.max(s).alias(s) for s in STATISTICS)).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
-    rows = materialize(rows.withColumn("features", F.array(*STATISTICS)), "quality-sample")
+    rows = with_statistics(texts).join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.max("__stats").alias("__stats"))
+    rows = materialize(rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id"), "quality-sample")
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or ones in (0, n):
         share = 0.5 if not n else min(0.999, max(0.001, ones / n))
         return RuleEnsemble(float(np.log(share / (1 - share))), ())
-    rows = rows.withColumn("features", array_to_vector("features")).cache()
+    rows = rows.withColumn("features", array_to_vector(F.array(*(f"__stats.{s}" for s in STATISTICS)))).cache()
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, labelCol="label", seed=7, minInstancesPerNode=5).fit(rows)
     rules = sorted({r for tree in forest.trees for r in tree_rules(tree._call_java("rootNode"))}, key=repr)
     held = rows.select("label", array_to_vector(F.array(*(r.column() for r in rules))).alias("features")) if rules else None
@@ -139,5 +138,11 @@ def classify(docs: DataFrame, model: RuleEnsemble, parts: int = 5, part: int = 0
     repeated, a null id is never held out, extra columns are ignored, and an empty table
     gives an empty result.
     """
-    scored = with_statistics(docs, id_col, text_col).withColumn("score", model.column())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scored = with_statistics(rows).select("doc_id", model.column().alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score at least `threshold`."""
+    return with_statistics(docs, text_col).where(model.column() >= threshold).drop("__stats")

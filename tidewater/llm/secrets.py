@@ -12,9 +12,11 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters around a candidate in which its other parts must lie.
 SCOPE = 200
@@ -106,15 +108,25 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, redact: bool = False) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and, if asked for, the redacted text.
+@F.pandas_udf(T.StringType())
+def _clean(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else redacted(t, ordered((base := base_spans(t)) + linked(base, weak_parts(t)))))
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with every span of every text replaced by [SECRET]; null texts stay null."""
+    return docs.withColumn(text_col, _clean(F.col(text_col)))
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row.
 
     Each row is scanned whole and by itself, so nothing is shuffled and repeated rows or
     null ids change nothing. A null text counts as empty. The three counts are of the
     certain kinds; spans lists all, linked ones included, as kind:start:end by start, then
     kind. base_sha256 is of the same list without the linked ones. Extra columns are ignored.
     """
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", *["redacted"] * redact]
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,10 +137,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 spans = ordered(base + linked(base, weak_parts(text), scope))
                 certain = ordered(base)
                 count = [sum(s[2] == k for s in base) for k in KINDS[:3]]
-                for to, x in zip(rows, [*count, sha256(as_text(certain).encode()).hexdigest(), as_text(spans), *[redacted(text, spans)] * redact], strict=True):
+                for to, x in zip(rows, [*count, sha256(as_text(certain).encode()).hexdigest(), as_text(spans)], strict=True):
                     to.append(x)
             kinds = [pa.int64()] * 3 + [pa.string()] * (len(names) - 4)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, rows, kinds)], names)
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", redacted string" * redact
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, schema)

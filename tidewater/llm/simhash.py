@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidewater.llm.common import materialize
+from tidewater.llm.common import materialize, row_key
 from tidewater.llm.components import connected_components
 
 SEED = 42
@@ -94,12 +94,12 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, n_copies and `keep` for every row of docs.
+    """doc_id, fingerprint (16 hex digits), component_id, n_copies, root and `keep` for every row of docs.
 
     Two rows are linked when their fingerprints differ in at most RADIUS bits; component_id
     is the smallest doc_id that links reach, a row's own included. Rows with equal
     fingerprints are one node, so copies never make pairs. n_copies counts the rows with
-    the row's fingerprint. A null or wordless text has fingerprint zero and is linked like
+    the row's fingerprint, root is the component's smallest fingerprint as a long. A null or wordless text has fingerprint zero and is linked like
     any other; repeated rows stay repeated; a row with null doc_id takes part and gives no
     id (component_id is null if the whole component has none). Other columns are ignored,
     but for those given in `keep` by the name that they get.
@@ -110,5 +110,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(links(nodes.select("fp")))
     placed = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(placed.join(smallest, "root").select("fp", "component_id", "n_copies"), "classes")
-    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies", *(keep or {}))
+    classes = materialize(placed.join(smallest, "root").select("fp", "component_id", "n_copies", "root"), "classes")
+    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies", "root", *(keep or {}))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """docs with all columns, but of each component only the row with the smallest doc_id.
+
+    Of rows that repeat this doc_id the one with the smallest hash stays, and of wholly
+    equal rows one. A component whose ids are all null keeps one row too.
+    """
+    keys = dict(zip(("k1", "k2"), row_key(F.col(id_col), F.col(text_col)), strict=True))
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), "k1", "k2")
+    first = near_duplicates(docs, id_col, text_col, width, keys).groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.k1").alias("__k1"), F.col("w.k2").alias("__k2"))
+    w = Window.partitionBy("__k1", "__k2").orderBy("__k1")
+    kept = docs.withColumns({"__k1": keys["k1"], "__k2": keys["k2"]}).join(first, ["__k1", "__k2"], "left_semi")
+    return kept.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__k1", "__k2", "__n")

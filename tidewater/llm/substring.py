@@ -177,7 +177,7 @@ def _digests(packed: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(_result("kept"))
 def _texts(packed: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    rows = [(n, m, t.decode()) for n, m, t in map(_kept, packed, spans)]
+    rows = [(n, m, (t if m else _text(p)).decode()) for p, (n, m, t) in zip(packed, map(_kept, packed, spans), strict=True)]
     return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
 
@@ -231,8 +231,9 @@ class FingerprintIndex:
 def deduplicate(docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """All columns of docs, with one more named `__cut`: a struct of n_words, n_removed and the kept text.
 
-    With `digest` the struct has the kept text's SHA-256 instead. Words are runs without
-    ASCII white space; kept words are joined by one space. A word goes if a window of
+    With `digest` the struct has instead the SHA-256 of the kept words joined by one space,
+    which is also the kept text of a document that loses words; other texts stay as they
+    are. Words are runs without ASCII white space. A word goes if a window of
     WINDOW words over it also starts in a document with a smaller doc_id, judged on the
     input as it came. With an index, `history` are the documents of earlier batches: the
     batch is judged against them too, and its own rows are added. A null text has no
