@@ -121,3 +121,24 @@ def pack_feeds(df: DataFrame) -> DataFrame:
     signals = df.groupBy("exchange", "pair", "timeframe").agg(F.array_join(F.array_sort(F.collect_set("signal")), "").alias("signals"))
     packed = signals.groupBy("exchange", "signals", "timeframe").agg(F.array_join(F.array_sort(F.collect_set("pair")), ",").alias("pairs"))
     return packed.select(F.concat_ws(" ", "exchange", "pairs", "signals", "timeframe").alias("feeds"))
+
+
+def compact_small(c: Column, digits: int = 2) -> Column:
+    """Amounts below a hundredth in powers of ten, others with fixed digits."""
+    return F.when((c != 0) & (F.abs(c) < 0.01), F.format_string(f"%.{digits}e", c.cast("double"))).otherwise(F.format_string(f"%.{digits}f", c.cast("double")))
+
+
+def shift_label(name: Column, lag: int) -> Column:
+    """`close` -> `close(t-2)`."""
+    return F.concat(name, F.lit(f"(t-{lag})"))
+
+
+def digit_runs(c: Column) -> Column:
+    """All runs of digits in a text, in order."""
+    return F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0))
+
+
+def range_label(start_s: Column, end_s: Column) -> Column:
+    """How long a time range is and when it ends, in words."""
+    days = F.floor((end_s - start_s) / 86_400)
+    return F.concat(F.when(days == 1, "1 day").otherwise(F.concat(days.cast("string"), F.lit(" days"))), F.lit(" until "), day_text(end_s))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions import conditions, text
-from tidewater.operators import backtest, sequential, series, stats
+from tidewater.operators import backtest, frames, sequential, series, stats
 from tidewater.plans.registry import query
 from tidewater.sources import adapt, graph
 from tidewater.sources.adapt import CANDLES_SQL, PAYOUTS_SQL, PREDICTIONS_SQL, SLOTS_SQL
@@ -266,3 +266,75 @@ def slot_probabilities(spark, d):
 @query(f"""WITH {PREDICTIONS_SQL} SELECT contract, count(DISTINCT "user") * 3.0::DOUBLE AS consumed FROM predictions GROUP BY contract""")
 def consumed(spark, d):
     return graph.consumed(adapt.predictions(spark, d).select("contract", "user").distinct())
+
+
+# Small operators on any table
+
+
+@query("SELECT o_orderkey, c_name, o_totalprice * 2 AS double_price FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def left_join_with(spark, d):
+    o, c = adapt.table(spark, d, "orders"), adapt.table(spark, d, "customer")
+    return frames.left_join_with(o, c, "o_custkey", "c_custkey", {"double_price": F.col("o_totalprice") * 2}, ["o_orderkey", "c_name", "double_price"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def orders_of_segment(spark, d):
+    ids = adapt.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return frames.keep_ids(adapt.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", ids, ["o_custkey"])
+
+
+@query("SELECT arg_min(event_id, ts) AS event_id, event_type FROM events GROUP BY event_type")
+def first_event_of_type(spark, d):
+    return frames.distinct_in_order(adapt.table(spark, d, "events"), "event_type", "ts").select("event_id", "event_type")
+
+
+@query(f"WITH {CANDLES_SQL} SELECT feed, timestamp, 1000 + (row_number() {_W} - 1) * 60 AS ut FROM candles")
+def time_axis(spark, d):
+    return frames.time_axis(adapt.candles(spark, d), 1000, 60, "timestamp").select("feed", "timestamp", F.col("ut").cast("long").alias("ut"))
+
+
+@query("SELECT 0.0::DOUBLE + (i % 20) * (1.0::DOUBLE / 19) AS a, -1.0::DOUBLE + (i // 20 % 20) * (2.0::DOUBLE / 19) AS b FROM (SELECT unnest(range(400)) AS i)")
+def response_mesh(spark, d):
+    return frames.mesh(spark, {"a": (0.0, 1.0), "b": (-1.0, 1.0)}, 20)
+
+
+@query(f"WITH {CANDLES_SQL}, p AS (SELECT *, lag(close) {_W} AS guess FROM candles) SELECT feed, timestamp, guess + first_value(close - guess) OVER (PARTITION BY feed ORDER BY timestamp DESC) AS calibrated FROM p")
+def calibrated(spark, d):
+    rows = adapt.candles(spark, d).withColumn("guess", F.lag("close").over(series.by_feed()))
+    return frames.calibrated(rows, "guess", "close", "timestamp").select("feed", "timestamp", "calibrated")
+
+
+@query(f"""WITH {CANDLES_SQL}, n AS (SELECT *, row_number() {_W} AS n FROM candles) SELECT feed, round(avg(close), 6) AS close, sum(volume) AS volume, round(avg(CASE WHEN n > 1 THEN open END), 6) AS open FROM n GROUP BY feed""")
+def run_means(spark, d):
+    out = frames.run_means(adapt.candles(spark, d), ["feed"], ["close"], ["volume"], ["open"], "timestamp")
+    return out.select("feed", F.round("close", 6).alias("close"), "volume", F.round("open", 6).alias("open"))
+
+
+@query(f"WITH {PREDICTIONS_SQL} SELECT count(DISTINCT slot) AS n FROM predictions WHERE payout IS NULL")
+def count_pending_slots(spark, d):
+    return frames.count_members(graph.pending_payouts(adapt.predictions(spark, d)), "slots")
+
+
+@query("SELECT c_custkey, 'acct(t-2)' AS label, list_extract(regexp_extract_all(c_name, '\\d+'), 1) AS digits, (c_custkey % 9 + 2) || ' days until ' || strftime(make_timestamp((c_custkey % 9 + 2) * 86400000000), '%Y-%m-%d') AS span FROM customer")
+def more_labels(spark, d):
+    n = F.col("c_custkey") % 9 + 2
+    return adapt.table(spark, d, "customer").select("c_custkey", text.shift_label(F.lit("acct"), 2).alias("label"), F.get(text.digit_runs(F.col("c_name")), F.lit(0)).alias("digits"), text.range_label(F.lit(0), n * 86_400).alias("span"))
+
+
+def _chunks(spark, d):
+    return sequential.batches(adapt.table(spark, d, "orders"), "o_custkey", "o_orderkey", 4)
+
+
+@query("SELECT o_orderkey, o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS batch FROM orders")
+def batched_orders(spark, d):
+    return _chunks(spark, d).select("o_orderkey", "o_custkey", "batch")
+
+
+@query(f"WITH {CANDLES_SQL}, s AS (SELECT avg(close) AS m, stddev_pop(close) AS s FROM candles) SELECT feed, timestamp, round((close - m) / s, 8) AS close FROM candles, s")
+def scaled_candles(spark, d):
+    return series.scaled(adapt.candles(spark, d), ["close"]).select("feed", "timestamp", F.round("close", 8).alias("close"))
+
+
+@query(f"WITH {CANDLES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY timestamp DESC) AS n FROM candles) SELECT feed, timestamp, close, CAST(unnest(range(1, CASE n WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 2 END)) AS INTEGER) AS copy FROM n")
+def recent_weights(spark, d):
+    return backtest.recent_weights(adapt.candles(spark, d), 2, 1).select("feed", "timestamp", "close", "copy")
