@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.functions.normal import keccak256
 from tidewater.sources import graph, store
 from tidewater.streaming import bronze
 
@@ -108,7 +109,7 @@ def test_rows_of_a_class_and_piped_text(spark, tmp_path):
 
 
 def test_flat_predictions(spark, tmp_path):
-    data = [{"key": "0x" + b"source".hex(), "value": "0x" + b"kraken".hex()}]
+    data = [{"key": "0x" + keccak256(k.encode()).hex(), "value": "0x" + v.encode().hex()} for k, v in (("pair", "ETH/USDT"), ("timeframe", "5m"), ("source", "kraken"))]
     contract = {"id": "0xab", "token": {"name": "ETH/USDT"}, "secondsPerEpoch": 300, "nftData": data}
     base = {"user": {"id": "u"}, "stake": 2.0, "slot": {"slot": 900, "predictContract": contract}}
     nested = [base | {"id": "a", "timestamp": 10, "payout": {"payout": 3.0, "trueValue": True, "predictedValue": False}}, base | {"id": "b", "timestamp": 20, "payout": None}, base | {"id": "c", "timestamp": 99, "payout": None}]

@@ -47,3 +47,21 @@ def describe(tables: dict[str, DataFrame], time: str = "timestamp") -> DataFrame
 def violations(checks: dict[str, DataFrame]) -> DataFrame:
     """How many rows break each rule."""
     return reduce(DataFrame.unionByName, (df.agg(F.lit(n).alias("rule"), F.count("*").alias("violations")) for n, df in checks.items()))
+
+
+def latest(tables: dict[str, DataFrame], time: str = "timestamp") -> DataFrame:
+    """The newest time of each table and, named `all`, of all of them."""
+    each = reduce(DataFrame.unionByName, (df.agg(F.lit(n).alias("table_name"), F.max(time).alias("newest")) for n, df in tables.items()))
+    return each.unionByName(each.agg(F.lit("all").alias("table_name"), F.max("newest").alias("newest")))
+
+
+def covers(rows: DataFrame, start: int, time: str = "timestamp") -> DataFrame:
+    """One row: first and last time, and whether the rows begin by `start` and end after they begin."""
+    ends = rows.agg(F.min(time).alias("first_ts"), F.max(time).alias("last_ts"))
+    return ends.withColumn("covered", F.coalesce((F.col("first_ts") <= start) & (F.col("last_ts") > F.col("first_ts")), F.lit(False)))
+
+
+def has_nan(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: for each column, whether some value and whether every value is null or NaN."""
+    gone = {c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in columns}
+    return df.agg(*(F.coalesce(F.bool_or(g), F.lit(False)).alias(f"{c}_some") for c, g in gone.items()), *(F.coalesce(F.bool_and(g), F.lit(True)).alias(f"{c}_all") for c, g in gone.items()))

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a bucket within which permuted values are dealt out.
+BUCKET_ROWS = 10_000
+
 #: Estimators over columns `features` and `label`; add to them to make one known.
 CLASSIFIERS: dict[str, Callable] = {
     "logistic": lambda: LogisticRegression(maxIter=50),
@@ -68,18 +73,52 @@ def weights(model: PipelineModel, features: list[str]) -> dict[str, float]:
 
 
 def permutation_weights(model: PipelineModel, df: DataFrame, features: list[str], label: str, seed: int = 0) -> dict[str, float]:
-    """How much accuracy falls when a feature's values are dealt out anew, as shares; never below zero."""
+    """How much accuracy falls when a feature's values are dealt out anew, as shares; never below zero.
+
+    Values are dealt anew within buckets that rows fall into by hash, so that no task holds
+    all rows. Rows that are wholly equal may change places unnoticed.
+    """
 
     def accuracy(rows: DataFrame) -> float:
         return model.transform(rows).agg(F.avg((F.col("prediction") == F.col(label).cast("double")).cast("double"))).first()[0] or 0.0
 
-    from pyspark.sql import Window
-
     base = df.where(" and ".join(f"`{c}` is not null" for c in [*features, label]))
     right, fall = accuracy(base), {}
+    buckets = 1 + base.count() // BUCKET_ROWS
+    base = base.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), *base.columns), F.lit(buckets)))
+    at = lambda salt: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(salt), *base.columns)))
     for f in features:
-        a = base.withColumn("_i", F.row_number().over(Window.orderBy(F.xxhash64(*base.columns))))
-        b = base.select(F.col(f).alias("_v"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + 1), *base.columns))).alias("_i"))
-        fall[f] = max(0.0, right - accuracy(a.join(b, "_i").withColumn(f, F.col("_v")).drop("_i", "_v")))
+        a, b = base.withColumn("_i", at(seed + 1)), base.select("_b", F.col(f).alias("_v"), at(seed + 2).alias("_i"))
+        fall[f] = max(0.0, right - accuracy(a.join(b, ["_b", "_i"]).withColumn(f, F.col("_v")).drop("_b", "_i", "_v")))
     total = sum(fall.values()) or 1.0
     return {f: v / total for f, v in fall.items()}
+
+
+def synthetic_oversample(df: DataFrame, features: list[str], label: str, by: str, neighbours: int = 5, seed: int = 0) -> DataFrame:
+    """by, features and label, with made-up rows of the rarer label until both are as many.
+
+    A made-up row lies between a row of the rarer label and one of its nearest rows of that
+    label. Each `by` is one training set, a window of bounded length, and one task. A set
+    with fewer than two rows of the rarer label stays as it is.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng(seed)
+        rows = rows.sort_values([*features, label], kind="stable")
+        counts = rows[label].value_counts()
+        if len(counts) < 2 or counts.min() < 2:
+            return rows
+        rare = counts.index[-1]
+        x = rows.loc[rows[label] == rare, features].to_numpy(float)
+        far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+        np.fill_diagonal(far, np.inf)
+        near = np.argsort(far, axis=1, kind="stable")[:, : min(neighbours, len(x) - 1)]
+        n = int(counts.iloc[0] - counts.iloc[-1])
+        a = rng.integers(0, len(x), n)
+        b = near[a, rng.integers(0, near.shape[1], n)]
+        made = pd.DataFrame(x[a] + rng.random((n, 1)) * (x[b] - x[a]), columns=features)
+        return pd.concat([rows, made.assign(**{label: rare, by: rows[by].iloc[0]})], ignore_index=True)[list(rows.columns)]
+
+    kinds = dict(df.dtypes)
+    schema = f"{by} {kinds[by]}, " + ", ".join(f"{f} double" for f in features) + f", {label} {kinds[label]}"
+    return df.select(by, *(F.col(f).cast("double") for f in features), label).dropna().groupBy(by).applyInPandas(run, schema)

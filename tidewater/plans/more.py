@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions import conditions, text
-from tidewater.operators import backtest, frames, sequential, series, stats
+from tidewater.operators import backtest, checks, frames, models, sequential, series, stats
 from tidewater.plans.registry import query
 from tidewater.sources import adapt, graph
-from tidewater.sources.adapt import CANDLES_SQL, PAYOUTS_SQL, PREDICTIONS_SQL, SLOTS_SQL
+from tidewater.sources.adapt import CANDLES_SQL, PAYOUTS_SQL, PREDICTIONS_SQL, SLOTS_SQL, SUBSCRIPTIONS_SQL
 from tidewater.streaming import bronze
 
 _W = "OVER (PARTITION BY feed ORDER BY timestamp)"
@@ -338,3 +338,69 @@ def scaled_candles(spark, d):
 @query(f"WITH {CANDLES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY timestamp DESC) AS n FROM candles) SELECT feed, timestamp, close, CAST(unnest(range(1, CASE n WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 2 END)) AS INTEGER) AS copy FROM n")
 def recent_weights(spark, d):
     return backtest.recent_weights(adapt.candles(spark, d), 2, 1).select("feed", "timestamp", "close", "copy")
+
+
+# Coverage of the lake, distributions, pages, settlement batches and balanced training rows
+
+
+@query(f"""WITH {PREDICTIONS_SQL}, {PAYOUTS_SQL}, {SUBSCRIPTIONS_SQL}, m AS (SELECT 'predictions' AS table_name, max(timestamp) AS newest FROM predictions
+  UNION ALL SELECT 'payouts', max(timestamp) FROM payouts UNION ALL SELECT 'subscriptions', max(timestamp) FROM subscriptions)
+  SELECT * FROM m UNION ALL SELECT 'all', max(newest) FROM m""")
+def latest_timestamps(spark, d):
+    return checks.latest({"predictions": adapt.predictions(spark, d), "payouts": adapt.payouts(spark, d), "subscriptions": adapt.subscriptions(spark, d)})
+
+
+@query(f"""WITH {PREDICTIONS_SQL}, {PAYOUTS_SQL} SELECT min(timestamp) AS first_ts, max(timestamp) AS last_ts, min(timestamp) <= 750000000000 AND max(timestamp) > min(timestamp) AS covered FROM payouts""")
+def lake_coverage(spark, d):
+    return checks.covers(adapt.payouts(spark, d), 750_000_000_000)
+
+
+@query(f"""WITH {PREDICTIONS_SQL} SELECT bool_or(stake IS NULL OR isnan(stake)) AS stake_some, bool_and(stake IS NULL OR isnan(stake)) AS stake_all,
+  bool_or(payout IS NULL OR isnan(payout)) AS payout_some, bool_and(payout IS NULL OR isnan(payout)) AS payout_all FROM predictions""")
+def nan_flags(spark, d):
+    return checks.has_nan(adapt.predictions(spark, d), ["stake", "payout"])
+
+
+@query(f"""WITH {CANDLES_SQL}, s AS (SELECT feed, count(close) AS n, avg(close) AS m, stddev_pop(close) AS s, stddev_samp(close) * pow(count(close), -0.2) AS h, min(close) AS lo, max(close) AS hi FROM candles GROUP BY feed),
+  g AS (SELECT *, unnest(range(40)) AS i FROM s), x AS (SELECT *, lo - s / 2 + (hi - lo + s) * i / 39 AS x FROM g),
+  k AS (SELECT feed, i, x, m, s, sum(exp(-0.5 * pow((x - close) / h, 2)) / (h * sqrt(2 * pi())) / n) AS pk, any_value(exp(-0.5 * pow((x - m) / s, 2)) / (s * sqrt(2 * pi()))) AS pn FROM x JOIN candles USING (feed) GROUP BY feed, i, x, m, s),
+  t AS (SELECT *, max(greatest(pk, pn)) OVER (PARTITION BY feed) AS top FROM k)
+  SELECT feed, CAST(i AS INTEGER) AS i, round(x, 8) AS x, round(pn / top, 8) AS pdf_normal, round(pk / top, 8) AS pdf_kernel FROM t""")
+def distribution_densities(spark, d):
+    out = stats.distribution(adapt.candles(spark, d), "close", 40)
+    return out.select("feed", "i", *(F.round(c, 8).alias(c) for c in ("x", "pdf_normal", "pdf_kernel")))
+
+
+@query()
+def distribution_shares(spark, d):
+    return stats.distribution(adapt.candles(spark, d), "close", 40).select("feed", "i", "x", "cdf_normal", "cdf_kernel", "nq_normal", "nq_kernel")
+
+
+@query()
+def partial_autocorrelations(spark, d):
+    return stats.partial_autocorrelations(adapt.candles(spark, d), "close", 10)
+
+
+@query()
+def unit_root_variants(spark, d):
+    return stats.unit_root_variants(adapt.candles(spark, d), "close")
+
+
+@query("""WITH p AS (SELECT event_id, -(epoch_us(ts) // 1000) AS timestamp FROM events WHERE event_id < 1000), e AS (SELECT arg_min(timestamp, event_id) AS a, arg_max(timestamp, event_id) AS b FROM p)
+  SELECT event_id, timestamp FROM p, e WHERE a <= b OR timestamp >= a""")
+def newest_first_page(spark, d):
+    page = adapt.table(spark, d, "events").where("event_id < 1000").select("event_id", (-F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)).cast("long").alias("timestamp"))
+    return graph.newest_first_cut(page, "event_id")
+
+
+@query(f"""WITH {PREDICTIONS_SQL}, s AS (SELECT DISTINCT contract, slot FROM predictions WHERE payout IS NULL), n AS (SELECT *, (row_number() OVER (PARTITION BY contract ORDER BY slot) - 1) // 3 AS batch FROM s)
+  SELECT contract, batch, CAST(list(slot ORDER BY slot) AS VARCHAR) AS slots FROM n GROUP BY contract, batch""")
+def true_value_batches(spark, d):
+    found = graph.true_value_batches(adapt.predictions(spark, d).where("payout is null"), 3)
+    return found.select("contract", "batch", F.concat(F.lit("["), F.array_join(F.col("slots").cast("array<string>"), ", "), F.lit("]")).alias("slots"))
+
+
+@query()
+def synthetic_oversample(spark, d):
+    rows = adapt.candles(spark, d).withColumn("rare", (F.col("timestamp") / 3_600_000 % 7 == 0).cast("int"))
+    return models.synthetic_oversample(rows, ["open", "close"], "rare", "feed")

@@ -12,10 +12,12 @@ import time
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidewater.functions.normal import keccak256
+
 PREDICTION = (
     "id string, timestamp long, user struct<id: string>, stake double, predictedValue boolean, payout struct<payout: double, trueValue: boolean, predictedValue: boolean>, "
     "slot struct<slot: long, predictContract: struct<id: string, token: struct<name: string>, secondsPerEpoch: long, nftData: array<struct<key: string, value: string>>>>"
@@ -86,9 +88,36 @@ def records(spark: SparkSession, schema: str, path: str | None = None, **options
 
 
 def value_of(pairs: Column, key: str) -> Column:
-    """The decoded value of a key in an array of (key, value) in hex."""
-    hexed = "0x" + key.encode().hex()
-    return F.decode(F.unhex(F.regexp_replace(F.get(F.filter(pairs, lambda p: p["key"] == hexed), 0)["value"], "^0x", "")), "UTF-8")
+    """The decoded value of a key in an array of (key: Keccak-256 of the name, value: text in hex)."""
+    hashed = keccak256(key.encode()).hex()
+    found = F.get(F.filter(pairs, lambda p: F.regexp_replace(p["key"], "^0x", "") == hashed), 0)["value"]
+    return F.decode(F.unhex(F.regexp_replace(found, "^0x", "")), "UTF-8")
+
+
+def contract_info(contract: Column, source: str = "binance") -> Column:
+    """struct<pair, timeframe, source> of a contract: from its data, or from name and epoch where it has none."""
+    data = contract["nftData"]
+    said = F.struct(*(value_of(data, k).alias(k) for k in ("pair", "timeframe", "source")))
+    frame = F.when(contract["secondsPerEpoch"] == 300, "5m").otherwise("1h")
+    return F.when(F.size(data) > 0, said).otherwise(F.struct(contract["token"]["name"].alias("pair"), frame.alias("timeframe"), F.lit(source).alias("source")))
+
+
+def newest_first_cut(page: DataFrame, order: str = "_page_row") -> DataFrame:
+    """A page that ends earlier than it begins loses the rows earlier than its first.
+
+    Only this many rows come in one answer of the service, so first and last are two rows
+    found by partial aggregates and joined back as one.
+    """
+    ends = page.agg(F.min_by("timestamp", order).alias("_first"), F.max_by("timestamp", order).alias("_last"))
+    kept = (F.col("_first") <= F.col("_last")) | (F.col("timestamp") >= F.col("_first"))
+    return page.join(F.broadcast(ends), kept).drop("_first", "_last")
+
+
+def true_value_batches(pending: DataFrame, size: int) -> DataFrame:
+    """contract, batch, slots: what is to be settled, in batches of `size` slots of one contract."""
+    w = Window.partitionBy("contract").orderBy("slot")
+    rows = pending.select("contract", "slot").distinct().withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    return rows.groupBy("contract", "batch").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
 
 
 def flat_predictions(nested: DataFrame, start: int, end: int, contracts: list[str] | None = None) -> DataFrame:
@@ -98,10 +127,9 @@ def flat_predictions(nested: DataFrame, start: int, end: int, contracts: list[st
     rows = rows if contracts is None else rows.where(contract.isin([c.lower() for c in contracts]))
     known = F.col("payout").isNotNull()
     when = lambda c: F.when(known, c)
-    data = F.col("slot.predictContract.nftData")
+    rows = rows.withColumn("_info", contract_info(F.col("slot.predictContract")))
     return rows.select(
-        F.col("id").alias("ID"), contract.alias("contract"), F.col("slot.predictContract.token.name").alias("pair"),
-        F.when(F.col("slot.predictContract.secondsPerEpoch") == 300, "5m").otherwise("1h").alias("timeframe"), value_of(data, "source").alias("source"),
+        F.col("id").alias("ID"), contract.alias("contract"), F.col("_info.pair").alias("pair"), F.col("_info.timeframe").alias("timeframe"), F.col("_info.source").alias("source"),
         when(F.col("payout.predictedValue")).alias("predvalue"), when(F.col("stake")).alias("stake"), when(F.col("payout.trueValue")).alias("truevalue"),
         (F.col("timestamp") * 1000).alias("timestamp"), when(F.col("payout.payout")).alias("payout"), F.col("slot.slot").alias("slot"), F.col("user.id").alias("user"),
     )
@@ -140,8 +168,6 @@ def consumed(orders: DataFrame, price: float = 3.0) -> DataFrame:
 
 def shared_slots(pending: DataFrame, size: int) -> DataFrame:
     """Slots that the same set of contracts wait for, in batches of `size`."""
-    from pyspark.sql import Window
-
     sets = pending.select("contract", F.explode("slots").alias("slot")).groupBy("slot").agg(F.array_sort(F.collect_set("contract")).alias("contracts"))
     w = Window.partitionBy("contracts").orderBy("slot")
     rows = sets.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))

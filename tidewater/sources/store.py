@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Size of a file that a compaction aims at.
+FILE_BYTES = 128 << 20
 LAYERS = ("bronze_", "silver_", "gold_")
 STAGES = ("_temp_update_", "_temp_", "_new_events_", "_update_events_")
 
@@ -114,9 +116,13 @@ def export(df: DataFrame, path: str, column: str = "timestamp", most_files: int
     """Append what is newer than the exported files; rewrite all when there are more than `most_files`."""
     spark = df.sparkSession
     done = high_water(spark, path, column)
-    if done is not None and most_files is not None and len(spark.read.parquet(path).inputFiles()) > most_files:
-        df.coalesce(1).write.mode("overwrite").parquet(path)
-        return df.count()
+    if done is not None and most_files is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+        needed = 1 + size // FILE_BYTES  # a large table keeps as many files as its size asks for
+        if len(spark.read.parquet(path).inputFiles()) > max(most_files, needed):
+            df.repartitionByRange(needed, column).write.mode("overwrite").parquet(path)
+            return df.count()
     rows = df if done is None else df.where(F.col(column) > done)
     n = rows.count()
     if n:
@@ -198,3 +204,40 @@ def read_piped(spark: SparkSession, text: str) -> DataFrame:
     """A small table written with | between columns, its first line the header."""
     lines = spark.createDataFrame([(x.strip(),) for x in text.strip().splitlines()], "value string")
     return spark.read.option("sep", "|").option("header", True).option("inferSchema", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(lines.rdd.map(lambda r: r.value))
+
+
+def read_folder(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Columns of all CSV and parquet files below a folder, with the name of each row's file."""
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+)\.[^./]+$", 1).alias("file")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, kinds, found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), set(), []
+    while files.hasNext():
+        kinds.add(files.next().getPath().getName().rpartition(".")[2])
+    for kind in sorted(kinds & {"csv", "parquet"}):
+        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}")
+        df = reader.option("header", True).option("inferSchema", True).csv(path) if kind == "csv" else reader.parquet(path)
+        found.append(df.select(name, *columns))
+    if not found:
+        raise FileNotFoundError(f"no CSV or parquet files below {path}")
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def write_statistics(df: DataFrame, path: str) -> None:
+    """A statistics table as lines of JSON, replaced as a whole."""
+    df.write.mode("overwrite").json(path)
+
+
+def read_statistics(spark: SparkSession, path: str, schema: str) -> list[dict]:
+    """What a statistics service answers: the lines as records; a report is one row per feed."""
+    return [r.asDict(True) for r in spark.read.schema(schema).json(path).collect()]
+
+
+def replay(log: CsvLog, catalog: Catalog, table: str) -> int:
+    """Rows of the log that are newer than the table go into it; returns how many there were."""
+    done = catalog.scalar(f"SELECT max({log.column}) FROM {table}") if catalog.exists(table) else None
+    newer = log.read(done)
+    newer = newer if done is None else newer.where(F.col(log.column) > done)
+    n = newer.count()
+    if n:
+        catalog.insert(newer, table)
+    return n
