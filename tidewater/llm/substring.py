@@ -131,24 +131,25 @@ def repeats(new: DataFrame, runs: DataFrame | None, texts: DataFrame) -> DataFra
     """(doc_id, tag, spans): first windows and numbers of windows that also start in a smaller doc_id.
 
     `new` holds the batch's anchors, `runs` the index rows of earlier batches, `texts` rows
-    (doc_id, tag, packed) of all of them. Rows whose anchor occurs in one document only go
-    first; this and every later count is by partial sums, and joins are plain ones whose
-    large keys Spark can split.
+    (doc_id, tag, packed) of all of them. Counts of segments and anchors are by partial
+    sums and are tables of their own, so that the joins back to the rows are plain ones
+    whose large keys Spark can split.
     """
     every = new.withColumn("fresh", F.lit(True))
     if runs is not None:
         every = every.union(runs.select(new.columns).withColumn("fresh", F.lit(False)))
-    ends = every.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    shared = materialize(every.join(ends, "h"), "shared")
-    firsts = shared.groupBy("h", "seg").agg(F.min("doc_id").alias("first"))
-    several = shared.groupBy("h").agg(F.min("seg").alias("a"), F.max("seg").alias("b")).select("h", (F.col("a") < F.col("b")).alias("several"))
-    judged = shared.join(firsts.join(several, "h"), ["h", "seg"]).where("doc_id > first or several")
+    segments = every.groupBy("h", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    segments = materialize(segments, "segments")
+    anchored = segments.groupBy("h").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), (F.min("seg") < F.max("seg")).alias("several"))
+    anchored = materialize(anchored.where("lo < hi").select("h", "several"), "anchored")
+    shared = materialize(segments.join(anchored, "h").where("first < last or several").select("h", "seg", "first", "several"), "shared")
+    judged = every.join(shared, ["h", "seg"]).where("doc_id > first or several")
     judged = materialize(judged.select("h", "doc_id", "tag", "pos", "fresh", (F.col("doc_id") > F.col("first")).alias("done")), "judged")
     open_ = judged.where("not done").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("h", "pos")).alias("segments"))
     windows = texts.join(open_, ["doc_id", "tag"]).select("doc_id", "tag", "packed", "segments").mapInArrow(_open_windows, "h long, w long, doc_id long, tag long, at long")
     windows = materialize(windows, "windows")
     earliest = windows.groupBy("h", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "w", "first")
-    single = windows.join(earliest, ["h", "w"]).where("doc_id > first").select("doc_id", "tag", (F.shiftleft("at", 6) + 1).alias("pos"))
+    single = windows.join(materialize(earliest, "earliest"), ["h", "w"]).where("doc_id > first").select("doc_id", "tag", (F.shiftleft("at", 6) + 1).alias("pos"))
     found = judged.where("done and fresh").select("doc_id", "tag", "pos").union(single)
     return found.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("spans"))
 
