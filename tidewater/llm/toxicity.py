@@ -2,8 +2,8 @@
 
 One dictionary is trained on ordinary text, one on toxic text. A window of words is
 compressed with the ordinary dictionary alone and with the toxic one in front of it: how
-many bytes the toxic one saves is the window's gain. A document's largest gains go through
-a calibrated logistic curve.
+many bytes the toxic one saves is the window's gain. A document's largest gains, and how
+many windows gain how much, go through a calibrated logistic curve.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ from tidewater.llm.quality import held_out
 TOXIC_DOCS, ORDINARY_DOCS = 2_000, 3_000
 #: Windows of ordinary text and words of toxic text that the dictionaries are trained on, at most.
 ORDINARY_WINDOWS, TOXIC_WORDS = 60_000, 4_000
-#: A word or its first STEM letters are toxic text with so many contexts in toxic documents, so many times their rate elsewhere.
-CONTEXTS, LIFT, STEM = 6, 20, 4
+#: A word or its first letters, as many as STEMS say, are toxic text with so many contexts in toxic documents, so many times their rate elsewhere.
+CONTEXTS, LIFT, STEMS = 6, 20, (5, 6, 7, 8, 9)
 WINDOW, LEVEL, TOP = 5, 11, 3
 ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 4 << 10
+FEATURES = TOP + 6
 _BATCH = 4096
 
 
@@ -48,7 +49,7 @@ def train(samples: list[bytes], size: int) -> bytes:
 
 @dataclass(frozen=True)
 class Distance:
-    """Two dictionaries and the curve over (1, largest gains, log of windows)."""
+    """Two dictionaries and the curve over FEATURES values of a document."""
 
     ordinary: bytes
     toxic: bytes
@@ -64,13 +65,15 @@ class Distance:
 
     @staticmethod
     def features(data: bytes | None, compressors: list) -> np.ndarray:
-        found, top = windows(data), np.zeros(0, np.int64)
+        """1, largest gains, log of windows, log of gains above one, logs of windows that gain, mean gain."""
+        found, top, sums = windows(data), np.zeros(TOP, np.int64), np.zeros(4)
         for i in range(0, len(found), _BATCH):
             part = found[i : i + _BATCH]
-            a, b = ([len(x) for x in c.multi_compress_to_buffer(part)] for c in compressors)
-            top = np.sort(np.concatenate([top, np.subtract(a, b)]))[-TOP:]
-        top = np.concatenate([np.zeros(TOP - len(top)), top])[::-1]
-        return np.array([1.0, *np.clip(top, -4, 12), np.log1p(len(found)) / 10])
+            gain = np.subtract(*([len(x) for x in c.multi_compress_to_buffer(part)] for c in compressors))
+            top = np.sort(np.concatenate([top, gain]))[-TOP:]
+            sums += np.maximum(gain - 1, 0).sum(), (gain >= 3).sum(), (gain >= 2).sum(), gain.sum()
+        mean = np.clip(sums[3] / max(1, len(found)), -2, 2)
+        return np.array([1.0, *np.clip(top[::-1], -4, 12), np.log1p(len(found)) / 10, *np.log1p(sums[:3]), mean])
 
     def score(self, x: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30))))
@@ -103,7 +106,7 @@ def _toxic_words(sample: DataFrame) -> list[tuple[str, int]]:
     words = F.filter(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     at = sample.select("toxic", words.alias("w")).select("toxic", "w", F.posexplode("w").alias("i", "word"))
     near = at.select("toxic", "word", F.xxhash64(F.get("w", F.col("i") - 1), F.get("w", F.col("i") + 1)).alias("around")).distinct()
-    near = near.select("toxic", F.explode(F.array_distinct(F.array("word", F.left("word", F.lit(STEM))))).alias("word"))
+    near = near.select("toxic", F.explode(F.array_distinct(F.array("word", *(F.left("word", F.lit(n)) for n in STEMS)))).alias("word"))
     is_toxic = F.col("toxic") == 1
     counts = near.groupBy("word").agg(F.count_if(is_toxic).alias("n"), F.count_if(~is_toxic).alias("m"))
     counts = materialize(counts, "contexts")
@@ -127,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "tox
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     if share in (None, 0.0, 1.0):
         share = 0.5 if share is None else min(0.999, max(0.001, share))
-        return Distance(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * (TOP + 1)))
+        return Distance(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * (FEATURES - 1)))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sample = materialize(texts.join(F.broadcast(chosen), "doc_id"), "toxic-sample")
 
@@ -143,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "tox
     model = Distance(train(ordinary, ORDINARY_BYTES), toxic, ())
     found = _column(sample.where("half = 1").select("doc_id", F.col("text").cast("binary").alias("text")), model, raw=True).join(F.broadcast(chosen), "doc_id").select("x", "toxic").collect()
     if not found:
-        return Distance(model.ordinary, model.toxic, (float(np.log(share / (1 - share))), *[0.0] * (TOP + 1)))
+        return Distance(model.ordinary, model.toxic, (float(np.log(share / (1 - share))), *[0.0] * (FEATURES - 1)))
     weights = logistic(np.array([r.x for r in found]), np.array([float(r.toxic == 1) for r in found]))
     return Distance(model.ordinary, model.toxic, tuple(map(float, weights)))
 
