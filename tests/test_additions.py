@@ -151,3 +151,13 @@ def test_made_up_rows_lie_between_rare_ones(spark):
     rare = [r for r in out if r.feed == "f" and r.label == 1]
     assert len(rare) == 20 and sum(r.label == 0 for r in out) == 20 and sum(r.feed == "g" for r in out) == 1
     assert all(100 <= r.x <= 103 and r.y == 50 for r in rare)
+
+
+def test_extended_trend_follows_a_line_to_both_ends(spark):
+    season = [3.0, -1.0, -2.0, 0.0]
+    df = spark.createDataFrame([("f", i, 2.0 * i + season[i % 4]) for i in range(20)], "feed string, timestamp long, v double")
+    out = stats.seasonal(df, "v", 4, extend=True).orderBy("timestamp").collect()
+    assert [r.trend for r in out] == pytest.approx([2.0 * i for i in range(20)])
+    assert [r.season for r in out] == pytest.approx([season[i % 4] for i in range(20)])
+    short = stats.seasonal(df.limit(3), "v", 4, extend=True).collect()
+    assert len(short) == 3 and all(r.trend is None for r in short)

@@ -80,12 +80,13 @@ def box_cox(df: DataFrame, c: str) -> DataFrame:
     return z.withColumn("boxcox", (moved - shift) * s + m).drop("_z")
 
 
-def seasonal(df: DataFrame, c: str, period: int) -> DataFrame:
+def seasonal(df: DataFrame, c: str, period: int, extend: bool = False) -> DataFrame:
     """Adds trend, season and rest of an additive decomposition.
 
     The trend is a centred moving average, with half weights at the ends of an even period,
-    and null where it would leave the series; the season is the mean of what is left at
-    each position, less the mean over positions.
+    and null where it would leave the series; with `extend` it goes on there along the line
+    through its two nearest points. The season is the mean of what is left at each position,
+    less the mean over positions.
     """
     w = Window.partitionBy("feed").orderBy("timestamp")
     half = period // 2
@@ -93,6 +94,14 @@ def seasonal(df: DataFrame, c: str, period: int) -> DataFrame:
     ends = (F.lag(c, half).over(w) + F.lead(c, half).over(w)) / 2 if period % 2 == 0 else F.lit(0.0)
     whole = F.count(c).over(w.rowsBetween(-half, half)) == 2 * half + 1
     rows = df.select("feed", "timestamp", F.col(c).alias("observed"), F.when(whole, (inner - ends) / period).alias("trend"), ((F.row_number().over(w) - 1) % period).alias("phase"))
+    if extend:
+        i, t, whole = F.row_number().over(w).alias("i"), F.col("trend").alias("t"), Window.partitionBy("feed")
+        rows = rows.withColumn("_e", F.struct(i, t, F.lead("trend").over(w).alias("up"), F.lag("trend").over(w).alias("down")))
+        known = F.when(F.col("trend").isNotNull(), F.col("_e.i"))
+        rows = rows.withColumns({"_a": F.min_by("_e", known).over(whole), "_z": F.max_by("_e", known).over(whole)})
+        line = lambda e, slope: F.col(f"{e}.t") + (F.col("_e.i") - F.col(f"{e}.i")) * F.coalesce(slope, F.lit(0.0))
+        before, after = line("_a", F.col("_a.up") - F.col("_a.t")), line("_z", F.col("_z.t") - F.col("_z.down"))
+        rows = rows.withColumn("trend", F.coalesce("trend", F.when(F.col("_e.i") < F.col("_a.i"), before).otherwise(after))).drop("_e", "_a", "_z")
     mean = rows.groupBy("feed", "phase").agg(F.avg(F.col("observed") - F.col("trend")).alias("raw"))
     mean = mean.withColumn("season", F.col("raw") - F.avg("raw").over(Window.partitionBy("feed"))).drop("raw")
     return rows.join(mean, ["feed", "phase"]).withColumn("rest", F.col("observed") - F.col("trend") - F.col("season"))

@@ -123,9 +123,21 @@ def seasonal(spark, d):
     return stats.seasonal(adapt.candles(spark, d), "close", 24).select("feed", "timestamp", "observed", F.col("phase").cast("int").alias("phase"), *(F.round(c, 8).alias(c) for c in ("trend", "season", "rest")))
 
 
+@query(f"""WITH {CANDLES_SQL}, q AS (SELECT feed, timestamp, close AS observed, row_number() {_W} AS i, (row_number() {_W} - 1) % 24 AS phase,
+    CASE WHEN count(close) OVER (PARTITION BY feed ORDER BY timestamp ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) = 25 THEN (sum(close) OVER (PARTITION BY feed ORDER BY timestamp ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) - (lag(close, 12) {_W} + lead(close, 12) {_W}) / 2) / 24 END AS t FROM candles),
+  e AS (SELECT feed, min(i) FILTER (t IS NOT NULL) AS a, max(i) FILTER (t IS NOT NULL) AS z FROM q GROUP BY feed),
+  k AS (SELECT e.feed, a, z, max(t) FILTER (i = a) AS t1, max(t) FILTER (i = a + 1) AS t2, max(t) FILTER (i = z) AS t4, max(t) FILTER (i = z - 1) AS t3 FROM e JOIN q USING (feed) GROUP BY ALL),
+  r AS (SELECT feed, timestamp, observed, phase, CASE WHEN i < a THEN t1 + (i - a) * (t2 - t1) WHEN i > z THEN t4 + (i - z) * (t4 - t3) ELSE t END AS trend FROM q JOIN k USING (feed)),
+  p AS (SELECT feed, phase, avg(observed - trend) AS raw FROM r GROUP BY feed, phase), s AS (SELECT feed, phase, raw - avg(raw) OVER (PARTITION BY feed) AS season FROM p)
+  SELECT feed, timestamp, observed, CAST(phase AS INTEGER) AS phase, round(trend, 7) AS trend, round(season, 7) AS season, round(observed - trend - season, 7) AS rest FROM r JOIN s USING (feed, phase)""")
+def seasonal_extended(spark, d):
+    out = stats.seasonal(adapt.candles(spark, d), "close", 24, extend=True)
+    return out.select("feed", "timestamp", "observed", F.col("phase").cast("int").alias("phase"), *(F.round(c, 7).alias(c) for c in ("trend", "season", "rest")))
+
+
 @query()
 def relative_energy(spark, d):
-    return stats.relative_energy(stats.seasonal(adapt.candles(spark, d), "close", 24))
+    return stats.relative_energy(stats.seasonal(adapt.candles(spark, d), "close", 24, extend=True))
 
 
 @query()
