@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import packing, quality, secrets, simhash, substring
-from tidewater.llm.common import materialize, row_key, table
+from tidewater.llm.common import columns_of, materialize, row_key, table
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -35,12 +35,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     cut = substring.deduplicate(docs)
     text = F.when(~F.col("__null"), F.col("__cut.kept"))
     kept = cut.where("__cut.n_words = 0 or __cut.n_removed < __cut.n_words").withColumn("text", text)
-    return _recounted(kept).select(docs.columns)
+    return _recounted(kept).select(*columns_of(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced; no document goes."""
-    return _recounted(secrets.redact(docs)).select(docs.columns)
+    return _recounted(secrets.redact(docs)).select(*columns_of(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,6 +195,12 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", "src0", 0), (10**9, "", "en", "src0", 0)], docs.schema)
     docs = docs.union(extra).withColumn("component_id", F.lit("clash"))
+    odd = docs.limit(300).withColumns({n: F.lit(n) for n in ("row", "__k1", "__stats", "k1", "fp", "root", "score", "a.b")})
+    for stage in (corpus_pipeline.quality_classifier, corpus_pipeline.near_dedup, corpus_pipeline.substring_dedup, corpus_pipeline.secret_scan):
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns and {r["__k1"] for r in out.select("__k1").collect()} == {"__k1"}
+        assert stage(spark, odd.limit(0), SF).count() == 0
+    assert corpus_pipeline.best_fit_packing(spark, odd.limit(0), SF).count() == 0
     rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
     good = corpus_pipeline.quality_classifier(spark, docs, SF)
     assert good.columns == docs.columns and not Counter(rows(good)) - Counter(rows(docs))

@@ -58,6 +58,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two columns that tell rows apart by what they hold, also where doc_id is null or repeated."""
     return [F.xxhash64(doc_id.cast("string"), text).alias("k1"), F.xxhash64(text, doc_id.cast("string"), F.lit(1)).alias("k2")]

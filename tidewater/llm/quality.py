@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import materialize
+from tidewater.llm.common import columns_of, materialize
 
 #: Labelled rows that the trees and weights are fit on, at most; they are taken in the order of a hash.
 SAMPLE_ROWS = 12_000
@@ -145,4 +145,5 @@ def classify(docs: DataFrame, model: RuleEnsemble, parts: int = 5, part: int = 0
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score at least `threshold`."""
-    return with_statistics(docs, text_col).where(model.column() >= threshold).drop("__stats")
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col(text_col).alias("text"))
+    return with_statistics(rows).where(model.column() >= threshold).select("row.*")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidewater.llm.common import materialize, row_key
+from tidewater.llm.common import columns_of, materialize, row_key
 from tidewater.llm.components import connected_components
 
 SEED = 42
@@ -124,5 +124,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), "k1", "k2")
     first = near_duplicates(docs, id_col, text_col, width, keys).groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.k1").alias("__k1"), F.col("w.k2").alias("__k2"))
     w = Window.partitionBy("__k1", "__k2").orderBy("__k1")
-    kept = docs.withColumns({"__k1": keys["k1"], "__k2": keys["k2"]}).join(first, ["__k1", "__k2"], "left_semi")
-    return kept.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__k1", "__k2", "__n")
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), keys["k1"].alias("__k1"), keys["k2"].alias("__k2"))
+    kept = rows.join(first, ["__k1", "__k2"], "left_semi").withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    return kept.select("row.*")

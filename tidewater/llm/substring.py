@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tidewater.llm.common import materialize
+from tidewater.llm.common import columns_of, materialize
 
 WINDOW, PHRASE = 50, 8
 _SPAN = WINDOW - PHRASE + 1  # phrases of a window
@@ -247,11 +247,11 @@ def deduplicate(docs: DataFrame, index: FingerprintIndex | None = None, history:
     runs = index.runs() if index is not None else None
     known = texts(docs) if history is None else texts(docs).union(texts(history))
     found = repeats(new, runs, known.dropDuplicates(["doc_id", "tag"]) if history is not None else known).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    rest = [c for c in docs.columns if c != text_col]
-    packed = docs.select(*rest, F.xxhash64(text_col).alias("__key"), _packed(F.col(text_col).cast("binary")).alias("__packed"))
-    joined = packed.join(found, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__key") == F.col("__tag")), "left")
+    rest = F.struct(*columns_of(docs.drop(text_col)))
+    packed = docs.select(rest.alias("__row"), F.col(id_col).cast("long").alias("__doc"), F.xxhash64(text_col).alias("__key"), _packed(F.col(text_col).cast("binary")).alias("__packed"))
+    joined = packed.join(found, (F.col("__doc") == F.col("__id")) & (F.col("__key") == F.col("__tag")), "left")
     cut = (_digests if digest else _texts)("__packed", "__spans")
-    out = joined.select(*rest, cut.alias("__cut"), F.col("__packed").isNull().alias("__null"))
+    out = joined.select("__row.*", cut.alias("__cut"), F.col("__packed").isNull().alias("__null"))
     if index is not None:
         out = materialize(out, "cut")
         index.add(new)
