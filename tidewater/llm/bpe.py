@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Chunks whose encoding a Python worker keeps, and the longest that it keeps.
-CACHED_CHUNKS, CACHED_CHARS = 400_000, 48
+CACHED_CHUNKS, CACHED_CHARS = 700_000, 48
 
 
 class BpeModel:
@@ -32,6 +32,7 @@ class BpeModel:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         kept = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.ids = {model.id_to_piece(i): i for i in kept}
+        self.id_texts = {p: str(i) for p, i in self.ids.items()}
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in kept}
         self.byte_ids = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(model.get_piece_size()) if model.is_byte(i)}
         self.unknown = model.unk_id()
@@ -64,15 +65,28 @@ class BpeModel:
 
     def tokens(self, text: str) -> list[str]:
         """The tokens of a normalized text; characters outside the vocabulary stand alone."""
-        n, ids, compatible = len(text), self.ids, self.compatible
+        ids, compatible = self.ids, self.compatible
         if text in ids and self.alone(text):
             return [text]
-        lengths: list[list[int]] = [[] if c in ids else [1] for c in text]
-        for end, length in self.automaton.iter(text):
-            lengths[end - length + 1].append(length)
-        failed, pos, out = bytearray(n // 8 + 1), 0, []
+        n, matches = len(text), list(self.automaton.iter(text))
+        longest = [1] * n
+        for end, length in matches:  # ends ascend, so the longest match at a place comes last
+            longest[end - length + 1] = length
+        lengths: list[list[int]] = []  # all matches at each place, for when the longest does not do
+        failed, pos, out = bytearray(n // 8 + 1), 0, []  # failed has a bit for each position that led nowhere
         while pos < n:
-            for length in reversed(lengths[pos]):
+            to = pos + longest[pos]
+            if not failed[to >> 3] >> (to & 7) & 1:
+                token = text[pos:to]
+                if compatible(out[-1], token) if out else self.alone(token):
+                    out.append(token)
+                    pos = to
+                    continue
+            if not lengths:
+                lengths = [[] if c in ids else [1] for c in text]
+                for end, length in matches:
+                    lengths[end - length + 1].append(length)
+            for length in lengths[pos][-2::-1]:
                 to = pos + length
                 if failed[to >> 3] >> (to & 7) & 1:
                     continue
@@ -87,11 +101,15 @@ class BpeModel:
         return out
 
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        found: list[int] = []
-        for t in self.tokens(chunk):
-            i = self.ids.get(t)
-            found += [i] if i is not None else [self.byte_ids.get(b, self.unknown) for b in t.encode()]
-        return len(found), ",".join(map(str, found)), self._join(found)
+        tokens, texts = self.tokens(chunk), self.id_texts
+        try:
+            return len(tokens), ",".join([texts[t] for t in tokens]), "".join(tokens).replace(SPACE, " ")
+        except KeyError:  # a character outside the vocabulary
+            found: list[int] = []
+            for t in tokens:
+                i = self.ids.get(t)
+                found += [i] if i is not None else [self.byte_ids.get(b, self.unknown) for b in t.encode()]
+            return len(found), ",".join(map(str, found)), self._join(found)
 
     def _parts(self, text: str) -> list[tuple[int, str, str]]:
         normal = SPACE + text.replace(" ", SPACE) if text else ""
