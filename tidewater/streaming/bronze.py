@@ -7,7 +7,7 @@ changes nothing. stream() feeds a settlement stream through the same step per mi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -54,14 +54,13 @@ def merge(prod: DataFrame | None, new: DataFrame, updates: DataFrame) -> DataFra
     row of the snapshot takes the update's values first and the later event time. IDs that
     the snapshot has are not new, so a replay adds nothing. Updates for no row are dropped.
     """
-    fresh = new if prod is None else new.join(prod.select("ID"), "ID", "left_anti")
-    joined = fresh.join(updates, "ID", "left")
-    out = joined.select(*(F.coalesce(c, f"u_{c}").alias(c) if c in VALUES else F.col(c) for c in BRONZE.names))
-    if prod is None:
-        return out
-    later = {"last_event_timestamp": F.greatest("u_time", "last_event_timestamp")}
-    kept = prod.join(updates, "ID", "left").select(*(F.coalesce(f"u_{c}", c).alias(c) if c in VALUES else later.get(c, F.col(c)).alias(c) for c in BRONZE.names))
-    return kept.unionByName(out)
+    rows = new.select(*BRONZE.names, F.lit(False).alias("_old"))
+    if prod is not None:  # one pass over both: rows of an ID that the snapshot has stand together
+        rows = prod.select(*BRONZE.names, F.lit(True).alias("_old")).unionByName(rows)
+        rows = rows.withColumn("_had", F.max("_old").over(Window.partitionBy("ID"))).where("_old or not _had or ID is null")
+    value = lambda c: F.when(F.col("_old"), F.coalesce(f"u_{c}", c)).otherwise(F.coalesce(c, f"u_{c}"))
+    cols = {c: value(c) for c in VALUES} | {"last_event_timestamp": F.when(F.col("_old"), F.greatest("u_time", "last_event_timestamp")).otherwise(F.col("last_event_timestamp"))}
+    return rows.join(updates, "ID", "left").select(*(cols.get(c, F.col(c)).alias(c) for c in BRONZE.names))
 
 
 def run_windows(predictions: DataFrame, payouts: DataFrame, cuts: list[int]) -> DataFrame:
