@@ -42,9 +42,12 @@ class BpeModel:
         for p in self.ids:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
-        # Without a piece that has SPACE after another character no merge crosses such a place.
+        # Without a piece that has SPACE after another character no merge crosses such a place,
+        # and without one that has a line break beside another character none crosses that.
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self._chunks = re.compile(r".+" if inner else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.DOTALL).findall
+        breaks = "".join(c for c in "\n\r\t" if not any(c in p and p != c for p in self.ids))
+        word = f"[^{SPACE}{breaks}]"
+        self._chunks = re.compile(r".+" if inner else f"{SPACE}+{word}*|{word}+" + (f"|[{breaks}]" if breaks else ""), re.DOTALL).findall
         self.compatible = lru_cache(1 << 20)(lambda a, b: self.merge(a + b) == [a, b])
         self.alone = lru_cache(1 << 16)(lambda a: self.merge(a) == [a])
         self._short = lru_cache(CACHED_CHUNKS)(self._chunk)
@@ -140,9 +143,10 @@ class BpeModel:
 
         Bytes of one character never lie in two chunks, so chunks decode by themselves.
         """
-        parts = self._parts(text)
-        decoded = "".join([p[2] for p in parts])
-        return sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), decoded[1:]
+        if not text:
+            return 0, "", ""
+        counts, ids, decoded = zip(*self._parts(text), strict=True)
+        return sum(counts), ",".join(ids), "".join(decoded)[1:]
 
 
 def _text(raw: bytearray) -> str:
