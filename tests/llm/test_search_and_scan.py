@@ -111,7 +111,9 @@ def brute(data, k, every, measure, best):
     return sorted(out, key=repr)
 
 
-def test_exact_top_k(spark):
+@pytest.mark.parametrize("part_rows", [4, 1000])
+def test_exact_top_k(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(vafile, "PART_ROWS", part_rows)
     data, df = vectors(spark)
     ints = lambda v: [math.floor(256 * x) for x in v]
     want = brute(data, 5, 10, lambda a, b: sum(x * y for x, y in zip(ints(a), ints(b))), -1)

@@ -24,6 +24,8 @@ from tidewater.llm.vectors import first_copies, grid, matrix, queries, usable
 SCALE = 256
 LARGEST = 1 << 24
 _QUERY_ROWS = 256
+#: Rows that a query reads in one task on average; a query with more is read in parts.
+PART_ROWS = 256
 
 
 def integers(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -83,7 +85,7 @@ def scan(k: int, edges: np.ndarray):
 
 
 def refine(k: int):
-    """Read a query's rows from the largest upper bound down, until the k-th best cannot be beaten."""
+    """Read a part of a query's rows from the largest upper bound down, until its k-th best cannot be beaten."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         best: list[tuple[int, int]] = []  # a heap of (score, -vec_id)
@@ -97,8 +99,7 @@ def refine(k: int):
                 heapq.heappush(best, found)
             else:
                 heapq.heappushpop(best, found)
-        best.sort(reverse=True)
-        return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "rank": range(1, len(best) + 1), "vec_id": [-i for _, i in best], "score": [s for s, _ in best]})
+        return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "vec_id": [-i for _, i in best], "score": [x for x, _ in best]})
 
     return run
 
@@ -123,6 +124,12 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "
     found = materialize(found, "bounds")
     w = Window.partitionBy("query_id").orderBy(F.desc("low"))
     kth = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("low").alias("kth"), F.count("*").alias("n"))
-    kept = found.join(kth, "query_id").where((F.col("n") < k) | (F.col("high") >= F.col("kth"))).select("query_id", "vec_id", "high").distinct()
-    read = kept.join(file.select("vec_id", "dim", "ints"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), "dim", F.col("ints").alias("asked")), ["query_id", "dim"])
-    return read.groupBy("query_id").applyInPandas(refine(k), "query_id long, rank int, vec_id long, score long")
+    kept = found.join(materialize(kth, "kth"), "query_id").where((F.col("n") < k) | (F.col("high") >= F.col("kth"))).select("query_id", "vec_id", "high").distinct()
+    kept = materialize(kept, "kept")
+    parts = kept.groupBy("query_id").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("vec_id"), F.col("parts")), F.lit(0)).alias("part")
+    dealt = kept.join(materialize(parts, "parts"), "query_id", "left").select("query_id", "vec_id", "high", part)
+    read = dealt.join(file.select("vec_id", "dim", "ints"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), "dim", F.col("ints").alias("asked")), ["query_id", "dim"])
+    best = read.groupBy("query_id", "part").applyInPandas(refine(k), "query_id long, vec_id long, score long")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
