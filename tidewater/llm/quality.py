@@ -145,5 +145,5 @@ def classify(docs: DataFrame, model: RuleEnsemble, parts: int = 5, part: int = 0
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score at least `threshold`."""
-    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col(text_col).alias("text"))
-    return with_statistics(rows).where(model.column() >= threshold).select("row.*")
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"))  # texts are held once
+    return with_statistics(rows, f"row.`{text_col}`").where(model.column() >= threshold).select("row.*")
