@@ -116,14 +116,21 @@ def _text(packed: bytes | None) -> bytes:
 
 
 def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The single windows of segments: (h, w: the window's own hash, doc_id, tag, at)."""
+    """The single windows of segments: (h, w: the window's own hash, doc_id, tag, at).
+
+    A text is unpacked and its windows are sent on before the next one is looked at.
+    """
     for b in batches:
-        for doc_id, tag, packed, segments in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            words = Words(_text(packed).split())
-            h, pos = (np.array([s[k] for s in segments], np.int64) for k in ("h", "pos"))
+        lists = b.column("segments")
+        ends, fields = lists.offsets.to_numpy(), lists.values
+        every_h, every_pos = (fields.field(k).to_numpy() for k in ("h", "pos"))
+        doc_ids, tags = b.column("doc_id").to_numpy(), b.column("tag").to_numpy()
+        for i, packed in enumerate(b.column("packed")):
+            words = Words(_text(packed.as_py()).split())
+            h, pos = every_h[ends[i] : ends[i + 1]], every_pos[ends[i] : ends[i + 1]]
             n = pos & 63
             at = np.repeat((pos >> 6) - np.cumsum(n) + n, n) + np.arange(n.sum())
-            cols = [np.repeat(h, n), words.run(at, WINDOW).view(np.int64), np.full(len(at), doc_id), np.full(len(at), tag), at]
+            cols = [np.repeat(h, n), words.run(at, WINDOW).view(np.int64), np.full(len(at), doc_ids[i]), np.full(len(at), tags[i]), at]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "w", "doc_id", "tag", "at"])
 
 
