@@ -10,13 +10,14 @@ from tidewater.llm.common import forget, materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("dst"), F.col("src"))).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    down = materialize(down, "down")
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("src"), F.col("m").alias("dst"))
     return moved.union(least.select(F.col("u").alias("src"), F.col("m").alias("dst"))).where("src <> dst").distinct()
 
@@ -27,7 +28,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Nodes without an edge to another node do not appear. Edges may repeat and may point
     either way; rows with a null end and loops are left out. Every round is one table in
     the shared folder, the number of rounds grows with the logarithm of a component's
-    size, and only two numbers per round reach the driver.
+    size, and only two numbers per round reach the driver. Smallest neighbours are tables of
+    their own, so that the joins with the edges are plain ones: Spark can split a node with
+    very many edges.
     """
     edges = edges.toDF("src", "dst").where("src <> dst")
     now, before = materialize(_small_star(edges), "edges"), None

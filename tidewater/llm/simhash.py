@@ -108,8 +108,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = materialize(fingerprints(docs, id_col, text_col, width, keep), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "nodes")
     found = connected_components(links(nodes.select("fp")))
-    placed = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = materialize(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+    smallest = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     classes = materialize(placed.join(smallest, "root").select("fp", "component_id", "n_copies", "root"), "classes")
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies", "root", *(keep or {}))
 
