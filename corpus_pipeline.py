@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import packing, quality, secrets, simhash, substring
+from tidewater.llm import packing, quality, secrets, similar, substring
 from tidewater.llm.common import columns_of, materialize, row_key, table
 
 
@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs)
+    return similar.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequence; no sequence holds two of a source or near-duplicate group."""
     keep = {"source": F.col("source"), "n_tokens": packing.count_words(F.col("text"))} | dict(zip(("k1", "k2"), row_key(F.col("doc_id"), F.col("text")), strict=True))
-    return packing.pack(simhash.near_duplicates(docs, keep=keep).withColumnRenamed("component_id", "cluster"))
+    return packing.pack(similar.near_duplicates(docs, keep=keep).withColumnRenamed("component_id", "cluster"))
 
 
 STAGES = [

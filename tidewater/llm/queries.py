@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import blockjoin, bpe, packing, quality, secrets, simhash, substring, toxicity, vafile, warc
+from tidewater.llm import blockjoin, bpe, packing, quality, secrets, similar, simhash, substring, toxicity, vafile, warc
 from tidewater.llm.common import row_key, table
 
 
@@ -40,7 +40,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences without two documents of a source or of a near-duplicate component."""
     docs = table(spark, sf_dir, "documents")
     keep = {"source": F.col("source"), "n_tokens": packing.count_words(F.col("text"))} | dict(zip(("k1", "k2"), row_key(F.col("doc_id"), F.col("text")), strict=True))
-    return packing.pack(simhash.near_duplicates(docs, keep=keep).withColumnRenamed("component_id", "cluster"))
+    return packing.pack(similar.near_duplicates(docs, keep=keep).withColumnRenamed("component_id", "cluster"))
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
