@@ -17,6 +17,11 @@ from tidewater.llm.common import row_key, shared_path
 SF = "/root/testdata/sf0.001"
 
 
+def shingled(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
 def prose(rng, n, words=400):
     return " ".join(f"w{rng.randrange(words)}" for _ in range(n))
 
@@ -209,12 +214,12 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
 
     kept = rows(corpus_pipeline.near_dedup(spark, docs, SF))
     every = rows(docs)
-    fp = {r: simhash.fingerprint(None if r[1] is None else r[1].encode()) % (1 << 64) for r in every}
+    fp = {r: shingled(r[1]) for r in every}
     root = {r: i for i, r in enumerate(fp)}
     for _ in range(12):
         for a in fp:
             for b in fp:
-                if bin(fp[a] ^ fp[b]).count("1") <= 2:
+                if fp[a] == fp[b] or 5 * len(fp[a] & fp[b]) >= 4 * len(fp[a] | fp[b]) > 0:
                     root[a] = root[b] = min(root[a], root[b])
     groups = {}
     for r in fp:
@@ -239,5 +244,7 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
 
 
 def test_row_key_tells_null_ids_apart(spark):
-    df = spark.createDataFrame([(None, "a"), (None, "b"), (1, None)], "i long, t string")
-    assert df.select(*row_key(F.col("i"), F.col("t"))).distinct().count() == 3
+    df = spark.createDataFrame([(None, "a"), (None, "b"), (1, None), (5, None), (None, "5"), (None, None), (None, ""), (5, ""), (5, "5")], "i long, t string")
+    assert df.select(*row_key(F.col("i"), F.col("t"))).distinct().count() == 9
+    odd = spark.createDataFrame([(5, None, 1), (None, "5", 2)], "doc_id long, text string, n int")
+    assert {r.n for r in simhash.one_of_each(odd).collect()} == {r.n for r in corpus_pipeline.near_dedup(spark, odd, "").collect()} == {1, 2}

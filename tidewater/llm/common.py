@@ -65,4 +65,5 @@ def columns_of(df: DataFrame) -> list[Column]:
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two columns that tell rows apart by what they hold, also where doc_id is null or repeated."""
-    return [F.xxhash64(doc_id.cast("string"), text).alias("k1"), F.xxhash64(text, doc_id.cast("string"), F.lit(1)).alias("k2")]
+    parts = [doc_id.isNull(), doc_id.cast("string"), text.isNull(), text]  # a hash alone skips nulls
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")]
