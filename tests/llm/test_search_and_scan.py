@@ -121,6 +121,21 @@ def test_exact_top_k(spark, monkeypatch, part_rows):
     assert vafile.exact_top_k(df.limit(0)).count() == 0
 
 
+def test_searches_with_repeated_ids_and_large_components(spark):
+    """A query id repeated more than k times, an id with two vectors, equal queries and components beyond 2 ** 16."""
+    data = [(0, [1.0, 2.0])] * 13 + [(i, [1.0, 2.0]) for i in range(1, 13)] + [(13, [9.0, 9.0]), (14, [20.0, 3.0]), (20, [3.0, 0.0]), (1, [3.0, 0.0]), (1, [2.9, 0.0]), (1, [2.9, 0.0])]
+    data += [(15, [70000.0, -1.0]), (30, [70000.0, -3.0]), (16, [-7e4, 1e6]), (17, [3e8, 3e8]), (40, [3e8, -2e8]), (50, [0.0, 0.0]), (60, [0.0, 0.0]), (0, [-5.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    ints = lambda v: [math.floor(256 * x) for x in v]
+    want = brute(data, 5, 10, lambda a, b: sum(x * y for x, y in zip(ints(a), ints(b))), -1)
+    limit = (1 << 63) - 1
+    want = [(q, r, i, max(-limit - 1, min(s, limit))) for q, r, i, s in want]
+    assert rows(vafile.exact_top_k(df, every=10), "query_id", "rank", "vec_id", "score") == want
+    data = [(i, v) for i, v in data if any(v)]
+    measure = lambda a, b: float(blockjoin.distances(np.array([a]), np.array([b]))[0])
+    assert rows(blockjoin.nearest(df, every=10), "query_id", "rank", "vec_id", "score") == brute(data, 10, 10, measure, 1)
+
+
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(blockjoin, "_ROWS", 16)
     data, df = vectors(spark)

@@ -8,7 +8,6 @@ is certain.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,18 +19,19 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import materialize
 from tidewater.llm.vectors import first_copies, grid, matrix, queries, usable
 
-#: floor(SCALE * x) is a component's integer; rows with larger ones than LARGEST take no part.
+#: floor(SCALE * x) is a component's integer; it ends at LARGEST, below the largest long.
 SCALE = 256
-LARGEST = 1 << 24
+LARGEST = 9.2e18
+_LONG = (1 << 63) - 1
 _QUERY_ROWS = 256
 #: Rows that a query reads in one task on average; a query with more is read in parts.
 PART_ROWS = 256
 
 
 def integers(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    v = F.transform("v", lambda x: F.floor(x * SCALE))
-    fits = usable(df, id_col, vec_col).where(F.forall("v", lambda x: F.abs(x) < LARGEST / SCALE))
-    return fits.select("vec_id", v.cast("array<bigint>").alias("v"))
+    ends = F.lit(-LARGEST), F.lit(LARGEST)
+    v = F.transform("v", lambda x: F.floor(F.least(F.greatest(x * SCALE, ends[0]), ends[1])))
+    return usable(df, id_col, vec_col).select("vec_id", v.cast("array<bigint>").alias("v"))
 
 
 def cell_edges(rows: DataFrame) -> np.ndarray:
@@ -60,46 +60,62 @@ def approximation_file(rows: DataFrame, edges: np.ndarray) -> DataFrame:
 
 
 def scan(k: int, edges: np.ndarray):
-    """The scan of one tile: rows that may be among a query's k best, with their bounds."""
+    """The scan of one tile: rows that may be among a query vector's best, with their bounds.
+
+    The bounds leave room for rounding in double precision, in proportion to the sizes of the products.
+    """
     centre, half = (edges[:-1] + edges[1:]) / 2, (edges[1:] - edges[:-1]) / 2
+    half = half + 1e-9 * (np.abs(centre) + half)
 
     def run(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(rows):
             dim = int(key[0])
-            cells, ids = matrix(rows["cells"], np.uint8, dim), rows["vec_id"].to_numpy()
+            cells, ids, row = matrix(rows["cells"], np.uint8, dim), rows["vec_id"].to_numpy(), rows["row"].to_numpy()
+            enough = k + 1 + len(ids) - len(np.unique(ids))  # so many rows have k + 1 different ids
             mid, wide = centre[cells].T, half[cells].T
             for i in range(0, len(asked), _QUERY_ROWS):
                 q_ids = asked["vec_id"].to_numpy()[i : i + _QUERY_ROWS]
                 q = matrix(asked["ints"].iloc[i : i + _QUERY_ROWS], np.int64, dim).astype(np.float64)
-                score, gap = q @ mid, np.abs(q) @ wide
-                gap += 1e-9 * (np.abs(score) + gap) + 1
-                own = q_ids[:, None] == ids[None, :]
-                low, high = np.where(own, -np.inf, score - gap), np.where(own, -np.inf, score + gap)
-                kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(q), -np.inf)
-                a, b = np.nonzero((high >= kth[:, None]) & ~own)
-                out.append(pd.DataFrame({"query_id": q_ids[a], "vec_id": ids[b], "low": low[a, b], "high": high[a, b]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "low": [], "high": []})
+                score, gap = q @ mid, np.abs(q) @ wide + 1
+                low, high = score - gap, score + gap
+                kth = np.partition(low, -enough, axis=1)[:, -enough] if low.shape[1] > enough else np.full(len(q), -np.inf)
+                a, b = np.nonzero(high >= kth[:, None])
+                out.append(pd.DataFrame({"q": q_ids[a], "row": row[b], "vec_id": ids[b], "low": low[a, b], "high": high[a, b]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("q", "row", "vec_id", "low", "high")})
 
     return run
 
 
+def product(q: np.ndarray, x: np.ndarray) -> int:
+    """The exact inner product of two vectors of int64."""
+    if len(q) and np.abs(q).max().astype(float) * np.abs(x).max() * len(q) >= 1 << 62:
+        return sum(a * b for a, b in zip(q.tolist(), x.tolist(), strict=True))
+    return int(q @ x)
+
+
 def refine(k: int):
-    """Read a part of a query's rows from the largest upper bound down, until its k-th best cannot be beaten."""
+    """Read a part of a query vector's rows from the largest upper bound down, until no further row can be among the k best of k + 1 different ids."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        best: list[tuple[int, int]] = []  # a heap of (score, -vec_id)
+        best: dict[int, int] = {}  # the k + 1 best ids so far, each with its largest score
+        worst, found = None, []
         rows = rows.sort_values("high", ascending=False)
         q = np.frombuffer(rows["asked"].iloc[0], np.int64)
-        for vec_id, high, ints in zip(rows["vec_id"], rows["high"], rows["ints"], strict=True):
-            if len(best) == k and high < best[0][0]:
+        for vec_id, high, ints in zip(rows["vec_id"].tolist(), rows["high"], rows["ints"], strict=True):
+            if worst is not None and high < worst[0]:
                 break
-            found = (int(q @ np.frombuffer(ints, np.int64)), -int(vec_id))
-            if len(best) < k:
-                heapq.heappush(best, found)
-            else:
-                heapq.heappushpop(best, found)
-        return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "vec_id": [-i for _, i in best], "score": [x for x, _ in best]})
+            score = product(q, np.frombuffer(ints, np.int64))
+            if worst is not None and (score, -vec_id) < worst:
+                continue
+            found.append((score, vec_id))
+            best[vec_id] = max(score, best.get(vec_id, score))
+            if len(best) > k + 1:
+                del best[min(best, key=lambda i: (best[i], -i))]
+            if len(best) == k + 1:
+                worst = min((s, -i) for i, s in best.items())
+        kept = [(max(-_LONG - 1, min(s, _LONG)), i) for s, i in found if i in best]
+        return pd.DataFrame({"q": rows["q"].iloc[0], "vec_id": [i for _, i in kept], "score": [s for s, _ in kept]})
 
     return run
 
@@ -109,27 +125,36 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "
 
     Queries are the rows whose id is divisible by `every`, candidates all rows with another
     id and the same number of components; ties go to the smaller id. Vectors that are null
-    or hold null or non-finite components take no part, nor do rows without id and vectors
-    with a component of 2^16 or more, whose score may not fit a long. Repeated rows are one
-    candidate each; a repeated query id is asked once, with its smallest vector. Extra
-    columns are ignored, and an empty table gives an empty result.
+    or hold null or non-finite components take no part, nor do rows without id. Integers
+    beyond LARGEST and scores beyond a long are taken as the nearest that fit. Repeated rows
+    are one candidate each; a repeated query id is asked once, with its smallest vector, and
+    equal query vectors are searched for once. Extra columns are ignored, and an empty table
+    gives an empty result.
     """
     rows = integers(vectors, id_col, vec_col)
     edges = cell_edges(rows)
-    file = materialize(approximation_file(first_copies(rows, k), edges), "cells")
-    asked = materialize(approximation_file(queries(rows, every), edges).select("vec_id", "dim", "ints"), "queries")
-    cells, asked_at = grid(file.select("vec_id", "dim", "cells"), asked)
+    file = materialize(approximation_file(first_copies(rows, k), edges).withColumn("row", F.monotonically_increasing_id()), "cells")
+    by_id = materialize(queries(rows, every), "queries")
+    different = materialize(by_id.select("v").distinct().withColumn("q", F.monotonically_increasing_id()), "query-vectors")
+    named = materialize(by_id.join(different, "v").select(F.col("vec_id").alias("query_id"), "q"), "query-names")
+    asked = materialize(approximation_file(different.select(F.col("q").alias("vec_id"), "v"), edges).select("vec_id", "dim", "ints"), "asked")
+    cells, asked_at = grid(file.select("row", "vec_id", "dim", "cells"), asked)
     by = ["dim", "qb", "cb"]
-    found = asked_at.groupBy(*by).cogroup(cells.groupBy(*by)).applyInPandas(scan(k, edges), "query_id long, vec_id long, low double, high double")
+    found = asked_at.groupBy(*by).cogroup(cells.groupBy(*by)).applyInPandas(scan(k, edges), "q long, row long, vec_id long, low double, high double")
     found = materialize(found, "bounds")
-    w = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    kth = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("low").alias("kth"), F.count("*").alias("n"))
-    kept = found.join(materialize(kth, "kth"), "query_id").where((F.col("n") < k) | (F.col("high") >= F.col("kth"))).select("query_id", "vec_id", "high").distinct()
-    kept = materialize(kept, "kept")
-    parts = kept.groupBy("query_id").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts")).where("parts > 1")
-    part = F.coalesce(F.pmod(F.xxhash64("vec_id"), F.col("parts")), F.lit(0)).alias("part")
-    dealt = kept.join(materialize(parts, "parts"), "query_id", "left").select("query_id", "vec_id", "high", part)
-    read = dealt.join(file.select("vec_id", "dim", "ints"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), "dim", F.col("ints").alias("asked")), ["query_id", "dim"])
-    best = read.groupBy("query_id", "part").applyInPandas(refine(k), "query_id long, vec_id long, score long")
+    w = Window.partitionBy("q").orderBy(F.desc("low"))
+    kth = found.groupBy("q", "vec_id").agg(F.max("low").alias("low")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
+    kth = materialize(kth.groupBy("q").agg(F.min("low").alias("kth"), F.count("*").alias("n")), "kth")
+    kept = materialize(found.join(kth, "q").where((F.col("n") <= k) | (F.col("high") >= F.col("kth"))).select("q", "row", "high"), "kept")
+    parts = kept.groupBy("q").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).alias("part")
+    dealt = kept.join(materialize(parts, "parts"), "q", "left").select("q", "row", "high", part)
+    read = dealt.join(file.select("row", "vec_id", "dim", "ints"), "row").join(asked.select(F.col("vec_id").alias("q"), "dim", F.col("ints").alias("asked")), ["q", "dim"])
+    best = read.groupBy("q", "part").applyInPandas(refine(k), "q long, vec_id long, score long")
+    w = Window.partitionBy("q").orderBy(F.desc("top"), "vec_id")
+    ids = best.groupBy("q", "vec_id").agg(F.max("score").alias("top"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("scores"))
+    ids = ids.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
+    ids = materialize(ids.select("q", "vec_id", F.explode("scores").alias("score")), "best")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = named.join(ids, "q").where("vec_id <> query_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -23,14 +23,17 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def first_copies(df: DataFrame, k: int) -> DataFrame:
-    """Of rows with equal vectors the k + 1 with the smallest ids.
+    """Of rows with equal vectors those with the k + 1 smallest different ids, up to k of each.
 
-    Ties go to the smaller id, so no other copy can be among the k best of any query,
-    whose own row is one of them at most. Each task keeps k + 1 rows of a vector before
-    the shuffle, so a very common vector does not meet in one task.
+    Ties go to the smaller id, so no other copy can be among the k best of any query, whose
+    own id is one of them at most. Rows that repeat id and vector are counted first, and each
+    task keeps k + 1 ids of a vector before the shuffle, so neither a very common row nor a
+    very common vector meets in one task.
     """
+    counted = df.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
     w = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
-    return df.withColumn("copy", F.row_number().over(w)).where(F.col("copy") <= k + 1).drop("copy")
+    first = counted.withColumn("copy", F.row_number().over(w)).where(F.col("copy") <= k + 1)
+    return first.select("vec_id", "v", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
 
 
 def packed(df: DataFrame) -> DataFrame:
