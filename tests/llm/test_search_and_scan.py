@@ -1,6 +1,7 @@
 """SimHash, vector searches, secrets, BPE and WARC against brute force on small fixtures."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -12,6 +13,7 @@ import sentencepiece
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -243,3 +245,50 @@ def test_reader_pushes_predicates_and_plans_partitions(spark):
     assert {r.payload.decode() for r in kept.collect()} == {f"page {i // 2}" for i in range(40) if i % 2 == 0 and i % 3 == 1}
     assert read.where("record_type = 'revisit'").count() == 20
     assert read.rdd.getNumPartitions() >= 4
+
+
+def test_appends_add_to_what_is_there(spark):
+    path = shared_path(spark, "warc")
+    for ids in ((1, 2), (3,)):
+        warc.write_archives(spark.createDataFrame([(i, "u", f"page {i}") for i in ids], "page_id long, url string, html string"), path)
+    read = warc.read_archives(spark, path)
+    assert {r.payload.decode() for r in read.where("record_type = 'response'").collect()} == {"page 1", "page 2", "page 3"}
+    assert read.where("record_type = 'warcinfo'").count() >= 2
+    with pytest.raises(Exception, match="only appended"):
+        read.select("record_id", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload").write.format("warc").mode("overwrite").save(path)
+
+
+FOREIGN = [
+    b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: 13\r\n\r\nsoftware: x\r\n",
+    b"WARC/1.0\r\nwarc-type: request\r\nWARC-Record-ID:<urn:uuid:2>\r\nWARC-Target-URI: <http://a/>\r\nContent-Type: application/http; msgtype=request\r\nContent-Length: 18\r\n\r\nGET / HTTP/1.1\r\n\r\n",
+    b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Target-URI: http://a/\r\nX-Long: one\r\n  two\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: 41\r\n\r\nHTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>\r\n\r\nx</p>\r\n\r\n",
+    b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:uuid:4>\r\nContent-Type: text/plain\r\nContent-Length: 3\r\n\r\na:b",
+    b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:5>\r\nWARC-Payload-Digest: md5:zzz\r\nContent-Length: 0\r\n\r\n",
+    b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:6>\r\nWARC-Refers-To: <urn:uuid:3>\r\nContent-Type: application/http\r\nContent-Length: 19\r\n\r\nHTTP/1.1 200 OK\r\n\r\n",
+    b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:7>\r\nContent-Length: 300000\r\n\r\n" + b"0123456789" * 30000,
+]
+
+
+@pytest.mark.parametrize("form", ["plain", "members", "one member", "skip lengths, then none"])
+def test_archives_of_others(spark, tmp_path, form):
+    data = [r + b"\r\n\r\n" for r in FOREIGN]
+    packed = {
+        "plain": b"".join(data), "members": b"".join(map(gzip.compress, data)), "one member": gzip.compress(b"".join(data)),
+        "skip lengths, then none": b"".join(map(warc.member, data[:3])) + b"".join(map(gzip.compress, data[3:])),
+    }[form]
+    name = tmp_path / ("x.warc" if form == "plain" else "x.warc.gz")
+    name.write_bytes(packed)
+    (tmp_path / "notes.txt").write_text("not an archive")
+    (tmp_path / f"{warc.OWN}0.warc.gz").write_bytes(b"of a task that failed")
+    payloads = [b"software: x\r\n", b"", b"<p>\r\n\r\nx</p>\r\n\r\n", b"a:b", b"", None, b"0123456789" * 30000]
+    kinds = ["warcinfo", "request", "response", "metadata", "resource", "revisit", "resource"]
+    want = [(f"urn:uuid:{i}", k, None if p is None else bytes(p), None if p is None else len(p)) for i, (k, p) in enumerate(zip(kinds, payloads), 1)]
+    for path in (str(tmp_path), str(name)):
+        read = warc.read_archives(spark, path, verify="true")
+        assert [tuple(r) for r in read.select("record_id", "record_type", F.col("payload").cast("binary"), "payload_bytes").orderBy("record_id").collect()] == want
+        assert [r.record_id for r in read.where("payload_bytes = 3").collect()] == ["urn:uuid:4"]
+        assert [r.target_uri for r in read.where("record_type = 'request'").collect()] == ["http://a/"]
+        assert [r.refers_to for r in read.where("refers_to is not null").collect()] == ["urn:uuid:3"]
+    name.write_bytes(packed[:-200])
+    with pytest.raises(Exception, match="ends within|incomplete|member"):
+        warc.read_archives(spark, str(name)).collect()
