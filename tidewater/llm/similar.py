@@ -25,6 +25,8 @@ SEED = 42
 WIDTH = 5
 BANDS, ROWS = 18, 5
 _CHUNK = 512
+#: Bits of the bitmap that keeps texts out of a join: 4 MB.
+SIEVE_BITS = 1 << 25
 _RANDOM = np.random.default_rng(SEED)
 _FLIP = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 _TIMES = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
@@ -90,6 +92,22 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*(f"{n} {t}" for n, t in rows.dtypes if n != "text"), "node long, size long, fp long, bands array<long>"]))
 
 
+def _sieve(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose `key` is not in keys; none of the others is lost.
+
+    Keys set bits in a bitmap of SIEVE_BITS bits, which is all that is broadcast, however
+    many keys there are. Where they fill it, rows pass that a join drops later.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
+    part, bit = F.floor(at / 32768).alias("__part"), (at % 32768).alias("__bit")
+    bits = keys.select(part, bit).groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    bits = materialize(bits, "sieve")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = rows.withColumns({"__part": part, "__bit": bit}).join(F.broadcast(bits), "__part")
+    mask = F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (F.col("__bit") % 8 + 1).cast("int"))
+    return found.where(byte.bitwiseAND(mask) != 0).select(*rows.columns)
+
+
 def _sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, set) of each of the nodes, made from one of its texts."""
 
@@ -97,8 +115,9 @@ def _sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "set"])
 
-    of = texts.join(materialize(nodes.select("node", "k1", "k2"), "to-compare"), ["k1", "k2"]).select("node", "text")
-    return materialize(of.mapInArrow(run, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")), "sets")
+    nodes = materialize(nodes.select("node", "k1", "k2"), "to-compare")
+    of = _sieve(texts, nodes, "k1").join(nodes, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "text")
+    return materialize(of.mapInArrow(run, "node long, set array<long>"), "sets")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -124,19 +143,18 @@ def _covered(nodes: DataFrame) -> DataFrame:
 def _links(nodes: DataFrame, texts: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """(src, dst) links with the components of all similar pairs that share a bucket or are in `more`.
 
-    First the members of a bucket are compared with three of them, one being the most
-    central: the member whose own buckets are the largest. Then what this leaves apart is
-    compared too: pairs of a bucket whose ends are in different components, see _apart().
+    First the members of a bucket are compared with the most central one: the member whose
+    own buckets are the largest. Then what this leaves apart is compared too: pairs of a
+    bucket whose ends are in different components, see _apart().
     """
     entries = nodes.select("node", "size", F.explode("bands").alias("key"))
     shared = entries.join(materialize(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes"), "key")
     shared = materialize(shared, "entries")
     weights = materialize(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    one = F.struct("node", "size")
-    buckets = shared.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("x"), F.min(one).alias("y"), F.min_by(one, F.xxhash64("node", "key")).alias("z"))
-    buckets = materialize(buckets.select("key", F.array(F.struct("x.node", "x.size"), "y", "z").alias("leads")), "buckets")
-    pair = F.least("node", "lead.node").alias("src"), F.greatest("node", "lead.node").alias("dst")
-    stars = shared.join(buckets, "key").withColumn("lead", F.explode("leads")).where(F.col("node") != F.col("lead.node")).where(_fits(F.col("size"), F.col("lead.size"))).select(*pair)
+    buckets = shared.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("x"))
+    buckets = materialize(buckets.select("key", F.col("x.node").alias("lead"), F.col("x.size").alias("lead_size")), "buckets")
+    pair = F.least("node", "lead").alias("src"), F.greatest("node", "lead").alias("dst")
+    stars = shared.join(buckets, "key").where("node <> lead").where(_fits(F.col("size"), F.col("lead_size"))).select(*pair)
     if more is not None:
         more = materialize(more.distinct(), "covered")
         stars = stars.union(more)
@@ -158,11 +176,11 @@ def _apart(shared: DataFrame, buckets: DataFrame, found: DataFrame, sets: DataFr
     partner. Only members outside the largest component of the bucket look for partners.
     """
     roots = materialize(connected_components(found), "roots")
-    placed = shared.join(buckets.select("key", "leads"), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialize(placed.select("key", "node", "size", "root", "leads"), "placed")
+    placed = shared.join(buckets.select("key", "lead"), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = materialize(placed.select("key", "node", "size", "root", "lead"), "placed")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("size").alias("least"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"), F.min("least").alias("least")).where("parts > 1")
-    members = materialize(placed.join(materialize(mixed.drop("parts"), "mixed"), "key").withColumn("lead", F.col("leads")[0]["node"]), "members")
+    members = materialize(placed.join(materialize(mixed.drop("parts"), "mixed"), "key"), "members")
     own = sets.join(materialize(members.select("node").distinct(), "member-nodes"), "node")
     tokens = materialize(own.select("node", F.explode("set").alias("token")), "tokens")
     common = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
@@ -171,7 +189,7 @@ def _apart(shared: DataFrame, buckets: DataFrame, found: DataFrame, sets: DataFr
     known = pairs.join(own.toDF("node", "a"), "node").join(sets.toDF("lead", "b"), "lead").join(common, "node", "left")
     none = F.array().cast("array<long>")
     counts = known.select("node", "lead", F.size(F.array_intersect("a", "b")).alias("with_lead"), F.size(F.array_except(F.coalesce("common", none), "b")).alias("beside"))
-    open_ = members.join(materialize(counts, "counts"), ["node", "lead"]).where(~F.exists("leads", lambda x: x["node"] == F.col("node")))
+    open_ = members.join(materialize(counts, "counts"), ["node", "lead"]).where("node <> lead")
     open_ = open_.where(9 * (F.col("with_lead") + F.col("beside")) >= 4 * (F.col("size") + F.greatest(F.col("least"), F.ceil(F.col("size") * 4 / 5))))
     open_ = materialize(open_.select("key", "node", "size", "root", "main", "with_lead", "beside"), "open")
     right = open_.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "root", "with_lead", "beside")))
