@@ -177,20 +177,44 @@ def test_substring_equals_brute_force(spark):
     assert substring.digests(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batches", [1, 10])
+def test_number_of_batches_changes_nothing(spark, monkeypatch, batches):
+    monkeypatch.setattr(substring.FingerprintIndex, "HOT_ROWS", 3)
+    data = passages(random.Random(12))
+    df = spark.createDataFrame([(i, t, 1) for i, t in data], "doc_id long, text string, row int")
+    got = substring.deduplicate(df, digest=True, batches=batches).select("row.doc_id", "cut.*")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_cut(data)
+
+
+def test_words_of_one_hash_are_told_apart():
+    words = [f"w{i}".encode() for i in range(60)]
+    other = [*words[:55], b"else", *words[56:]]
+    assert substring.cut(b" ".join(words), [{"at": 0, "n": 11, "words": b" ".join(words)}])[1] == 60
+    assert substring.cut(b" ".join(words), [{"at": 0, "n": 11, "words": b" ".join(other)}])[1] == 55
+    assert substring.cut(b" ".join(words), [{"at": 0, "n": 11, "words": b" ".join(words[::-1])}])[1:] == (0, b" ".join(words))
+
+
 def test_index_by_batches_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(substring.FingerprintIndex, "MOST_RUNS", 2)
+    monkeypatch.setattr(substring.FingerprintIndex, "HOT_ROWS", 3)
     data = passages(random.Random(9))
     index = substring.FingerprintIndex(spark, shared_path(spark, "index"))
     past = []
-    for k in range(4):
-        batch = data[k::4]
-        make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-        out = substring.deduplicate(make(batch), index, make(past), digest=True)
-        got = sorted((tuple(r) for r in out.select("doc_id", "__cut.*").collect()), key=repr)
+    for k in range(5):
+        batch = data[k::5]
+        out = substring.deduplicate(spark.createDataFrame(batch, "doc_id long, text string"), index, digest=True)
         past += batch
-        assert got == brute_cut(batch, past)
-        index = substring.FingerprintIndex(spark, index.path)  # as a later job would open it
-    assert len(index.names) <= 2
+        assert sorted((tuple(r) for r in out.select("row.doc_id", "cut.*").collect()), key=repr) == brute_cut(batch, past)
+        assert len(index.names) <= 3
+        if k == 2:  # as a later job would open it
+            for name in [*index.names, *index.state["texts"]]:
+                spark.sql(f"DROP TABLE {index._table(name)}")
+        index = substring.FingerprintIndex(spark, index.path)
+    hits = index._hits(spark.createDataFrame([(1,)], "h long"))
+    run = index._run(index.names[0]).join(spark.createDataFrame([(1, 0)], "h long, salt int").hint("merge"), ["h", "salt"])
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    assert hits.count() == 0 and plan.count("Exchange hashpartitioning") == 1  # the run itself is not moved
+    index.drop()
 
 
 # Pipeline
@@ -200,7 +224,7 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", "src0", 0), (10**9, "", "en", "src0", 0)], docs.schema)
     docs = docs.union(extra).withColumn("component_id", F.lit("clash"))
-    odd = docs.limit(300).withColumns({n: F.lit(n) for n in ("row", "__k1", "__stats", "k1", "fp", "root", "score", "a.b")})
+    odd = docs.limit(300).withColumns({n: F.lit(n) for n in ("row", "__k1", "__stats", "k1", "fp", "root", "score", "a.b", "__cut", "__null", "__row", "cut", "tag", "packed", "passages")})
     for stage in (corpus_pipeline.quality_classifier, corpus_pipeline.near_dedup, corpus_pipeline.substring_dedup, corpus_pipeline.secret_scan):
         out = stage(spark, odd, SF)
         assert out.columns == odd.columns and {r["__k1"] for r in out.select("__k1").collect()} == {"__k1"}

@@ -4,15 +4,16 @@ Every window of WINDOW words is filed under its anchor: the phrase of PHRASE wor
 with the smallest hash. Equal windows have equal anchors, and neighbouring windows mostly
 share theirs, so one index row stands for a segment of about twenty windows. The index is
 a log of sorted immutable runs of such rows. A batch is merge-joined with the runs, segments
-that are equal as a whole are settled at once, windows of segments that differ are verified
-by their own hashes, and runs are compacted when there are many.
+that are equal as a whole are matched at once, windows of segments that differ are matched
+by their own hashes, matches are verified by the words of both documents, and runs are
+compacted when there are many.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from hashlib import sha256
 
 import numpy as np
@@ -24,13 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tidewater.llm.common import columns_of, materialize
+from tidewater.llm.common import columns_of, forget, materialize, shared_path
 
 WINDOW, PHRASE = 50, 8
 _SPAN = WINDOW - PHRASE + 1  # phrases of a window
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = 1 << 16
+#: Batches that a table goes through an index in; each meets the runs of those before it.
+BATCHES = 3
 ROW = "h long, seg long, doc_id long, tag long, pos long"
 
 
@@ -134,138 +137,284 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "w", "doc_id", "tag", "at"])
 
 
-def repeats(new: DataFrame, runs: DataFrame | None, texts: DataFrame) -> DataFrame:
-    """(doc_id, tag, spans): first windows and numbers of windows that also start in a smaller doc_id.
-
-    `new` holds the batch's anchors, `runs` the index rows of earlier batches, `texts` rows
-    (doc_id, tag, packed) of all of them. Counts of segments and anchors are by partial
-    sums and are tables of their own, so that the joins back to the rows are plain ones
-    whose large keys Spark can split.
-    """
-    every = new.withColumn("fresh", F.lit(True))
-    if runs is not None:
-        every = every.union(runs.select(new.columns).withColumn("fresh", F.lit(False)))
-    segments = every.groupBy("h", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    segments = materialize(segments, "segments")
-    anchored = segments.groupBy("h").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), (F.min("seg") < F.max("seg")).alias("several"))
-    anchored = materialize(anchored.where("lo < hi").select("h", "several"), "anchored")
-    shared = materialize(segments.join(anchored, "h").where("first < last or several").select("h", "seg", "first", "several"), "shared")
-    judged = every.join(shared, ["h", "seg"]).where("doc_id > first or several")
-    judged = materialize(judged.select("h", "doc_id", "tag", "pos", "fresh", (F.col("doc_id") > F.col("first")).alias("done")), "judged")
-    open_ = judged.where("not done").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("h", "pos")).alias("segments"))
-    windows = texts.join(open_, ["doc_id", "tag"]).select("doc_id", "tag", "packed", "segments").mapInArrow(_open_windows, "h long, w long, doc_id long, tag long, at long")
-    windows = materialize(windows, "windows")
-    earliest = windows.groupBy("h", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "w", "first")
-    single = windows.join(materialize(earliest, "earliest"), ["h", "w"]).where("doc_id > first").select("doc_id", "tag", (F.shiftleft("at", 6) + 1).alias("pos"))
-    found = judged.where("done and fresh").select("doc_id", "tag", "pos").union(single)
-    return found.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("spans"))
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's matches joined into passages: windows at .. at + n - 1 equal those of another document from `from` on."""
+    for b in batches:
+        lists = b.column("matches")
+        ends, fields = lists.offsets.to_numpy(), lists.values
+        at, n, doc, tag, start = (fields.field(k).to_numpy() for k in ("at", "n", "f_doc", "f_tag", "start"))
+        for i in range(b.num_rows):
+            s = slice(ends[i], ends[i + 1])
+            order = np.lexsort((at[s], start[s] - at[s], tag[s], doc[s]))
+            a, m, d, t, q = (x[s][order] for x in (at, n, doc, tag, start))
+            new = np.ones(len(a), bool)
+            reach = np.zeros(len(a), np.int64)
+            end = -1
+            for j in range(len(a)):  # windows that touch or overlap on one diagonal are one passage
+                new[j] = j == 0 or d[j] != d[j - 1] or t[j] != t[j - 1] or q[j] - a[j] != q[j - 1] - a[j - 1] or a[j] > end
+                end = a[j] + m[j] if new[j] else max(end, a[j] + m[j])
+                reach[j] = end
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(a)) - 1
+            cols = [np.full(len(first), b.column(c)[i].as_py()) for c in ("doc_id", "tag")] + [a[first], reach[last] - a[first], d[first], t[first], q[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], PASSAGE.replace(" long", "").split(", "))
+
+
+PASSAGE = "doc_id long, tag long, at long, n long, f_doc long, f_tag long, start long"
+
+
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the passages that are asked of each text, joined by one space."""
+    for b in batches:
+        lists = b.column("asked")
+        ends, fields = lists.offsets.to_numpy(), lists.values
+        start, n = fields.field("start").to_numpy(), fields.field("n").to_numpy()
+        for i, packed in enumerate(b.column("packed")):
+            words, s = _text(packed.as_py()).split(), slice(ends[i], ends[i + 1])
+            text = [b" ".join(words[q : q + m + WINDOW - 1]) for q, m in zip(start[s].tolist(), n[s].tolist(), strict=True)]
+            cols = [pa.array(np.full(len(text), b.column(c)[i].as_py()), pa.int64()) for c in ("doc_id", "tag")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(start[s]), pa.array(n[s]), pa.array(text, pa.binary())], ["f_doc", "f_tag", "start", "n", "words"])
 
 
 def _result(text: str) -> T.StructType:
     return T.StructType().add("n_words", T.LongType()).add("n_removed", T.LongType()).add(text, T.StringType())
 
 
-def _kept(packed: bytes | None, spans) -> tuple[int, int, bytes]:
-    words = _text(packed).split()
-    if spans is None or not len(spans):
-        return len(words), 0, b" ".join(words)
-    pos = np.asarray(spans, np.int64)
+def cut(text: bytes, passages) -> tuple[int, int, bytes]:
+    """Numbers of words and of those removed, and what is kept.
+
+    A window goes only where its words are those of the passage's source, word by word.
+    """
+    words = text.split()
     edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, pos >> 6, 1)
-    np.add.at(edge, (pos >> 6) + (pos & 63) + WINDOW - 1, -1)
+    for p in passages if passages is not None else ():
+        at, n, source = int(p["at"]), int(p["n"]), p["words"].split()
+        same = [a == b for a, b in zip(words[at : at + n + WINDOW - 1], source, strict=False)]
+        if len(same) == n + WINDOW - 1 and all(same):
+            edge[at] += 1
+            edge[at + n + WINDOW - 1] -= 1
+            continue
+        for i in range(len(same) - WINDOW + 1):  # different words of one hash
+            if all(same[i : i + WINDOW]):
+                edge[at + i] += 1
+                edge[at + i + WINDOW] -= 1
     covered = np.cumsum(edge)[:-1] > 0
     return len(words), int(covered.sum()), b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c])
 
 
 @F.pandas_udf(_result("kept_sha256"))
-def _digests(packed: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    rows = [(n, m, sha256(t).hexdigest()) for n, m, t in map(_kept, packed, spans)]
+def _digests(packed: pd.Series, passages: pd.Series) -> pd.DataFrame:
+    rows = [(n, m, sha256(t).hexdigest()) for n, m, t in map(lambda p, s: cut(_text(p), s), packed, passages)]
     return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
 
 
 @F.pandas_udf(_result("kept"))
-def _texts(packed: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    rows = [(n, m, (t if m else _text(p)).decode()) for p, (n, m, t) in zip(packed, map(_kept, packed, spans), strict=True)]
+def _texts(packed: pd.Series, passages: pd.Series) -> pd.DataFrame:
+    rows = []
+    for p, s in zip(packed, passages, strict=True):
+        text = _text(p)
+        n, m, kept = cut(text, s)
+        rows.append((n, m, None if p is None else (kept if m else text).decode()))
     return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
 
 class FingerprintIndex:
-    """Runs of index rows below a path in the shared folder; a manifest lists those that count."""
+    """A log of sorted immutable runs of fingerprints, with the texts that they came from.
 
-    #: Runs after which add() compacts them into one.
-    MOST_RUNS = 8
+    Below a path in the shared folder: one bucketed table per run, one per batch of texts, and
+    numbered manifests, of which the last says what counts. A manifest appears by a rename,
+    so a reader sees the index before or after an addition, never between. One writer at a
+    time. Buckets of a run are by anchor, so a batch is merge-joined with a run without
+    moving the run; an anchor of more than HOT_ROWS rows is spread over several buckets.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.names: list[str] = []
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        found = self._fs.exists(self._at("MANIFEST"))
+    #: Runs that add() leaves; with more, it first compacts them into one.
+    MOST_RUNS = 8
+    HOT_ROWS = 4096
+
+    def __init__(self, spark: SparkSession, path: str, most_runs: int | None = None):
+        self.spark, self.path, self.most_runs = spark, path, most_runs or self.MOST_RUNS
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._at().getFileSystem(spark._jsc.hadoopConfiguration())
+        self.state = {"version": 0, "next": 0, "buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "texts": []}
+        found = sorted(p.getPath().getName() for p in self._fs.globStatus(self._at("MANIFEST-*")) or [])
         if found:
-            self.names = json.loads("".join(r.value for r in spark.read.text(f"{path}/MANIFEST").collect()))
+            self.state = json.loads("".join(r.value for r in spark.read.text(f"{path}/{found[-1]}").collect()))
 
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    @property
+    def names(self) -> list[str]:
+        return self.state["runs"]
 
-    def _publish(self, names: list[str]) -> None:
-        out = self._fs.create(self._at("MANIFEST"), True)
-        out.write(bytearray(json.dumps(names).encode()))
-        out.close()
-        self.names = names
+    def _at(self, name: str = ""):
+        return self._hadoop.Path(f"{self.path}/{name}" if name else self.path)
 
-    def runs(self) -> DataFrame | None:
-        return self.spark.read.schema(ROW).parquet(*(f"{self.path}/{n}" for n in self.names)) if self.names else None
+    def _publish(self, **changes) -> None:
+        state = self.state | changes | {"version": self.state["version"] + 1}
+        name = f"MANIFEST-{state['version']:08d}"
+        out = self._fs.create(self._at(f".{name}"), True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not self._fs.rename(self._at(f".{name}"), self._at(name)):
+            raise RuntimeError(f"another writer published {name} of {self.path}")
+        self.state = state
+
+    def _write(self, rows: DataFrame, kind: str, by: list[str], order: list[str]) -> str:
+        name = f"{kind}-{self.state['next']:08d}"
+        self.state["next"] += 1
+        n = self.state["buckets"]
+        table = self._table(name)
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")  # left by an earlier index of this path, or by a job that failed
+        rows.repartition(n, *by).write.mode("overwrite").bucketBy(n, *by).sortBy(*order).option("path", f"{self.path}/{name}").format("parquet").saveAsTable(table)
+        return name
 
-    def _write(self, rows: DataFrame) -> str:
-        """Of equal segments the smallest doc_id stays; rows are sorted by hash over the whole run."""
-        name = f"run-{int(self.names[-1].split('-')[1]) + 1 if self.names else 0:08d}"
-        least = rows.groupBy("h", "seg").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("x")).select("h", "seg", "x.*")
-        least.repartitionByRange("h").sortWithinPartitions("h", "seg").write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def _table(self, name: str) -> str:
+        return f"tidewater_{abs(hash_of(self.path)):x}_{name.replace('-', '_')}"
+
+    def _read(self, name: str, schema: str, by: str, order: str) -> DataFrame:
+        """A bucketed table, made known to this session's catalog where a session before has written it."""
+        table = self._table(name)
+        if not self.spark.catalog.tableExists(table):
+            self.spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({order}) INTO {self.state['buckets']} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(table)
+
+    def _run(self, name: str) -> DataFrame:
+        return self._read(name, f"{ROW}, salt int", "h, salt", "h, seg")
+
+    def _text_table(self, name: str) -> DataFrame:
+        return self._read(name, "doc_id long, tag long, packed binary", "doc_id, tag", "doc_id, tag").select("doc_id", "tag", "packed")
+
+    def _hot(self, name: str) -> DataFrame:
+        return self.spark.read.schema("h long, parts int").parquet(f"{self.path}/hot-{name}")
+
+    def _write_run(self, rows: DataFrame) -> str:
+        """Of equal segments the smallest doc_id stays; rows are sorted by anchor within each bucket."""
+        least = materialize(rows.groupBy("h", "seg").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("x")).select("h", "seg", "x.*"), "least")
+        hot = least.groupBy("h").agg(F.ceil(F.count("*") / self.HOT_ROWS).cast("int").alias("parts")).where("parts > 1")
+        hot_path = f"{self.path}/hot-run-{self.state['next']:08d}"
+        hot.write.mode("overwrite").parquet(hot_path)
+        salt = F.coalesce(F.pmod("seg", F.col("parts")), F.lit(0)).cast("int").alias("salt")
+        salted = least.join(self.spark.read.schema("h long, parts int").parquet(hot_path), "h", "left").select(*(c.split()[0] for c in ROW.split(", ")), salt)
+        name = self._write(salted, "run", ["h", "salt"], ["h", "seg"])
+        forget(self.spark, least)
         return name
 
-    def add(self, rows: DataFrame) -> None:
-        """Append a batch's anchors as a run."""
-        self._publish([*self.names, self._write(rows)])
-        if len(self.names) > self.MOST_RUNS:
-            self.compact()
+    def _hits(self, new: DataFrame) -> DataFrame:
+        """Rows of the runs whose anchors the batch has. A run stays where it is; only the batch's anchors move."""
+        asked = materialize(new.select("h").distinct(), "anchors")
+        out = []
+        for name in self.names:
+            at = asked.join(self._hot(name), "h", "left").select("h", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+            out.append(self._run(name).join(at.hint("merge"), ["h", "salt"]).select(*(c.split()[0] for c in ROW.split(", "))))
+        return materialize(reduce(DataFrame.union, out), "hits")
 
     def compact(self) -> None:
+        """All runs become one; those that it takes the place of are deleted once it counts."""
         old = self.names
         if len(old) > 1:
-            self._publish([self._write(self.runs())])
+            self._publish(runs=[self._write_run(reduce(DataFrame.union, (self._run(n).select(*(c.split()[0] for c in ROW.split(", "))) for n in old)))])
             for n in old:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(n)}")
                 self._fs.delete(self._at(n), True)
+                self._fs.delete(self._at(f"hot-{n}"), True)
 
+    def drop(self) -> None:
+        """Delete the index."""
+        for n in [*self.names, *self.state["texts"]]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(n)}")
+        self._fs.delete(self._at(), True)
 
-def deduplicate(docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """All columns of docs, with one more named `__cut`: a struct of n_words, n_removed and the kept text.
-
-    With `digest` the struct has instead the SHA-256 of the kept words joined by one space,
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+        """Judge a batch against the index and itself, then append it: see deduplicate() for what comes back."""
+        if len(self.names) > self.most_runs:
+            self.compact()
+        doc_id, tag = F.col(id_col).cast("long"), F.xxhash64(text_col)
+        packed = _packed(F.col(text_col).cast("binary"))
+        rest = F.struct(*columns_of(docs.drop(text_col)))
+        texts = self._write(docs.select(doc_id.alias("doc_id"), tag.alias("tag"), packed.alias("packed"), rest.alias("row")), "texts", ["doc_id", "tag"], ["doc_id", "tag"])
+        batch = self.spark.table(self._table(texts))
+        new = materialize(anchors(docs, id_col, text_col), "anchors-of-batch")
+        hits = self._hits(new) if self.names else None
+        passages = self._passages(new, hits, [*self.state["texts"], texts])
+        found = passages.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n", "words")).alias("passages"))
+        joined = batch.join(found, ["doc_id", "tag"], "left").select("row", "packed", "passages")
+        out = materialize(joined.select("row", (_digests if digest else _texts)("packed", "passages").alias("cut")), "cut")
+        run = self._write_run(new)
+        self._publish(runs=[*self.names, run], texts=[*self.state["texts"], texts])
+        for t in (new, hits, passages):
+            if t is not None:
+                forget(self.spark, t)
+        return out
+
+    def _passages(self, new: DataFrame, hits: DataFrame | None, texts: list[str]) -> DataFrame:
+        """(doc_id, tag, at, n, words): windows of the batch that also start in a smaller doc_id, with that document's words.
+
+        Counts of segments and anchors are by partial sums and are tables of their own, so
+        that the joins back to the rows are plain ones whose large keys Spark can split.
+        """
+        every = new.withColumn("fresh", F.lit(True))
+        if hits is not None:
+            every = every.union(hits.withColumn("fresh", F.lit(False)))
+        segments = every.groupBy("h", "seg").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("first"), F.max("doc_id").alias("last"), F.max("fresh").alias("fresh"))
+        segments = materialize(segments, "segments")
+        anchored = segments.groupBy("h").agg(F.min("first.doc_id").alias("lo"), F.max("last").alias("hi"), (F.min("seg") < F.max("seg")).alias("several"), F.max("fresh").alias("fresh"))
+        anchored = materialize(anchored.where("fresh and lo < hi").select("h", "several"), "anchored")
+        shared = materialize(segments.join(anchored, "h").where("first.doc_id < last or several").select("h", "seg", "first", "several"), "shared")
+        judged = every.join(shared, ["h", "seg"]).where("doc_id > first.doc_id or several")
+        judged = materialize(judged.select("h", "doc_id", "tag", "pos", "fresh", "first", (F.col("doc_id") > F.col("first.doc_id")).alias("done")), "judged")
+        open_ = materialize(judged.where("not done").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("h", "pos")).alias("segments")), "open")
+        windows = self._of_texts(texts, open_).select("doc_id", "tag", "packed", "segments").mapInArrow(_open_windows, "h long, w long, doc_id long, tag long, at long")
+        windows = materialize(windows, "windows")
+        earliest = windows.groupBy("h", "w").agg(F.min(F.struct("doc_id", "tag", "at")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("h", "w", "first")
+        one = windows.join(materialize(earliest, "earliest"), ["h", "w"]).where("doc_id > first.doc_id")
+        one = one.select("doc_id", "tag", F.struct("at", F.lit(1).cast("long").alias("n"), F.col("first.doc_id").alias("f_doc"), F.col("first.tag").alias("f_tag"), F.col("first.at").alias("start")).alias("m"))
+        at = lambda c: F.shiftright(c, 6)
+        whole = judged.where("done and fresh").select("doc_id", "tag", F.struct(at("pos").alias("at"), F.col("pos").bitwiseAND(F.lit(63)).alias("n"), F.col("first.doc_id").alias("f_doc"), F.col("first.tag").alias("f_tag"), at("first.pos").alias("start")).alias("m"))
+        matches = whole.union(one).groupBy("doc_id", "tag").agg(F.collect_set("m").alias("matches"))
+        asked = materialize(matches.mapInArrow(_passages, PASSAGE), "asked")
+        by_source = asked.groupBy("f_doc", "f_tag").agg(F.collect_set(F.struct("start", "n")).alias("asked")).withColumnsRenamed({"f_doc": "doc_id", "f_tag": "tag"})
+        sources = self._of_texts(texts, materialize(by_source, "by-source")).select("doc_id", "tag", "packed", "asked").mapInArrow(_sources, "f_doc long, f_tag long, start long, n long, words binary")
+        found = asked.join(materialize(sources, "sources"), ["f_doc", "f_tag", "start", "n"]).select("doc_id", "tag", "at", "n", "words")
+        found = materialize(found, "passages")
+        for t in (segments, anchored, shared, judged, open_, windows, asked):
+            forget(self.spark, t)
+        return found
+
+    def _of_texts(self, texts: list[str], rows: DataFrame) -> DataFrame:
+        """rows with the packed text of their document, once each; texts stay in their buckets."""
+        return reduce(DataFrame.union, (self._text_table(t).dropDuplicates(["doc_id", "tag"]).join(rows, ["doc_id", "tag"]) for t in texts))
+
+
+def hash_of(path: str) -> int:
+    return xxh64_intdigest(path.encode())
+
+
+def deduplicate(docs: DataFrame, index: FingerprintIndex | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, batches: int = BATCHES) -> DataFrame:
+    """(row, cut) for every row of docs: a struct of all its columns but the text, and a struct of n_words, n_removed and the kept text.
+
+    With `digest` the second has instead the SHA-256 of the kept words joined by one space,
     which is also the kept text of a document that loses words; other texts stay as they
-    are. Words are runs without ASCII white space. A word goes if a window of
-    WINDOW words over it also starts in a document with a smaller doc_id, judged on the
-    input as it came. With an index, `history` are the documents of earlier batches: the
-    batch is judged against them too, and its own rows are added. A null text has no
-    words. Rows of the same doc_id never remove each other's words; rows with null doc_id
-    keep all words and remove none. Repeated rows stay repeated, and an empty table gives
-    an empty result.
+    are. Words are runs without ASCII white space. A word goes if a window of WINDOW words
+    over it also starts in a document with a smaller doc_id, judged on the input as it came.
+    With an index, docs are one batch more: they are judged against what it holds too, and
+    added to it. Without one, docs go through an index of their own, in `batches` batches by
+    ascending doc_id, which the caller's clean_up() deletes. A null text has no words and
+    stays null. Rows of the same doc_id never remove each other's words; rows with null
+    doc_id keep all words and remove none. Repeated rows stay repeated, other columns may
+    have any names, and an empty table gives an empty result.
     """
-    texts = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), _packed(F.col(text_col).cast("binary")).alias("packed"))
-    new = materialize(anchors(docs, id_col, text_col), "run")
-    runs = index.runs() if index is not None else None
-    known = texts(docs) if history is None else texts(docs).union(texts(history))
-    found = repeats(new, runs, known.dropDuplicates(["doc_id", "tag"]) if history is not None else known).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    rest = F.struct(*columns_of(docs.drop(text_col)))
-    packed = docs.select(rest.alias("__row"), F.col(id_col).cast("long").alias("__doc"), F.xxhash64(text_col).alias("__key"), _packed(F.col(text_col).cast("binary")).alias("__packed"))
-    joined = packed.join(found, (F.col("__doc") == F.col("__id")) & (F.col("__key") == F.col("__tag")), "left")
-    cut = (_digests if digest else _texts)("__packed", "__spans")
-    out = joined.select("__row.*", cut.alias("__cut"), F.col("__packed").isNull().alias("__null"))
     if index is not None:
-        out = materialize(out, "cut")
-        index.add(new)
-    return out
+        return index.add(docs, id_col, text_col, digest)
+    spark = docs.sparkSession
+    index = FingerprintIndex(spark, shared_path(spark, "fingerprints"), most_runs=1)
+    at = F.col(id_col).cast("long")
+    edges = docs.select(at.alias("at")).approxQuantile("at", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    edges = sorted({int(e) for e in edges})
+    number = reduce(lambda n, e: n + F.when(at > e, 1).otherwise(0), edges, F.lit(0))
+    out = [index.add(docs.where(number == i), id_col, text_col, digest) for i in range(len(edges) + 1)]
+    return reduce(DataFrame.union, out)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row; see deduplicate()."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return deduplicate(rows, digest=True).select("doc_id", "__cut.n_words", "__cut.n_removed", "__cut.kept_sha256")
+    return deduplicate(rows, digest=True).select("row.doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
