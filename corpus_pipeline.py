@@ -32,9 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; a document of which nothing is left goes too."""
-    cut = substring.deduplicate(docs)
-    text = F.when(~F.col("__null"), F.col("__cut.kept"))
-    kept = cut.where("__cut.n_words = 0 or __cut.n_removed < __cut.n_words").withColumn("text", text)
+    cut = substring.deduplicate(docs).where("cut.n_words = 0 or cut.n_removed < cut.n_words")
+    kept = cut.select(*(F.col("cut.kept").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
     return _recounted(kept).select(*columns_of(docs))
 
 
