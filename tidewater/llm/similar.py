@@ -192,10 +192,13 @@ def _apart(shared: DataFrame, buckets: DataFrame, found: DataFrame, sets: DataFr
     open_ = members.join(materialize(counts, "counts"), ["node", "lead"]).where("node <> lead")
     open_ = open_.where(9 * (F.col("with_lead") + F.col("beside")) >= 4 * (F.col("size") + F.greatest(F.col("least"), F.ceil(F.col("size") * 4 / 5))))
     open_ = materialize(open_.select("key", "node", "size", "root", "main", "with_lead", "beside"), "open")
-    right = open_.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "root", "with_lead", "beside")))
+    keys = materialize(open_.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys")), "keys")
+    open_ = open_.join(keys, "node")
+    right = open_.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "root", "with_lead", "beside", "keys")))
     may = 9 * (F.least("with_lead", "with_lead2") + F.least("beside", "beside2")) >= 4 * (F.col("size") + F.col("size2"))
     once = (F.col("root2") == F.col("main")) | (F.col("node") < F.col("node2"))
-    rest = open_.where("root <> main").join(right, "key").where(once & (F.col("root") != F.col("root2")) & _fits(F.col("size"), F.col("size2")) & may)
+    first = F.get(F.array_intersect("keys", "keys2"), 0) == F.col("key")  # a pair of several buckets counts in one
+    rest = open_.where("root <> main").join(right, "key").where(once & (F.col("root") != F.col("root2")) & _fits(F.col("size"), F.col("size2")) & may & first)
     return rest.select(F.least("node", "node2").alias("src"), F.greatest("node", "node2").alias("dst"))
 
 
