@@ -231,12 +231,14 @@ class FingerprintIndex:
     #: Runs that add() leaves; with more, it first compacts them into one.
     MOST_RUNS = 8
     HOT_ROWS = 4096
+    #: Rows of the first batch to a bucket; there are at most as many buckets as shuffle partitions.
+    LEAST_BUCKETS, BUCKET_ROWS = 8, 400_000
 
     def __init__(self, spark: SparkSession, path: str, most_runs: int | None = None):
         self.spark, self.path, self.most_runs = spark, path, most_runs or self.MOST_RUNS
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._fs = self._at().getFileSystem(spark._jsc.hadoopConfiguration())
-        self.state = {"version": 0, "next": 0, "buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "texts": []}
+        self.state = {"version": 0, "next": 0, "buckets": None, "runs": [], "texts": []}
         found = sorted(p.getPath().getName() for p in self._fs.globStatus(self._at("MANIFEST-*")) or [])
         if found:
             self.state = json.loads("".join(r.value for r in spark.read.text(f"{path}/{found[-1]}").collect()))
@@ -262,9 +264,10 @@ class FingerprintIndex:
         name = f"{kind}-{self.state['next']:08d}"
         self.state["next"] += 1
         n = self.state["buckets"]
+        bucket = F.pmod(F.hash(*by), F.lit(n))  # Spark's own, so that each bucket is one file of one task
         table = self._table(name)
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")  # left by an earlier index of this path, or by a job that failed
-        rows.repartition(n, *by).write.mode("overwrite").bucketBy(n, *by).sortBy(*order).option("path", f"{self.path}/{name}").format("parquet").saveAsTable(table)
+        rows.repartition(n, bucket).write.mode("overwrite").bucketBy(n, *by).sortBy(*order).option("path", f"{self.path}/{name}").format("parquet").saveAsTable(table)
         return name
 
     def _table(self, name: str) -> str:
@@ -330,9 +333,12 @@ class FingerprintIndex:
         doc_id, tag = F.col(id_col).cast("long"), F.xxhash64(text_col)
         packed = _packed(F.col(text_col).cast("binary"))
         rest = F.struct(*columns_of(docs.drop(text_col)))
+        new = materialize(anchors(docs, id_col, text_col), "anchors-of-batch")
+        if self.state["buckets"] is None:
+            most = max(self.LEAST_BUCKETS, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            self.state["buckets"] = min(most, max(self.LEAST_BUCKETS, new.count() // self.BUCKET_ROWS))
         texts = self._write(docs.select(doc_id.alias("doc_id"), tag.alias("tag"), packed.alias("packed"), rest.alias("row")), "texts", ["doc_id", "tag"], ["doc_id", "tag"])
         batch = self.spark.table(self._table(texts))
-        new = materialize(anchors(docs, id_col, text_col), "anchors-of-batch")
         hits = self._hits(new) if self.names else None
         passages = self._passages(new, hits, [*self.state["texts"], texts])
         found = passages.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n", "words")).alias("passages"))
