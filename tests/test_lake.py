@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions.normal import keccak256
+from tidewater.operators import checks
 from tidewater.sources import graph, store
 from tidewater.streaming import bronze
 
@@ -184,7 +185,8 @@ def test_windows_give_what_one_batch_gives(spark):
     assert many.count() == 30 and many.where("payout is null").count() == 7
 
 
-def test_store_replays_without_duplicates(spark, tmp_path):
+def test_store_replays_without_duplicates(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bronze, "DAY_MS", 5)  # several parts
     p, u = events(spark)
     s = bronze.BronzeStore(spark, str(tmp_path / "b"))
     assert s.read() is None and s.high_water() is None
@@ -192,7 +194,11 @@ def test_store_replays_without_duplicates(spark, tmp_path):
         s.update(p, u, end)
     done = rows(s.read(), *VALUES)
     assert rows(s.read(), *VALUES) == rows(bronze.run_windows(p, u, [0, 100]), *VALUES)
-    s.publish(bronze.merge(s.read(), bronze.new_events(p, 0, 100, True), bronze.update_events(u, 0, 100, True)))
+    before = s._state()["parts"]
+    s.apply(bronze.new_events(p, 0, 4, True), bronze.update_events(u, 0, 1, True))
+    changed = {d for d, f in s._state()["parts"].items() if before[d] != f}
+    assert changed == {"0"}  # parts that no event touches stay where they are
+    s.apply(bronze.new_events(p, 0, 100, True), bronze.update_events(u, 0, 100, True))
     assert rows(s.read(), *VALUES) == done and s.high_water() == 30
     with pytest.raises(ValueError):
         s.update(p, u, 5)
@@ -208,12 +214,37 @@ def test_merge_precedence(spark):
     assert fresh.last_event_timestamp == 1
 
 
+def test_failure_before_the_manifest_changes_nothing(spark, tmp_path, monkeypatch):
+    p, u = events(spark)
+    s = bronze.BronzeStore(spark, str(tmp_path / "b"))
+    s.update(p, u, 15)
+    done = rows(s.read(), *VALUES)
+    with monkeypatch.context() as m:
+        m.setattr(bronze.BronzeStore, "_publish", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            s.update(p, u, 100)
+    assert rows(bronze.BronzeStore(spark, s.path).read(), *VALUES) == done and s.current() == 1
+    s.update(p, u, 100)
+    assert rows(s.read(), *VALUES) == rows(bronze.run_windows(p, u, [0, 100]), *VALUES)
+
+
+def test_stream_adds_predictions_that_come_later(spark, tmp_path):
+    p, u = events(spark)
+    s = bronze.BronzeStore(spark, str(tmp_path / "b"))
+    for k, (most, test) in enumerate(((10, "timestamp <= 12"), (100, "timestamp > 12"))):
+        u.where(test).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        source = spark.readStream.schema(u.schema).json(str(tmp_path / "in"))
+        known = p.where(f"timestamp <= {most}")
+        bronze.stream(source, lambda t, known=known: known if t is None else known.where(f"timestamp > {t}"), s, str(tmp_path / "c")).awaitTermination(120)
+        assert s.read().count() == min(most, 30) and s.current() == k + 1
+
+
 def test_stream_equals_batch(spark, tmp_path):
     p, u = events(spark)
     u.repartition(3).write.json(str(tmp_path / "in"))
     s = bronze.BronzeStore(spark, str(tmp_path / "b"))
     source = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    bronze.stream(source, p, s, str(tmp_path / "c")).awaitTermination(120)
+    bronze.stream(source, lambda t: p if t is None else p.where(f"timestamp > {t}"), s, str(tmp_path / "c")).awaitTermination(120)
     assert rows(s.read(), *VALUES) == rows(bronze.run_windows(p, u, [0, 100]), *VALUES)
 
 
@@ -223,3 +254,62 @@ def test_entry_and_queries_agree_in_names(spark):
     q, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 70
     assert e.entry(spark).limit(1).count() == 1
+
+
+# Steps of several tables, registry, runs
+
+
+def test_steps_of_several_tables_take_effect_together(spark, catalog):
+    a, b = (spark.createDataFrame([(n,)], "x int") for n in (1, 2))
+    catalog.create(a, "both_a")
+    catalog.create(a, "both_b")
+    with pytest.raises(Exception):
+        catalog.replace_all({"both_a": b, "both_b": b.select((F.col("x") / 0).alias("x"))})
+    assert rows(spark.table("both_a")) == rows(spark.table("both_b")) == [(1,)]
+    catalog.replace_all({"both_a": b, "both_b": spark.table("both_a")})
+    assert rows(spark.table("both_a")) == [(2,)] and rows(spark.table("both_b")) == [(1,)]
+    assert not [n for n in catalog.names() if "_old_" in n or "_new_" in n]
+    catalog.update("both_a", spark.createDataFrame([(2, 5), (2, 7)], "x int, y int"), "x")
+    assert spark.table("both_a").count() == 1
+
+
+def test_registry_makes_and_fills_tables(spark, catalog):
+    registry = store.Registry()
+    registry.table("reg_raw", LOG)
+
+    @registry.step("reg_raw")
+    def some(session):
+        return session.createDataFrame([("a", 1)], LOG)
+
+    registry.run(catalog)
+    registry.run(catalog)
+    assert rows(spark.table("reg_raw")) == [("a", 1), ("a", 1)]
+    assert checks.wrong_schemas({"reg_raw": spark.table("reg_raw")}, registry.schemas) == []
+    assert checks.wrong_schemas({"reg_raw": spark.table("reg_raw").select("ID")}, registry.schemas | {"more": LOG}) == ["more", "reg_raw"]
+
+
+def test_export_by_age_state_and_runs(spark, tmp_path):
+    path = str(tmp_path / "x")
+    df = spark.createDataFrame([(i, i * 10) for i in range(4)], "timestamp long, v long")
+    assert store.export(df, path, most_age=100) == 4 and store.export(df, path, most_age=100) == 0
+    assert store.export(df.where("timestamp < 3"), path, most_age=-1) == 3 and spark.read.parquet(path).count() == 3
+    assert store.export_due(spark, path, 10, now=100) and not store.export_due(spark, path, 1000, now=100)
+    with pytest.raises(Exception, match="misspelt"):
+        store.high_water(spark, path, "misspelt")
+    assert store.load_state(spark, str(tmp_path / "s")) is None
+    store.save_state(spark, str(tmp_path / "s"), {"a": [1, 2.5]})
+    assert store.load_state(spark, str(tmp_path / "s")) == {"a": [1, 2.5]}
+    for i in range(2):
+        store.append_run(spark, str(tmp_path / "r"), i, {"profit": 1 / 3 + i}, {"lags": 2, "kind": "x"})
+    assert sorted((r.run, r.profit, r.kind) for r in store.read_runs(spark, str(tmp_path / "r")).collect()) == [(0, 0.3333, "x"), (1, 1.3333, "x")]
+
+
+def test_both_sinks_views_and_reports(spark, catalog, tmp_path):
+    log = store.CsvLog(spark, str(tmp_path / "log"), LOG)
+    store.append_to_both(spark.createDataFrame([("a", 1), ("a", 1)], LOG), log, catalog, "both_sinks")
+    assert log.read().count() == spark.table("both_sinks").count() == 2
+    checks.make_views(spark, {"v_one": spark.table("both_sinks"), "v_two": spark.table("both_sinks").unionAll(log.read())})
+    assert spark.table("v_two").count() == 4 and checks.drop_views(spark, ["v_one", "v_two", "v_none"]) == ["v_one", "v_two"]
+    checks.report_duplicates(log.read(), str(tmp_path / "d"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "d")).count() == 1
+    assert checks.preview(log.read(), 1) == [{"ID": "a", "timestamp": 1}]

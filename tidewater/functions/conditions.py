@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,12 +50,20 @@ def page(df: DataFrame, by: str, tie: str, descending: bool, first: int, skip: i
 
 
 def top_with_rest(df: DataFrame, name: str, weight: str, n: int) -> DataFrame:
-    """The n largest names and one row `rest` for all others."""
-    w = Window.orderBy(F.desc(weight), name)
-    ranked = df.withColumn("rank", F.row_number().over(w))
-    return ranked.groupBy(F.when(F.col("rank") <= n, F.col(name)).otherwise("rest").alias(name)).agg(F.sum(weight).alias(weight))
+    """The n largest names, each of one row, and one row `rest` for all others."""
+    top = df.select(name, weight).orderBy(F.desc(weight), name).limit(n)  # n rows of each task, then n of these
+    others = df.join(F.broadcast(top.select(F.col(name).alias("_top"))), F.col(name).eqNullSafe(F.col("_top")), "left_anti")
+    rest = others.agg(F.count("*").alias("_n"), F.sum(weight).alias(weight)).where("_n > 0")
+    return top.unionByName(rest.select(F.lit("rest").alias(name), weight))
 
 
 def ends(df: DataFrame, order: str) -> DataFrame:
     """The first and the last row by a column."""
     return df.orderBy(order).limit(1).unionAll(df.orderBy(F.desc(order)).limit(1))
+
+
+def in_combinations(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose source, pair and timeframe are wanted; a combination without timeframe takes any."""
+    keys = wanted.select("source", "pair", F.col("timeframe").alias("_timeframe"))
+    same = (df["source"] == keys["source"]) & (df["pair"] == keys["pair"]) & (keys["_timeframe"].isNull() | (df["timeframe"] == keys["_timeframe"]))
+    return df.join(keys, same, "left_semi")

@@ -37,7 +37,7 @@ def short_number(c: Column, digits: int = 2) -> Column:
     out = trim(c.cast("double"))
     for suffix, unit in SUFFIXES[1:]:
         out = F.when(size >= unit, F.concat(trim(c / unit), F.lit(suffix))).otherwise(out)
-    return F.when(c.isNotNull(), out)
+    return F.when(c.isNotNull(), F.when(out == "-0", "0").otherwise(out))
 
 
 def parse_number(c: Column) -> Column:
@@ -142,3 +142,13 @@ def range_label(start_s: Column, end_s: Column) -> Column:
     """How long a time range is and when it ends, in words."""
     days = F.floor((end_s - start_s) / 86_400)
     return F.concat(F.when(days == 1, "1 day").otherwise(F.concat(days.cast("string"), F.lit(" days"))), F.lit(" until "), day_text(end_s))
+
+
+def period_start(c: Column, length: int) -> Column:
+    """The start of the period of `length` that a time lies in."""
+    return (F.floor(c / length) * length).cast("long")
+
+
+def fee_in_tokens(gas: Column, price_of_gas: Column, tokens: Column) -> Column:
+    """What a transaction costs, in a token of which so many are worth one coin of the chain."""
+    return gas * price_of_gas * tokens

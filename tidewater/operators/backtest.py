@@ -29,8 +29,8 @@ def prob_above(weights: np.ndarray, x: np.ndarray, threshold: float) -> float:
     return float((weights[:, 0] + weights[:, 1:] @ x > threshold).mean())
 
 
-def walk_forward(candles: DataFrame, lags: int, train: int, steps: int, size: int = 10, refit: int = 1, by: tuple[str, ...] = ("feed",)) -> DataFrame:
-    """For the last `steps` rows of each run: the probability of a rise, from models of the rows before.
+def walk_forward(candles: DataFrame, lags: int, train: int, steps: int | None = None, size: int = 10, refit: int = 1, by: tuple[str, ...] = ("feed",)) -> DataFrame:
+    """For the last `steps` rows of each run, or all after the first `train`: the probability of a rise, from models of the rows before.
 
     Models are fit on the `train` rows before a step and see nothing later. Runs are
     independent and run in parallel.
@@ -39,7 +39,7 @@ def walk_forward(candles: DataFrame, lags: int, train: int, steps: int, size: in
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("timestamp", kind="stable", ignore_index=True)
         close, out, weights = rows["close"].to_numpy(float), [], None
-        for i in range(max(len(rows) - steps, lags + 3), len(rows)):
+        for i in range(max(train if steps is None else len(rows) - steps, lags + 3), len(rows)):
             past = np.lib.stride_tricks.sliding_window_view(close[max(0, i - train - lags) : i], lags + 1)
             if weights is None or (i % refit) == 0:
                 weights = ensemble(past[:, :-1], past[:, -1], size, np.random.default_rng(i))
@@ -105,6 +105,15 @@ def recent_weights(df: DataFrame, last: int, before: int, order: str = "timestam
     return df.withColumn("_n", n).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("_n")
 
 
+def numbered(df: DataFrame, hashed: Column, name: str) -> DataFrame:
+    """Adds 1, 2, ... in the order of a 64-bit hash: rows are counted by its first 16 bits, and numbered among those that share them."""
+    rows = df.withColumn("_h", hashed).withColumn("_b", F.shiftright("_h", 48))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over 65,536 counts at most
+    start = rows.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    among = F.row_number().over(Window.partitionBy("_b").orderBy("_h"))
+    return rows.join(F.broadcast(start), "_b").withColumn(name, F.col("_start") + among).drop("_h", "_b", "_start")
+
+
 def oversample(df: DataFrame, label: str, seed: int = 0) -> DataFrame:
     """Rows of the rarer label again, in the order of a hash, until both labels have as many."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
@@ -112,8 +121,7 @@ def oversample(df: DataFrame, label: str, seed: int = 0) -> DataFrame:
         return df
     rare = min(counts, key=counts.get)
     n, need = counts[rare], max(counts.values()) - min(counts.values())
-    w = Window.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]))
-    again = df.where(F.col(label) == rare).withColumn("_i", F.row_number().over(w))
+    again = numbered(df.where(F.col(label) == rare), F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), "_i")
     copies = again.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(need // n)))).where(F.col("_c") * n + F.col("_i") <= need)
     return df.unionByName(copies.drop("_i", "_c"))
 
@@ -124,7 +132,7 @@ def importances(weights: dict[str, float]) -> dict[str, float]:
     return {k: abs(v) / total for k, v in weights.items()}
 
 
-def multi_run(candles: DataFrame, settings: dict[str, list], lags: int, train: int, steps: int) -> DataFrame:
+def multi_run(candles: DataFrame, settings: dict[str, list], lags: int, train: int, steps: int | None = None) -> DataFrame:
     """Trades of every combination of trader settings on one walk-forward result."""
     from tidewater.operators.sequential import Trader
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def duplicates(rows: DataFrame, keys: tuple[str, ...] = ("ID", "timestamp")) -> DataFrame:
@@ -65,3 +66,38 @@ def has_nan(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: for each column, whether some value and whether every value is null or NaN."""
     gone = {c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in columns}
     return df.agg(*(F.coalesce(F.bool_or(g), F.lit(False)).alias(f"{c}_some") for c, g in gone.items()), *(F.coalesce(F.bool_and(g), F.lit(True)).alias(f"{c}_all") for c, g in gone.items()))
+
+
+def describe_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, kind, n_rows: the columns of each table and how many rows it has."""
+    spark = next(iter(tables.values())).sparkSession
+    kinds = spark.createDataFrame([(n, c, t) for n, df in tables.items() for c, t in df.dtypes], "table_name string, column_name string, kind string")
+    counts = reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(n)) for n, df in tables.items()))
+    return kinds.join(counts, "table_name").select("table_name", "column_name", "kind", "n_rows")
+
+
+def preview(df: DataFrame, rows: int = 5) -> list[dict]:
+    """A few rows, for people to look at."""
+    return [r.asDict() for r in df.limit(rows).collect()]
+
+
+def wrong_schemas(tables: dict[str, DataFrame], expected: dict[str, T.StructType]) -> list[str]:
+    """Names of registered tables that are missing or have other columns or types."""
+    plain = lambda s: [(f.name, f.dataType) for f in s]
+    return sorted(n for n, s in expected.items() if n not in tables or plain(tables[n].schema) != plain(s))
+
+
+def make_views(spark: SparkSession, views: dict[str, DataFrame]) -> None:
+    """Temporary views by name; drop_views() takes them away."""
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+
+
+def drop_views(spark: SparkSession, names: list[str]) -> list[str]:
+    """Drop the named views; returns those that there were."""
+    return [n for n in names if spark.catalog.dropTempView(n)]
+
+
+def report_duplicates(rows: DataFrame, path: str, keys: tuple[str, ...] = ("ID", "timestamp")) -> None:
+    """Write the duplicates as CSV with a header."""
+    duplicates(rows, keys).write.mode("overwrite").option("header", True).csv(path)

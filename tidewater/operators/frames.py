@@ -55,3 +55,20 @@ def calibrated(df: DataFrame, prediction: str, actual: str, order: str) -> DataF
     w = Window.partitionBy("feed")
     off = F.max_by(F.col(actual) - F.col(prediction), order).over(w)
     return df.withColumn("calibrated", F.col(prediction) + off)
+
+
+def with_values(df: DataFrame, name: str, values: list, order: str) -> DataFrame:
+    """Adds a column from a list, one value per row in the order of a unique column; their numbers must agree.
+
+    The list comes from the driver, so the table is as small; only its keys are numbered.
+    """
+    keys = [r[0] for r in df.select(order).orderBy(order).limit(len(values) + 1).collect()]
+    if len(keys) != len(values):
+        raise ValueError(f"{len(values)} values for {'more' if len(keys) > len(values) else len(keys)} rows")
+    pairs = df.sparkSession.createDataFrame([*zip(keys, values, strict=True)], f"`{order}` {dict(df.dtypes)[order]}, `{name}` {_kind(values)}")
+    return df.join(pairs, order).select(*df.columns, name)
+
+
+def _kind(values: list) -> str:
+    kinds = {type(v) for v in values if v is not None}
+    return {frozenset([bool]): "boolean", frozenset([int]): "long", frozenset([float]): "double", frozenset([int, float]): "double"}.get(frozenset(kinds), "string")

@@ -161,3 +161,8 @@ def missing_consumption(sales: DataFrame, days: int, price: float) -> DataFrame:
     expected = F.lit(float(days)) * price
     missing = F.greatest(expected - F.col("sales") * price, F.lit(0.0))
     return sales.select("contract", expected.alias("expected"), missing.alias("missing"), F.ceil(missing / price).alias("times"))
+
+
+def of_prefix(rows: DataFrame, prefix: str, start: int, end: int) -> DataFrame:
+    """Rows whose contract begins with `prefix` and whose slot lies between start and end, both left out."""
+    return rows.where(F.col("contract").startswith(prefix) & (F.col("slot") > start) & (F.col("slot") < end))

@@ -112,6 +112,7 @@ def clean(df: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def scaled(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Columns less their mean over their population deviation; a constant column becomes zero."""
-    stats = df.agg(*(F.avg(c).alias(f"{c}_m") for c in cols), *(F.stddev_pop(c).alias(f"{c}_s") for c in cols)).first()
-    return df.withColumns({c: F.lit(0.0) if not stats[f"{c}_s"] else (F.col(c) - stats[f"{c}_m"]) / stats[f"{c}_s"] for c in cols})
+    """Columns less their feed's mean over its population deviation; a constant column becomes zero."""
+    stats = df.groupBy("feed").agg(*(F.avg(c).alias(f"_{c}_m") for c in cols), *(F.stddev_pop(c).alias(f"_{c}_s") for c in cols))
+    scale = {c: F.when(F.col(c).isNotNull(), F.coalesce(F.try_divide(F.col(c) - F.col(f"_{c}_m"), F.col(f"_{c}_s")), F.lit(0.0))) for c in cols}
+    return df.join(stats, "feed").withColumns(scale).select(*df.columns)

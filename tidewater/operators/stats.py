@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,29 +56,69 @@ def dickey_fuller(df: DataFrame, c: str) -> DataFrame:
     return fit.select("feed", "n", (F.col("slope") / error).alias("t")).withColumn("stationary", F.col("t") < DICKEY_FULLER[0.05])
 
 
-def box_cox_lambda(df: DataFrame, c: str, low: float = -2.0, high: float = 2.0, points: int = 21, rounds: int = 3) -> float:
-    """The exponent of the largest likelihood, by aggregates over ever finer grids; values must be positive."""
-    best = 0.0
+def _solved(m: np.ndarray, n: int, lags: int) -> tuple[float, float]:
+    """t of the level and Akaike's criterion, from sums of products of (d, 1, x, d1 .. d_lags)."""
+    a, b = m[1 : lags + 3, 1 : lags + 3], m[1 : lags + 3, 0]
+    inverse = np.linalg.pinv(a)
+    w = inverse @ b
+    rss, k = max(m[0, 0] - b @ w, 1e-300), lags + 2
+    return float(w[1] / math.sqrt(rss / max(1, n - k) * inverse[1, 1])), n * math.log(rss / n) + 2 * k
+
+
+def augmented_dickey_fuller(df: DataFrame, c: str, most_lags: int = 8) -> DataFrame:
+    """feed, n, lags, t, stationary: the test with as many lagged differences as Akaike's criterion asks for.
+
+    One pass gives each feed's sums of products of level, differences and their lags; the
+    few regressions are solved from these sums, so no task holds a series. All candidates
+    use the rows that have `most_lags` lags.
+    """
+    w = Window.partitionBy("feed").orderBy("timestamp")
+    level = df.select("feed", "timestamp", F.col(c).cast("double").alias("y")).withColumn("x", F.lag("y").over(w)).withColumn("d", F.col("y") - F.col("x"))
+    centred = level.withColumn("x", F.col("x") - F.avg("y").over(Window.partitionBy("feed")))
+    names = ["d", "one", "x", *(f"d{i}" for i in range(1, most_lags + 1))]
+    rows = centred.select("feed", "d", F.lit(1.0).alias("one"), "x", *(F.lag("d", i).over(w).alias(f"d{i}") for i in range(1, most_lags + 1))).dropna()
+    cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = rows.groupBy("feed").agg(F.count("*").alias("n"), F.array(*(F.sum(F.col(names[i]) * F.col(names[j])) for i, j in cells)).alias("sums"))
+
+    @F.pandas_udf("lags int, t double")
+    def chosen(n: pd.Series, products: pd.Series) -> pd.DataFrame:
+        out = []
+        for count, values in zip(n, products, strict=True):
+            m = np.zeros((len(names), len(names)))
+            for (i, j), v in zip(cells, values, strict=True):
+                m[i, j] = m[j, i] = v
+            fits = [(*_solved(m, int(count), k)[::-1], k) for k in range(most_lags + 1)]
+            aic, t, k = min(fits, key=lambda f: (f[0], f[2]))
+            out.append((k, t))
+        return pd.DataFrame(out, columns=["lags", "t"])
+
+    found = sums.where(F.col("n") > most_lags + 4).select("feed", "n", chosen("n", "sums").alias("f")).select("feed", "n", "f.lags", "f.t")
+    return found.withColumn("stationary", F.col("t") < DICKEY_FULLER[0.05])
+
+
+def box_cox_lambdas(df: DataFrame, c: str, low: float = -2.0, high: float = 2.0, points: int = 21, rounds: int = 3) -> DataFrame:
+    """feed, lambda: each feed's exponent of the largest likelihood, by aggregates over ever finer grids; values must be positive."""
+    found = df.select("feed").distinct().select("feed", F.lit((low + high) / 2).alias("lambda"))
+    half = (high - low) / 2
     for _ in range(rounds):
-        grid = [low + (high - low) * i / (points - 1) for i in range(points)]
-        moved = [F.log(c) if abs(g) < 1e-12 else (F.pow(c, F.lit(g)) - 1) / g for g in grid]
-        row = df.agg(F.sum(F.log(c)), F.count("*"), *(F.var_pop(m) for m in moved)).first()
-        like = [(g - 1) * row[0] - row[1] / 2 * math.log(v) if v and v > 0 else -math.inf for g, v in zip(grid, row[2:], strict=True)]
-        best = grid[max(range(points), key=like.__getitem__)]
-        step = (high - low) / (points - 1)
-        low, high = best - step, best + step
-    return best
+        at = [F.col("lambda") + half * (2 * i / (points - 1) - 1) for i in range(points)]
+        moved = [F.when(F.abs(g) < 1e-12, F.log(c)).otherwise(F.try_divide(F.pow(c, g) - 1, g)) for g in at]
+        sums = df.select("feed", c).join(found, "feed").groupBy("feed", "lambda").agg(F.sum(F.log(c)).alias("logs"), F.count(c).alias("n"), *(F.var_pop(m).alias(f"v{i}") for i, m in enumerate(moved)))
+        like = [F.when(F.col(f"v{i}") > 0, (g - 1) * F.col("logs") - F.col("n") / 2 * F.log(f"v{i}")) for i, g in enumerate(at)]
+        best = F.array_max(F.array(*(F.struct(F.coalesce(x, F.lit(float("-inf"))).alias("like"), F.lit(-i).alias("i"), g.alias("g")) for i, (x, g) in enumerate(zip(like, at, strict=True)))))
+        found = sums.select("feed", best["g"].alias("lambda"))
+        half = half * 2 / (points - 1)
+    return found
 
 
 def box_cox(df: DataFrame, c: str) -> DataFrame:
-    """Adds `boxcox`: the column standardized, shifted to be positive, transformed, and scaled back."""
-    m, s, least = df.agg(F.avg(c), F.stddev_pop(c), F.min(c)).first()
-    s = s or 1.0
-    shift = max(0.0, -(least - m) / s) + 1.0
-    z = df.withColumn("_z", (F.col(c) - m) / s + shift)
-    g = box_cox_lambda(z, "_z")
-    moved = F.log("_z") if abs(g) < 1e-12 else (F.pow("_z", F.lit(g)) - 1) / g
-    return z.withColumn("boxcox", (moved - shift) * s + m).drop("_z")
+    """Adds `boxcox`: each feed's values standardized, shifted so that the least is 0.1, transformed, and scaled back."""
+    fit = df.groupBy("feed").agg(F.avg(c).alias("_m"), F.stddev_pop(c).alias("_s"), F.min(c).alias("_lo"))
+    fit = fit.withColumn("_s", F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).withColumn("_shift", 0.1 - (F.col("_lo") - F.col("_m")) / F.col("_s"))
+    z = df.join(fit, "feed").withColumn("_z", (F.col(c) - F.col("_m")) / F.col("_s") + F.col("_shift"))
+    g = F.col("lambda")
+    moved = F.when(F.abs(g) < 1e-12, F.log("_z")).otherwise(F.try_divide(F.pow("_z", g) - 1, g))
+    return z.join(box_cox_lambdas(z, "_z"), "feed").withColumn("boxcox", (moved - F.col("_shift")) * F.col("_s") + F.col("_m")).select(*df.columns, "boxcox")
 
 
 def seasonal(df: DataFrame, c: str, period: int, extend: bool = False) -> DataFrame:
@@ -117,14 +158,18 @@ def bins(n: int, least: int = 3, most: int = 100) -> int:
     return max(least, min(most, n // 5))
 
 
-def histogram(df: DataFrame, c: str, n_bins: int) -> DataFrame:
-    """Counts and density of equal bins between a feed's ends; the last bin includes its upper edge."""
-    w = Window.partitionBy("feed")
-    rows = df.select("feed", F.col(c).alias("x"), F.min(c).over(w).alias("lo"), F.max(c).over(w).alias("hi"))
-    rows = rows.withColumn("bin", F.least(F.floor((F.col("x") - F.col("lo")) * n_bins / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))), F.lit(n_bins - 1)))
-    counts = rows.groupBy("feed", F.coalesce("bin", F.lit(0)).alias("bin")).agg(F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / n_bins
-    return counts.select("feed", "bin", "n", (F.col("lo") + F.col("bin") * width).alias("start"), F.try_divide(F.col("n") / F.sum("n").over(w), width).alias("density"))
+def histogram(df: DataFrame, c: str, n_bins: int | None = None) -> DataFrame:
+    """Counts and density of equal bins between a feed's ends; the last bin includes its upper edge.
+
+    Without `n_bins` each feed has as many as bins() says of its rows.
+    """
+    ends = df.groupBy("feed").agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count("*").alias("rows"))
+    number = F.greatest(F.lit(3), F.least(F.lit(100), F.floor(F.col("rows") / 5))) if n_bins is None else F.lit(n_bins)
+    rows = df.select("feed", F.col(c).alias("x")).join(ends.withColumn("bins", number.cast("long")), "feed")
+    rows = rows.withColumn("bin", F.least(F.floor((F.col("x") - F.col("lo")) * F.col("bins") / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))), F.col("bins") - 1))
+    counts = rows.groupBy("feed", F.coalesce("bin", F.lit(0)).alias("bin")).agg(F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("bins").alias("bins"), F.first("rows").alias("rows"))
+    width = (F.col("hi") - F.col("lo")) / F.col("bins")
+    return counts.select("feed", "bin", "n", (F.col("lo") + F.col("bin") * width).alias("start"), F.try_divide(F.col("n") / F.col("rows"), width).alias("density"))
 
 
 def quantiles(df: DataFrame, c: str, at: list[float]) -> DataFrame:
@@ -184,4 +229,4 @@ def unit_root_variants(df: DataFrame, c: str) -> DataFrame:
     moved = box_cox(df.select("feed", "timestamp", c), c)
     moved = moved.withColumn("d1", F.col("boxcox") - F.lag("boxcox").over(w)).withColumn("d2", F.col("d1") - F.lag("d1").over(w))
     names = {"none": c, "boxcox": "boxcox", "boxcox, difference": "d1", "boxcox, second difference": "d2"}
-    return reduce(DataFrame.unionByName, (dickey_fuller(moved.where(F.col(col).isNotNull()), col).withColumn("transform", F.lit(n)) for n, col in names.items()))
+    return reduce(DataFrame.unionByName, (augmented_dickey_fuller(moved.where(F.col(col).isNotNull()), col).withColumn("transform", F.lit(n)) for n, col in names.items()))

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from tidewater.plans import market, more, timeseries  # noqa: F401
+from tidewater.plans import market, more, records, timeseries  # noqa: F401

@@ -55,25 +55,59 @@ def _signals(spark, d):
     return adapt.candles(spark, d).withColumn("prob_up", ((F.col("timestamp") / 3_600_000).cast("long") * 7919 % 101) / 100.0)
 
 
-@query()
+#: One row per step: the position that the step leaves, and what it has realized. Fee 0.001, 1,500 a trade.
+_TRADES = f"""WITH RECURSIVE {CANDLES_SQL}, {_I}, m AS (SELECT *, ((timestamp // 3600000) * 7919 % 101) / 100.0::DOUBLE AS p FROM i),
+  g AS (SELECT *, 2 * (p - 0.5::DOUBLE) AS conf, p > 0.5 AND 2 * (p - 0.5::DOUBLE) > 0 AS up, p < 0.5 AND -2 * (p - 0.5::DOUBLE) > 0 AS down, 1500.0::DOUBLE * (1 + abs(2 * (p - 0.5::DOUBLE))) AS usd FROM m),
+  r AS (SELECT feed, 0::BIGINT AS i, 0 AS side, 0.0::DOUBLE AS size, 0.0::DOUBLE AS worth, 0.0::DOUBLE AS hi, 0.0::DOUBLE AS lo, 0.0::DOUBLE AS profit FROM (SELECT DISTINCT feed FROM g)
+    UNION ALL SELECT s.feed, s.i,
+      CASE WHEN s.side = 0 THEN CASE WHEN s.up THEN 1 WHEN s.down THEN -1 ELSE 0 END WHEN s.price IS NULL THEN s.side ELSE 0 END,
+      CASE WHEN s.side = 0 AND s.up THEN s.usd * (1 - 0.001::DOUBLE) / s.close WHEN s.side = 0 AND s.down THEN s.usd / s.close ELSE s.size END,
+      CASE WHEN s.side = 0 AND s.up THEN s.usd WHEN s.side = 0 AND s.down THEN s.usd / s.close * (1 - 0.001::DOUBLE) * s.close ELSE s.worth END,
+      CASE WHEN s.side = 0 AND s.up THEN s.close * 1.3::DOUBLE WHEN s.side = 0 AND s.down THEN s.close * 1.2::DOUBLE ELSE s.hi END,
+      CASE WHEN s.side = 0 AND s.up THEN s.close * 0.8::DOUBLE WHEN s.side = 0 AND s.down THEN s.close * 0.7::DOUBLE ELSE s.lo END,
+      CASE WHEN s.side = 0 OR s.price IS NULL THEN 0.0 WHEN s.side > 0 THEN s.size * (1 - 0.001::DOUBLE) * s.price - s.worth ELSE s.worth - s.size * s.price END
+    FROM (SELECT r.side, r.size, r.worth, r.hi, r.lo, g.*,
+      CASE WHEN r.side > 0 THEN CASE WHEN high >= r.hi THEN r.hi WHEN low <= r.lo THEN r.lo WHEN up THEN NULL ELSE close END
+           WHEN r.side < 0 THEN CASE WHEN low <= r.lo THEN r.lo WHEN high >= r.hi THEN r.hi WHEN down THEN NULL ELSE close END END AS price
+      FROM r JOIN g ON g.feed = r.feed AND g.i = r.i + 1) s)
+  SELECT g.feed, g.timestamp, CAST(side AS BIGINT) AS position, round(profit, 6) AS profit, round(sum(profit) OVER (PARTITION BY g.feed ORDER BY g.i ROWS UNBOUNDED PRECEDING), 4) AS cum_profit FROM g JOIN r ON g.feed = r.feed AND g.i = r.i"""
+
+
+@query(_TRADES)
 def trades(spark, d):
-    return sequential.trades(_signals(spark, d), take=0.3, stop=0.2)
+    out = sequential.trades(_signals(spark, d), take=0.3, stop=0.2)
+    return out.withColumn("profit", F.round("profit", 6)).withColumn("cum_profit", F.round("cum_profit", 4))
+
+
+_SO_FAR = "OVER (PARTITION BY feed ORDER BY timestamp ROWS UNBOUNDED PRECEDING)"
+
+
+@query(f"""WITH {CANDLES_SQL}, s AS (SELECT feed, timestamp, ((timestamp // 3600000) * 7919 % 101) / 100.0::DOUBLE AS p, close > lag(close) {_W} AS up FROM candles),
+  r AS (SELECT *, p > 0.5 AS said, -ln(CASE WHEN up THEN least(greatest(p, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) ELSE 1 - least(greatest(p, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) END) AS loss FROM s WHERE up IS NOT NULL),
+  c AS (SELECT feed, timestamp, count(*) {_SO_FAR} AS n, count(*) FILTER (said = up) {_SO_FAR} AS ok, count(*) FILTER (said AND up) {_SO_FAR} AS tp, count(*) FILTER (said) {_SO_FAR} AS said, count(*) FILTER (up) {_SO_FAR} AS was, avg(loss) {_SO_FAR} AS loss FROM r),
+  a AS (SELECT *, CAST(ok AS DOUBLE) / n AS acc, coalesce(CAST(tp AS DOUBLE) / nullif(said, 0), 0) AS pr, coalesce(CAST(tp AS DOUBLE) / nullif(was, 0), 0) AS re FROM c)
+  SELECT feed, timestamp, n, acc AS accuracy, greatest(acc - sqrt(acc * (1 - acc) / n) * 1.959963984540054::DOUBLE, 0.0) AS low, least(acc + sqrt(acc * (1 - acc) / n) * 1.959963984540054::DOUBLE, 1.0) AS high, pr AS precision, re AS recall,
+  round(CASE WHEN was = 0 OR was = n THEN 3.0 ELSE loss END, 7) AS log_loss, coalesce(2 * pr * re / nullif(pr + re, 0), 0.0) AS f1 FROM a""")
+def signal_metrics(spark, d):
+    """Running figures of signals that follow a rule, against the rises that came."""
+    rows = _signals(spark, d).withColumn("up", F.col("close") > F.lag("close").over(series.by_feed())).where("up is not null")
+    return backtest.metrics(rows).withColumn("log_loss", F.round("log_loss", 7))
 
 
 @query()
 def walk_forward(spark, d):
-    return backtest.walk_forward(adapt.candles(spark, d), 3, 100, 40)
+    return backtest.walk_forward(adapt.candles(spark, d), 3, 100)
 
 
 @query()
 def back_test_metrics(spark, d):
-    steps = backtest.walk_forward(adapt.candles(spark, d), 3, 100, 40)
+    steps = backtest.walk_forward(adapt.candles(spark, d), 3, 100)
     return backtest.metrics(steps.withColumn("up", F.col("close") > F.col("before")))
 
 
 @query()
 def multi_run(spark, d):
-    return backtest.multi_run(adapt.candles(spark, d), {"take": [0.05, 0.2], "stop": [0.02, 0.1, 0.3], "fee": [0.001]}, 2, 60, 30)
+    return backtest.multi_run(adapt.candles(spark, d), {"take": [0.05, 0.2], "stop": [0.02, 0.1, 0.3], "fee": [0.001]}, 2, 100)
 
 
 @query(f"""WITH {CANDLES_SQL}, p AS (SELECT feed, timestamp, close, lead(close) {_W} > close AS rose, ((timestamp // 3600000) * 7919 % 101) / 100.0::DOUBLE AS p FROM candles)
@@ -84,11 +118,12 @@ def predictor_profit(spark, d):
     return rows.select("feed", "timestamp", F.round(gain, 8).alias("profit"))
 
 
-@query(f"""WITH {CANDLES_SQL} SELECT feed, timestamp, greatest(100.0 * p - 100.0 * (1 - p), 0.0)::DOUBLE AS up, greatest(100.0 * (1 - p) - 100.0 * p, 0.0)::DOUBLE AS down
+@query(f"""WITH {CANDLES_SQL} SELECT feed, timestamp, 50.0::DOUBLE AS up_1, 50.0::DOUBLE AS down_1, (100.0 * p)::DOUBLE AS up_2, (100.0 * (1 - p))::DOUBLE AS down_2,
+  greatest(100.0 * p - 100.0 * (1 - p), 0.0)::DOUBLE AS up_3, greatest(100.0 * (1 - p) - 100.0 * p, 0.0)::DOUBLE AS down_3
   FROM (SELECT feed, timestamp, ((timestamp // 3600000) * 7919 % 101) / 100.0::DOUBLE AS p FROM candles)""")
 def stake_allocation(spark, d):
-    up, down = backtest.stakes(3, F.lit(100.0), F.col("prob_up"))
-    return _signals(spark, d).select("feed", "timestamp", up.alias("up"), down.alias("down"))
+    each = [c.alias(f"{side}_{k}") for k in (1, 2, 3) for side, c in zip(("up", "down"), backtest.stakes(k, F.lit(100.0), F.col("prob_up")), strict=True)]
+    return _signals(spark, d).select("feed", "timestamp", *each)
 
 
 @query("""SELECT i AS run_i, [0.1, 0.2][CAST(i % 2 AS INTEGER) + 1]::DOUBLE AS take, [1, 2, 3][CAST(i // 2 % 3 AS INTEGER) + 1]::INTEGER AS lags FROM (SELECT unnest(range(6)) AS i)""")
@@ -123,33 +158,49 @@ def seasonal(spark, d):
     return stats.seasonal(adapt.candles(spark, d), "close", 24).select("feed", "timestamp", "observed", F.col("phase").cast("int").alias("phase"), *(F.round(c, 8).alias(c) for c in ("trend", "season", "rest")))
 
 
-@query(f"""WITH {CANDLES_SQL}, q AS (SELECT feed, timestamp, close AS observed, row_number() {_W} AS i, (row_number() {_W} - 1) % 24 AS phase,
+_SEASONAL = f"""WITH {CANDLES_SQL}, q AS (SELECT feed, timestamp, close AS observed, row_number() {_W} AS i, (row_number() {_W} - 1) % 24 AS phase,
     CASE WHEN count(close) OVER (PARTITION BY feed ORDER BY timestamp ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) = 25 THEN (sum(close) OVER (PARTITION BY feed ORDER BY timestamp ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) - (lag(close, 12) {_W} + lead(close, 12) {_W}) / 2) / 24 END AS t FROM candles),
   e AS (SELECT feed, min(i) FILTER (t IS NOT NULL) AS a, max(i) FILTER (t IS NOT NULL) AS z FROM q GROUP BY feed),
   k AS (SELECT e.feed, a, z, max(t) FILTER (i = a) AS t1, max(t) FILTER (i = a + 1) AS t2, max(t) FILTER (i = z) AS t4, max(t) FILTER (i = z - 1) AS t3 FROM e JOIN q USING (feed) GROUP BY ALL),
   r AS (SELECT feed, timestamp, observed, phase, CASE WHEN i < a THEN t1 + (i - a) * (t2 - t1) WHEN i > z THEN t4 + (i - z) * (t4 - t3) ELSE t END AS trend FROM q JOIN k USING (feed)),
   p AS (SELECT feed, phase, avg(observed - trend) AS raw FROM r GROUP BY feed, phase), s AS (SELECT feed, phase, raw - avg(raw) OVER (PARTITION BY feed) AS season FROM p)
-  SELECT feed, timestamp, observed, CAST(phase AS INTEGER) AS phase, round(trend, 7) AS trend, round(season, 7) AS season, round(observed - trend - season, 7) AS rest FROM r JOIN s USING (feed, phase)""")
+  SELECT feed, timestamp, observed, CAST(phase AS INTEGER) AS phase, round(trend, 7) AS trend, round(season, 7) AS season, round(observed - trend - season, 7) AS rest FROM r JOIN s USING (feed, phase)"""
+
+
+@query(_SEASONAL)
 def seasonal_extended(spark, d):
     out = stats.seasonal(adapt.candles(spark, d), "close", 24, extend=True)
     return out.select("feed", "timestamp", "observed", F.col("phase").cast("int").alias("phase"), *(F.round(c, 7).alias(c) for c in ("trend", "season", "rest")))
 
 
-@query()
+@query(_SEASONAL.replace("SELECT feed, timestamp, observed, CAST(phase AS INTEGER) AS phase, round(trend, 7) AS trend, round(season, 7) AS season, round(observed - trend - season, 7) AS rest", "SELECT feed, " + ", ".join(f"round(stddev_pop({x}) / stddev_pop(observed), 9) AS {n}" for x, n in (("trend", "trend"), ("season", "season"), ("observed - trend - season", "rest")))) + " GROUP BY feed")
 def relative_energy(spark, d):
-    return stats.relative_energy(stats.seasonal(adapt.candles(spark, d), "close", 24, extend=True))
+    out = stats.relative_energy(stats.seasonal(adapt.candles(spark, d), "close", 24, extend=True))
+    return out.select("feed", *(F.round(c, 9).alias(c) for c in ("trend", "season", "rest")))
 
 
-@query()
+def _box_cox_sql(points: int = 21, rounds: int = 3) -> str:
+    """The same grids as the operator's: each round has `points` exponents around the best of the round before."""
+    z = "z AS (SELECT c.feed, timestamp, m, s, 0.1 - (lo - m) / s AS shift, (close - m) / s + (0.1 - (lo - m) / s) AS z FROM candles c JOIN (SELECT feed, avg(close) AS m, stddev_pop(close) AS s, min(close) AS lo FROM candles GROUP BY feed) f ON c.feed = f.feed)"
+    parts, half = [z, "g0 AS (SELECT DISTINCT feed, 0.0::DOUBLE AS l FROM z)"], 2.0
+    for r in range(rounds):
+        parts.append(f"m{r} AS (SELECT g0.feed, g0.l + {half!r}::DOUBLE * (2 * i / {points - 1}::DOUBLE - 1) AS g FROM g{r} g0, (SELECT unnest(range({points})) AS i))")
+        parts.append(f"l{r} AS (SELECT m.feed, g, (g - 1) * sum(ln(z)) - count(*) / 2.0::DOUBLE * ln(var_pop(CASE WHEN abs(g) < 1e-12 THEN ln(z) ELSE (pow(z, g) - 1) / g END)) AS w FROM m{r} m JOIN z ON m.feed = z.feed GROUP BY m.feed, g)")
+        parts.append(f"g{r + 1} AS (SELECT feed, arg_max(g, w) AS l FROM l{r} GROUP BY feed)")
+        half = half * 2 / (points - 1)
+    return f"WITH {CANDLES_SQL}, {', '.join(parts)} SELECT z.feed, timestamp, round((CASE WHEN abs(l) < 1e-12 THEN ln(z) ELSE (pow(z, l) - 1) / l END - shift) * s + m, 5) AS boxcox FROM z JOIN g{rounds} g ON g.feed = z.feed"
+
+
+@query(_box_cox_sql())
 def box_cox(spark, d):
-    return stats.box_cox(adapt.candles(spark, d).where("feed = 'click'"), "close").select("timestamp", F.round("boxcox", 6).alias("boxcox"))
+    return stats.box_cox(adapt.candles(spark, d), "close").select("feed", "timestamp", F.round("boxcox", 5).alias("boxcox"))
 
 
-@query(f"""WITH {CANDLES_SQL}, r AS (SELECT feed, close AS x, min(close) OVER (PARTITION BY feed) AS lo, max(close) OVER (PARTITION BY feed) AS hi FROM candles),
-  b AS (SELECT feed, lo, hi, coalesce(least(CAST(floor((x - lo) * 20 / nullif(hi - lo, 0)) AS BIGINT), 19), 0) AS bin FROM r), c AS (SELECT feed, bin, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM b GROUP BY feed, bin)
-  SELECT feed, bin, n, lo + bin * ((hi - lo) / 20) AS start, round((CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY feed)) / ((hi - lo) / 20), 9) AS density FROM c""")
+@query(f"""WITH {CANDLES_SQL}, r AS (SELECT feed, close AS x, min(close) OVER (PARTITION BY feed) AS lo, max(close) OVER (PARTITION BY feed) AS hi, greatest(3, least(100, count(*) OVER (PARTITION BY feed) // 5)) AS k FROM candles),
+  b AS (SELECT feed, lo, hi, k, coalesce(least(CAST(floor((x - lo) * k / nullif(hi - lo, 0)) AS BIGINT), k - 1), 0) AS bin FROM r), c AS (SELECT feed, bin, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi, any_value(k) AS k FROM b GROUP BY feed, bin)
+  SELECT feed, bin, n, lo + bin * ((hi - lo) / k) AS start, round((CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY feed)) / ((hi - lo) / k), 9) AS density FROM c""")
 def histogram(spark, d):
-    return stats.histogram(adapt.candles(spark, d), "close", 20).withColumn("density", F.round("density", 9))
+    return stats.histogram(adapt.candles(spark, d), "close").withColumn("density", F.round("density", 9))
 
 
 @query(f"WITH {CANDLES_SQL} SELECT feed, unnest([0.05, 0.5, 0.95])::DOUBLE AS p, round(unnest(quantile_cont(close, [0.05, 0.5, 0.95])), 8) AS value FROM candles GROUP BY feed")
@@ -158,10 +209,10 @@ def quantiles(spark, d):
 
 
 @query(f"""WITH {CANDLES_SQL}, s AS (SELECT feed, count(close) AS n, stddev_samp(close) * pow(count(close), -0.2) AS h, min(close) AS lo, max(close) AS hi FROM candles GROUP BY feed),
-  m AS (SELECT *, lo + (hi - lo) * i / 49 AS x FROM (SELECT *, unnest(range(50)) AS i FROM s))
+  m AS (SELECT *, lo + (hi - lo) * i / 199 AS x FROM (SELECT *, unnest(range(200)) AS i FROM s))
   SELECT m.feed, CAST(i AS INTEGER) AS i, round(any_value(x), 9) AS x, round(sum(exp(-0.5 * pow((x - close) / h, 2)) / (h * sqrt(2 * pi())) / n), 9) AS density FROM m JOIN candles c USING (feed) GROUP BY m.feed, i""")
 def kernel_density(spark, d):
-    return stats.kernel_density(adapt.candles(spark, d), "close", 50).select("feed", "i", F.round("x", 9).alias("x"), F.round("density", 9).alias("density"))
+    return stats.kernel_density(adapt.candles(spark, d), "close", 200).select("feed", "i", F.round("x", 9).alias("x"), F.round("density", 9).alias("density"))
 
 
 # Labels, filters and pages
@@ -177,9 +228,16 @@ def customer_labels(spark, d):
     )
 
 
-@query()
+_SHORT = """CASE WHEN abs(p) >= 1000000 THEN regexp_replace(CAST(round(CAST(p / 1000000 AS DECIMAL(24,8)), 2) AS VARCHAR), '\\.?0+$', '') || 'M'
+  WHEN abs(p) >= 1000 THEN regexp_replace(CAST(round(CAST(p / 1000 AS DECIMAL(24,8)), 2) AS VARCHAR), '\\.?0+$', '') || 'K' ELSE regexp_replace(CAST(round(CAST(p AS DECIMAL(24,8)), 2) AS VARCHAR), '\\.?0+$', '') END"""
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS p FROM orders), s AS (SELECT *, {_SHORT} AS amount FROM o)
+  SELECT o_orderkey, amount, CAST(regexp_extract(amount, '^[0-9.]+') AS DOUBLE) * CASE right(amount, 1) WHEN 'M' THEN 1e6::DOUBLE WHEN 'K' THEN 1e3::DOUBLE ELSE 1e0::DOUBLE END AS parsed,
+  CAST(CAST(round(CAST(p / 1000 AS DECIMAL(24,8)), 2) AS DOUBLE) AS VARCHAR) || '%' AS percent,
+  CASE WHEN p = 0 THEN 0.0::DOUBLE ELSE round_even(p * pow(10::DOUBLE, 2 - floor(log10(abs(p)))), 0) / pow(10::DOUBLE, 2 - floor(log10(abs(p)))) END AS rounded FROM s""")
 def amount_labels(spark, d):
-    o = adapt.table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    o = adapt.table(spark, d, "orders")
     price = F.col("o_totalprice")
     return o.select("o_orderkey", text.short_number(price).alias("amount"), text.parse_number(text.short_number(price)).alias("parsed"), text.percent(price / 1000).alias("percent"), text.significant(price, 3).alias("rounded"))
 
@@ -255,11 +313,12 @@ def hourly_totals(spark, d):
     return bronze.hourly_totals(adapt.table(spark, d, "events"), "ts", "value")
 
 
-@query(f"""WITH {PREDICTIONS_SQL} SELECT contract, slot, ID, "user", stake, payout FROM predictions WHERE slot < 790000000""")
+@query(f"""WITH {PREDICTIONS_SQL} SELECT contract, slot, ID, "user", stake, payout FROM predictions""")
 def network_predictions(spark, d):
-    rows = adapt.predictions(spark, d).where("slot < 790000000")
+    """An answer of the service holds a contract's slots of 30 days, so no row holds all of a contract."""
+    rows = adapt.predictions(spark, d)
     slots = rows.groupBy("contract", "slot").agg(F.collect_list(F.struct(F.col("ID").alias("id"), "user", "stake", "payout")).alias("predictions"))
-    nested = slots.groupBy(F.col("contract").alias("id")).agg(F.collect_list(F.struct("slot", "predictions")).alias("slots"))
+    nested = slots.groupBy(F.col("contract").alias("id"), F.floor(F.col("slot") / (30 * adapt.DAY)).alias("page")).agg(F.collect_list(F.struct("slot", "predictions")).alias("slots"))
     return graph.network_predictions(nested)
 
 
@@ -269,9 +328,9 @@ def pending_payouts(spark, d):
     return found.select("contract", F.concat(F.lit("["), F.array_join(F.col("slots").cast("array<string>"), ", "), F.lit("]")).alias("slots"))
 
 
-@query(f"""WITH {PREDICTIONS_SQL}, {SLOTS_SQL} SELECT contract, slot, roundSumStakesUp / roundSumStakes AS prob_up FROM slots WHERE roundSumStakes > 0 AND contract IN ('c1', 'c2')""")
+@query(f"""WITH {PREDICTIONS_SQL}, {SLOTS_SQL} SELECT contract, slot, roundSumStakesUp / roundSumStakes AS prob_up FROM slots WHERE roundSumStakes > 0""")
 def slot_probabilities(spark, d):
-    rows = adapt.slots(spark, d).where("roundSumStakes > 0 and contract in ('c1', 'c2')")
+    rows = adapt.slots(spark, d).where("roundSumStakes > 0")
     return rows.select("contract", "slot", text.confidence(F.col("roundSumStakesUp"), F.col("roundSumStakes")).alias("prob_up"))
 
 
@@ -305,9 +364,9 @@ def time_axis(spark, d):
     return frames.time_axis(adapt.candles(spark, d), 1000, 60, "timestamp").select("feed", "timestamp", F.col("ut").cast("long").alias("ut"))
 
 
-@query("SELECT 0.0::DOUBLE + (i % 20) * (1.0::DOUBLE / 19) AS a, -1.0::DOUBLE + (i // 20 % 20) * (2.0::DOUBLE / 19) AS b FROM (SELECT unnest(range(400)) AS i)")
+@query("SELECT 0.0::DOUBLE + (i % 200) * (1.0::DOUBLE / 199) AS a, -1.0::DOUBLE + (i // 200 % 200) * (2.0::DOUBLE / 199) AS b FROM (SELECT unnest(range(40000)) AS i)")
 def response_mesh(spark, d):
-    return frames.mesh(spark, {"a": (0.0, 1.0), "b": (-1.0, 1.0)}, 20)
+    return frames.mesh(spark, {"a": (0.0, 1.0), "b": (-1.0, 1.0)}, 200)
 
 
 @query(f"WITH {CANDLES_SQL}, p AS (SELECT *, lag(close) {_W} AS guess FROM candles) SELECT feed, timestamp, guess + first_value(close - guess) OVER (PARTITION BY feed ORDER BY timestamp DESC) AS calibrated FROM p")
@@ -342,7 +401,7 @@ def batched_orders(spark, d):
     return _chunks(spark, d).select("o_orderkey", "o_custkey", "batch")
 
 
-@query(f"WITH {CANDLES_SQL}, s AS (SELECT avg(close) AS m, stddev_pop(close) AS s FROM candles) SELECT feed, timestamp, round((close - m) / s, 8) AS close FROM candles, s")
+@query(f"WITH {CANDLES_SQL}, s AS (SELECT feed, avg(close) AS m, stddev_pop(close) AS s FROM candles GROUP BY feed) SELECT feed, timestamp, round((close - m) / s, 8) AS close FROM candles JOIN s USING (feed)")
 def scaled_candles(spark, d):
     return series.scaled(adapt.candles(spark, d), ["close"]).select("feed", "timestamp", F.round("close", 8).alias("close"))
 
@@ -374,18 +433,18 @@ def nan_flags(spark, d):
 
 
 @query(f"""WITH {CANDLES_SQL}, s AS (SELECT feed, count(close) AS n, avg(close) AS m, stddev_pop(close) AS s, stddev_samp(close) * pow(count(close), -0.2) AS h, min(close) AS lo, max(close) AS hi FROM candles GROUP BY feed),
-  g AS (SELECT *, unnest(range(40)) AS i FROM s), x AS (SELECT *, lo - s / 2 + (hi - lo + s) * i / 39 AS x FROM g),
+  g AS (SELECT *, unnest(range(200)) AS i FROM s), x AS (SELECT *, lo - s / 2 + (hi - lo + s) * i / 199 AS x FROM g),
   k AS (SELECT feed, i, x, m, s, sum(exp(-0.5 * pow((x - close) / h, 2)) / (h * sqrt(2 * pi())) / n) AS pk, any_value(exp(-0.5 * pow((x - m) / s, 2)) / (s * sqrt(2 * pi()))) AS pn FROM x JOIN candles USING (feed) GROUP BY feed, i, x, m, s),
   t AS (SELECT *, max(greatest(pk, pn)) OVER (PARTITION BY feed) AS top FROM k)
   SELECT feed, CAST(i AS INTEGER) AS i, round(x, 8) AS x, round(pn / top, 8) AS pdf_normal, round(pk / top, 8) AS pdf_kernel FROM t""")
 def distribution_densities(spark, d):
-    out = stats.distribution(adapt.candles(spark, d), "close", 40)
+    out = stats.distribution(adapt.candles(spark, d), "close", 200)
     return out.select("feed", "i", *(F.round(c, 8).alias(c) for c in ("x", "pdf_normal", "pdf_kernel")))
 
 
 @query()
 def distribution_shares(spark, d):
-    return stats.distribution(adapt.candles(spark, d), "close", 40).select("feed", "i", "x", "cdf_normal", "cdf_kernel", "nq_normal", "nq_kernel")
+    return stats.distribution(adapt.candles(spark, d), "close", 200).select("feed", "i", "x", "cdf_normal", "cdf_kernel", "nq_normal", "nq_kernel")
 
 
 @query()
@@ -398,11 +457,16 @@ def unit_root_variants(spark, d):
     return stats.unit_root_variants(adapt.candles(spark, d), "close")
 
 
-@query("""WITH p AS (SELECT event_id, -(epoch_us(ts) // 1000) AS timestamp FROM events WHERE event_id < 1000), e AS (SELECT arg_min(timestamp, event_id) AS a, arg_max(timestamp, event_id) AS b FROM p)
-  SELECT event_id, timestamp FROM p, e WHERE a <= b OR timestamp >= a""")
+@query("""WITH p AS (SELECT event_id, event_id // 1000 AS page, CASE WHEN event_id // 1000 % 2 = 0 THEN -(epoch_us(ts) // 1000) ELSE epoch_us(ts) // 1000 - event_id * 7919 % 1009 * 1000000 END AS timestamp FROM events),
+  e AS (SELECT page, arg_min(timestamp, event_id) AS a, arg_max(timestamp, event_id) AS b FROM p GROUP BY page)
+  SELECT event_id, timestamp FROM p JOIN e USING (page) WHERE a <= b OR timestamp >= a""")
 def newest_first_page(spark, d):
-    page = adapt.table(spark, d, "events").where("event_id < 1000").select("event_id", (-F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)).cast("long").alias("timestamp"))
-    return graph.newest_first_cut(page, "event_id")
+    """All events in answers of 1,000: every other one comes with the newest first, the rest in no order."""
+    t = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
+    number = F.floor(F.col("event_id") / 1000)
+    mixed = F.when(number % 2 == 0, -t).otherwise(t - F.col("event_id") * 7919 % 1009 * 1_000_000)
+    pages = adapt.table(spark, d, "events").select("event_id", number.alias("page"), mixed.alias("timestamp"))
+    return graph.newest_first_cut(pages, "event_id", "page").select("event_id", "timestamp")
 
 
 @query(f"""WITH {PREDICTIONS_SQL}, s AS (SELECT DISTINCT contract, slot FROM predictions WHERE payout IS NULL), n AS (SELECT *, (row_number() OVER (PARTITION BY contract ORDER BY slot) - 1) // 3 AS batch FROM s)

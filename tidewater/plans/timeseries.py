@@ -12,54 +12,53 @@ from tidewater.sources.adapt import CANDLES_SQL, HOUR_MS, PAYOUTS_SQL, PREDICTIO
 
 FEE = 0.0125
 S = "CAST(sum(CAST({} AS DECIMAL(18,4))) AS DOUBLE)".format
-_RUN = 'OVER (PARTITION BY "user", contract ORDER BY slot, seq ROWS UNBOUNDED PRECEDING)'
-_CURVES = f"""r AS (SELECT "user", contract, slot, seq, count(*) {_RUN} AS n, count(*) FILTER (payout > 0) {_RUN} AS n_correct,
+_RUN = 'OVER (PARTITION BY "user", contract ORDER BY slot, seq, stake, payout NULLS FIRST ROWS UNBOUNDED PRECEDING)'
+_CURVES_SQL = f"""r AS (SELECT "user", contract, slot, seq, stake, payout, count(*) {_RUN} AS n, count(*) FILTER (payout > 0) {_RUN} AS n_correct,
     CAST(sum(CAST(greatest(coalesce(payout, 0), 0) - stake AS DECIMAL(18,4))) {_RUN} AS DOUBLE) AS profit FROM predictions),
   c AS (SELECT *, CAST(n_correct AS DOUBLE) / n AS p, sqrt(p * (1 - p) / n) * 1.959963984540054::DOUBLE AS h FROM r),
-  curves AS (SELECT "user", contract, slot, seq, n, n_correct, profit, p * 100 AS accuracy, greatest(p - h, 0.0) * 100 AS low, least(p + h, 1.0) * 100 AS high FROM c)"""
+  curves AS (SELECT "user", contract, slot, seq, stake, payout, n, n_correct, profit, p * 100 AS accuracy, greatest(p - h, 0.0) * 100 AS low, least(p + h, 1.0) * 100 AS high FROM c)"""
 
 
-def _rows(spark, d):
-    """Rows of one (user, contract, slot, seq) are told apart by nothing else, so they are first added up."""
-    return adapt.predictions(spark, d).groupBy("user", "contract", "slot", "seq").agg(F.max("stake").alias("stake"), F.max("payout").alias("payout"))
+#: seq is not unique, so stake and payout follow; rows that are still equal may change places unnoticed.
+_ORDER = ("slot", "seq", "stake", "payout")
 
 
-_UNIQUE = f"{PREDICTIONS_SQL.replace('predictions AS (', 'every AS (')}, predictions AS (SELECT \"user\", contract, slot, seq, max(stake) AS stake, max(payout) AS payout FROM every GROUP BY ALL)"
+def _curves(spark, d):
+    return curves.running_curves(adapt.predictions(spark, d), order=_ORDER)
 
 
-@query(f"WITH {_UNIQUE}, {_CURVES} SELECT * FROM curves")
+@query(f"WITH {PREDICTIONS_SQL}, {_CURVES_SQL} SELECT * FROM curves")
 def running_curves(spark, d):
-    return curves.running_curves(_rows(spark, d))
+    return _curves(spark, d)
 
 
-@query(f"""WITH {_UNIQUE}, {_CURVES} SELECT "user", contract, max(n) AS n, max(n_correct) AS n_correct, arg_max(profit, n) AS profit, max(n) * 2 * 0.0125::DOUBLE AS tx_cost FROM curves GROUP BY "user", contract""")
+@query(f"""WITH {PREDICTIONS_SQL}, {_CURVES_SQL} SELECT "user", contract, max(n) AS n, max(n_correct) AS n_correct, arg_max(profit, n) AS profit, max(n) * 2 * 0.0125::DOUBLE AS tx_cost FROM curves GROUP BY "user", contract""")
 def series_totals(spark, d):
-    return curves.series_totals(curves.running_curves(_rows(spark, d)), FEE)
+    return curves.series_totals(_curves(spark, d), FEE)
 
 
-@query(f"""WITH {_UNIQUE}, {_CURVES}, t AS (SELECT "user", contract, max(n) AS n, max(n_correct) AS k, arg_max(profit, n) AS profit FROM curves GROUP BY "user", contract)
+@query(f"""WITH {PREDICTIONS_SQL}, {_CURVES_SQL}, t AS (SELECT "user", contract, max(n) AS n, max(n_correct) AS k, arg_max(profit, n) AS profit FROM curves GROUP BY "user", contract)
   SELECT {S('profit')} AS total_profit, {S('n * 2 * 0.0125::DOUBLE')} AS total_cost, CAST(sum(k) AS DOUBLE) * 100 / sum(n) AS avg_accuracy, (SELECT {S('stake')} / count(stake) FROM predictions) AS avg_stake FROM t""")
 def portfolio(spark, d):
-    rows = _rows(spark, d)
-    return curves.portfolio(curves.running_curves(rows), rows, FEE)
+    return curves.portfolio(_curves(spark, d), adapt.predictions(spark, d), FEE)
 
 
 def _figures(by: str) -> str:
-    run = f"OVER (PARTITION BY {by} ORDER BY slot, seq, other ROWS UNBOUNDED PRECEDING)"
+    run = f"OVER (PARTITION BY {by} ORDER BY slot, seq, other, stake, payout NULLS FIRST ROWS UNBOUNDED PRECEDING)"
     other = "contract" if "user" in by else '"user"'
-    return f"""WITH {_UNIQUE}, o AS (SELECT *, {other} AS other FROM predictions), r AS (SELECT *, count(*) {run} AS cnt, count(*) FILTER (payout > 0) {run} AS hit FROM o),
+    return f"""WITH {PREDICTIONS_SQL}, o AS (SELECT *, {other} AS other FROM predictions), r AS (SELECT *, count(*) {run} AS cnt, count(*) FILTER (payout > 0) {run} AS hit FROM o),
       s AS (SELECT {by}, slot, {S('stake')} AS stake, {S('greatest(coalesce(payout, 0), 0) - stake')} AS profit, {S('coalesce(payout, 0)')} AS income, count(*) AS count, CAST(sum(hit) AS DOUBLE) * 100 / sum(cnt) AS accuracy FROM r GROUP BY {by}, slot)
       SELECT *, CAST(sum(CAST(profit AS DECIMAL(18,4))) OVER (PARTITION BY {by} ORDER BY slot ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cum_profit FROM s"""
 
 
 @query(_figures("contract"))
 def feed_figures(spark, d):
-    return curves.slot_figures(_rows(spark, d), "contract", ("slot", "seq", "user"))
+    return curves.slot_figures(adapt.predictions(spark, d), "contract", ("slot", "seq", "user", "stake", "payout"))
 
 
 @query(_figures('"user"'))
 def user_figures(spark, d):
-    return curves.slot_figures(_rows(spark, d), "user", ("slot", "seq", "contract"))
+    return curves.slot_figures(adapt.predictions(spark, d), "user", ("slot", "seq", "contract", "stake", "payout"))
 
 
 END = 896_400_000 // 86_400 * 86_400 + 86_400

@@ -24,9 +24,14 @@ def _day_seconds(c: str):
 
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contract, pair, timeframe, source."""
+    return _feeds(spark, sf_dir).drop("s_suppkey")
+
+
+def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     ticker = F.element_at(F.array(*map(F.lit, TICKERS)), (F.col("s_suppkey") % len(TICKERS) + 1).cast("int"))
     return s.join(n, s.s_nationkey == n.n_nationkey).select(
+        "s_suppkey",
         F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("contract"),
         F.concat(ticker, F.lit("/USDT")).alias("pair"),
         F.when(F.col("s_suppkey") % 2 == 0, "5m").otherwise("1h").alias("timeframe"),
@@ -39,8 +44,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     flag, price = F.col("l_returnflag"), F.col("l_extendedprice")
-    rows = li.join(o, li.l_orderkey == o.o_orderkey).select(
-        F.concat(F.lit("c"), F.col("l_suppkey").cast("string")).alias("contract"),
+    rows = li.join(_feeds(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")).join(o, li.l_orderkey == o.o_orderkey)
+    rows = rows.select(
+        "contract",
         F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user"),
         (_day_seconds("o_orderdate") + DAY).alias("slot"),
         (_day_seconds("o_orderdate") * 1000).alias("timestamp"),
@@ -49,9 +55,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         price.alias("stake"),
         F.when(flag == "A", price * (2 - F.col("l_discount"))).when(flag == "R", 0.0).alias("payout"),
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
+        "pair",
+        "timeframe",
+        "source",
     )
-    f = feeds(spark, sf_dir)
-    return rows.join(f, "contract").withColumn("ID", F.concat_ws("-", "contract", "slot", "user"))
+    return rows.withColumn("ID", F.concat_ws("-", "contract", "slot", "user"))
 
 
 PREDICTIONS_SQL = """

@@ -11,6 +11,7 @@ import json
 import time
 import urllib.request
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,17 @@ PREDICTION = (
     "slot struct<slot: long, predictContract: struct<id: string, token: struct<name: string>, secondsPerEpoch: long, nftData: array<struct<key: string, value: string>>>>"
 )
 SLOT = ("id string, slot long, status string, trueValues array<struct<id: string, trueValue: boolean>>, roundSumStakesUp double, roundSumStakes double")
+TRUE_VALUE = "id string, timestamp long, trueValue boolean, slot struct<id: string, predictContract: struct<token: struct<name: string>>, revenue: double, roundSumStakesUp: double, roundSumStakes: double>"
+PAYOUT = (
+    "id string, timestamp long, payout double, predictedValue boolean, trueValue boolean, "
+    "prediction struct<stake: double, user: struct<id: string>, slot: struct<id: string, predictContract: struct<id: string, token: struct<name: string>>>>"
+)
+SUBSCRIPTION = (
+    "id string, txId string, timestamp long, user struct<id: string>, "
+    "predictContract struct<id: string, token: struct<name: string>, secondsPerEpoch: long, nftData: array<struct<key: string, value: string>>>"
+)
+#: What a subscription costs; the service does not tell.
+SUBSCRIPTION_PRICE = 3.0
 NETWORK = ("id string, secondsPerEpoch long, slots array<struct<slot: long, predictions: array<struct<id: string, user: string, stake: double, payout: double>>>>")
 
 
@@ -102,15 +114,16 @@ def contract_info(contract: Column, source: str = "binance") -> Column:
     return F.when(F.size(data) > 0, said).otherwise(F.struct(contract["token"]["name"].alias("pair"), frame.alias("timeframe"), F.lit(source).alias("source")))
 
 
-def newest_first_cut(page: DataFrame, order: str = "_page_row") -> DataFrame:
-    """A page that ends earlier than it begins loses the rows earlier than its first.
+def newest_first_cut(pages: DataFrame, order: str = "_page_row", page: str | None = None) -> DataFrame:
+    """A page that ends earlier than it begins loses the rows earlier than its first; without `page` all rows are one page.
 
-    Only this many rows come in one answer of the service, so first and last are two rows
-    found by partial aggregates and joined back as one.
+    First and last of each page are found by partial aggregates and joined back.
     """
-    ends = page.agg(F.min_by("timestamp", order).alias("_first"), F.max_by("timestamp", order).alias("_last"))
+    if page is None:
+        return newest_first_cut(pages.withColumn("_page", F.lit(0)), order, "_page").drop("_page")
+    ends = pages.groupBy(page).agg(F.min_by("timestamp", order).alias("_first"), F.max_by("timestamp", order).alias("_last"))
     kept = (F.col("_first") <= F.col("_last")) | (F.col("timestamp") >= F.col("_first"))
-    return page.join(F.broadcast(ends), kept).drop("_first", "_last")
+    return pages.join(ends, page).where(kept).drop("_first", "_last")
 
 
 def true_value_batches(pending: DataFrame, size: int) -> DataFrame:
@@ -135,6 +148,53 @@ def flat_predictions(nested: DataFrame, start: int, end: int, contracts: list[st
     )
 
 
+def _slot_of(c: str) -> Column:
+    """The slot in an id `contract-slot-...`."""
+    return F.split_part(F.col(c), F.lit("-"), F.lit(2)).cast("long")
+
+
+def flat_true_values(nested: DataFrame, start: int, end: int, contracts: list[str] | None = None) -> DataFrame:
+    """One row per settled slot with start <= timestamp <= end; amounts that the service leaves out are zero."""
+    rows = nested.where(F.col("timestamp").between(start, end))
+    rows = rows if contracts is None else rows.where(F.split_part("slot.id", F.lit("-"), F.lit(1)).isin(contracts))
+    amount = lambda c: F.coalesce(F.col(f"slot.{c}"), F.lit(0.0)).alias(c)
+    return rows.select(
+        F.col("id").alias("ID"), (F.col("timestamp") * 1000).alias("timestamp"), F.col("slot.predictContract.token.name").alias("token"), F.col("trueValue").alias("truevalue"), _slot_of("id").alias("slot"),
+        amount("revenue"), amount("roundSumStakesUp"), amount("roundSumStakes"),
+    )
+
+
+def flat_payouts(nested: DataFrame, start: int, end: int, contracts: list[str]) -> DataFrame:
+    """One row per payout with start <= timestamp <= end whose id holds one of the contracts anywhere."""
+    of = reduce(Column.__or__, (F.contains(F.col("id"), F.lit(c)) for c in contracts), F.lit(False))
+    return nested.where(F.col("timestamp").between(start, end) & of).select(
+        F.col("id").alias("ID"), F.col("prediction.slot.predictContract.token.name").alias("token"), F.col("prediction.user.id").alias("user"), _slot_of("id").alias("slot"),
+        (F.col("timestamp") * 1000).alias("timestamp"), "payout", F.col("predictedValue").alias("predvalue"), F.col("trueValue").alias("truevalue"), F.col("prediction.stake").alias("stake"),
+    )
+
+
+def flat_subscriptions(nested: DataFrame, start: int, end: int, contracts: list[str] | None = None) -> DataFrame:
+    """One row per subscription with start < timestamp < end, at the one price that there is."""
+    contract = F.col("predictContract.id")
+    rows = nested.where((F.col("timestamp") > start) & (F.col("timestamp") < end))
+    rows = rows.where(contract.isin([c.lower() for c in contracts])) if contracts else rows
+    return rows.withColumn("_info", contract_info(F.col("predictContract"))).select(
+        F.col("id").alias("ID"), F.col("_info.pair").alias("pair"), F.col("_info.timeframe").alias("timeframe"), F.col("_info.source").alias("source"),
+        (F.col("timestamp") * 1000).alias("timestamp"), F.col("txId").alias("tx_id"), F.lit(SUBSCRIPTION_PRICE).alias("last_price_value"), F.col("user.id").alias("user"),
+    )
+
+
+def slots_by_contract(nested: DataFrame) -> DataFrame:
+    """contract, slots: what slot records there are of each contract, in order of time; one row per contract and 30 days."""
+    rows = nested.select(F.split_part("id", F.lit("-"), F.lit(1)).alias("contract"), F.floor(F.col("slot") / (30 * 86_400)).alias("month"), "slot", F.col("id").alias("ID"), F.get("trueValues", 0)["trueValue"].alias("truevalue"))
+    return rows.groupBy("contract", "month").agg(F.array_sort(F.collect_list(F.struct("slot", "ID", "truevalue"))).alias("slots"))
+
+
+def epoch_seconds(nested: DataFrame, owners: list[str], allowed: list[str] | None = None) -> DataFrame:
+    """contract and its seconds per epoch, of the contracts that feed_contracts() keeps."""
+    return feed_contracts(nested, owners, allowed).select(F.col("id").alias("contract"), "secondsPerEpoch")
+
+
 def flat_slots(nested: DataFrame) -> DataFrame:
     """The first true value of each slot, null where there is none."""
     return nested.select(F.col("id").alias("ID"), F.col("slot"), F.get("trueValues", 0)["trueValue"].alias("truevalue"), "status", "roundSumStakesUp", "roundSumStakes")

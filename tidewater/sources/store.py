@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -55,10 +57,37 @@ class Catalog:
 
     def replace(self, df: DataFrame, name: str) -> None:
         """New rows for a table that df may itself read: written aside, then swapped in."""
-        aside = f"{name}_{uuid.uuid4().hex[:8]}"
-        self.create(df, aside)
-        self.drop(name)
-        self.spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
+        self.replace_all({name: df})
+
+    def replace_all(self, frames: dict[str, DataFrame]) -> None:
+        """Several tables replaced together: all are written aside first, then swapped in by renames.
+
+        What there was stays under another name until all are in place, and comes back if a
+        rename fails. So a step of several tables takes effect as a whole or not at all.
+        """
+        mark = uuid.uuid4().hex[:8]
+        try:
+            for name, df in frames.items():
+                self.create(df, f"{name}_new_{mark}")
+        except Exception:
+            for name in frames:
+                self.drop(f"{name}_new_{mark}")
+            raise
+        moved: list[tuple[str, str]] = []
+        try:
+            for name in frames:
+                for a, b in ((name, f"{name}_old_{mark}"), (f"{name}_new_{mark}", name)):
+                    if self.exists(a):
+                        self.spark.sql(f"ALTER TABLE {a} RENAME TO {b}")
+                        moved.append((a, b))
+        except Exception:
+            for a, b in reversed(moved):
+                self.spark.sql(f"ALTER TABLE {b} RENAME TO {a}")
+            for name in frames:
+                self.drop(f"{name}_new_{mark}")
+            raise
+        for name in frames:
+            self.drop(f"{name}_old_{mark}")
 
     def move(self, source: str, target: str) -> None:
         self.insert(self.spark.table(source), target)
@@ -69,8 +98,10 @@ class Catalog:
         self.replace(self.spark.table(name).join(reference.select(key).distinct(), key, "left_anti").select(self.spark.table(name).columns), name)
 
     def update(self, name: str, changes: DataFrame, key: str) -> None:
-        """Set the columns that `changes` has, where it has the key."""
+        """Set the columns that `changes` has, where it has the key; of several changes of a key the largest counts."""
         old = self.spark.table(name)
+        others = [c for c in changes.columns if c != key]
+        changes = changes.groupBy(key).agg(F.max(F.struct(*others)).alias("_x")).select(key, "_x.*")
         new = changes.select(key, *(F.col(c).alias(f"_{c}") for c in changes.columns if c != key), F.lit(True).alias("_hit"))
         cols = [F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if f"_{c}" in new.columns else F.col(c) for c in old.columns]
         self.replace(old.join(new, key, "left").select(cols), name)
@@ -107,14 +138,29 @@ class Catalog:
 def high_water(spark: SparkSession, path: str, column: str = "timestamp") -> int | None:
     """The largest time in exported files, none where nothing is exported."""
     try:
-        return spark.read.parquet(path).agg(F.max(column)).first()[0]
-    except AnalysisException:
-        return None
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return found.agg(F.max(column)).first()[0]
+
+
+def export_due(spark: SparkSession, path: str, seconds: float, column: str = "timestamp", now: float | None = None) -> bool:
+    """Is the newest exported time (ms) at least so many seconds ago?"""
+    return (time.time() if now is None else now) - (high_water(spark, path, column) or 0) / 1000 >= seconds
 
 
-def export(df: DataFrame, path: str, column: str = "timestamp", most_files: int | None = None) -> int:
-    """Append what is newer than the exported files; rewrite all when there are more than `most_files`."""
+def export(df: DataFrame, path: str, column: str = "timestamp", most_files: int | None = None, most_age: float | None = None) -> int:
+    """Append what is newer than the exported files; rewrite all when there are more than `most_files`.
+
+    With `most_age`, as for enriched tables whose old rows change, all is also rewritten once
+    the oldest exported file is more than so many seconds old.
+    """
     spark = df.sparkSession
+    if most_age is not None and (old := _oldest(spark, path)) is not None and time.time() - old > most_age:
+        df.write.mode("overwrite").parquet(path)
+        return df.count()
     done = high_water(spark, path, column)
     if done is not None and most_files is not None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -130,6 +176,15 @@ def export(df: DataFrame, path: str, column: str = "timestamp", most_files: int
     return n
 
 
+def _oldest(spark: SparkSession, path: str) -> float | None:
+    """When the oldest parquet file of a folder was written, in seconds."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    return min((s.getModificationTime() / 1000 for s in fs.listStatus(at) if s.getPath().getName().endswith(".parquet")), default=None)
+
+
 _RANGE = re.compile(r"from=(-?\d+)-to=(-?\d+)")
 
 
@@ -241,3 +296,65 @@ def replay(log: CsvLog, catalog: Catalog, table: str) -> int:
     if n:
         catalog.insert(newer, table)
     return n
+
+
+def append_to_both(df: DataFrame, log: CsvLog, catalog: Catalog, table: str) -> None:
+    """New rows go into the log first and then into the table; replay() brings in what a failure leaves out."""
+    log.append(df)
+    catalog.insert(df, table)
+
+
+def append_run(spark: SparkSession, path: str, run: int, figures: dict[str, float], point: dict[str, object]) -> None:
+    """One row of a sweep: its number, its figures to four digits and its settings, as CSV with a header."""
+    shown = {"run": run} | {k: f"{v:.4f}" for k, v in figures.items()} | {k: f"{v:.4f}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v) for k, v in point.items()}
+    spark.createDataFrame([tuple(str(v) for v in shown.values())], ", ".join(f"`{k}` string" for k in shown)).coalesce(1).write.mode("append").option("header", True).csv(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def save_state(spark: SparkSession, path: str, state: dict) -> None:
+    """A dictionary of plain values as one JSON text, replaced as a whole."""
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_state(spark: SparkSession, path: str) -> dict | None:
+    """What save_state() wrote last, None where there is nothing."""
+    try:
+        return json.loads(spark.read.text(path).first()[0])
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+class Registry:
+    """The tables of the lake with their schemas, and the steps that fill them, in order."""
+
+    def __init__(self) -> None:
+        self.schemas: dict[str, T.StructType] = {}
+        self.steps: list[tuple[str, Callable[[SparkSession], DataFrame]]] = []
+
+    def table(self, name: str, schema: T.StructType) -> None:
+        self.schemas[name] = schema
+
+    def step(self, name: str) -> Callable:
+        """Register a function of the session that gives a table its new rows."""
+
+        def put(f: Callable[[SparkSession], DataFrame]) -> Callable[[SparkSession], DataFrame]:
+            self.steps.append((name, f))
+            return f
+
+        return put
+
+    def create(self, catalog: Catalog) -> None:
+        """Make the registered tables that are missing."""
+        for name, schema in self.schemas.items():
+            catalog.create_empty(name, schema)
+
+    def run(self, catalog: Catalog) -> None:
+        """All steps in order; a step's rows are appended."""
+        self.create(catalog)
+        for name, f in self.steps:
+            catalog.insert(f(catalog.spark), name)

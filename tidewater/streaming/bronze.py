@@ -1,17 +1,22 @@
 """Incremental enrichment of predictions with settlements that come late.
 
-merge() is one step as a pure function of DataFrames. BronzeStore writes each result as a
-new snapshot and moves a pointer last, so readers see a whole snapshot and a failed step
-changes nothing. stream() feeds a settlement stream through the same step per micro-batch.
+merge() is one step as a pure function of DataFrames. BronzeStore keeps the result in parts
+and writes those that a step touches; a manifest is published last, so readers see a whole
+relation and a failed step changes nothing. stream() feeds a settlement stream through the same step per micro-batch.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+DAY_MS = 86_400_000
 VALUES = ("predvalue", "truevalue", "stake", "revenue", "payout")
 _KINDS = {"boolean": T.BooleanType(), "double": T.DoubleType(), "long": T.LongType(), "string": T.StringType()}
 _COLUMNS = {
@@ -31,9 +36,10 @@ def in_window(start: int, end: int, first: bool) -> Column:
 
 
 def new_events(predictions: DataFrame, start: int, end: int, first: bool) -> DataFrame:
-    """Predictions of the window, one per ID, their values not known yet."""
+    """Predictions of the window, one per ID, the earliest; their values are not known yet."""
     kinds = {f.name: f.dataType for f in BRONZE}
-    rows = predictions.where(in_window(start, end, first)).dropDuplicates(["ID"])
+    kept = ("timestamp", "contract", "slot", "user", "pair", "timeframe", "source")
+    rows = predictions.where(in_window(start, end, first)).groupBy("ID").agg(F.min(F.struct(*kept)).alias("_x")).select("ID", "_x.*")
     return rows.select(
         "ID", F.concat_ws("-", F.split_part("ID", F.lit("-"), F.lit(1)), F.split_part("ID", F.lit("-"), F.lit(2))).alias("slot_id"), "contract", "slot", "user", "pair", "timeframe", "source",
         *(F.lit(None).cast(kinds[v]).alias(v) for v in VALUES), "timestamp", F.col("timestamp").alias("last_event_timestamp"),
@@ -72,7 +78,15 @@ def run_windows(predictions: DataFrame, payouts: DataFrame, cuts: list[int]) ->
 
 
 class BronzeStore:
-    """Snapshots below a path, and a pointer to the one that counts."""
+    """The relation in parts by day of the prediction, and numbered manifests that say which files of parts count.
+
+    An update writes the parts that its events touch and leaves the others where they are.
+    A manifest holds also how far the events are done. It appears by a rename, so readers
+    see the relation before or after an update and a failed one changes nothing.
+    """
+
+    #: Manifests that stay, for readers that have begun.
+    KEPT = 2
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -81,21 +95,60 @@ class BronzeStore:
     def _hadoop(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
+    def _manifests(self) -> list[str]:
+        return sorted(p.getPath().getName() for p in self._fs.globStatus(self._hadoop("MANIFEST-*")) or [])
+
+    def _state(self) -> dict:
+        found = self._manifests()
+        return json.loads(self.spark.read.text(f"{self.path}/{found[-1]}").first()[0]) if found else {"version": 0, "parts": {}, "done": None}
+
     def current(self) -> int | None:
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0]) if self._fs.exists(self._hadoop("CURRENT")) else None
+        return self._state()["version"] or None
 
     def read(self) -> DataFrame | None:
-        n = self.current()
-        return None if n is None else self.spark.read.schema(BRONZE).parquet(f"{self.path}/snapshot-{n}")
-
-    def publish(self, df: DataFrame) -> None:
-        n = (-1 if (now := self.current()) is None else now) + 1
-        df.select(BRONZE.names).write.mode("overwrite").parquet(f"{self.path}/snapshot-{n}")
-        out = self._fs.create(self._hadoop("CURRENT"), True)
-        out.write(bytearray(str(n).encode()))
+        state = self._state()
+        return self._read(state, list(state["parts"])) if state["version"] else None
+
+    def _read(self, state: dict, days: list[str]) -> DataFrame:
+        folders = [f"{self.path}/{state['parts'][d]}" for d in days]
+        return self.spark.read.schema(BRONZE).parquet(*folders) if folders else self.spark.createDataFrame([], BRONZE)
+
+    def _publish(self, state: dict, changes: dict) -> None:
+        state = state | changes | {"version": state["version"] + 1}
+        name = f"MANIFEST-{state['version']:08d}"
+        out = self._fs.create(self._hadoop(f".{name}"), True)
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        if n >= 2:
-            self._fs.delete(self._hadoop(f"snapshot-{n - 2}"), True)  # the last one stays for readers that have begun
+        if not self._fs.rename(self._hadoop(f".{name}"), self._hadoop(name)):
+            raise RuntimeError(f"another writer published {name} of {self.path}")
+        held, used = self._manifests(), set()
+        for m in held[-self.KEPT :]:
+            used |= {f.split("/")[0] for f in json.loads(self.spark.read.text(f"{self.path}/{m}").first()[0])["parts"].values()}
+        for m in held[: -self.KEPT]:
+            self._fs.delete(self._hadoop(m), True)
+        for f in self._fs.listStatus(self._hadoop("")):
+            n = f.getPath().getName()
+            if n.startswith("data-") and n not in used:
+                self._fs.delete(self._hadoop(n), True)
+
+    def apply(self, predictions: DataFrame, updates: DataFrame, done: int | None = None) -> None:
+        """Merge new predictions and collapsed updates (one row per ID) into the parts that they touch."""
+        state = self._state()
+        day = F.coalesce(F.floor(F.col("timestamp") / DAY_MS).cast("string"), F.lit("none"))
+        name = f"data-{state['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
+        days = {r[0] for r in predictions.select(day.alias("d")).distinct().collect()}
+        if state["version"]:  # parts that hold an ID of the new events
+            ids = updates.select("ID").union(predictions.select("ID"))
+            found = self._read(state, list(state["parts"])).select("ID", day.alias("d")).join(ids, "ID", "left_semi").select("d").distinct()
+            days |= {r[0] for r in found.collect()}
+        touched = sorted(days & set(state["parts"]))
+        prod = self._read(state, touched) if state["version"] else None
+        out = merge(prod, predictions, updates).withColumn("_day", day)
+        out.repartition("_day").write.partitionBy("_day").parquet(f"{self.path}/{name}")
+        new = {p.getPath().getName().removeprefix("_day="): f"{name}/{p.getPath().getName()}" for p in self._fs.globStatus(self._hadoop(f"{name}/_day=*"))}
+        if not set(new) <= days:
+            raise RuntimeError(f"events of days that were not read: {sorted(set(new) - days)}")
+        self._publish(state, {"parts": state["parts"] | new, "done": state["done"] if done is None else done})
 
     def high_water(self) -> int | None:
         prod = self.read()
@@ -103,30 +156,28 @@ class BronzeStore:
 
     def update(self, predictions: DataFrame, payouts: DataFrame, end: int, start: int = 0) -> None:
         """One incremental run from the last event time up to `end`; it raises what goes wrong."""
-        done = self._progress()
+        done = self._state()["done"]
         first = done is None
         begin = start if first else done
         if begin > end:
             raise ValueError(f"the window ends at {end}, before it begins at {begin}")
-        self.publish(merge(self.read(), new_events(predictions, begin, end, first), update_events(payouts, begin, end, first)))
-        out = self._fs.create(self._hadoop("PROGRESS"), True)
-        out.write(bytearray(str(end).encode()))
-        out.close()
+        self.apply(new_events(predictions, begin, end, first), update_events(payouts, begin, end, first), end)
 
-    def _progress(self) -> int | None:
-        return int(self.spark.read.text(f"{self.path}/PROGRESS").first()[0]) if self._fs.exists(self._hadoop("PROGRESS")) else None
 
+def stream(payouts: DataFrame, predictions: Callable[[int | None], DataFrame], store: BronzeStore, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Merge a stream of settlements into the store; a replayed batch gives the same relation.
 
-def stream(payouts: DataFrame, predictions: DataFrame, store: BronzeStore, checkpoint: str) -> StreamingQuery:
-    """Merge a stream of settlements into the store; a replayed batch gives the same snapshot."""
+    `predictions` gives those after a time in ms, or all for None: it is asked in each batch
+    from the newest prediction of the store on, so predictions that come later are added too.
+    Without `every` the stream ends with what there is; with it, it goes on at that interval.
+    """
     far = 1 << 62
 
     def step(batch: DataFrame, _: int) -> None:
-        prod = store.read()
-        new = new_events(predictions, 0, far, True) if prod is None else prod.limit(0)
-        store.publish(merge(prod, new, update_events(batch, 0, far, True)))
+        store.apply(new_events(predictions(store.high_water()), 0, far, True), update_events(batch, 0, far, True))
 
-    return payouts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return payouts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def hourly_totals(events: DataFrame, time: str, value: str, late: str = "10 minutes") -> DataFrame:
