@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -89,6 +90,29 @@ def test_toxicity_learns_and_handles_edges(spark):
     assert {r.score for r in toxicity.classify(docs, none).collect()} == {0.5}
 
 
+def test_toxicity_scores_as_windows_compress(spark):
+    """Every window on its own, with one-shot compressors and sums by definition."""
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(["snarfle", "frobnicating", "Ärger"]) if rng.random() < 0.1 else f"w{rng.randrange(900)}" for _ in range(n))
+    model = toxicity.Distance(b" ".join(b"w%d" % i for i in range(900)), b" snarfle and frobnicating things ", (-1.0, 0.3, 0.2, 0.1, -0.5, 0.4, 0.2, 0.1, 0.6))
+    texts = [text(n) for n in (1, 4, 5, 6, 300, 9000)] + [None, "", "SNARFLE Snarfle", "x" * 5000]
+    got = {r.doc_id: r.score for r in toxicity.classify(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), model).collect()}
+
+    def length(window, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=toxicity.LEVEL)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    for i, t in enumerate(texts):
+        if i == 5:
+            continue  # a long text, for memory and batches only
+        words = (t or "").encode().lower().split()
+        gains = [length(w := b" " + b" ".join(words[k : k + 5]) + b" ", model.ordinary) - length(w, model.toxic + model.ordinary) for k in range(0, len(words), 5)]
+        top = sorted([*gains, 0, 0, 0])[::-1][:3]
+        x = [1.0, *(min(12, max(-4, g)) for g in top), np.log1p(len(gains)) / 10, np.log1p(sum(max(g - 1, 0) for g in gains)), np.log1p(sum(g >= 3 for g in gains)), np.log1p(sum(g >= 2 for g in gains)), min(2, max(-2, sum(gains) / max(1, len(gains))))]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.dot(x, model.weights))), abs=1e-9)
+
+
 # Packing
 
 

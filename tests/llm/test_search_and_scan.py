@@ -173,6 +173,7 @@ def test_weak_parts_need_each_other():
     text = f"client_id: alice42 at https://db.example/x with {key}"
     assert [k for *_, k in secrets.linked([], secrets.weak_parts(text))] == ["linked_id", "linked_endpoint", "linked_key"]
     assert secrets.linked([], secrets.weak_parts(f"client_id: alice42{' ' * 500}{key}")) == []
+    assert [k for *_, k in secrets.linked([], secrets.weak_parts(f"client_id: alice42 {key * 12}=="))] == ["linked_id", "linked_key"]
 
 
 def test_scan_secrets(spark):

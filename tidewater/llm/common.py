@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bits of the bitmap that keeps rows out of a join: 4 MB.
+SIEVE_BITS = 1 << 25
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
@@ -67,3 +71,19 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two columns that tell rows apart by what they hold, also where doc_id is null or repeated."""
     parts = [doc_id.isNull(), doc_id.cast("string"), text.isNull(), text]  # a hash alone skips nulls
     return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")]
+
+
+def sieve(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """rows without most of those whose columns `by` are not in keys; none of the others is lost.
+
+    Keys set bits in a bitmap of SIEVE_BITS bits, which is all that is broadcast, however
+    many keys there are. Where they fill it, rows pass that a join drops later.
+    """
+    at = F.pmod(F.xxhash64(*by), F.lit(SIEVE_BITS))
+    part, bit = F.floor(at / 32768).alias("__part"), (at % 32768).alias("__bit")
+    bits = keys.select(part, bit).groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    bits = materialize(bits, "sieve")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = rows.withColumns({"__part": part, "__bit": bit}).join(F.broadcast(bits), "__part")
+    mask = F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (F.col("__bit") % 8 + 1).cast("int"))
+    return found.where(byte.bitwiseAND(mask) != 0).select(*rows.columns)

@@ -27,7 +27,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: Weak parts: identifiers, key-shaped words and places to use them.
 _KEY_ID = re.compile(r"""(?:client_?id|access_?key(?:_?id)?|account_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}""", re.IGNORECASE | re.ASCII)
 _ENDPOINT = re.compile(r"(?:https?|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3|ftp)://[^\s\"'<>]+", re.ASCII)
-_KEY_LIKE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+_KEY_LIKE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 
 KINDS = ("assign", "access", "hex", "linked_id", "linked_key", "linked_endpoint")
 Span = tuple[int, int, str]

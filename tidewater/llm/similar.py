@@ -18,15 +18,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidewater.llm import simhash
-from tidewater.llm.common import columns_of, materialize, row_key
+from tidewater.llm.common import columns_of, materialize, row_key, sieve
 from tidewater.llm.components import connected_components
 
 SEED = 42
 WIDTH = 5
 BANDS, ROWS = 18, 5
 _CHUNK = 512
-#: Bits of the bitmap that keeps texts out of a join: 4 MB.
-SIEVE_BITS = 1 << 25
 _RANDOM = np.random.default_rng(SEED)
 _FLIP = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 _TIMES = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
@@ -92,22 +90,6 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*(f"{n} {t}" for n, t in rows.dtypes if n != "text"), "node long, size long, fp long, bands array<long>"]))
 
 
-def _sieve(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """rows without most of those whose `key` is not in keys; none of the others is lost.
-
-    Keys set bits in a bitmap of SIEVE_BITS bits, which is all that is broadcast, however
-    many keys there are. Where they fill it, rows pass that a join drops later.
-    """
-    at = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
-    part, bit = F.floor(at / 32768).alias("__part"), (at % 32768).alias("__bit")
-    bits = keys.select(part, bit).groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
-    bits = materialize(bits, "sieve")
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    found = rows.withColumns({"__part": part, "__bit": bit}).join(F.broadcast(bits), "__part")
-    mask = F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (F.col("__bit") % 8 + 1).cast("int"))
-    return found.where(byte.bitwiseAND(mask) != 0).select(*rows.columns)
-
-
 def _sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, set) of each of the nodes, made from one of its texts."""
 
@@ -116,7 +98,7 @@ def _sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "set"])
 
     nodes = materialize(nodes.select("node", "k1", "k2"), "to-compare")
-    of = _sieve(texts, nodes, "k1").join(nodes, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "text")
+    of = sieve(texts, nodes, ["k1"]).join(nodes, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "text")
     return materialize(of.mapInArrow(run, "node long, set array<long>"), "sets")
 
 

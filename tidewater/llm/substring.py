@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tidewater.llm.common import columns_of, forget, materialize, shared_path
+from tidewater.llm.common import columns_of, forget, materialize, shared_path, sieve
 
 WINDOW, PHRASE = 50, 8
 _SPAN = WINDOW - PHRASE + 1  # phrases of a window
@@ -289,17 +289,14 @@ class FingerprintIndex:
     def _hot(self, name: str) -> DataFrame:
         return self.spark.read.schema("h long, parts int").parquet(f"{self.path}/hot-{name}")
 
-    def _write_run(self, rows: DataFrame) -> str:
-        """Of equal segments the smallest doc_id stays; rows are sorted by anchor within each bucket."""
-        least = materialize(rows.groupBy("h", "seg").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("x")).select("h", "seg", "x.*"), "least")
+    def _write_run(self, least: DataFrame) -> str:
+        """Write rows, one per segment, sorted by anchor within each bucket."""
         hot = least.groupBy("h").agg(F.ceil(F.count("*") / self.HOT_ROWS).cast("int").alias("parts")).where("parts > 1")
         hot_path = f"{self.path}/hot-run-{self.state['next']:08d}"
         hot.write.mode("overwrite").parquet(hot_path)
         salt = F.coalesce(F.pmod("seg", F.col("parts")), F.lit(0)).cast("int").alias("salt")
         salted = least.join(self.spark.read.schema("h long, parts int").parquet(hot_path), "h", "left").select(*(c.split()[0] for c in ROW.split(", ")), salt)
-        name = self._write(salted, "run", ["h", "salt"], ["h", "seg"])
-        forget(self.spark, least)
-        return name
+        return self._write(salted, "run", ["h", "salt"], ["h", "seg"])
 
     def _hits(self, new: DataFrame) -> DataFrame:
         """Rows of the runs whose anchors the batch has. A run stays where it is; only the batch's anchors move."""
@@ -314,7 +311,10 @@ class FingerprintIndex:
         """All runs become one; those that it takes the place of are deleted once it counts."""
         old = self.names
         if len(old) > 1:
-            self._publish(runs=[self._write_run(reduce(DataFrame.union, (self._run(n).select(*(c.split()[0] for c in ROW.split(", "))) for n in old)))])
+            rows = reduce(DataFrame.union, (self._run(n) for n in old))
+            least = materialize(rows.groupBy("h", "seg").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("x")).select("h", "seg", "x.*"), "least")
+            self._publish(runs=[self._write_run(least)])
+            forget(self.spark, least)
             for n in old:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self._table(n)}")
                 self._fs.delete(self._at(n), True)
@@ -340,32 +340,35 @@ class FingerprintIndex:
         texts = self._write(docs.select(doc_id.alias("doc_id"), tag.alias("tag"), packed.alias("packed"), rest.alias("row")), "texts", ["doc_id", "tag"], ["doc_id", "tag"])
         batch = self.spark.table(self._table(texts))
         hits = self._hits(new) if self.names else None
-        passages = self._passages(new, hits, [*self.state["texts"], texts])
+        own = new.groupBy("h", "seg").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("first"), F.max("doc_id").alias("last"))
+        own = materialize(own, "own-segments")
+        passages = self._passages(new, own, hits, [*self.state["texts"], texts])
         found = passages.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n", "words")).alias("passages"))
         joined = batch.join(found, ["doc_id", "tag"], "left").select("row", "packed", "passages")
         out = materialize(joined.select("row", (_digests if digest else _texts)("packed", "passages").alias("cut")), "cut")
-        run = self._write_run(new)
+        run = self._write_run(own.select("h", "seg", "first.*"))  # of equal segments the one of the smallest doc_id
         self._publish(runs=[*self.names, run], texts=[*self.state["texts"], texts])
-        for t in (new, hits, passages):
+        for t in (new, own, hits, passages):
             if t is not None:
                 forget(self.spark, t)
         return out
 
-    def _passages(self, new: DataFrame, hits: DataFrame | None, texts: list[str]) -> DataFrame:
+    def _passages(self, new: DataFrame, own: DataFrame, hits: DataFrame | None, texts: list[str]) -> DataFrame:
         """(doc_id, tag, at, n, words): windows of the batch that also start in a smaller doc_id, with that document's words.
 
         Counts of segments and anchors are by partial sums and are tables of their own, so
         that the joins back to the rows are plain ones whose large keys Spark can split.
         """
-        every = new.withColumn("fresh", F.lit(True))
+        every, segments = new.withColumn("fresh", F.lit(True)), own.withColumn("fresh", F.lit(True))
         if hits is not None:
             every = every.union(hits.withColumn("fresh", F.lit(False)))
-        segments = every.groupBy("h", "seg").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("first"), F.max("doc_id").alias("last"), F.max("fresh").alias("fresh"))
-        segments = materialize(segments, "segments")
+            old = hits.select("h", "seg", F.struct("doc_id", "tag", "pos").alias("first"), F.col("doc_id").alias("last"), F.lit(False).alias("fresh"))
+            both = segments.union(old).groupBy("h", "seg").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
+            segments = materialize(both, "segments")
         anchored = segments.groupBy("h").agg(F.min("first.doc_id").alias("lo"), F.max("last").alias("hi"), (F.min("seg") < F.max("seg")).alias("several"), F.max("fresh").alias("fresh"))
         anchored = materialize(anchored.where("fresh and lo < hi").select("h", "several"), "anchored")
-        shared = materialize(segments.join(anchored, "h").where("first.doc_id < last or several").select("h", "seg", "first", "several"), "shared")
-        judged = every.join(shared, ["h", "seg"]).where("doc_id > first.doc_id or several")
+        shared = materialize(sieve(segments, anchored, ["h"]).join(anchored, "h").where("first.doc_id < last or several").select("h", "seg", "first", "several"), "shared")
+        judged = sieve(every, shared, ["h", "seg"]).join(shared, ["h", "seg"]).where("doc_id > first.doc_id or several")
         judged = materialize(judged.select("h", "doc_id", "tag", "pos", "fresh", "first", (F.col("doc_id") > F.col("first.doc_id")).alias("done")), "judged")
         open_ = materialize(judged.where("not done").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("h", "pos")).alias("segments")), "open")
         windows = self._of_texts(texts, open_).select("doc_id", "tag", "packed", "segments").mapInArrow(_open_windows, "h long, w long, doc_id long, tag long, at long")
@@ -381,7 +384,7 @@ class FingerprintIndex:
         sources = self._of_texts(texts, materialize(by_source, "by-source")).select("doc_id", "tag", "packed", "asked").mapInArrow(_sources, "f_doc long, f_tag long, start long, n long, words binary")
         found = asked.join(materialize(sources, "sources"), ["f_doc", "f_tag", "start", "n"]).select("doc_id", "tag", "at", "n", "words")
         found = materialize(found, "passages")
-        for t in (segments, anchored, shared, judged, open_, windows, asked):
+        for t in (*((segments,) if hits is not None else ()), anchored, shared, judged, open_, windows, asked):
             forget(self.spark, t)
         return found
 

@@ -27,10 +27,13 @@ TOXIC_DOCS, ORDINARY_DOCS = 2_000, 3_000
 ORDINARY_WINDOWS, TOXIC_WORDS = 60_000, 4_000
 #: A word or its first letters, as many as STEMS say, are toxic text with so many contexts in toxic documents, so many times their rate elsewhere.
 CONTEXTS, LIFT, STEMS = 6, 20, (5, 6, 7, 8, 9)
+#: Longer windows and words are not trained on, and no word more often than MOST_TIMES; scoring has no such bounds.
+WINDOW_BYTES, WORD_BYTES, MOST_TIMES = 400, 60, 400
 WINDOW, LEVEL, TOP = 5, 11, 3
 ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 4 << 10
 FEATURES = TOP + 6
 _BATCH = 4096
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def windows(data: bytes | None) -> list[bytes]:
@@ -103,7 +106,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 def _toxic_words(sample: DataFrame) -> list[tuple[str, int]]:
     """Words whose contexts, each different pair of neighbours, are far more frequent in toxic documents."""
-    words = F.filter(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    words = F.filter(F.split(F.translate("text", _UPPER, _UPPER.lower()), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")  # as windows() does
     at = sample.select("toxic", words.alias("w")).select("toxic", "w", F.posexplode("w").alias("i", "word"))
     near = at.select("toxic", "word", F.xxhash64(F.get("w", F.col("i") - 1), F.get("w", F.col("i") + 1)).alias("around")).distinct()
     near = near.select("toxic", F.explode(F.array_distinct(F.array("word", *(F.left("word", F.lit(n)) for n in STEMS)))).alias("word"))
@@ -139,8 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "tox
             yield pa.RecordBatch.from_arrays([pa.array([w for t in b.column(0) for w in windows(t.as_py())], pa.binary())], ["w"])
 
     ordinary = sample.where("toxic <> 1 and half = 0").select(F.col("text").cast("binary")).mapInArrow(cut, "w binary").distinct()
-    ordinary = [bytes(r.w) for r in ordinary.where("length(w) <= 400").orderBy(F.xxhash64("w"), "w").limit(ORDINARY_WINDOWS).collect()]
-    bag = [w.encode() for w, n in _toxic_words(sample.where("half = 0")) for _ in range(min(n, 400)) if len(w) <= 60]
+    ordinary = [bytes(r.w) for r in ordinary.where(F.length("w") <= WINDOW_BYTES).orderBy(F.xxhash64("w"), "w").limit(ORDINARY_WINDOWS).collect()]
+    bag = [w.encode() for w, n in _toxic_words(sample.where("half = 0")) for _ in range(min(n, MOST_TIMES)) if len(w.encode()) <= WORD_BYTES]
     random.Random(7).shuffle(bag)
     toxic = train([b" " + b" ".join(bag[i : i + 8]) + b" " for i in range(0, len(bag), 8)], TOXIC_BYTES) if bag else b""
     model = Distance(train(ordinary, ORDINARY_BYTES), toxic, ())
