@@ -34,19 +34,24 @@ def test_bar_numbers_against_a_loop():
     rng = random.Random(1)
     for _ in range(20):
         values = [rng.random() for _ in range(50)]
-        assert list(sequential.bar_numbers(np.array(values), 100.0)) == [-1] * 50
-        got = sequential.bar_numbers(np.array(values), 2.0)
-        for b in set(got) - {-1}:
+        assert sequential.BarNumbers(100.0)(values)[0] == [0] * 50
+        number = sequential.BarNumbers(2.0)
+        got = number(values[:20])[0] + number(values[20:])[0]  # in batches
+        for b in set(got) - {got[-1]}:
             part = [v for v, x in zip(values, got) if x == b]
             assert sum(part) >= 2.0 > sum(part[:-1])
 
 
+def each(f, values):
+    return [f(v) for v in values]
+
+
 def test_indicators_are_null_before_their_windows():
-    assert sequential.macd([1.0] * 5) == [None] * 5
-    assert sequential.rsi([1.0, 2.0], 14) == [None, None] and sequential.rsi([]) == []
-    assert sequential.rsi([float(i) for i in range(20)], 14)[-1] == 100.0
+    assert each(sequential.Macd(), [1.0] * 5) == [None] * 5
+    assert each(sequential.Rsi(14), [1.0, 2.0]) == [None, None]
+    assert each(sequential.Rsi(14), [float(i) for i in range(20)])[-1] == 100.0
     closes = [1.0, 3.0, 2.0, 4.0]
-    assert sequential.ema(closes, 0.5, 2) == [None, 2.0, 2.0, 3.0]
+    assert each(sequential.Ema(0.5, 2), closes) == [None, 2.0, 2.0, 3.0]
 
 
 def test_trader_exits_before_it_enters_again():
@@ -152,9 +157,29 @@ def test_autocorrelation_and_partial():
 
 def test_box_cox_finds_the_log(spark):
     rng = np.random.default_rng(0)
-    df = spark.createDataFrame([(float(x),) for x in np.exp(rng.normal(size=2000))], "x double")
-    assert abs(stats.box_cox_lambdas(df.withColumn("feed", F.lit("a")), "x").first()["lambda"]) < 0.06
-    assert stats.box_cox(df, "x").select(F.skewness("boxcox")).first()[0] < df.select(F.skewness("x")).first()[0] / 3
+    df = spark.createDataFrame([("a", float(x)) for x in np.exp(rng.normal(size=2000))] + [("b", float(x)) for x in rng.normal(size=500)], "feed string, x double")
+    log = df.where("feed = 'a'")
+    assert abs(stats.box_cox_lambdas(log, "x").first()["lambda"]) < 0.06
+    both = {r.feed: r.s for r in stats.box_cox(df, "x").groupBy("feed").agg(F.skewness("boxcox").alias("s")).collect()}
+    assert abs(both["a"]) < log.select(F.skewness("x")).first()[0] / 3 and abs(both["b"]) < 0.3  # each feed has its own curve
+
+
+def test_unit_root_with_lagged_differences(spark):
+    rng = np.random.default_rng(3)
+    noise = rng.normal(size=(2, 600))
+    walk, ar = np.cumsum(noise[0]), np.zeros(600)
+    for i in range(2, 600):
+        ar[i] = 1.2 * ar[i - 1] - 0.5 * ar[i - 2] + noise[1][i]
+    df = spark.createDataFrame([(f, i, float(v)) for f, s in (("walk", walk), ("ar", ar)) for i, v in enumerate(s)], "feed string, timestamp long, y double")
+    got = {r.feed: r for r in stats.augmented_dickey_fuller(df, "y", 4).collect()}
+    assert got["ar"].stationary and not got["walk"].stationary and got["ar"].lags >= 1
+    y = ar - ar.mean()
+    d = np.diff(y)
+    k = got["ar"].lags
+    x = np.column_stack([np.ones(len(d) - 4), y[4:-1], *(d[4 - i : len(d) - i] for i in range(1, k + 1))])
+    w, rss, *_ = np.linalg.lstsq(x, d[4:], rcond=None)
+    t = w[1] / np.sqrt(rss[0] / (len(x) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1])
+    assert got["ar"].t == pytest.approx(t, rel=1e-6) and got["ar"].n == len(x)
 
 
 def test_seasonal_splits_exactly(spark):

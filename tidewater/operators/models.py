@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a bucket within which permuted values are dealt out.
@@ -23,13 +24,19 @@ CLASSIFIERS: dict[str, Callable] = {
     "logistic_balanced": lambda: LogisticRegression(maxIter=50, weightCol="weight"),
     "linear_svc": lambda: LinearSVC(maxIter=50),
     "forest": lambda: RandomForestClassifier(numTrees=20, seed=1),
+    "linear_svc_balanced": lambda: LinearSVC(maxIter=50, weightCol="weight"),
+    "forest_balanced": lambda: RandomForestClassifier(numTrees=20, seed=1, weightCol="weight"),
+    "naive_bayes": lambda: NaiveBayes(modelType="gaussian"),
     "boosted": lambda: GBTClassifier(maxIter=10, seed=1),
+    "boosted_balanced": lambda: GBTClassifier(maxIter=10, seed=1, weightCol="weight"),
 }
 REGRESSORS: dict[str, Callable] = {
     "linear": lambda: LinearRegression(),
     "ridge": lambda: LinearRegression(regParam=0.1),
     "lasso": lambda: LinearRegression(regParam=0.1, elasticNetParam=1.0),
     "elastic_net": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.5),
+    "huber": lambda: LinearRegression(loss="huber"),
+    "forest": lambda: RandomForestRegressor(numTrees=20, seed=1),
     "boosted": lambda: GBTRegressor(maxIter=10, seed=1),
 }
 
@@ -64,6 +71,30 @@ def calibrate(scored: DataFrame, label: str, how: str = "sigmoid") -> PipelineMo
     return Pipeline(stages=[assembler, curve]).fit(rows)
 
 
+def cross_calibrate(df: DataFrame, features: list[str], label: str, name: str, how: str = "sigmoid", folds: int = 5, seed: int = 0) -> list[tuple[PipelineModel, PipelineModel]]:
+    """Models and their curves, one of each per fold: a model learns from the other folds, its curve from its scores of the fold.
+
+    Rows go to folds by hash. probability() takes the mean over the folds.
+    """
+    rows = df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(folds)))
+    out = []
+    for k in range(folds):
+        model = fit(rows.where(F.col("_fold") != k), features, label, name)
+        out.append((model, calibrate(scores(model, rows.where(F.col("_fold") == k), features), label, how)))
+    return out
+
+
+def probability(ensemble: list[tuple[PipelineModel, PipelineModel]], df: DataFrame, features: list[str]) -> DataFrame:
+    """Adds `calibrated`, the mean of what the models' curves give; rows with a null feature go."""
+    rows, names = df, []
+    for k, (model, curve) in enumerate(ensemble):
+        names.append(f"_p{k}")
+        found = curve.transform(scores(model, rows, features))
+        value = vector_to_array("calibrated")[1] if dict(found.dtypes)["calibrated"] != "double" else F.col("calibrated")
+        rows = found.select(*rows.columns, value.alias(names[-1]))
+    return rows.select(*df.columns, (reduce(Column.__add__, map(F.col, names)) / len(names)).alias("calibrated"))
+
+
 def weights(model: PipelineModel, features: list[str]) -> dict[str, float]:
     """Shares of the features: absolute coefficients, or importances of trees."""
     fitted = model.stages[-1]
@@ -72,8 +103,8 @@ def weights(model: PipelineModel, features: list[str]) -> dict[str, float]:
     return {f: abs(v) / total for f, v in zip(features, values.toArray(), strict=True)}
 
 
-def permutation_weights(model: PipelineModel, df: DataFrame, features: list[str], label: str, seed: int = 0) -> dict[str, float]:
-    """How much accuracy falls when a feature's values are dealt out anew, as shares; never below zero.
+def permutation_weights(model: PipelineModel, df: DataFrame, features: list[str], label: str, seed: int = 0, repeats: int = 30) -> dict[str, float]:
+    """How much accuracy falls when a feature's values are dealt out anew, as shares; never below zero, the mean of `repeats` deals.
 
     Values are dealt anew within buckets that rows fall into by hash, so that no task holds
     all rows. Rows that are wholly equal may change places unnoticed.
@@ -88,8 +119,11 @@ def permutation_weights(model: PipelineModel, df: DataFrame, features: list[str]
     base = base.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), *base.columns), F.lit(buckets)))
     at = lambda salt: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(salt), *base.columns)))
     for f in features:
-        a, b = base.withColumn("_i", at(seed + 1)), base.select("_b", F.col(f).alias("_v"), at(seed + 2).alias("_i"))
-        fall[f] = max(0.0, right - accuracy(a.join(b, ["_b", "_i"]).withColumn(f, F.col("_v")).drop("_b", "_i", "_v")))
+        falls = []
+        for r in range(repeats):
+            a, b = base.withColumn("_i", at(seed + 1)), base.select("_b", F.col(f).alias("_v"), at(seed + 2 + r).alias("_i"))
+            falls.append(right - accuracy(a.join(b, ["_b", "_i"]).withColumn(f, F.col("_v")).drop("_b", "_i", "_v")))
+        fall[f] = max(0.0, sum(falls) / repeats)
     total = sum(fall.values()) or 1.0
     return {f: v / total for f, v in fall.items()}
 

@@ -1,15 +1,15 @@
 """Operators whose next step depends on state: bars, indicators, trades, greedy batches.
 
-Each runs over one feed or run at a time, sorted inside the function; feeds run in
-parallel. Nothing here can be a window expression, because the state is reset by what it
-holds (bars, trades) or decays without end (averages).
+Each runs over one feed or run after the other, in order of time, and holds a batch of rows
+and a small state, however long the series; feeds run in parallel. Nothing here can be a
+window expression, because the state is reset by what it holds (bars, trades) or decays
+without end (averages).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,19 +17,45 @@ from pyspark.sql import functions as F
 BAR = "feed string, bar long, timestamp long, open double, high double, low double, close double, volume double, dollar double, n long, closed_at long"
 
 
-def bar_numbers(values: np.ndarray, threshold: float) -> np.ndarray:
-    """The bar of each row: a bar ends with the row that lifts its sum to the threshold; -1 for the open rest.
+def in_order(df: DataFrame, by: tuple[str, ...], start: Callable[[pd.Series], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, order: str = "timestamp") -> DataFrame:
+    """A function with a state over each group's rows, in order and in batches.
+
+    `start` makes a group's function from its first row; it gets the group's rows batch by
+    batch. Rows are sorted by Spark, which spills, so no group has to fit into memory.
+    """
+    keys = [*by]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, step = None, None
+        for batch in batches:
+            for _, rows in batch.groupby(batch[keys].ne(batch[keys].shift()).any(axis=1).cumsum(), sort=False):
+                key = tuple(rows[keys].iloc[0])
+                if step is None or key != now:
+                    now, step = key, start(rows.iloc[0])
+                yield step(rows)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
+class BarNumbers:
+    """The bar of each row: a bar ends with the row that lifts its sum to the threshold.
 
     The sum of a bar starts anew from zero, so what went over the threshold is lost.
     """
-    out, total, bar = np.empty(len(values), np.int64), 0.0, 0
-    for i, v in enumerate(values.tolist()):
-        total += v
-        out[i] = bar
-        if total >= threshold:
-            bar, total = bar + 1, 0.0
-    out[out == bar] = -1
-    return out
+
+    def __init__(self, threshold: float):
+        self.threshold, self.total, self.bar = threshold, 0.0, 0
+
+    def __call__(self, values: Iterable[float]) -> tuple[list[int], list[float]]:
+        """Bars, and their sums up to and with each row."""
+        bars, sums = [], []
+        for v in values:
+            self.total += v
+            bars.append(self.bar)
+            sums.append(self.total)
+            if self.total >= self.threshold:
+                self.bar, self.total = self.bar + 1, 0.0
+        return bars, sums
 
 
 def threshold_bars(candles: DataFrame, metric: str, threshold: float) -> DataFrame:
@@ -39,55 +65,78 @@ def threshold_bars(candles: DataFrame, metric: str, threshold: float) -> DataFra
     if metric == "tick":
         return _bars(candles.withColumn("bar", F.floor((F.row_number().over(Window.partitionBy("feed").orderBy("timestamp")) - 1) / int(threshold))), int(threshold))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("timestamp", kind="stable")
-        amount = rows["volume"] * rows["close"] if metric == "dollar" else rows["volume"]
-        return rows.assign(bar=bar_numbers(amount.to_numpy(float), threshold)).query("bar >= 0")
+    def start(_: pd.Series) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        number = BarNumbers(threshold)
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            bars, sums = number((rows["volume"] * rows["close"] if metric == "dollar" else rows["volume"]).tolist())
+            return rows.assign(bar=bars, so_far=sums)
+
+        return step
 
     kept = candles.select("feed", "timestamp", "open", "high", "low", "close", "volume")
-    schema = "feed string, timestamp long, open double, high double, low double, close double, volume double, bar long"
-    return _bars(kept.groupBy("feed").applyInPandas(run, schema))
+    schema = "feed string, timestamp long, open double, high double, low double, close double, volume double, bar long, so_far double"
+    return _bars(in_order(kept, ("feed",), start, schema), so_far=threshold)
 
 
-def _bars(rows: DataFrame, full: int = 0) -> DataFrame:
+def _bars(rows: DataFrame, full: int = 0, so_far: float | None = None) -> DataFrame:
+    """Bars of numbered rows; the open rest of a feed, which has neither `full` rows nor the sum, is no bar."""
+    top = [F.max("so_far").alias("so_far")] if so_far is not None else []
     out = rows.groupBy("feed", "bar").agg(
         F.min("timestamp").alias("timestamp"), F.min_by("open", "timestamp").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "timestamp").alias("close"),
-        F.sum("volume").alias("volume"), F.sum(F.col("close") * F.col("volume")).alias("dollar"), F.count("*").alias("n"), F.max("timestamp").alias("closed_at"),
+        F.sum("volume").alias("volume"), F.sum(F.col("close") * F.col("volume")).alias("dollar"), F.count("*").alias("n"), F.max("timestamp").alias("closed_at"), *top,
     )
+    if so_far is not None:
+        return out.where(F.col("so_far") >= so_far).drop("so_far")
     return out.where(F.col("n") == full) if full else out
 
 
-def ema(x: Iterable[float], alpha: float, least: int) -> list[float | None]:
+class Ema:
     """Exponential average with factor alpha; null until `least` values are in."""
-    out, now = [], None
-    for i, v in enumerate(x, 1):
-        now = v if now is None else alpha * v + (1 - alpha) * now
-        out.append(now if i >= least else None)
-    return out
 
+    def __init__(self, alpha: float, least: int):
+        self.alpha, self.least, self.n, self.now = alpha, least, 0, 0.0
+
+    def __call__(self, v: float) -> float | None:
+        self.n += 1
+        self.now = v if self.n == 1 else self.alpha * v + (1 - self.alpha) * self.now
+        return self.now if self.n >= self.least else None
+
+
+class Macd:
+    """A fast less a slow average of closes."""
+
+    def __init__(self, fast: int = 12, slow: int = 26):
+        self.fast, self.slow = Ema(2 / (fast + 1), fast), Ema(2 / (slow + 1), slow)
 
-def macd(close: list[float], fast: int = 12, slow: int = 26) -> list[float | None]:
-    a, b = ema(close, 2 / (fast + 1), fast), ema(close, 2 / (slow + 1), slow)
-    return [None if x is None or y is None else x - y for x, y in zip(a, b, strict=True)]
+    def __call__(self, close: float) -> float | None:
+        a, b = self.fast(close), self.slow(close)
+        return None if a is None or b is None else a - b
 
 
-def rsi(close: list[float], window: int = 14) -> list[float | None]:
-    steps = [0.0, *(b - a for a, b in zip(close, close[1:]))][: len(close)]
-    up, down = (ema([max(s * d, 0.0) for d in steps], 1 / window, window) for s in (1, -1))
-    return [None if u is None else 100.0 if d == 0 else 100 - 100 / (1 + u / d) for u, d in zip(up, down, strict=True)]
+class Rsi:
+    """Averages of rises and falls against each other, from 0 to 100; 100 where nothing fell."""
 
+    def __init__(self, window: int = 14):
+        self.up, self.down, self.last = Ema(1 / window, window), Ema(1 / window, window), None
 
-#: Named indicators; add to it to make one known to indicators().
-INDICATORS: dict[str, Callable[..., list[float | None]]] = {"macd": macd, "rsi": rsi}
+    def __call__(self, close: float) -> float | None:
+        change, self.last = 0.0 if self.last is None else close - self.last, close
+        u, d = self.up(max(change, 0.0)), self.down(max(-change, 0.0))
+        return None if u is None else 100.0 if d == 0 else 100 - 100 / (1 + u / d)
+
+
+#: Named indicators: what makes a function that takes one close after the other. Add to it to make one known to indicators().
+INDICATORS: dict[str, Callable[[], Callable[[float], float | None]]] = {"macd": Macd, "rsi": Rsi}
 
 
 def indicators(candles: DataFrame, names: tuple[str, ...] = ("macd", "rsi")) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("timestamp", kind="stable")
-        return rows.assign(**{n: pd.array(INDICATORS[n](rows["close"].tolist()), "Float64") for n in names})
+    def start(_: pd.Series) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        each = {n: INDICATORS[n]() for n in names}
+        return lambda rows: rows.assign(**{n: pd.array([f(c) for c in rows["close"].tolist()], "Float64") for n, f in each.items()})
 
     schema = "feed string, timestamp long, close double, " + ", ".join(f"{n} double" for n in names)
-    return candles.select("feed", "timestamp", "close").groupBy("feed").applyInPandas(run, schema)
+    return in_order(candles.select("feed", "timestamp", "close"), ("feed",), start, schema)
 
 
 class Trader:
@@ -133,18 +182,24 @@ class Trader:
 def trades(signals: DataFrame, by: tuple[str, ...] = ("feed",), **settings: float) -> DataFrame:
     """Profit of each step and so far, from timestamp, prob_up, close, high and low of each run."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("timestamp", kind="stable")
-        trader = Trader(**settings)
-        profit, side = [], []
-        for r in rows.itertuples():
-            profit.append(trader.step(r.prob_up, r.close, r.high, r.low))
-            side.append(trader.side)
-        return rows[[*by, "timestamp"]].assign(position=side, profit=profit, cum_profit=np.cumsum(profit))
+    def start(_: pd.Series) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        trader, total = Trader(**settings), 0.0
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal total
+            profit, side, so_far = [], [], []
+            for r in rows[["prob_up", "close", "high", "low"]].itertuples(index=False):
+                profit.append(trader.step(*r))
+                side.append(trader.side)
+                total += profit[-1]
+                so_far.append(total)
+            return rows[[*by, "timestamp"]].assign(position=side, profit=profit, cum_profit=so_far)
+
+        return step
 
     kinds = dict(signals.dtypes)
     schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", timestamp long, position long, profit double, cum_profit double"
-    return signals.select(*by, "timestamp", "prob_up", "close", "high", "low").groupBy(*by).applyInPandas(run, schema)
+    return in_order(signals.select(*by, "timestamp", "prob_up", "close", "high", "low"), by, start, schema)
 
 
 def batches(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:

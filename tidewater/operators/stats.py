@@ -181,11 +181,16 @@ def quantiles(df: DataFrame, c: str, at: list[float]) -> DataFrame:
 def kernel_density(df: DataFrame, c: str, points: int = 200) -> DataFrame:
     """Normal-kernel density of each feed on an even mesh, with the bandwidth n^(-1/5) times the deviation."""
     stats = df.groupBy("feed").agg(F.count(c).alias("n"), F.stddev_samp(c).alias("s"), F.min(c).alias("lo"), F.max(c).alias("hi"))
-    mesh = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
     counts = df.groupBy("feed", F.col(c).alias("v")).agg(F.count("*").alias("m"))
+    mesh = _beside(counts, stats, points).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
     h = F.col("s") * F.pow("n", F.lit(-0.2))
     kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / h, F.lit(2))) / (h * math.sqrt(2 * math.pi))
-    return mesh.join(counts, "feed").groupBy("feed", "i", "x").agg(F.sum(F.col("m") * kernel / F.col("n")).alias("density"))
+    return mesh.groupBy("feed", "i", "x").agg(F.sum(F.col("m") * kernel / F.col("n")).alias("density"))
+
+
+def _beside(values: DataFrame, stats: DataFrame, points: int) -> DataFrame:
+    """Each value with its feed's statistics, once for every point i of a mesh; sums over values are partial in each task."""
+    return values.join(stats, "feed").select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
 
 
 def distribution(df: DataFrame, c: str, points: int = 200) -> DataFrame:
@@ -198,11 +203,11 @@ def distribution(df: DataFrame, c: str, points: int = 200) -> DataFrame:
     """
     stats = df.groupBy("feed").agg(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_pop(c).alias("s"), F.stddev_samp(c).alias("h"), F.min(c).alias("lo"), F.max(c).alias("hi"))
     width = F.col("hi") - F.col("lo") + F.col("s")
-    mesh = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("x", F.col("lo") - F.col("s") / 2 + width * F.col("i") / (points - 1))
     values = df.where(F.col(c).isNotNull()).groupBy("feed", F.col(c).alias("v")).agg(F.count("*").alias("k"))
+    mesh = _beside(values, stats, points).withColumn("x", F.col("lo") - F.col("s") / 2 + width * F.col("i") / (points - 1))
     factor = F.pow("n", F.lit(-0.2))
     x, v, share = F.col("x"), F.col("v"), F.col("k") / F.col("n")
-    sums = mesh.join(values, "feed").groupBy("feed", "i", "x", "m", "s").agg(F.sum(share * normal.density(x, v, F.col("h") * factor)).alias("pdf_kernel"), F.sum(share * normal.cumulative((x - v) / factor)).alias("cdf_kernel"))
+    sums = mesh.groupBy("feed", "i", "x", "m", "s").agg(F.sum(share * normal.density(x, v, F.col("h") * factor)).alias("pdf_kernel"), F.sum(share * normal.cumulative((x - v) / factor)).alias("cdf_kernel"))
     both = sums.withColumn("pdf_normal", normal.density(x, F.col("m"), F.col("s"))).withColumn("cdf_normal", normal.cumulative((x - F.col("m")) / F.col("s")))
     top = F.max(F.greatest("pdf_normal", "pdf_kernel")).over(Window.partitionBy("feed"))
     out = both.withColumn("top", top)
