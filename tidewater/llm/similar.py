@@ -133,8 +133,8 @@ def _links(nodes: DataFrame, texts: DataFrame, more: DataFrame | None = None) ->
     shared = entries.join(materialize(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes"), "key")
     shared = materialize(shared, "entries")
     weights = materialize(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    buckets = shared.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("x"))
-    buckets = materialize(buckets.select("key", F.col("x.node").alias("lead"), F.col("x.size").alias("lead_size")), "buckets")
+    lead = F.max_by("node", "weight").alias("lead"), F.max_by("size", "weight").alias("lead_size")  # of one row: both follow the same comparisons
+    buckets = materialize(shared.join(weights, "node").groupBy("key").agg(*lead), "buckets")
     pair = F.least("node", "lead").alias("src"), F.greatest("node", "lead").alias("dst")
     stars = shared.join(buckets, "key").where("node <> lead").where(_fits(F.col("size"), F.col("lead_size"))).select(*pair)
     if more is not None:

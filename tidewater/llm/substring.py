@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -89,8 +89,7 @@ class Words:
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row of ROW for each segment; pos holds the first window and how many there are.
 
-    Rows come sorted by hash within each task. `tag` tells texts of a repeated doc_id
-    apart. Rows with null doc_id have no segments: they neither remove words nor lose any.
+    `tag` tells texts of a repeated doc_id apart. Rows with null doc_id have no segments: they neither remove words nor lose any.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +104,20 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h", "seg", "doc_id", "tag", "pos"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("binary").alias("text"))
-    return rows.where("doc_id is not null").mapInArrow(run, ROW).sortWithinPartitions("h", "seg")
+    return rows.where("doc_id is not null").mapInArrow(run, ROW)
+
+
+def _least(doc_id: str = "doc_id", tag: str = "tag", pos: str = "pos") -> list[Column]:
+    """The smallest doc_id of a group and tag and pos of one row that has it.
+
+    All three follow the same comparisons of the same rows in the same order, so they are of
+    one row. Unlike a smallest struct they fit into a hash aggregate, which sorts nothing.
+    """
+    return [F.min(doc_id).alias("f_doc"), F.min_by(tag, doc_id).alias("f_tag"), F.min_by(pos, doc_id).alias("f_pos")]
+
+
+def _first(pos: str = "pos") -> Column:
+    return F.struct(F.col("f_doc").alias("doc_id"), F.col("f_tag").alias("tag"), F.col("f_pos").alias(pos)).alias("first")
 
 
 @F.pandas_udf(T.BinaryType())
@@ -312,7 +324,7 @@ class FingerprintIndex:
         old = self.names
         if len(old) > 1:
             rows = reduce(DataFrame.union, (self._run(n) for n in old))
-            least = materialize(rows.groupBy("h", "seg").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("x")).select("h", "seg", "x.*"), "least")
+            least = materialize(rows.groupBy("h", "seg").agg(*_least()).select("h", "seg", _first()).select("h", "seg", "first.*"), "least")
             self._publish(runs=[self._write_run(least)])
             forget(self.spark, least)
             for n in old:
@@ -340,8 +352,8 @@ class FingerprintIndex:
         texts = self._write(docs.select(doc_id.alias("doc_id"), tag.alias("tag"), packed.alias("packed"), rest.alias("row")), "texts", ["doc_id", "tag"], ["doc_id", "tag"])
         batch = self.spark.table(self._table(texts))
         hits = self._hits(new) if self.names else None
-        own = new.groupBy("h", "seg").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("first"), F.max("doc_id").alias("last"))
-        own = materialize(own, "own-segments")
+        own = new.groupBy("h", "seg").agg(*_least(), F.max("doc_id").alias("last"))
+        own = materialize(own.select("h", "seg", _first(), "last"), "own-segments")
         passages = self._passages(new, own, hits, [*self.state["texts"], texts])
         found = passages.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n", "words")).alias("passages"))
         joined = batch.join(found, ["doc_id", "tag"], "left").select("row", "packed", "passages")
@@ -363,7 +375,8 @@ class FingerprintIndex:
         if hits is not None:
             every = every.union(hits.withColumn("fresh", F.lit(False)))
             old = hits.select("h", "seg", F.struct("doc_id", "tag", "pos").alias("first"), F.col("doc_id").alias("last"), F.lit(False).alias("fresh"))
-            both = segments.union(old).groupBy("h", "seg").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
+            both = segments.union(old).select("h", "seg", "first.*", "last", "fresh").groupBy("h", "seg").agg(*_least(), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
+            both = both.select("h", "seg", _first(), "last", "fresh")
             segments = materialize(both, "segments")
         anchored = segments.groupBy("h").agg(F.min("first.doc_id").alias("lo"), F.max("last").alias("hi"), (F.min("seg") < F.max("seg")).alias("several"), F.max("fresh").alias("fresh"))
         anchored = materialize(anchored.where("fresh and lo < hi").select("h", "several"), "anchored")
@@ -373,7 +386,7 @@ class FingerprintIndex:
         open_ = materialize(judged.where("not done").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("h", "pos")).alias("segments")), "open")
         windows = self._of_texts(texts, open_).select("doc_id", "tag", "packed", "segments").mapInArrow(_open_windows, "h long, w long, doc_id long, tag long, at long")
         windows = materialize(windows, "windows")
-        earliest = windows.groupBy("h", "w").agg(F.min(F.struct("doc_id", "tag", "at")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("h", "w", "first")
+        earliest = windows.groupBy("h", "w").agg(*_least(pos="at"), F.max("doc_id").alias("last")).where("f_doc < last").select("h", "w", _first("at"))
         one = windows.join(materialize(earliest, "earliest"), ["h", "w"]).where("doc_id > first.doc_id")
         one = one.select("doc_id", "tag", F.struct("at", F.lit(1).cast("long").alias("n"), F.col("first.doc_id").alias("f_doc"), F.col("first.tag").alias("f_tag"), F.col("first.at").alias("start")).alias("m"))
         at = lambda c: F.shiftright(c, 6)
@@ -390,7 +403,7 @@ class FingerprintIndex:
 
     def _of_texts(self, texts: list[str], rows: DataFrame) -> DataFrame:
         """rows with the packed text of their document, once each; texts stay in their buckets."""
-        return reduce(DataFrame.union, (self._text_table(t).dropDuplicates(["doc_id", "tag"]).join(rows, ["doc_id", "tag"]) for t in texts))
+        return reduce(DataFrame.union, (self._text_table(t).join(rows, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]) for t in texts))
 
 
 def hash_of(path: str) -> int:
