@@ -218,6 +218,12 @@ def test_digests(spark):
     assert bpe.digests(df.limit(0), MODEL).count() == 0
 
 
+def test_a_model_that_encodes_otherwise_is_refused(monkeypatch):
+    monkeypatch.setattr(bpe.BpeModel, "encode", lambda self, text: [])
+    with pytest.raises(ValueError, match="does not encode"):
+        bpe.BpeModel(MODEL)
+
+
 # WARC
 
 

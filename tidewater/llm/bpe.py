@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Chunks whose encoding a Python worker keeps, and the longest that it keeps.
-CACHED_CHUNKS, CACHED_CHARS = 700_000, 48
+#: Chunks and pairs of tokens that a Python worker keeps, and the longest chunk; when as many are kept, it begins anew.
+CACHED_CHUNKS, CACHED_PAIRS, CACHED_CHARS = 300_000, 500_000, 48
+
+#: Texts that other normalizers or model types treat otherwise: runs of spaces, wide, composed and control characters.
+PROBES = ("", " ", "a", "  two  spaces ", "tab\tline\nend", "Ａ①ﬁ", "e\u0301é", "it's 12.5%, no?", "\u200bx\u00a0y", "漢字😀")
 
 
 class BpeModel:
@@ -47,10 +50,26 @@ class BpeModel:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         breaks = "".join(c for c in "\n\r\t" if not any(c in p and p != c for p in self.ids))
         word = f"[^{SPACE}{breaks}]"
-        self._chunks = re.compile(r".+" if inner else f"{SPACE}+{word}*|{word}+" + (f"|[{breaks}]" if breaks else ""), re.DOTALL).findall
-        self.compatible = lru_cache(1 << 20)(lambda a, b: self.merge(a + b) == [a, b])
+        # Nor does one cross from a letter to a mark that no piece has behind a letter.
+        behind = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalpha()}
+        marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_" and c not in behind)
+        plain = f"{SPACE}*[^\\W\\d_]+(?=[{marks}])|" if marks else ""
+        self._chunks = re.compile(r".+" if inner else f"{plain}{SPACE}+{word}*|{word}+" + (f"|[{breaks}]" if breaks else ""), re.DOTALL).findall
+        self._pairs: dict[tuple[str, str], bool] = {}
+        self._kept: dict[str, tuple[int, str, str]] = {}
         self.alone = lru_cache(1 << 16)(lambda a: self.merge(a) == [a])
-        self._short = lru_cache(CACHED_CHUNKS)(self._chunk)
+        for probe in PROBES:
+            if self.encode(probe) != model.encode(probe):
+                raise ValueError(f"{path} does not encode {probe!r} as a merge-type model does that only puts one space in front")
+
+    def compatible(self, a: str, b: str) -> bool:
+        """Do two tokens stay apart when their text is merged anew?"""
+        found = self._pairs.get((a, b))
+        if found is None:
+            if len(self._pairs) >= CACHED_PAIRS:
+                self._pairs.clear()
+            found = self._pairs[a, b] = self.merge(a + b) == [a, b]
+        return found
 
     def merge(self, text: str) -> list[str]:
         """Merge by definition: the best-scored neighbours first, of equal ones the leftmost."""
@@ -71,12 +90,28 @@ class BpeModel:
         ids, compatible = self.ids, self.compatible
         if text in ids and self.alone(text):
             return [text]
+        out, pos = [], 0
+        for end, length in self.automaton.iter_long(text):  # the longest match at each place, as long as no place is left out
+            end += 1
+            token = text[pos:end]
+            if end - pos != length or not (compatible(out[-1], token) if out else self.alone(token)):
+                break
+            out.append(token)
+            pos = end
+        else:
+            if pos == len(text):
+                return out
+        return self._search(text, out, pos)
+
+    def _search(self, text: str, out: list[str], pos: int) -> list[str]:
+        """Go on from the tokens so far by all matches at each place, going back where none is compatible."""
+        ids, compatible = self.ids, self.compatible
         n, matches = len(text), list(self.automaton.iter(text))
         longest = [1] * n
         for end, length in matches:  # ends ascend, so the longest match at a place comes last
             longest[end - length + 1] = length
         lengths: list[list[int]] = []  # all matches at each place, for when the longest does not do
-        failed, pos, out = bytearray(n // 8 + 1), 0, []  # failed has a bit for each position that led nowhere
+        failed = bytearray(n // 8 + 1)  # it has a bit for each position that led nowhere
         while pos < n:
             to = pos + longest[pos]
             if not failed[to >> 3] >> (to & 7) & 1:
@@ -116,7 +151,17 @@ class BpeModel:
 
     def _parts(self, text: str) -> list[tuple[int, str, str]]:
         normal = SPACE + text.replace(" ", SPACE) if text else ""
-        return [self._short(c) if len(c) <= CACHED_CHARS else self._chunk(c) for c in self._chunks(normal)]
+        kept, out = self._kept, []
+        for c in self._chunks(normal):
+            found = kept.get(c)
+            if found is None:
+                found = self._chunk(c)
+                if len(c) <= CACHED_CHARS:
+                    if len(kept) >= CACHED_CHUNKS:
+                        kept.clear()
+                    kept[c] = found
+            out.append(found)
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for p in self._parts(text) for i in p[1].split(",")]
