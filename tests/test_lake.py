@@ -248,6 +248,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(s.read(), *VALUES) == rows(bronze.run_windows(p, u, [0, 100]), *VALUES)
 
 
+def test_hours_of_a_stream_lose_rows_behind_the_watermark(spark, tmp_path):
+    kind = "ts timestamp, value double"
+    for k, stamps in enumerate((["10:05:00", "10:30:00", "13:00:00"], ["10:45:00", "12:55:00"], ["15:00:00"])):
+        df = spark.createDataFrame([(f"2024-01-01 {t}", 1.0) for t in stamps], "ts string, value double").select(F.col("ts").cast("timestamp").alias("ts"), "value")
+        df.coalesce(1).write.json(str(tmp_path / f"in/b{k}"))
+        source = spark.readStream.schema(kind).option("recursiveFileLookup", True).json(str(tmp_path / "in"))
+        q = bronze.hourly_totals(source, "ts", "value").writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+        q.trigger(availableNow=True).start().awaitTermination(120)
+    got = {r.hour.hour: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[10] == 2 and got[12] == 1 and got[13] == 1  # 10:45 came more than ten minutes behind 13:00
+
+
 def test_entry_and_queries_agree_in_names(spark):
     import __spark_entry__ as e
 

@@ -100,10 +100,10 @@ def payouts_of(bronze: DataFrame, contracts: list[str], users: list[str], start_
 
 
 def feeds_of_users(bronze: DataFrame, users: list[str]) -> DataFrame:
-    """Contracts in whose ids one of the users appears."""
+    """Contracts of predictions in whose ID one of the users appears, anywhere."""
     any_of = F.lit(False)
     for u in users:
-        any_of = any_of | F.col("ID").endswith(f"-{u}")
+        any_of = any_of | F.contains(F.col("ID"), F.lit(u))
     return bronze.where(any_of).select("contract").distinct()
 
 

@@ -95,9 +95,9 @@ def payouts_of_feeds_and_users(spark, d):
     return kpis.payouts_of(adapt.predictions(spark, d), ["c1", "c2", "c3", "c4"], ["u1", "u2", "u5", "u11", "u20", "u30"], 800000000)
 
 
-@query(f"WITH {PREDICTIONS_SQL} SELECT DISTINCT contract FROM predictions WHERE ID LIKE '%-u7' OR ID LIKE '%-u70'")
+@query(f"WITH {PREDICTIONS_SQL} SELECT DISTINCT contract FROM predictions WHERE ID LIKE '%-u77%' OR ID LIKE '%-u70%'")
 def feeds_of_users(spark, d):
-    return kpis.feeds_of_users(adapt.predictions(spark, d), ["u7", "u70"])
+    return kpis.feeds_of_users(adapt.predictions(spark, d), ["-u77", "-u70"])
 
 
 def _summary(by: str) -> str:
