@@ -213,9 +213,10 @@ def test_number_of_batches_changes_nothing(spark, monkeypatch, batches):
 def test_words_of_one_hash_are_told_apart():
     words = [f"w{i}".encode() for i in range(60)]
     other = [*words[:55], b"else", *words[56:]]
-    assert substring.cut(b" ".join(words), [{"at": 0, "n": 11, "words": b" ".join(words)}])[1] == 60
-    assert substring.cut(b" ".join(words), [{"at": 0, "n": 11, "words": b" ".join(other)}])[1] == 55
-    assert substring.cut(b" ".join(words), [{"at": 0, "n": 11, "words": b" ".join(words[::-1])}])[1:] == (0, b" ".join(words))
+    region = lambda ws: [{"low": 7, "words": b" ".join([b"before", *ws]), "asked": [{"at": 0, "n": 11, "start": 8}]}]
+    assert substring.cut(b" ".join(words), region(words))[1] == 60
+    assert substring.cut(b" ".join(words), region(other))[1] == 55
+    assert substring.cut(b" ".join(words), region(words[::-1]))[1:] == (0, b" ".join(words))
 
 
 def test_index_by_batches_equals_brute_force(spark, monkeypatch):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidewater.llm.common import columns_of, materialize, row_key
+from tidewater.llm.common import columns_of, materialize, row_key, scratch
 from tidewater.llm.components import connected_components
 
 SEED = 42
@@ -106,12 +106,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, width, keep), "fingerprints")
+    with scratch(docs.sparkSession) as keep_table:
+        classes = keep_table(_classes(fps))
+    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies", "root", *(keep or {}))
+
+
+def _classes(fps: DataFrame) -> DataFrame:
+    """fp, component_id, n_copies, root of each fingerprint."""
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "nodes")
     found = connected_components(links(nodes.select("fp")))
     placed = materialize(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
     smallest = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
-    classes = materialize(placed.join(smallest, "root").select("fp", "component_id", "n_copies", "root"), "classes")
-    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies", "root", *(keep or {}))
+    return materialize(placed.join(smallest, "root").select("fp", "component_id", "n_copies", "root"), "classes")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidewater.llm import simhash
-from tidewater.llm.common import columns_of, materialize, row_key, sieve
+from tidewater.llm.common import columns_of, forget, materialize, row_key, scratch, sieve
 from tidewater.llm.components import connected_components
 
 SEED = 42
@@ -203,10 +203,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), one)
     nodes = materialize(nodes.select("node", "least", "size", "fp", "bands", F.col("one.__k1").alias("k1"), F.col("one.__k2").alias("k2")), "nodes")
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), text.cast("binary").alias("text"))
-    found = connected_components(_links(nodes, texts, _covered(nodes)))
-    placed = materialize(nodes.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-    smallest = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
-    classes = materialize(placed.join(smallest, "root").select("node", "component_id", "root"), "classes")
+    with scratch(docs.sparkSession) as keep_table:
+        found = connected_components(_links(nodes, texts, _covered(nodes)))
+        placed = materialize(nodes.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+        smallest = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+        classes = keep_table(materialize(placed.join(smallest, "root").select("node", "component_id", "root"), "classes"))
+    forget(docs.sparkSession, nodes)
     return fps.drop("size", "fp", "bands", "__k1", "__k2").join(classes, "node").select("doc_id", "component_id", "root", *keep)
 
 

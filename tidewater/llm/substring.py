@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tidewater.llm.common import columns_of, forget, materialize, shared_path, sieve
+from tidewater.llm.common import columns_of, forget, materialize, scratch, shared_path, sieve
 
 WINDOW, PHRASE = 50, 8
 _SPAN = WINDOW - PHRASE + 1  # phrases of a window
@@ -176,16 +176,20 @@ PASSAGE = "doc_id long, tag long, at long, n long, f_doc long, f_tag long, start
 
 
 def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the passages that are asked of each text, joined by one space."""
+    """The words of each text in the regions that its asked passages make up, joined by one space; passages that overlap are one region."""
     for b in batches:
         lists = b.column("asked")
         ends, fields = lists.offsets.to_numpy(), lists.values
         start, n = fields.field("start").to_numpy(), fields.field("n").to_numpy()
         for i, packed in enumerate(b.column("packed")):
             words, s = _text(packed.as_py()).split(), slice(ends[i], ends[i + 1])
-            text = [b" ".join(words[q : q + m + WINDOW - 1]) for q, m in zip(start[s].tolist(), n[s].tolist(), strict=True)]
+            order = np.argsort(start[s], kind="stable")
+            low, reach = start[s][order], np.maximum.accumulate((start[s] + n[s])[order] + WINDOW - 1)
+            first = np.flatnonzero(np.concatenate([[True], low[1:] > reach[:-1]]))
+            lows, ups = low[first], reach[np.append(first[1:], len(low)) - 1]
+            text = [b" ".join(words[q:e]) for q, e in zip(lows.tolist(), ups.tolist(), strict=True)]
             cols = [pa.array(np.full(len(text), b.column(c)[i].as_py()), pa.int64()) for c in ("doc_id", "tag")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(start[s]), pa.array(n[s]), pa.array(text, pa.binary())], ["f_doc", "f_tag", "start", "n", "words"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lows), pa.array(text, pa.binary())], ["f_doc", "f_tag", "low", "words"])
 
 
 def _result(text: str) -> T.StructType:
@@ -195,13 +199,15 @@ def _result(text: str) -> T.StructType:
 def cut(text: bytes, passages) -> tuple[int, int, bytes]:
     """Numbers of words and of those removed, and what is kept.
 
-    A window goes only where its words are those of the passage's source, word by word.
+    Passages come by regions of their sources: from which word on a region stands there, its
+    words, and what of it is asked. A window goes only where its words are the source's, word by word.
     """
     words = text.split()
     edge = np.zeros(len(words) + 1, np.int64)
-    for p in passages if passages is not None else ():
-        at, n, source = int(p["at"]), int(p["n"]), p["words"].split()
-        same = [a == b for a, b in zip(words[at : at + n + WINDOW - 1], source, strict=False)]
+    every = ((p["at"], p["n"], p["start"] - r["low"], source) for r in (passages if passages is not None else ()) for source in (r["words"].split(),) for p in r["asked"])
+    for at, n, start, source in every:
+        at, n, start = int(at), int(n), int(start)
+        same = [a == b for a, b in zip(words[at : at + n + WINDOW - 1], source[start : start + n + WINDOW - 1], strict=False)]
         if len(same) == n + WINDOW - 1 and all(same):
             edge[at] += 1
             edge[at + n + WINDOW - 1] -= 1
@@ -351,11 +357,13 @@ class FingerprintIndex:
             self.state["buckets"] = min(most, max(self.LEAST_BUCKETS, new.count() // self.BUCKET_ROWS))
         texts = self._write(docs.select(doc_id.alias("doc_id"), tag.alias("tag"), packed.alias("packed"), rest.alias("row")), "texts", ["doc_id", "tag"], ["doc_id", "tag"])
         batch = self.spark.table(self._table(texts))
-        hits = self._hits(new) if self.names else None
+        with scratch(self.spark) as keep:
+            hits = keep(self._hits(new)) if self.names else None
         own = new.groupBy("h", "seg").agg(*_least(), F.max("doc_id").alias("last"))
         own = materialize(own.select("h", "seg", _first(), "last"), "own-segments")
-        passages = self._passages(new, own, hits, [*self.state["texts"], texts])
-        found = passages.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n", "words")).alias("passages"))
+        with scratch(self.spark) as keep:
+            passages = keep(self._passages(new, own, hits, [*self.state["texts"], texts]))
+        found = passages.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "words", "asked")).alias("passages"))
         joined = batch.join(found, ["doc_id", "tag"], "left").select("row", "packed", "passages")
         out = materialize(joined.select("row", (_digests if digest else _texts)("packed", "passages").alias("cut")), "cut")
         run = self._write_run(own.select("h", "seg", "first.*"))  # of equal segments the one of the smallest doc_id
@@ -366,7 +374,7 @@ class FingerprintIndex:
         return out
 
     def _passages(self, new: DataFrame, own: DataFrame, hits: DataFrame | None, texts: list[str]) -> DataFrame:
-        """(doc_id, tag, at, n, words): windows of the batch that also start in a smaller doc_id, with that document's words.
+        """(doc_id, tag, low, words, asked): windows of the batch that also start in a smaller doc_id, by regions of that document.
 
         Counts of segments and anchors are by partial sums and are tables of their own, so
         that the joins back to the rows are plain ones whose large keys Spark can split.
@@ -394,11 +402,14 @@ class FingerprintIndex:
         matches = whole.union(one).groupBy("doc_id", "tag").agg(F.collect_set("m").alias("matches"))
         asked = materialize(matches.mapInArrow(_passages, PASSAGE), "asked")
         by_source = asked.groupBy("f_doc", "f_tag").agg(F.collect_set(F.struct("start", "n")).alias("asked")).withColumnsRenamed({"f_doc": "doc_id", "f_tag": "tag"})
-        sources = self._of_texts(texts, materialize(by_source, "by-source")).select("doc_id", "tag", "packed", "asked").mapInArrow(_sources, "f_doc long, f_tag long, start long, n long, words binary")
-        found = asked.join(materialize(sources, "sources"), ["f_doc", "f_tag", "start", "n"]).select("doc_id", "tag", "at", "n", "words")
-        found = materialize(found, "passages")
-        for t in (*((segments,) if hits is not None else ()), anchored, shared, judged, open_, windows, asked):
-            forget(self.spark, t)
+        sources = self._of_texts(texts, materialize(by_source, "by-source")).select("doc_id", "tag", "packed", "asked").mapInArrow(_sources, "f_doc long, f_tag long, low long, words binary")
+        sources = materialize(sources, "sources")
+        lows = materialize(sources.groupBy("f_doc", "f_tag").agg(F.sort_array(F.collect_list("low"), asc=False).alias("lows")), "lows")
+        pairs = asked.groupBy("doc_id", "tag", "f_doc", "f_tag").agg(F.collect_list(F.struct("at", "n", "start")).alias("asked"))
+        region = lambda lows, start: F.filter(lows, lambda x: x <= start)[0]
+        pairs = pairs.join(lows, ["f_doc", "f_tag"]).withColumn("low", F.explode(F.array_distinct(F.transform("asked", lambda p: region(F.col("lows"), p["start"])))))
+        pairs = pairs.withColumn("asked", F.filter("asked", lambda p: region(F.col("lows"), p["start"]) == F.col("low"))).drop("lows")
+        found = materialize(pairs.join(sources, ["f_doc", "f_tag", "low"]).select("doc_id", "tag", "low", "words", "asked"), "passages")
         return found
 
     def _of_texts(self, texts: list[str], rows: DataFrame) -> DataFrame:
@@ -419,7 +430,7 @@ def deduplicate(docs: DataFrame, index: FingerprintIndex | None = None, id_col:
     over it also starts in a document with a smaller doc_id, judged on the input as it came.
     With an index, docs are one batch more: they are judged against what it holds too, and
     added to it. Without one, docs go through an index of their own, in `batches` batches by
-    ascending doc_id, which the caller's clean_up() deletes. A null text has no words and
+    ascending doc_id, which is deleted in the end. A null text has no words and
     stays null. Rows of the same doc_id never remove each other's words; rows with null
     doc_id keep all words and remove none. Repeated rows stay repeated, other columns may
     have any names, and an empty table gives an empty result.
@@ -433,6 +444,7 @@ def deduplicate(docs: DataFrame, index: FingerprintIndex | None = None, id_col:
     edges = sorted({int(e) for e in edges})
     number = reduce(lambda n, e: n + F.when(at > e, 1).otherwise(0), edges, F.lit(0))
     out = [index.add(docs.where(number == i), id_col, text_col, digest) for i in range(len(edges) + 1)]
+    index.drop()  # the results are tables of their own
     return reduce(DataFrame.union, out)
 
 
