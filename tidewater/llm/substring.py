@@ -150,7 +150,7 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A document's matches joined into passages: windows at .. at + n - 1 equal those of another document from `from` on."""
+    """A row for each document and source: its passages (windows at .. at + n - 1 equal the source's from `start` on) and the source's regions that these make up."""
     for b in batches:
         lists = b.column("matches")
         ends, fields = lists.offsets.to_numpy(), lists.values
@@ -168,11 +168,27 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 reach[j] = end
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(a)) - 1
-            cols = [np.full(len(first), b.column(c)[i].as_py()) for c in ("doc_id", "tag")] + [a[first], reach[last] - a[first], d[first], t[first], q[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], PASSAGE.replace(" long", "").split(", "))
+            a, m, d, t, q = a[first], reach[last] - a[first], d[first], t[first], q[first]
+            cuts = [0, *(np.flatnonzero((np.diff(d) != 0) | (np.diff(t) != 0)) + 1), len(a)]
+            rows = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                asked = [{"at": x, "n": y, "start": z} for x, y, z in zip(a[lo:hi].tolist(), m[lo:hi].tolist(), q[lo:hi].tolist(), strict=True)]
+                lows, ups = _regions(q[lo:hi], m[lo:hi])
+                rows.append((int(d[lo]), int(t[lo]), asked, [{"start": x, "n": y - x - WINDOW + 1} for x, y in zip(lows.tolist(), ups.tolist(), strict=True)]))
+            ids = [pa.array([b.column(c)[i].as_py()] * len(rows), pa.int64()) for c in ("doc_id", "tag")]
+            kinds = [pa.int64(), pa.int64(), *(pa.list_(pa.struct([(f, pa.int64()) for f in fs])) for fs in (("at", "n", "start"), ("start", "n")))]
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "tag", "f_doc", "f_tag", "asked", "regions"])
 
 
-PASSAGE = "doc_id long, tag long, at long, n long, f_doc long, f_tag long, start long"
+PAIR = "doc_id long, tag long, f_doc long, f_tag long, asked array<struct<at: long, n: long, start: long>>, regions array<struct<start: long, n: long>>"
+
+
+def _regions(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last words, the latter left out, of what n windows from each start make up; what overlaps is one region."""
+    order = np.argsort(start, kind="stable")
+    low, reach = start[order], np.maximum.accumulate((start + n)[order] + WINDOW - 1)
+    first = np.flatnonzero(np.concatenate([[True], low[1:] > reach[:-1]]))
+    return low[first], reach[np.append(first[1:], len(low)) - 1]
 
 
 def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +199,7 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, n = fields.field("start").to_numpy(), fields.field("n").to_numpy()
         for i, packed in enumerate(b.column("packed")):
             words, s = _text(packed.as_py()).split(), slice(ends[i], ends[i + 1])
-            order = np.argsort(start[s], kind="stable")
-            low, reach = start[s][order], np.maximum.accumulate((start[s] + n[s])[order] + WINDOW - 1)
-            first = np.flatnonzero(np.concatenate([[True], low[1:] > reach[:-1]]))
-            lows, ups = low[first], reach[np.append(first[1:], len(low)) - 1]
+            lows, ups = _regions(start[s], n[s])
             text = [b" ".join(words[q:e]) for q, e in zip(lows.tolist(), ups.tolist(), strict=True)]
             cols = [pa.array(np.full(len(text), b.column(c)[i].as_py()), pa.int64()) for c in ("doc_id", "tag")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lows), pa.array(text, pa.binary())], ["f_doc", "f_tag", "low", "words"])
@@ -400,14 +413,13 @@ class FingerprintIndex:
         at = lambda c: F.shiftright(c, 6)
         whole = judged.where("done and fresh").select("doc_id", "tag", F.struct(at("pos").alias("at"), F.col("pos").bitwiseAND(F.lit(63)).alias("n"), F.col("first.doc_id").alias("f_doc"), F.col("first.tag").alias("f_tag"), at("first.pos").alias("start")).alias("m"))
         matches = whole.union(one).groupBy("doc_id", "tag").agg(F.collect_set("m").alias("matches"))
-        asked = materialize(matches.mapInArrow(_passages, PASSAGE), "asked")
-        by_source = asked.groupBy("f_doc", "f_tag").agg(F.collect_set(F.struct("start", "n")).alias("asked")).withColumnsRenamed({"f_doc": "doc_id", "f_tag": "tag"})
+        pairs = materialize(matches.mapInArrow(_passages, PAIR), "pairs")
+        by_source = pairs.select("f_doc", "f_tag", F.explode("regions").alias("r")).groupBy("f_doc", "f_tag").agg(F.collect_set("r").alias("asked")).withColumnsRenamed({"f_doc": "doc_id", "f_tag": "tag"})
         sources = self._of_texts(texts, materialize(by_source, "by-source")).select("doc_id", "tag", "packed", "asked").mapInArrow(_sources, "f_doc long, f_tag long, low long, words binary")
         sources = materialize(sources, "sources")
         lows = materialize(sources.groupBy("f_doc", "f_tag").agg(F.sort_array(F.collect_list("low"), asc=False).alias("lows")), "lows")
-        pairs = asked.groupBy("doc_id", "tag", "f_doc", "f_tag").agg(F.collect_list(F.struct("at", "n", "start")).alias("asked"))
         region = lambda lows, start: F.filter(lows, lambda x: x <= start)[0]
-        pairs = pairs.join(lows, ["f_doc", "f_tag"]).withColumn("low", F.explode(F.array_distinct(F.transform("asked", lambda p: region(F.col("lows"), p["start"])))))
+        pairs = pairs.drop("regions").join(lows, ["f_doc", "f_tag"]).withColumn("low", F.explode(F.array_distinct(F.transform("asked", lambda p: region(F.col("lows"), p["start"])))))
         pairs = pairs.withColumn("asked", F.filter("asked", lambda p: region(F.col("lows"), p["start"]) == F.col("low"))).drop("lows")
         found = materialize(pairs.join(sources, ["f_doc", "f_tag", "low"]).select("doc_id", "tag", "low", "words", "asked"), "passages")
         return found
