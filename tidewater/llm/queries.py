@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import audit, blockjoin, bpe, packing, quality, secrets, similar, simhash, substring, toxicity, vafile, warc
+from tidewater.llm import audit, blockjoin, bpe, lm, packing, quality, secrets, similar, simhash, substring, toxicity, vafile, warc
 from tidewater.llm.common import row_key, table
 
 
@@ -59,6 +59,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), quality.held_out(F.col("doc_id"), 10, 0))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.divergence(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_warc": op10_warc,
+    "op12_language_model": op12_language_model,
     "op13_divergence": op13_divergence,
 }
 
