@@ -7,12 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block of candidates and of a block of queries; a tile of the grid is one of each.
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 4096
+#: floor(SCALE * x) is a component's integer.
+SCALE = 256
+_LONG = (1 << 63) - 1
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -67,3 +70,26 @@ def grid(rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def matrix(column, dtype, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype).reshape(len(column), dim)
+
+
+def whole(x: Column) -> Column:
+    """floor(SCALE * x) as a double, which holds it exactly; beyond the range of doubles the last one in it."""
+    most = F.lit(1.7976931348623157e308)
+    y = F.greatest(F.least(x * SCALE, most), -most)
+    return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+
+
+def score_key(score: int) -> bytes:
+    """A whole number of any size as bytes that sort as numbers do."""
+    n = (score.bit_length() + 7) // 8
+    return (0x8000 + n).to_bytes(2) + score.to_bytes(n) if score >= 0 else (0x7FFF - n).to_bytes(2) + ((1 << 8 * n) - 1 + score).to_bytes(n)
+
+
+def score_of(key: bytes) -> int:
+    n, value = len(key) - 2, int.from_bytes(key[2:])
+    return value if key[0] >= 0x80 else value + 1 - (1 << 8 * n)
+
+
+def shown(score: int) -> int:
+    """The long that is nearest to a score."""
+    return max(-_LONG - 1, min(score, _LONG))
