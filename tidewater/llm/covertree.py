@@ -26,7 +26,9 @@ from tidewater.llm.common import materialize, scratch
 from tidewater.llm.vectors import BLOCK_QUERIES, BLOCK_ROWS, score_key, score_of, shown, whole
 
 #: Ratio of the covering radii of two levels, most children of a node, and most rows of a leaf.
-RATIO, CHILDREN, LEAF_ROWS = 1.3, 64, 64
+RATIO, CHILDREN, LEAF_ROWS = 1.3, 64, 256
+#: Nodes that a search takes from its queue at first; then twice as many each time.
+AT_ONCE = 4
 #: Room for rounding, as a part of the product of two lengths.
 ROOM = 1e-9
 #: Integer sums below this are exact in doubles.
@@ -35,12 +37,11 @@ EXACT = float(1 << 53)
 
 @dataclass
 class CoverTree:
-    """Nodes in arrays: centre, radius, first and number of children, first and last place in `rows` of what lies below."""
+    """Nodes in arrays: centre, radius, first and number of children, first and last row of what lies below; rows are in the order of leaves."""
 
     points: np.ndarray  # integers as doubles, a row each
     ids: np.ndarray
     labels: np.ndarray
-    rows: np.ndarray
     centre: np.ndarray
     radius: np.ndarray
     child: np.ndarray
@@ -53,27 +54,28 @@ class CoverTree:
         self.centres = self.points[self.centre]
         with np.errstate(over="ignore"):
             self.length = float(np.sqrt((self.points**2).sum(axis=1).max(initial=0)))
-        own = self.labels[self.rows]
         inner = list(zip(self.start, self.end, strict=True))
-        self.least_label = np.array([own[a:b].min() for a, b in inner])
-        self.most_label = np.array([own[a:b].max() for a, b in inner])
+        self.least_label = np.array([self.labels[a:b].min() for a, b in inner])
+        self.most_label = np.array([self.labels[a:b].max() for a, b in inner])
 
 
 NODES = ("centre", "radius", "child", "children", "start", "end")
 
 
-def grow(points: np.ndarray) -> dict[str, np.ndarray]:
-    """The nodes of a cover tree over the rows of `points`, and the order of rows in its leaves.
+def grow(points: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The order of rows in the leaves of a cover tree over the rows of `points`, and the tree's NODES.
 
-    Children's centres are picked farthest first, until all rows lie within 1 / RATIO of the
-    parent's radius of one or there are CHILDREN of them; a node's own centre is its first
-    child's too. Radii are measured, so they hold in any case.
+    A node's centre is its first child's too; each further centre is the first row that lies
+    beyond 1 / RATIO of the node's radius from all centres so far, until there is none or
+    there are CHILDREN, or fewer where leaves would hold few rows. Rows go to the nearest centre.
+    The root's children are the labels with LEAF_ROWS rows or more, and all other rows. Radii
+    are measured, so they hold in any case.
     """
     with np.errstate(over="ignore", invalid="ignore"):
         squares = (points * points).sum(axis=1)
     most = squares.max(initial=0)
     if not np.isfinite(most * 4):  # lengths beyond doubles: one leaf, all rows exactly
-        return {"rows": np.arange(len(points)), "centre": np.zeros(1, np.int64), "radius": np.array([np.inf]), "child": np.zeros(1, np.int64), "children": np.zeros(1, np.int64), "start": np.zeros(1, np.int64), "end": np.array([len(points)])}
+        return np.arange(len(points)), {"centre": np.zeros(1, np.int64), "radius": np.array([np.inf]), "child": np.zeros(1, np.int64), "children": np.zeros(1, np.int64), "start": np.zeros(1, np.int64), "end": np.array([len(points)])}
     raised = np.c_[points, np.sqrt(np.maximum(most - squares, 0))]
 
     def distances(rows: np.ndarray, centre: int) -> np.ndarray:
@@ -89,10 +91,17 @@ def grow(points: np.ndarray) -> dict[str, np.ndarray]:
         near = distances(rows, centre)
         radius = nodes[at][1] = float(near.max())
         order[start:end] = rows
-        if len(rows) > LEAF_ROWS and radius > 0:
+        if at == 0 and len(parts := _by_label(labels)) > 1:
+            nodes[0][2:4] = 1, len(parts)
+            for own in parts:
+                nodes.append([int(own[0]), 0.0, 0, 0, start, start + len(own)])
+                below.append(own)
+                start += len(own)
+        elif len(rows) > LEAF_ROWS and radius > 0:
             centres, of = [centre], np.zeros(len(rows), np.int64)
-            while len(centres) < CHILDREN and near.max() > radius / RATIO:
-                new = int(rows[near.argmax()])
+            most_children = min(CHILDREN, max(2, 2 * len(rows) // LEAF_ROWS))
+            while len(centres) < most_children and (far := near > radius / RATIO).any():
+                new = int(rows[far.argmax()])
                 d = distances(rows, new)
                 closer = d < near
                 near[closer], of[closer] = d[closer], len(centres)
@@ -107,7 +116,15 @@ def grow(points: np.ndarray) -> dict[str, np.ndarray]:
         at += 1
     columns = np.array([[n[0], *n[2:]] for n in nodes], np.int64).T
     room = ROOM * math.sqrt(most)
-    return {"rows": order, "centre": columns[0], "radius": np.array([n[1] for n in nodes]) + room, "child": columns[1], "children": columns[2], "start": columns[3], "end": columns[4]}
+    columns[0] = np.argsort(order)[columns[0]]  # places of rows in their new order
+    return order, {"centre": columns[0], "radius": np.array([n[1] for n in nodes]) + room, "child": columns[1], "children": columns[2], "start": columns[3], "end": columns[4]}
+
+
+def _by_label(labels: np.ndarray) -> list[np.ndarray]:
+    """The rows of each label with LEAF_ROWS or more, then the others."""
+    _, of, n = np.unique(labels, return_inverse=True, return_counts=True)
+    group = np.where(n >= LEAF_ROWS, np.arange(len(n)), len(n))[of]
+    return [np.flatnonzero(group == g) for g in np.unique(group)]
 
 
 class Query:
@@ -121,7 +138,7 @@ class Query:
         self.exact = largest * tree.largest * max(1, len(vector)) < EXACT
         self.room = ROOM * (self.length * tree.length + 1)
 
-    def bounds(self, nodes: slice) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least and most that an inner product with a row below each node can be.
 
         Both by the radius times the query's length, and on the sphere: with the query
@@ -138,37 +155,58 @@ class Query:
                 low = np.fmax(low, score - (apart * radius + radius**2 / 2) / stretch)
             return np.nan_to_num(low - self.room, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.nan_to_num(high + self.room, nan=np.inf, posinf=np.inf, neginf=-np.inf)
 
-    def scores(self, rows: np.ndarray) -> list[int]:
-        found = self.tree.points[rows]
+    def scores(self, start: int, end: int) -> np.ndarray:
+        """The scores of rows from start to end."""
+        found = self.tree.points[start:end]
         if self.exact:
-            return (found @ self.vector).astype(np.int64).tolist()
+            return (found @ self.vector).astype(np.int64)
         own = [int(x) for x in self.vector]
-        return [sum(int(a) * b for a, b in zip(row, own, strict=True)) for row in found.tolist()]
+        out = np.empty(len(found), object)
+        out[:] = [sum(int(a) * b for a, b in zip(row, own, strict=True)) for row in found.tolist()]
+        return out
 
     def best_first(self, windows: list[Kept], wanted: Wanted) -> None:
-        """Offer rows to the windows until no node can hold one that any of them takes."""
+        """Offer rows to the windows until no node can hold one that any of them takes.
+
+        Nodes wait in the order of their upper bounds; a step takes the first few of them.
+        """
         tree = self.tree
-        low, high = self.bounds(slice(0, 1))
-        open_nodes = [(-float(high[0]), 0, float(low[0]))]
-        while open_nodes:
-            high_0, node, low_0 = heapq.heappop(open_nodes)
-            if -high_0 < min(w.least() for w in windows):
+        nodes = np.zeros(1, np.int64)
+        low, high = self.bounds(nodes)
+        at_once = AT_ONCE
+        while True:
+            some = np.logical_or.reduce([w.takes(low, high) for w in windows])
+            nodes, low, high = nodes[some], low[some], high[some]
+            if not len(nodes):
                 return
-            if not any(w.takes(low_0, -high_0) for w in windows):
-                continue
-            if tree.children[node]:
-                inner = slice(int(tree.child[node]), int(tree.child[node] + tree.children[node]))
-                low, high = self.bounds(inner)
-                some = np.flatnonzero(wanted.nodes(tree, inner))
-                for i, a, b in zip((some + inner.start).tolist(), low[some].tolist(), high[some].tolist(), strict=True):
-                    if any(w.takes(a, b) for w in windows):
-                        heapq.heappush(open_nodes, (-b, i, a))
-            else:
-                rows = tree.rows[tree.start[node] : tree.end[node]]
-                rows = rows[wanted.rows(tree, rows)]
-                for score, vec_id in zip(self.scores(rows), tree.ids[rows].tolist(), strict=True):
-                    for w in windows:
-                        w.offer(score, vec_id)
+            order = np.argpartition(-high, at_once) if len(nodes) > at_once else np.arange(len(nodes))
+            first, rest = nodes[order[:at_once]], order[at_once:]
+            leaf = tree.children[first] == 0
+            found = list(zip(tree.start[first[leaf]].tolist(), tree.end[first[leaf]].tolist(), strict=True))
+            if found:
+                scores = np.concatenate([self.scores(i, j) for i, j in found])
+                ids, labels = (np.concatenate([x[i:j] for i, j in found]) for x in (tree.ids, tree.labels))
+                own = wanted.rows(ids, labels)
+                scores, ids = scores[own], ids[own]
+                for w in windows:
+                    w.offer(scores, ids)
+            inner = first[~leaf]
+            new = _ranges(tree.child[inner], tree.child[inner] + tree.children[inner])
+            new = new[wanted.nodes(tree, new)]
+            new_low, new_high = self.bounds(new)
+            nodes, low, high = np.r_[nodes[rest], new], np.r_[low[rest], new_low], np.r_[high[rest], new_high]
+            at_once *= 2
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The whole numbers of all ranges, one range after another."""
+    sizes = ends - starts
+    return np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
+
+
+def _double(score: float) -> float:
+    """A whole number as the nearest double; bounds have more room than that."""
+    return float(score) if abs(score) < 1 << 1000 else math.inf if score > 0 else -math.inf
 
 
 class Kept:
@@ -176,22 +214,22 @@ class Kept:
 
     def __init__(self, k: int, low: float = -math.inf, high: float = math.inf):
         self.k, self.low, self.high = k, low, high
-        self.best: list[tuple[int, int]] = []  # (score, -vec_id), the last one on top
-
-    def least(self) -> float:
-        """Scores below this are not taken any more."""
-        return self.best[0][0] if len(self.best) == self.k else self.low
+        self.ends = _double(low), _double(high)
+        self.best: list[tuple[int, int]] = []  # (score, -vec_id), the first one first
 
-    def takes(self, low: float, high: float) -> bool:
+    def takes(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Can rows with scores from low to high hold one that is taken?"""
-        return low <= self.high and high >= self.low and (len(self.best) < self.k or min(high, self.high) >= self.best[0][0])
+        least = _double(self.best[-1][0]) if len(self.best) == self.k else self.ends[0]
+        return (low <= self.ends[1]) & (np.minimum(high, self.ends[1]) >= least)
 
-    def offer(self, score: int, vec_id: int) -> None:
-        if self.low <= score <= self.high:
-            if len(self.best) < self.k:
-                heapq.heappush(self.best, (score, -vec_id))
-            elif (score, -vec_id) > self.best[0]:
-                heapq.heapreplace(self.best, (score, -vec_id))
+    def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        least = self.best[-1][0] if len(self.best) == self.k else self.low
+        some = np.flatnonzero((scores >= least) & (scores <= self.high))
+        if len(some) > self.k:
+            kth = np.partition(scores[some], len(some) - self.k)[len(some) - self.k]
+            some = some[scores[some] >= kth]
+        if len(some):
+            self.best = heapq.nlargest(self.k, [*self.best, *zip(scores[some].tolist(), (-ids[some]).tolist(), strict=True)])
 
 
 @dataclass(frozen=True)
@@ -202,13 +240,12 @@ class Wanted:
     same: bool
     but: int
 
-    def nodes(self, tree: CoverTree, nodes: slice) -> np.ndarray:
+    def nodes(self, tree: CoverTree, nodes: np.ndarray) -> np.ndarray:
         least, most = tree.least_label[nodes], tree.most_label[nodes]
         return (least <= self.label) & (most >= self.label) if self.same else (least != self.label) | (most != self.label)
 
-    def rows(self, tree: CoverTree, rows: np.ndarray) -> np.ndarray:
-        own = tree.labels[rows]
-        return (own == self.label) & (tree.ids[rows] != self.but) if self.same else own != self.label
+    def rows(self, ids: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        return (labels == self.label) & (ids != self.but) if self.same else labels != self.label
 
 
 def candidates(vectors: DataFrame, label: Column, id_col: str, vec_col: str) -> DataFrame:
@@ -236,17 +273,17 @@ def forest(rows: DataFrame, k: int) -> DataFrame:
         dim = key[0].as_py()
         lists = found["v"].combine_chunks()
         points = np.asarray(lists.flatten(), np.float64).reshape(len(found), dim)
-        tree = grow(points)
-        binary = {"points": points, "ids": found["vec_id"].to_numpy(), "labels": found["label"].to_numpy()} | tree
+        order, nodes = grow(points, found["label"].to_numpy())
+        binary = {"points": points[order], "ids": found["vec_id"].to_numpy()[order], "labels": found["label"].to_numpy()[order]} | nodes
         return pa.table({"dim": pa.array([dim], pa.int32()), "cb": pa.array([key[1].as_py()], pa.int32())} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in binary.items()})
 
-    columns = ", ".join(f"{c} binary" for c in ("points", "ids", "labels", "rows", *NODES))
+    columns = ", ".join(f"{c} binary" for c in ("points", "ids", "labels", *NODES))
     placed = first.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "copy"), F.lit(blocks)).cast("int").alias("cb"), "vec_id", "label", "v")
     return materialize(placed.groupBy("dim", "cb").applyInArrow(build, f"dim int, cb int, {columns}"), "cover-trees")
 
 
 def _tree(found: pa.Table, dim: int) -> CoverTree:
-    one = {c: found[c][0].as_py() for c in ("points", "ids", "labels", "rows", *NODES)}
+    one = {c: found[c][0].as_py() for c in ("points", "ids", "labels", *NODES)}
     read = {c: np.frombuffer(b, np.float64 if c in ("points", "radius") else np.int64) for c, b in one.items()}
     return CoverTree(**read | {"points": read["points"].reshape(len(read["ids"]), dim)})
 
