@@ -150,9 +150,10 @@ class Query:
             low, high = score - self.length * radius, score + self.length * radius
             if self.length > 0 and self.tree.length > 0:
                 stretch = self.tree.length / self.length
-                apart = np.sqrt(np.maximum(2 * self.tree.length**2 - 2 * stretch * score, 0)) + 2 * ROOM**0.5 * self.tree.length
-                high = np.fmin(high, score + (apart * radius - radius**2 / 2) / stretch)
-                low = np.fmax(low, score - (apart * radius + radius**2 / 2) / stretch)
+                apart, slack = np.sqrt(np.maximum(2 * self.tree.length**2 - 2 * stretch * score, 0)), 2 * ROOM**0.5 * self.tree.length
+                inside = apart - slack <= radius  # the query may lie within the covering radius
+                high = np.fmin(high, np.where(inside, self.length * self.tree.length, score + ((apart + slack) * radius - radius**2 / 2) / stretch))
+                low = np.fmax(low, score - ((apart + slack) * radius + radius**2 / 2) / stretch)
             return np.nan_to_num(low - self.room, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.nan_to_num(high + self.room, nan=np.inf, posinf=np.inf, neginf=-np.inf)
 
     def scores(self, start: int, end: int) -> np.ndarray:
