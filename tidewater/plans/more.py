@@ -9,7 +9,7 @@ from tidewater.operators import backtest, checks, frames, models, sequential, se
 from tidewater.plans.registry import query
 from tidewater.sources import adapt, graph
 from tidewater.sources.adapt import CANDLES_SQL, PAYOUTS_SQL, PREDICTIONS_SQL, SLOTS_SQL, SUBSCRIPTIONS_SQL
-from tidewater.streaming import bronze
+from tidewater.streaming import bronze, settle
 
 _W = "OVER (PARTITION BY feed ORDER BY timestamp)"
 _I = f"i AS (SELECT *, row_number() {_W} AS i FROM candles)"
@@ -302,6 +302,20 @@ def bronze_incremental(spark, d):
     return bronze.run_windows(*_events(spark, d), _CUTS)
 
 
+_MAX = "max(predvalue) AS predvalue, max(truevalue) AS truevalue, max(stake) AS stake, max(payout) AS payout, max(t) AS t"
+
+
+@query(f"""WITH {PREDICTIONS_SQL}, {PAYOUTS_SQL}, p AS (SELECT DISTINCT ID, contract, slot, "user", pair, timeframe, source, timestamp FROM predictions),
+  u AS (SELECT q.ID, q.predvalue, q.truevalue, q.stake, q.payout, q.timestamp AS t, coalesce(q.timestamp BETWEEN p.timestamp AND p.timestamp + 172800000, false) AS met FROM payouts q LEFT JOIN p ON p.ID = q.ID),
+  k AS (SELECT ID, met, {_MAX} FROM u GROUP BY ID, met)
+  SELECT p.ID, split_part(p.ID, '-', 1) || '-' || split_part(p.ID, '-', 2) AS slot_id, contract, slot, "user", pair, timeframe, source, predvalue, truevalue, stake, CAST(NULL AS DOUBLE) AS revenue, payout, timestamp,
+    greatest(timestamp, coalesce(t, timestamp)) AS last_event_timestamp, false AS orphan FROM p LEFT JOIN k ON k.ID = p.ID AND k.met
+  UNION ALL SELECT ID, split_part(ID, '-', 1) || '-' || split_part(ID, '-', 2), NULL, NULL, NULL, NULL, NULL, NULL, predvalue, truevalue, stake, NULL, payout, NULL, t, true FROM k WHERE NOT met""")
+def settled_events(spark, d):
+    """Settlements of the third day come too late and are orphans."""
+    return settle.settled(adapt.predictions(spark, d), adapt.payouts(spark, d), 2 * bronze.DAY_MS)
+
+
 @query(f"""WITH {PREDICTIONS_SQL}, {PAYOUTS_SQL} SELECT ID, max(predvalue) AS u_predvalue, max(truevalue) AS u_truevalue, max(stake) AS u_stake, CAST(NULL AS DOUBLE) AS u_revenue, max(payout) AS u_payout, max(timestamp) AS u_time
   FROM payouts WHERE timestamp > 820000000000 AND timestamp <= 880000000000 GROUP BY ID""")
 def update_events(spark, d):

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewater.streaming import filters
+
 DAY_MS = 86_400_000
 VALUES = ("predvalue", "truevalue", "stake", "revenue", "payout")
 _KINDS = {"boolean": T.BooleanType(), "double": T.DoubleType(), "long": T.LongType(), "string": T.StringType()}
@@ -80,7 +82,8 @@ def run_windows(predictions: DataFrame, payouts: DataFrame, cuts: list[int]) ->
 class BronzeStore:
     """The relation in parts by day of the prediction, and numbered manifests that say which files of parts count.
 
-    An update writes the parts that its events touch and leaves the others where they are.
+    An update writes the parts that its events touch and leaves the others where they are;
+    a filter beside each part tells whether it may hold an ID, so the others are not read.
     A manifest holds also how far the events are done. It appears by a rename, so readers
     see the relation before or after an update and a failed one changes nothing.
     """
@@ -133,22 +136,43 @@ class BronzeStore:
 
     def apply(self, predictions: DataFrame, updates: DataFrame, done: int | None = None) -> None:
         """Merge new predictions and collapsed updates (one row per ID) into the parts that they touch."""
+        ids = updates.select("ID").union(predictions.select("ID"))
+        self._rewrite(predictions, ids, lambda prod: merge(prod, predictions, updates), done)
+
+    def upsert(self, rows: DataFrame, combine: Callable[[DataFrame], DataFrame]) -> None:
+        """Put rows beside those that are there, and make one row of each ID's by `combine`."""
+        rows = rows.select(*BRONZE.names)
+        self._rewrite(rows, rows.select("ID"), lambda prod: combine(rows if prod is None else prod.unionByName(rows)), None)
+
+    def parts_of(self, ids: DataFrame) -> set[str]:
+        """The days whose parts may hold one of the IDs, by their filters; no part is read."""
+        return self._parts_of(self._state(), ids)
+
+    def _parts_of(self, state: dict, ids: DataFrame) -> set[str]:
+        folders = sorted({f"{self.path}/{f.split('/')[0]}/ids" for f in state["parts"].values()})
+        if not folders:
+            return set()
+        current = self.spark.createDataFrame([(d, f.split("/")[0]) for d, f in state["parts"].items()], "_day string, _in string")
+        held = self.spark.read.schema("_day string, _in string, pages long, page long, bits binary").parquet(*folders).join(F.broadcast(current), ["_day", "_in"], "left_semi")  # a row for each part
+        return {r[0] for r in filters.parts_with(held, ids, "_day").collect()}
+
+    def _rewrite(self, rows: DataFrame, ids: DataFrame, change: Callable[[DataFrame | None], DataFrame], done: int | None) -> None:
+        """Write the parts of the rows' days, and those that may hold one of the IDs, as `change` makes them from what they hold."""
         state = self._state()
         day = F.coalesce(F.floor(F.col("timestamp") / DAY_MS).cast("string"), F.lit("none"))
         name = f"data-{state['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-        days = {r[0] for r in predictions.select(day.alias("d")).distinct().collect()}
-        if state["version"]:  # parts that hold an ID of the new events
-            ids = updates.select("ID").union(predictions.select("ID"))
-            found = self._read(state, list(state["parts"])).select("ID", day.alias("d")).join(ids, "ID", "left_semi").select("d").distinct()
-            days |= {r[0] for r in found.collect()}
+        days = {r[0] for r in rows.select(day.alias("d")).distinct().collect()} | self._parts_of(state, ids)
         touched = sorted(days & set(state["parts"]))
         prod = self._read(state, touched) if state["version"] else None
-        out = merge(prod, predictions, updates).withColumn("_day", day)
-        out.repartition("_day").write.partitionBy("_day").parquet(f"{self.path}/{name}")
+        out = change(prod).withColumn("_day", day)
+        out.hint("rebalance", "_day").write.partitionBy("_day").parquet(f"{self.path}/{name}")  # a large day is several tasks
         new = {p.getPath().getName().removeprefix("_day="): f"{name}/{p.getPath().getName()}" for p in self._fs.globStatus(self._hadoop(f"{name}/_day=*"))}
         if not set(new) <= days:
             raise RuntimeError(f"events of days that were not read: {sorted(set(new) - days)}")
-        self._publish(state, {"parts": state["parts"] | new, "done": state["done"] if done is None else done})
+        written = self._read({"parts": new}, list(new)).select("ID", day.alias("_day"))
+        filters.id_filters(written, "_day").withColumn("_in", F.lit(name)).write.parquet(f"{self.path}/{name}/ids")
+        kept = {d: f for d, f in state["parts"].items() if d not in touched}
+        self._publish(state, {"parts": kept | new, "done": state["done"] if done is None else done})
 
     def high_water(self) -> int | None:
         prod = self.read()
