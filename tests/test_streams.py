@@ -2,11 +2,15 @@
 
 import json
 import random
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 from pathlib import Path
+from urllib.parse import parse_qs, urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.sources import exchange, graph
 from tidewater.streaming import bronze, filters, settle
 
 HOUR = 3_600_000
@@ -130,3 +134,91 @@ def test_filters_find_all_that_is_there_and_little_else(spark):
     assert filters.parts_with(found, others, "_day").count() <= 1
     assert filters.parts_with(filters.id_filters(held.limit(0), "_day"), one, "_day").count() == 0
     found.unpersist()
+
+
+class Pages:
+    """A service of records by time that counts what it is asked for."""
+
+    def __init__(self, times):
+        self.times, self.asked = times, []
+        pages = self
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_POST(self):  # noqa: N802
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                v = body["variables"]
+                records = [{"id": f"r{i}", "timestamp": t} for i, t in enumerate(pages.times)]
+                if body["query"] == "newest":
+                    found = sorted(records, key=lambda r: -r["timestamp"])[: v["first"]]
+                else:
+                    pages.asked.append((v["start"], v["end"], v["skip"]))
+                    found = [r for r in records if v["start"] <= r["timestamp"] <= v["end"]][v["skip"] : v["skip"] + v["first"]]  # ends belong to it
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(json.dumps({"data": {"events": found}}).encode())
+
+            def log_message(self, *_):
+                pass
+
+        self.server = HTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.options = {"url": f"http://127.0.0.1:{self.server.server_port}/", "query": "between", "newest": "newest", "field": "events", "step": "10", "first": "3"}
+
+
+def test_stopped_streams_read_each_page_once(spark, tmp_path):
+    pages = Pages([0, 3, 9, 10, 10, 10, 11, 19, 20, 25])
+
+    def go(**more):
+        found = graph.record_stream(spark, "id string, timestamp long", **pages.options, **more)
+        query = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    try:
+        assert go() == sorted(f"r{i}" for i in range(10))  # 10 and 20 lie on borders of partitions
+        asked = len(pages.asked)
+        assert go() == sorted(f"r{i}" for i in range(10)) and len(pages.asked) == asked
+        pages.times += [26, 26, 31, 44]
+        assert go() == sorted(f"r{i}" for i in range(14))
+        assert min(start for start, _, _ in pages.asked[asked:]) == 26
+        pages.times += [50, 60]
+        assert go(hold="8") == sorted(f"r{i}" for i in range(15))
+        assert go() == sorted(f"r{i}" for i in range(16))
+    finally:
+        pages.server.shutdown()
+
+
+def test_tables_of_pages_have_each_record_once(spark):
+    pages = Pages(list(range(0, 40, 5)))
+    try:
+        found = graph.records(spark, "id string, timestamp long", **pages.options, start="0", end="35")
+        assert rows(found, "timestamp") == sorted(((t,) for t in range(0, 35, 5)), key=repr)
+    finally:
+        pages.server.shutdown()
+
+
+def test_candles_since_a_time(spark):
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            asked.append((q["symbol"], q["timeframe"]))
+            found = [[t, 1.0, 2.0, 0.5, float(t), 3.0] for t in range(0, 1000, 50) if t >= int(q["since"])][: int(q["limit"])]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(found).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    options = {"url": f"http://127.0.0.1:{server.server_port}/", "api": "since", "symbol": "BTC/USDT", "timeframe": "5m", "start": "0", "end": "800", "step": "300", "page": "4"}
+    try:
+        assert rows(exchange.fetch(spark, "f", **options), "timestamp", "close") == sorted(((t, float(t)) for t in range(0, 800, 50)), key=repr)
+        assert set(asked) == {("BTC/USDT", "5m")}
+    finally:
+        server.shutdown()
+    with pytest.raises(Exception, match="no such service"):
+        exchange.fetch(spark, "f", **options | {"api": "other"}).count()

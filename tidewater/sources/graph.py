@@ -1,7 +1,7 @@
 """Nested records of the market's graph service, as a data source and as flat relations.
 
 The `graphpages` source posts one query per page and time range; each range is a partition
-of its own. Without a network, the same records come from JSON files. Flattening is the
+of its own. As a stream it keeps times as offsets. Without a network, the same records come from JSON files. Flattening is the
 same for both: DataFrame functions over nested columns.
 """
 
@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidewater.functions.normal import keccak256
 
@@ -53,32 +53,83 @@ def post(url: str, body: dict, tries: int = 3, timeout: float = 30.0, wait=time.
 
 
 class Range(InputPartition):
+    """From start up to, but not with, end."""
+
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end
 
 
-class GraphReader(DataSourceReader):
+class GraphPaging:
+    """Reads the pages of ranges of time. A record at the border of two ranges comes with the later one only."""
+
     def __init__(self, options: dict):
         self.url, self.query, self.field = options["url"], options["query"], options["field"]
-        self.first = int(options.get("first", 1000))
-        self.start, self.end, self.step = int(options["start"]), int(options["end"]), int(options.get("step", 86_400))
+        self.first, self.step, self.time = int(options.get("first", 1000)), int(options.get("step", 86_400)), options.get("time", "timestamp")
 
-    def partitions(self) -> list[Range]:
-        return [Range(a, min(a + self.step, self.end)) for a in range(self.start, self.end, self.step)] or [Range(self.start, self.end)]
+    def ask(self, query: str, **variables: int) -> list[dict]:
+        return post(self.url, {"query": query, "variables": variables})["data"][self.field]
+
+    def ranges(self, start: int, end: int) -> list[Range]:
+        return [Range(a, min(a + self.step, end)) for a in range(start, end, self.step)] or [Range(start, start)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         skip = 0
-        while True:
-            body = {"query": self.query, "variables": {"start": partition.start, "end": partition.end, "skip": skip, "first": self.first}}
-            rows = post(self.url, body)["data"][self.field]
-            yield from ((json.dumps(r),) for r in rows)
+        while partition.start < partition.end:
+            rows = self.ask(self.query, start=partition.start, end=partition.end, skip=skip, first=self.first)
+            for r in rows:
+                at = r.get(self.time)
+                if at is None or partition.start <= int(at) < partition.end:
+                    yield (json.dumps(r),)
             if len(rows) < self.first:
                 return
             skip += self.first
 
 
+class GraphReader(GraphPaging, DataSourceReader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.start, self.end = int(options["start"]), int(options["end"])
+
+    def partitions(self) -> list[Range]:
+        return self.ranges(self.start, self.end)
+
+
+class GraphStreamReader(GraphPaging, DataSourceStreamReader):
+    """Offsets are times: all records before the offset are read.
+
+    The newest record's time comes from the `newest` query. Spark keeps the offsets of each
+    micro-batch before it runs, so a stream that is stopped goes on where it was, and a
+    batch that is run again reads the same ranges. Records that the service shows up to
+    `hold` seconds late are waited for.
+    """
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.newest, self.start = options["newest"], int(options.get("start", 0))
+        self.end = int(options["end"]) if "end" in options else None
+        self.hold = int(options.get("hold", 0))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"before": self.start}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        times = [int(r[self.time]) for r in self.ask(self.newest, first=1)]
+        before = max([self.start, *(t + 1 - self.hold for t in times)])
+        return {"before": before if self.end is None else max(self.start, min(before, self.end))}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        return self.ranges(start["before"], end["before"])
+
+    def commit(self, end: dict) -> None:
+        """The service keeps its records, so there is nothing to let go."""
+
+
 class GraphPages(DataSource):
-    """Options: url, query, field of the answer, start, end, step of a partition, first (rows of a page)."""
+    """Options: url, query, field of the answer, start, end, step of a partition, first (rows of a page), time (field of the time).
+
+    The query gets start, end, skip and first; records from start on and before end count. On
+    a stream also: newest (a query whose first record is the newest), hold; end is optional.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -90,6 +141,9 @@ class GraphPages(DataSource):
     def reader(self, schema) -> GraphReader:
         return GraphReader(self.options)
 
+    def streamReader(self, schema) -> GraphStreamReader:  # noqa: N802
+        return GraphStreamReader(self.options)
+
 
 def records(spark: SparkSession, schema: str, path: str | None = None, **options) -> DataFrame:
     """Nested records from JSON files, or from the service if no path is given."""
@@ -99,6 +153,12 @@ def records(spark: SparkSession, schema: str, path: str | None = None, **options
     return spark.read.format("graphpages").options(**options).load().select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
+def record_stream(spark: SparkSession, schema: str, **options) -> DataFrame:
+    """A stream of nested records of the service, each record once."""
+    spark.dataSource.register(GraphPages)
+    return spark.readStream.format("graphpages").options(**options).load().select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def value_of(pairs: Column, key: str) -> Column:
     """The decoded value of a key in an array of (key: Keccak-256 of the name, value: text in hex)."""
     hashed = keccak256(key.encode()).hex()
