@@ -1,40 +1,24 @@
 """Operators whose next step depends on state: bars, indicators, trades, greedy batches.
 
-Each runs over one feed or run after the other, in order of time, and holds a batch of rows
-and a small state, however long the series; feeds run in parallel. Nothing here can be a
-window expression, because the state is reset by what it holds (bars, trades) or decays
-without end (averages).
+Bars and averages run over blocks of time in parallel. Trades run over one run after the
+other, in order of time, and hold a batch of rows and a small state, however long the
+series. Nothing here can be a window expression, because the state is reset by what it
+holds (bars, trades) or decays without end (averages).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BAR = "feed string, bar long, timestamp long, open double, high double, low double, close double, volume double, dollar double, n long, closed_at long"
-
-
-def in_order(df: DataFrame, by: tuple[str, ...], start: Callable[[pd.Series], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, order: str = "timestamp") -> DataFrame:
-    """A function with a state over each group's rows, in order and in batches.
-
-    `start` makes a group's function from its first row; it gets the group's rows batch by
-    batch. Rows are sorted by Spark, which spills, so no group has to fit into memory.
-    """
-    keys = [*by]
+from tidewater.operators import blocks
+from tidewater.operators.blocks import in_order
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, step = None, None
-        for batch in batches:
-            for _, rows in batch.groupby(batch[keys].ne(batch[keys].shift()).any(axis=1).cumsum(), sort=False):
-                key = tuple(rows[keys].iloc[0])
-                if step is None or key != now:
-                    now, step = key, start(rows.iloc[0])
-                yield step(rows)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+BAR = "feed string, bar long, timestamp long, open double, high double, low double, close double, volume double, dollar double, n long, closed_at long"
 
 
 class BarNumbers:
@@ -62,33 +46,19 @@ def threshold_bars(candles: DataFrame, metric: str, threshold: float) -> DataFra
     """Bars of at least `threshold` volume, dollars or ticks. Sums must not fall: sizes are not negative."""
     if metric not in ("volume", "dollar", "tick"):
         raise ValueError(f"no such metric: {metric}")
-    if metric == "tick":
-        return _bars(candles.withColumn("bar", F.floor((F.row_number().over(Window.partitionBy("feed").orderBy("timestamp")) - 1) / int(threshold))), int(threshold))
-
-    def start(_: pd.Series) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        number = BarNumbers(threshold)
-
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
-            bars, sums = number((rows["volume"] * rows["close"] if metric == "dollar" else rows["volume"]).tolist())
-            return rows.assign(bar=bars, so_far=sums)
-
-        return step
-
-    kept = candles.select("feed", "timestamp", "open", "high", "low", "close", "volume")
-    schema = "feed string, timestamp long, open double, high double, low double, close double, volume double, bar long, so_far double"
-    return _bars(in_order(kept, ("feed",), start, schema), so_far=threshold)
+    value = {"volume": F.col("volume"), "dollar": F.col("volume") * F.col("close"), "tick": F.lit(1)}[metric]
+    full = int(threshold) if metric == "tick" else threshold
+    rows = candles.select("feed", "timestamp", "open", "high", "low", "close", "volume").withColumn("value", value)
+    return _bars(blocks.bar_numbers(rows, "value", full).drop("value"), full)
 
 
-def _bars(rows: DataFrame, full: int = 0, so_far: float | None = None) -> DataFrame:
-    """Bars of numbered rows; the open rest of a feed, which has neither `full` rows nor the sum, is no bar."""
-    top = [F.max("so_far").alias("so_far")] if so_far is not None else []
+def _bars(rows: DataFrame, full: float) -> DataFrame:
+    """Bars of numbered rows; the open rest of a feed, whose sum is not full, is no bar."""
     out = rows.groupBy("feed", "bar").agg(
         F.min("timestamp").alias("timestamp"), F.min_by("open", "timestamp").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "timestamp").alias("close"),
-        F.sum("volume").alias("volume"), F.sum(F.col("close") * F.col("volume")).alias("dollar"), F.count("*").alias("n"), F.max("timestamp").alias("closed_at"), *top,
+        F.sum("volume").alias("volume"), F.sum(F.col("close") * F.col("volume")).alias("dollar"), F.count("*").alias("n"), F.max("timestamp").alias("closed_at"), F.max("so_far").alias("so_far"),
     )
-    if so_far is not None:
-        return out.where(F.col("so_far") >= so_far).drop("so_far")
-    return out.where(F.col("n") == full) if full else out
+    return out.where(F.col("so_far") >= full).drop("so_far")
 
 
 class Ema:
@@ -126,17 +96,20 @@ class Rsi:
         return None if u is None else 100.0 if d == 0 else 100 - 100 / (1 + u / d)
 
 
-#: Named indicators: what makes a function that takes one close after the other. Add to it to make one known to indicators().
-INDICATORS: dict[str, Callable[[], Callable[[float], float | None]]] = {"macd": Macd, "rsi": Rsi}
+def _strength(up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(up), np.nan, np.where(down == 0, 100.0, 100 - 100 / (1 + up / down)))
 
 
-def indicators(candles: DataFrame, names: tuple[str, ...] = ("macd", "rsi")) -> DataFrame:
-    def start(_: pd.Series) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        each = {n: INDICATORS[n]() for n in names}
-        return lambda rows: rows.assign(**{n: pd.array([f(c) for c in rows["close"].tolist()], "Float64") for n, f in each.items()})
+#: Named indicators. Add to it to make one known to indicators().
+INDICATORS: dict[str, blocks.Indicator] = {
+    "macd": blocks.Indicator((blocks.Average("close", 2 / 13, 12), blocks.Average("close", 2 / 27, 26)), np.subtract),
+    "rsi": blocks.Indicator((blocks.Average("rise", 1 / 14, 14), blocks.Average("fall", 1 / 14, 14)), _strength),
+}
 
-    schema = "feed string, timestamp long, close double, " + ", ".join(f"{n} double" for n in names)
-    return in_order(candles.select("feed", "timestamp", "close"), ("feed",), start, schema)
+
+def indicators(candles: DataFrame, names: tuple[str, ...] = ("macd", "rsi")) -> DataFrame:
+    """Averages that decay without end are carried over blocks of time."""
+    return blocks.averages(candles, {n: INDICATORS[n] for n in names})
 
 
 class Trader:
