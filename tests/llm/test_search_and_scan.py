@@ -102,12 +102,8 @@ def vectors(spark):
 
 def brute(data, k, every, measure, best):
     good = [(i, v) for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    asked = {}
-    for i, v in good:
-        if i % every == 0:
-            asked[i] = min(asked.get(i, v), v)
     out = []
-    for q, v in asked.items():
+    for q, v in (x for x in good if x[0] % every == 0):  # every row is a query
         found = sorted(((best * measure(v, w), i) for i, w in good if i != q and len(w) == len(v)))[:k]
         out += [(q, r, i, best * s) for r, (s, i) in enumerate(found, 1)]
     return sorted(out, key=repr)
@@ -138,6 +134,24 @@ def test_searches_with_repeated_ids_and_large_components(spark):
     assert rows(blockjoin.nearest(df, every=10), "query_id", "rank", "vec_id", "score") == brute(data, 10, 10, measure, 1)
 
 
+def test_every_row_of_an_id_is_a_query(spark):
+    data = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 3.0]), (3, [2.0, 2.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    top = rows(vafile.exact_top_k(df, k=2, every=50), "query_id", "rank", "vec_id")
+    assert top == sorted([(0, 1, 1), (0, 2, 3)] + [(0, 1, 2), (0, 2, 3)] * 2)
+    near = rows(blockjoin.nearest(df, k=1, every=100), "query_id", "rank", "vec_id")
+    assert near == sorted((0, 1, min((math.dist(v, w), j) for j, w in data if j)[1]) for i, v in data if i == 0)
+
+
+def test_components_and_scores_beyond_a_long(spark):
+    data = [(0, [2.0**70, 1.0]), (1, [2.0**70, 2.0]), (2, [2.0**70, 3.0]), (3, [2.0**70, 1.0]), (4, [-(2.0**80), 0.0]), (50, [1e300, 5.0]), (5, [1e308, -1e308]), (6, [1e-3, 1e-3])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    ints = lambda v: [math.floor(256 * x) if abs(x) < 1e305 else int(math.copysign(1.7976931348623157e308, x)) for x in v]
+    want = brute(data, 5, 50, lambda a, b: sum(x * y for x, y in zip(ints(a), ints(b))), -1)
+    limit = (1 << 63) - 1
+    assert rows(vafile.exact_top_k(df, every=50), "query_id", "rank", "vec_id", "score") == [(q, r, i, max(-limit - 1, min(s, limit))) for q, r, i, s in want]
+
+
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(blockjoin, "_ROWS", 16)
     data, df = vectors(spark)
@@ -224,6 +238,19 @@ def test_a_model_that_encodes_otherwise_is_refused(monkeypatch):
         bpe.BpeModel(MODEL)
 
 
+def test_encoding_of_strings_of_pieces():
+    """Pieces and characters of the vocabulary in a row, every piece that holds a mark beside others."""
+    rng, model = random.Random(11), bpe.load(MODEL)
+    pieces = [p.replace(bpe.SPACE, " ") for p in model.ids]
+    marks = [p for p in pieces if any(not c.isalnum() and not c.isspace() for c in p)]
+    texts = ["x².", "5 m²", "5 m².", "a².b", "½.", "Ⅷ,x", "x²;"] + [rng.choice(pieces) + p + rng.choice(pieces) for p in marks]
+    texts += ["".join(rng.choice(marks if rng.random() < 0.4 else pieces) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    for t in texts:
+        ids = LIBRARY.encode(t)
+        assert model.encode(t) == ids, t
+        assert model.digest(t)[2] == LIBRARY.decode(ids), t
+
+
 # WARC
 
 
@@ -243,6 +270,23 @@ def test_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_characters_that_some_take_for_ends_of_lines(spark):
+    odd = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029\r\n"
+    df = spark.createDataFrame([(i, f"http://a/{c}WARC-Type: metadata{c}", f"page {c} {i}") for i, c in enumerate(odd)], "page_id long, url string, html string")
+    assert rows(warc.round_trip(df), "page_id", "record_type") == sorted(((i, "response") for i in range(len(odd))), key=repr)
+    path = shared_path(spark, "warc")
+    warc.write_archives(df, path)
+    found = warc.read_archives(spark, path).where("record_type = 'response'").collect()
+    assert {r.payload.decode() for r in found} == {f"page {c} {i}" for i, c in enumerate(odd)}
+    assert all(r.target_uri.startswith("http://a/%") and r.target_uri.count("%") >= 2 for r in found)
+
+
+@pytest.mark.parametrize("c", ["\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"])
+def test_headers_of_others_with_such_characters(c):
+    head = f"WARC/1.0\r\nWARC-Type: resource\r\nX-Odd: a{c}Content-Length: 99{c}\r\nContent-Length: 3".encode()
+    assert warc._Head(head).block == 3 and warc._fields(head)["x-odd"] == f"a{c}Content-Length: 99{c}"
+
+
 def test_reader_pushes_predicates_and_plans_partitions(spark):
     df = spark.createDataFrame([(i, f"http://h{i % 3}/{i}", f"page {i // 2}") for i in range(40)], "page_id long, url string, html string")
     path = shared_path(spark, "warc")

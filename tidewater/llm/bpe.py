@@ -10,6 +10,7 @@ one valid sequence, so a bitfield of positions that led nowhere bounds the work.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -27,6 +28,9 @@ CACHED_CHUNKS, CACHED_PAIRS, CACHED_CHARS = 300_000, 500_000, 48
 #: Texts that other normalizers or model types treat otherwise: runs of spaces, wide, composed and control characters.
 PROBES = ("", " ", "a", "  two  spaces ", "tab\tline\nend", "Ａ①ﬁ", "e\u0301é", "it's 12.5%, no?", "\u200bx\u00a0y", "漢字😀")
 
+#: The characters of \w that are neither letters nor decimal digits, for a character class.
+_NUMBERS = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+
 
 class BpeModel:
     """A merge-type model whose normalization is: one space in front, spaces written as SPACE."""
@@ -50,10 +54,10 @@ class BpeModel:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         breaks = "".join(c for c in "\n\r\t" if not any(c in p and p != c for p in self.ids))
         word = f"[^{SPACE}{breaks}]"
-        # Nor does one cross from a letter to a mark that no piece has behind a letter.
+        # Nor does one cross from a letter to a mark that no piece has behind a letter. Numbers such as ² are no letters here.
         behind = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalpha()}
         marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_" and c not in behind)
-        plain = f"{SPACE}*[^\\W\\d_]+(?=[{marks}])|" if marks else ""
+        plain = f"{SPACE}*[^\\W\\d_{_NUMBERS}]+(?=[{marks}])|" if marks else ""
         self._chunks = re.compile(r".+" if inner else f"{plain}{SPACE}+{word}*|{word}+" + (f"|[{breaks}]" if breaks else ""), re.DOTALL).findall
         self._pairs: dict[tuple[str, str], bool] = {}
         self._kept: dict[str, tuple[int, str, str]] = {}
