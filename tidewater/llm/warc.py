@@ -48,6 +48,10 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 
 
+#: White space at the ends of a header, and characters of a URL that are written as %XX: all that some reader may take for the end of a line.
+_BLANKS, _CONTROLS = " \t\r", re.compile("[\x00-\x1f\x7f-\x9f\u2028\u2029]")
+
+
 def member(data: bytes) -> bytes:
     """data as one gzip member with the skip lengths of the WARC annex on compression."""
     z = zlib.compressobj(6, zlib.DEFLATED, -15)
@@ -65,7 +69,7 @@ def record(kind: str, record_id: str, uri: str | None, date: str, digest: str, l
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}"]
     if uri is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", uri))
+        head.append("WARC-Target-URI: " + _CONTROLS.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), uri))
     if kind == "revisit":
         head += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return _joined([*head, "Content-Type: application/http; msgtype=response"], http + (payload or b"" if kind == "response" else b""))
@@ -202,17 +206,17 @@ class _Stream:
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    """Header fields by lower-case name; lines that begin with white space go on with the one before."""
+    """Header fields by lower-case name; lines end with CRLF or LF alone, and such that begin with white space go on with the one before."""
     out: dict[str, str] = {}
     name = ""
-    for line in head.decode("utf-8", "replace").splitlines()[1:]:
-        if line[:1] in " \t":
+    for line in head.decode("utf-8", "replace").split("\n")[1:]:
+        if line[:1] in (" ", "\t"):
             if name:
-                out[name] += " " + line.strip()
+                out[name] += " " + line.strip(_BLANKS)
         else:
             name, _, value = line.partition(":")
-            name = name.strip().lower()
-            out[name] = value.strip()
+            name = name.strip(_BLANKS).lower()
+            out[name] = value.strip(_BLANKS)
     return out
 
 
