@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import materialize
-from tidewater.llm.vectors import first_copies, grid, matrix, packed, queries, usable
+from tidewater.llm.vectors import each_time, first_copies, grid, matrix, packed, queries, usable
 
 _QUERY_ROWS, _ROWS = 256, 2048
 
@@ -48,7 +48,7 @@ def tile(k: int):
             c_all, c_ids = matrix(rows["vec"], np.float64, dim), rows["vec_id"].to_numpy()
             c_int, c_scale, c_norm, c_err = _int8(c_all)
             for i in range(0, len(asked), _QUERY_ROWS):
-                q_ids = asked["vec_id"].to_numpy()[i : i + _QUERY_ROWS]
+                q_ids, q_rows = (asked[c].to_numpy()[i : i + _QUERY_ROWS] for c in ("vec_id", "q"))
                 q = matrix(asked["vec"].iloc[i : i + _QUERY_ROWS], np.float64, dim)
                 q_int, q_scale, q_norm, q_err = _int8(q)
                 heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]  # (-distance, -vec_id): the worst first
@@ -76,8 +76,8 @@ def tile(k: int):
                             heapq.heappushpop(heap, (-near, -vec_id))
                         if len(heap) == k:
                             far[x] = -heap[0][0]
-                out += [(int(i), -v, -d) for i, heap in zip(q_ids, heaps, strict=True) for d, v in heap]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                out += [(int(i), -v, -d) for i, heap in zip(q_rows, heaps, strict=True) for d, v in heap]
+        return pd.DataFrame(out, columns=["q", "vec_id", "score"])
 
     return run
 
@@ -88,15 +88,17 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     Queries are the rows whose id is divisible by `every`, candidates all rows with another
     id and the same number of components; ties go to the smaller id. The bounds are certain,
     so recall is 1. Vectors that are null, zero or hold null or non-finite components take no
-    part, nor do rows without id. Repeated rows are one candidate each; a repeated query id
-    is asked once, with its smallest vector. Extra columns are ignored, and an empty table
+    part, nor do rows without id. Repeated rows are one candidate each; every row with
+    such an id is a query, repeated ones too, and gives its own k rows. Extra columns are ignored, and an empty table
     gives an empty result. Distances beyond the range of doubles are infinite.
     """
     rows = usable(vectors, id_col, vec_col).where(F.exists("v", lambda x: x != 0))
     blocks = materialize(packed(first_copies(rows, k)), "blocks")
-    asked = materialize(packed(queries(rows, every)), "queries")
+    asked = materialize(packed(queries(rows, every)).withColumn("q", F.monotonically_increasing_id()), "queries")
     cells, asked_at = grid(blocks, asked)
     by = ["dim", "qb", "cb"]
-    found = asked_at.groupBy(*by).cogroup(cells.groupBy(*by)).applyInPandas(tile(k), "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = asked_at.groupBy(*by).cogroup(cells.groupBy(*by)).applyInPandas(tile(k), "q long, vec_id long, score double")
+    w = Window.partitionBy("q").orderBy("score", "vec_id")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    named = each_time(asked.select("q", F.col("vec_id").alias("query_id"), "times"))
+    return best.join(named, "q").select("query_id", "rank", "vec_id", "score")

@@ -40,19 +40,26 @@ def first_copies(df: DataFrame, k: int) -> DataFrame:
 
 
 def packed(df: DataFrame) -> DataFrame:
-    """(vec_id, v) -> (vec_id, dim, vec) with vec as little-endian doubles."""
+    """(vec_id, v, ...) -> (vec_id, dim, vec, ...) with vec as little-endian doubles."""
+    rest = [n for n in df.columns if n not in ("vec_id", "v")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [np.asarray(x.values, np.float64) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in rows], pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], ["vec_id", "dim", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in rows], pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary()), *b.columns[2:]], ["vec_id", "dim", "vec", *rest])
 
-    return df.mapInArrow(run, "vec_id long, dim int, vec binary")
+    kinds = dict(df.dtypes)
+    return df.select("vec_id", "v", *rest).mapInArrow(run, ", ".join(["vec_id long, dim int, vec binary", *(f"{n} {kinds[n]}" for n in rest)]))
 
 
 def queries(df: DataFrame, every: int) -> DataFrame:
-    """The rows whose id is divisible by `every`, one per id (of repeated ids, the smallest vector)."""
-    return df.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    """(vec_id, v, times): the rows whose id is divisible by `every`; wholly equal ones are one with their number."""
+    return df.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.count("*").alias("times"))
+
+
+def each_time(df: DataFrame) -> DataFrame:
+    """A row as often as its `times` says."""
+    return df.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("_time")).drop("times", "_time")
 
 
 def grid(rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
