@@ -14,6 +14,7 @@ checked it is broadcast; beyond it the n-grams asked for go to the shards instea
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,15 +34,18 @@ ORDER, STRENGTH = 2, 200.0
 ADDED = 0.1
 #: Ratio of neighbouring levels of large counts; bits of the filter for an entry, and its probes.
 RATIO, BITS, PROBES = 1.25, 8, 5
+#: Bits of a block of the filter, and levels of an n-gram that share one.
+BLOCK_BITS, LEVELS_OF_BLOCK = 512, 4
 #: N-grams of a shard at most on average, and bytes of a filter that is broadcast.
 SHARD_GRAMS, BROADCAST_BYTES = 1 << 19, 128 << 20
 #: Words whose exact counts are broadcast, and bytes of each: 12.6 MB and their counts. All other words are joined.
 FREQUENT_WORDS, FREQUENT_BYTES = 1 << 18, 48
 #: Bytes of texts that are scored at once, entries that a task holds, and words that a worker keeps.
-CHUNK_BYTES, HELD, CACHED_WORDS = 4 << 20, 1 << 21, 300_000
+CHUNK_BYTES, HELD, CACHED_WORDS = 2 << 20, 1 << 21, 250_000
 #: The token that ends every text; no word is empty.
 END = b""
 
+_MASKS = np.array([1 << i for i in range(8)], np.uint8)
 _START = np.uint64(0x9E3779B97F4A7C15)
 _FOLD, _STEP = np.uint64(0xD1342543DE82EF95), 0xA24BAED4963EE407
 
@@ -80,24 +84,30 @@ def _shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
-def _positions(grams: np.ndarray, level: int, bits: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
-    """The places of (n-gram, level) in a shard of so many bits, one probe after another."""
-    x = _mix(grams + np.uint64(level * _STEP % (1 << 64)))
-    at, step = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    for _ in range(PROBES):
-        yield at % bits
-        at = at + step
+def _place(grams: np.ndarray, level: int, bits: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The block of (n-gram, level) in a shard of so many bits, and what its places there are made of.
+
+    All places of an entry lie in one block, and four levels share one: a reader mostly
+    fetches one stretch of memory for an n-gram.
+    """
+    of = _mix(grams + np.uint64((level - 1) // LEVELS_OF_BLOCK * _STEP % (1 << 64))) >> np.uint64(32)
+    return (of * (bits // np.uint64(BLOCK_BITS)) >> np.uint64(32)) * np.uint64(BLOCK_BITS), _mix(grams ^ np.uint64((level + 1) * _STEP % (1 << 64)))
+
+
+def _bit(places: np.ndarray, probe: int) -> np.ndarray:
+    return (places >> np.uint64(9 * probe)) & np.uint64(BLOCK_BITS - 1)
 
 
 def shard(grams: np.ndarray, counts: np.ndarray, bits_each: int = BITS) -> tuple[bytes, int]:
     """A shard's bits for different n-grams with their counts, and its number of entries."""
     levels = level_of(counts)
     entries = int(levels.sum())
-    bits = 8 * max(8, -(-bits_each * entries // 8))
+    bits = BLOCK_BITS * max(1, -(-bits_each * entries // BLOCK_BITS))
     held = np.zeros(bits, bool)
     for j in range(1, int(levels.max(initial=0)) + 1):
-        for at in _positions(grams[levels >= j], j, np.uint64(bits)):
-            held[at] = True
+        block, places = _place(grams[levels >= j], j, np.uint64(bits))
+        for i in range(PROBES):
+            held[block + _bit(places, i)] = True
     return np.packbits(held, bitorder="little").tobytes(), entries
 
 
@@ -106,8 +116,8 @@ class CountFilter:
 
     def __init__(self, shards: int, parts: Iterator[tuple[int, bytes]], size: int):
         self.shards = shards
-        self.offsets, self.bits = np.zeros(shards, np.uint64), np.full(shards, 8, np.uint64)
-        self.data = np.zeros(size + 1, np.uint8)  # a shard without n-grams reads the last byte, which is zero
+        self.offsets, self.bits = np.zeros(shards, np.uint64), np.full(shards, BLOCK_BITS, np.uint64)
+        self.data = np.zeros(size + BLOCK_BITS // 8, np.uint8)  # a shard without n-grams reads the last block, which is zero
         self.offsets[:] = size * 8
         at = 0
         for i, part in parts:
@@ -121,39 +131,49 @@ class CountFilter:
         at = _shard_of(grams, self.shards)
         offsets, bits = self.offsets[at], self.bits[at]
         for j in range(1, len(ESTIMATES)):
-            for i, pos in enumerate(_positions(grams, j, bits)):
-                if i == 0:
-                    held = self._has(offsets + pos)
-                else:
-                    held &= self._has(offsets + pos)
-            live, grams, offsets, bits = live[held], grams[held], offsets[held], bits[held]
+            block, places = _place(grams, j, bits)
+            block += offsets
+            some = np.flatnonzero(self._has(block + _bit(places, 0)))
+            for i in range(1, PROBES):
+                some = some[self._has(block[some] + _bit(places[some], i))]
+            live, grams, offsets, bits = live[some], grams[some], offsets[some], bits[some]
             if not len(live):
                 break
             out[live] = j
         return out
 
     def _has(self, at: np.ndarray) -> np.ndarray:
-        return (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        at = at.view(np.int64)
+        return (self.data.take(at >> 3) & _MASKS.take(at & 7)) != 0
 
 
 class Words(dict):
-    """Words of a worker -> their places in `hashes` and `counts`."""
+    """Words of a worker -> their places in `hashes`, `counts` and `levels`; a level is -1 until it is asked for."""
 
     def __init__(self, exact: dict[bytes, int] | None = None):
         super().__init__()
-        self.exact, self.names, self.hashes, self.counts = exact or {}, [], [], []
+        self.exact, self.names, self.hashes, self.counts, self.levels = exact or {}, [], array("Q"), array("q"), array("h")
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self.names)
         self.names.append(word)
         self.hashes.append(xxhash.xxh64_intdigest(word, 7))
         self.counts.append(self.exact.get(word, 0))
+        self.levels.append(-1)
         return at
 
+    def estimates(self, levels: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The counts that the filter gives for all words; only new ones are asked for."""
+        found = np.array(self.levels)
+        new = np.flatnonzero(found < 0)
+        found[new] = levels(np.array(self.hashes, np.uint64)[new])
+        self.levels = array("h", found.tobytes())
+        return ESTIMATES[found]
+
     def trim(self) -> None:
         if len(self) > CACHED_WORDS:
             self.clear()
-            self.names, self.hashes, self.counts = [], [], []
+            self.names, self.hashes, self.counts, self.levels = [], array("Q"), array("q"), array("h")
 
 
 class Chunk:
@@ -184,10 +204,10 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], lis
     rest: list[list] = []
     size = 0
     for b in batches:
-        for text, *others in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            texts.append(text)
-            rest.append(others)
-            size += len(text)
+        for text, *others in zip(*b.columns, strict=True):  # values one by one: a batch's texts are not copied at once
+            texts.append(text.as_py())
+            rest.append([x.as_py() for x in others])
+            size += len(texts[-1])
             if size >= CHUNK_BYTES:
                 yield texts, rest
                 texts, rest, size = [], [], 0
@@ -278,7 +298,7 @@ class Model:
     def below(self) -> float:
         return self.tokens + ADDED * (self.words + 1)
 
-    def scores(self, chunk: Chunk, levels: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    def scores(self, chunk: Chunk, words: Words, levels: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """log10 of the probability of each text.
 
         A word's own probability is (count + ADDED) over the sum of these. Each longer
@@ -293,7 +313,7 @@ class Model:
             out[where] = ESTIMATES[levels(different)][at]
             return out
 
-        one = asked(chunk.grams[0], chunk.valid[0])
+        one = words.estimates(levels)[chunk.at]
         p, joint = (one + ADDED) / self.below, one
         for n in range(2, self.order + 1):
             context = np.r_[0.0, joint[:-1]]
@@ -308,7 +328,7 @@ class Model:
     def rows(self, texts: list[bytes], words: Words, levels: Callable[[np.ndarray], np.ndarray], rest: list[list]) -> pa.RecordBatch:
         """SCORED of some texts; `rest` has doc_id and held_out of each."""
         chunk = Chunk(texts, words, self.order)
-        score = self.scores(chunk, levels)
+        score = self.scores(chunk, words, levels)
         count = np.array(words.counts, np.int64)[chunk.at]
         known = count > 0
         base = np.add.reduceat(np.where(known, np.log10((count + ADDED) / self.below), 0), chunk.first)
