@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -15,6 +13,8 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators import selection
+
 #: Rows of a bucket within which permuted values are dealt out.
 BUCKET_ROWS = 10_000
 
@@ -129,30 +129,5 @@ def permutation_weights(model: PipelineModel, df: DataFrame, features: list[str]
 
 
 def synthetic_oversample(df: DataFrame, features: list[str], label: str, by: str, neighbours: int = 5, seed: int = 0) -> DataFrame:
-    """by, features and label, with made-up rows of the rarer label until both are as many.
-
-    A made-up row lies between a row of the rarer label and one of its nearest rows of that
-    label. Each `by` is one training set, a window of bounded length, and one task. A set
-    with fewer than two rows of the rarer label stays as it is.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        rows = rows.sort_values([*features, label], kind="stable")
-        counts = rows[label].value_counts()
-        if len(counts) < 2 or counts.min() < 2:
-            return rows
-        rare = counts.index[-1]
-        x = rows.loc[rows[label] == rare, features].to_numpy(float)
-        far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
-        np.fill_diagonal(far, np.inf)
-        near = np.argsort(far, axis=1, kind="stable")[:, : min(neighbours, len(x) - 1)]
-        n = int(counts.iloc[0] - counts.iloc[-1])
-        a = rng.integers(0, len(x), n)
-        b = near[a, rng.integers(0, near.shape[1], n)]
-        made = pd.DataFrame(x[a] + rng.random((n, 1)) * (x[b] - x[a]), columns=features)
-        return pd.concat([rows, made.assign(**{label: rare, by: rows[by].iloc[0]})], ignore_index=True)[list(rows.columns)]
-
-    kinds = dict(df.dtypes)
-    schema = f"{by} {kinds[by]}, " + ", ".join(f"{f} double" for f in features) + f", {label} {kinds[label]}"
-    return df.select(by, *(F.col(f).cast("double") for f in features), label).dropna().groupBy(by).applyInPandas(run, schema)
+    """by, features and label, with made-up rows of the rarer label until both are as many."""
+    return selection.oversample(df, features, label, by, neighbours, seed)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import normal
+from tidewater.operators import selection
 
 
 Z95 = 1.959963984540054
@@ -173,9 +174,8 @@ def histogram(df: DataFrame, c: str, n_bins: int | None = None) -> DataFrame:
 
 
 def quantiles(df: DataFrame, c: str, at: list[float]) -> DataFrame:
-    """Exact quantiles, interpolated, of each feed."""
-    found = df.groupBy("feed").agg(F.percentile(c, at).alias("q"))
-    return found.select("feed", F.posexplode("q").alias("i", "value")).select("feed", F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1).alias("p"), "value")
+    """Exact quantiles, interpolated, of each feed; values are counted in bins, never held together."""
+    return selection.quantiles(df, c, at)
 
 
 def kernel_density(df: DataFrame, c: str, points: int = 200) -> DataFrame:

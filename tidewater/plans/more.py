@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions import conditions, text
-from tidewater.operators import backtest, checks, frames, models, sequential, series, stats
+from tidewater.operators import backtest, checks, frames, models, selection, sequential, series, stats
 from tidewater.plans.registry import query
 from tidewater.sources import adapt, graph
 from tidewater.sources.adapt import CANDLES_SQL, PAYOUTS_SQL, PREDICTIONS_SQL, SLOTS_SQL, SUBSCRIPTIONS_SQL
@@ -490,7 +490,20 @@ def true_value_batches(spark, d):
     return found.select("contract", "batch", F.concat(F.lit("["), F.array_join(F.col("slots").cast("array<string>"), ", "), F.lit("]")).alias("slots"))
 
 
+def _rare(spark, d):
+    return adapt.candles(spark, d).withColumn("rare", (F.col("timestamp") / 3_600_000 % 7 == 0).cast("int"))
+
+
 @query()
 def synthetic_oversample(spark, d):
-    rows = adapt.candles(spark, d).withColumn("rare", (F.col("timestamp") / 3_600_000 % 7 == 0).cast("int"))
-    return models.synthetic_oversample(rows, ["open", "close"], "rare", "feed")
+    return models.synthetic_oversample(_rare(spark, d), ["open", "close"], "rare", "feed")
+
+
+@query(f"""WITH {CANDLES_SQL}, r AS (SELECT feed, open, close, row_number() OVER () AS i FROM candles WHERE timestamp // 3600000 % 7 = 0),
+  n AS (SELECT a.feed, a.open, a.close, pow(a.open - b.open, 2) + pow(a.close - b.close, 2) AS far, row_number() OVER (PARTITION BY a.i ORDER BY pow(a.open - b.open, 2) + pow(a.close - b.close, 2)) AS rank FROM r a JOIN r b ON a.feed = b.feed AND a.i <> b.i)
+  SELECT feed, open, close, CAST(rank AS INTEGER) AS rank, round(far, 9) AS far FROM n WHERE rank <= 5""")
+def rare_neighbours(spark, d):
+    """The five nearest rows of each row of the rarer label, from which made-up rows are made."""
+    _, rare = selection.rare_rows(_rare(spark, d).select("feed", "open", "close", "rare"), ["open", "close"], "rare", "feed")
+    found = selection.nearest_rows(rare, "feed", 5)
+    return found.select("feed", F.get("x", 0).alias("open"), F.get("x", 1).alias("close"), "rank", F.round("far", 9).alias("far"))
