@@ -7,14 +7,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import normal
 from tidewater.operators import selection
 
-
 Z95 = 1.959963984540054
 
 
@@ -57,6 +56,18 @@ def dickey_fuller(df: DataFrame, c: str) -> DataFrame:
     return fit.select("feed", "n", (F.col("slope") / error).alias("t")).withColumn("stationary", F.col("t") < DICKEY_FULLER[0.05])
 
 
+#: MacKinnon's response surface of the test with a constant: its ends, where its halves meet, and polynomials from the constant on.
+SURFACE_ENDS, SURFACE_MIDDLE = (-18.83, 2.74), -1.61
+SURFACE_LOW, SURFACE_HIGH = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def dickey_fuller_p(t: Column) -> Column:
+    """The asymptotic probability of a statistic as low as t under a unit root: the normal share below a polynomial of t."""
+    at = lambda cs: reduce(lambda p, c: p * t + c, reversed(cs[:-1]), F.lit(cs[-1]))
+    inside = normal.cumulative(F.when(t <= SURFACE_MIDDLE, at(SURFACE_LOW)).otherwise(at(SURFACE_HIGH)))
+    return F.when(t > SURFACE_ENDS[1], 1.0).when(t < SURFACE_ENDS[0], 0.0).when(t.isNotNull(), inside)
+
+
 def _solved(m: np.ndarray, n: int, lags: int) -> tuple[float, float]:
     """t of the level and Akaike's criterion, from sums of products of (d, 1, x, d1 .. d_lags)."""
     a, b = m[1 : lags + 3, 1 : lags + 3], m[1 : lags + 3, 0]
@@ -67,7 +78,7 @@ def _solved(m: np.ndarray, n: int, lags: int) -> tuple[float, float]:
 
 
 def augmented_dickey_fuller(df: DataFrame, c: str, most_lags: int = 8) -> DataFrame:
-    """feed, n, lags, t, stationary: the test with as many lagged differences as Akaike's criterion asks for.
+    """feed, n, lags, t, stationary, p: the test with as many lagged differences as Akaike's criterion asks for.
 
     One pass gives each feed's sums of products of level, differences and their lags; the
     few regressions are solved from these sums, so no task holds a series. All candidates
@@ -94,7 +105,7 @@ def augmented_dickey_fuller(df: DataFrame, c: str, most_lags: int = 8) -> DataFr
         return pd.DataFrame(out, columns=["lags", "t"])
 
     found = sums.where(F.col("n") > most_lags + 4).select("feed", "n", chosen("n", "sums").alias("f")).select("feed", "n", "f.lags", "f.t")
-    return found.withColumn("stationary", F.col("t") < DICKEY_FULLER[0.05])
+    return found.withColumn("stationary", F.col("t") < DICKEY_FULLER[0.05]).withColumn("p", dickey_fuller_p(F.col("t")))
 
 
 def box_cox_lambdas(df: DataFrame, c: str, low: float = -2.0, high: float = 2.0, points: int = 21, rounds: int = 3) -> DataFrame:
@@ -188,6 +199,28 @@ def kernel_density(df: DataFrame, c: str, points: int = 200) -> DataFrame:
     return mesh.groupBy("feed", "i", "x").agg(F.sum(F.col("m") * kernel / F.col("n")).alias("density"))
 
 
+def binned_density(df: DataFrame, c: str, points: int = 200, cells: int = 2048) -> DataFrame:
+    """feed, i, x, density, bound: kernel_density from counts on an even grid of `cells` cells.
+
+    A value's weight is dealt to the two ends of its cell by its distance from them, and the
+    kernel is put on the ends that have weight, so a mesh point costs cells + 1 rows at most,
+    however many values there are. Between two ends this is the kernel's linear
+    interpolation: the density differs by `bound`, the squared width of a cell times
+    an eighth of the kernel's largest second derivative, at most.
+    """
+    known = df.where(F.col(c).isNotNull()).select("feed", F.col(c).alias("v"))
+    stats = known.groupBy("feed").agg(F.count("*").alias("n"), F.stddev_samp("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / cells
+    place = (F.col("v") - F.col("lo")) / F.nullif(width, F.lit(0.0))
+    cell = F.least(F.floor(place), F.lit(cells - 1))
+    ends = F.array(F.struct(cell.alias("k"), (1 - (place - cell)).alias("m")), F.struct((cell + 1).alias("k"), (place - cell).alias("m")))
+    dealt = known.join(stats, "feed").select("feed", F.explode(ends).alias("e")).groupBy("feed", "e.k").agg(F.sum("e.m").alias("m"))
+    mesh = _beside(dealt, stats, points).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1)).withColumn("v", F.col("lo") + F.col("k") * width)
+    h = F.col("s") * F.pow("n", F.lit(-0.2))
+    bound = width * width / (8 * F.pow(h, F.lit(3)) * math.sqrt(2 * math.pi))
+    return mesh.groupBy("feed", "i", "x", bound.alias("bound")).agg(F.sum(F.col("m") / F.col("n") * normal.density(F.col("x"), F.col("v"), h)).alias("density"))
+
+
 def _beside(values: DataFrame, stats: DataFrame, points: int) -> DataFrame:
     """Each value with its feed's statistics, once for every point i of a mesh; sums over values are partial in each task."""
     return values.join(stats, "feed").select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))

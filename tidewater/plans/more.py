@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.functions import conditions, text
-from tidewater.operators import backtest, checks, frames, models, selection, sequential, series, stats
+from tidewater.functions import conditions, normal, text
+from tidewater.operators import backtest, checks, ensembles, frames, models, selection, sequential, series, stats
 from tidewater.plans.registry import query
 from tidewater.sources import adapt, graph
 from tidewater.sources.adapt import CANDLES_SQL, PAYOUTS_SQL, PREDICTIONS_SQL, SLOTS_SQL, SUBSCRIPTIONS_SQL
@@ -150,6 +150,29 @@ def unit_root(spark, d):
     return stats.dickey_fuller(adapt.candles(spark, d), "close").withColumn("t", F.round("t", 6))
 
 
+def _poly(cs, x: str) -> str:
+    return f"({cs[0]}::DOUBLE)" if len(cs) == 1 else f"({cs[0]}::DOUBLE + {x} * {_poly(cs[1:], x)})"
+
+
+def _normal_sql(z: str) -> str:
+    a = f"abs({z})"
+    tail = f"exp(-0.5 * {a} * {a}) * CASE WHEN {a} < 7.07106781186547 THEN {_poly(normal._ABOVE[::-1], a)} / {_poly(normal._BELOW[::-1], a)} ELSE 1 / ({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65))))) / sqrt(2 * pi()) END"
+    return f"CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+@query(f"""WITH {CANDLES_SQL}, l AS (SELECT feed, timestamp, close - lag(close) {_W} AS d, lag(close) {_W} AS x FROM candles), r AS (SELECT feed, d, x, lag(d) {_W} AS e FROM l),
+  f AS (SELECT feed, count(*) AS n, regr_sxx(d, x) AS xx, regr_syy(d, x) AS dd, regr_sxy(d, x) AS dx, regr_sxx(d, e) AS ee, regr_sxy(d, e) AS de, regr_sxy(x, e) AS xe FROM r WHERE e IS NOT NULL GROUP BY feed),
+  g AS (SELECT *, dx / xx AS b0, (dx * ee - de * xe) / (xx * ee - xe * xe) AS bx, (de * xx - dx * xe) / (xx * ee - xe * xe) AS be FROM f),
+  h AS (SELECT *, dd - b0 * dx AS r0, dd - bx * dx - be * de AS r1 FROM g),
+  k AS (SELECT feed, n, CASE WHEN n * ln(r1 / n) + 6 < n * ln(r0 / n) + 4 THEN 1 ELSE 0 END AS lags, b0 / sqrt(r0 / (n - 2) / xx) AS t0, bx / sqrt(r1 / (n - 3) * ee / (xx * ee - xe * xe)) AS t1 FROM h),
+  t AS (SELECT feed, n, lags, CASE WHEN lags = 1 THEN t1 ELSE t0 END AS t FROM k),
+  z AS (SELECT *, CASE WHEN t <= {stats.SURFACE_MIDDLE} THEN {_poly(stats.SURFACE_LOW, 't')} ELSE {_poly(stats.SURFACE_HIGH, 't')} END AS z FROM t)
+  SELECT feed, n, lags, round(t, 6) AS t, t < -2.86 AS stationary, round(CASE WHEN t > {stats.SURFACE_ENDS[1]} THEN 1.0 WHEN t < {stats.SURFACE_ENDS[0]} THEN 0.0 ELSE {_normal_sql('z')} END, 9) AS p FROM z""")
+def unit_root_lags(spark, d):
+    """With one lagged difference or none, as Akaike's criterion says."""
+    return stats.augmented_dickey_fuller(adapt.candles(spark, d), "close", 1).withColumn("t", F.round("t", 6)).withColumn("p", F.round("p", 9))
+
+
 @query(f"""WITH {CANDLES_SQL}, r AS (SELECT feed, timestamp, close AS observed, (row_number() {_W} - 1) % 24 AS phase,
     CASE WHEN count(close) OVER (PARTITION BY feed ORDER BY timestamp ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) = 25 THEN (sum(close) OVER (PARTITION BY feed ORDER BY timestamp ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) - (lag(close, 12) {_W} + lead(close, 12) {_W}) / 2) / 24 END AS trend FROM candles),
   p AS (SELECT feed, phase, avg(observed - trend) AS raw FROM r GROUP BY feed, phase), s AS (SELECT feed, phase, raw - avg(raw) OVER (PARTITION BY feed) AS season FROM p)
@@ -499,6 +522,41 @@ def synthetic_oversample(spark, d):
     return models.synthetic_oversample(_rare(spark, d), ["open", "close"], "rare", "feed")
 
 
+_STEPS = ", ".join(map(str, ensembles.poisson_steps()))
+#: Every candle beside the ten models that count it, by MD5 of its time and the model's number.
+_COUNTED = f"""c AS (SELECT feed, open, volume, close, model, len(list_filter([{_STEPS}], lambda s: s <= ('0x' || substr(md5(timestamp || '-' || model), 1, 8))::BIGINT)) AS w FROM candles, (SELECT unnest(range(10)) AS model))"""
+
+
+@query(f"""WITH {CANDLES_SQL}, {_COUNTED} SELECT feed, CAST(model AS INTEGER) AS model, CAST(sum(w) AS BIGINT) AS n, round(sum(w * open), 4) AS x, round(sum(w * volume), 4) AS v, round(sum(w * close), 4) AS y,
+  round(sum(w * open * open), 4) AS xx, round(sum(w * open * volume), 4) AS xv, round(sum(w * volume * volume), 4) AS vv, round(sum(w * open * close), 4) AS xy, round(sum(w * volume * close), 4) AS vy FROM c WHERE w > 0 GROUP BY feed, model""")
+def bootstrap_sums(spark, d):
+    """Normal equations of ten models of the close from open and volume."""
+    found = ensembles.normal_equations(adapt.candles(spark, d), "feed", "timestamp", ["open", "volume"], "close", 10)
+    at = {"x": 1, "v": 2, "y": 3, "xx": 4, "xv": 5, "xy": 6, "vv": 7, "vy": 8}
+    return found.select("feed", "model", "n", *(F.round(F.get("sums", i), 4).alias(n) for n, i in at.items()))
+
+
+@query(f"""WITH {CANDLES_SQL}, {_COUNTED}, s AS (SELECT feed, model, sum(w) + 1e-6 AS n, sum(w * open) AS x, sum(w * close) AS y, sum(w * open * open) + 1e-6 AS xx, sum(w * open * close) AS xy FROM c GROUP BY feed, model),
+  m AS (SELECT feed, (y * xx - x * xy) / (n * xx - x * x) AS a, (n * xy - x * y) / (n * xx - x * x) AS b FROM s)
+  SELECT k.feed, k.timestamp, k.open, CAST(count(*) FILTER (a + b * open > open) AS DOUBLE) / count(*) AS prob FROM candles k JOIN m USING (feed) GROUP BY k.feed, k.timestamp, k.open""")
+def bootstrap_probabilities(spark, d):
+    """The share of ten models of the close from the open that see a rise."""
+    candles = adapt.candles(spark, d)
+    weights = ensembles.fit(candles, "feed", "timestamp", ["open"], "close", 10)
+    return ensembles.prob_above(candles.select("feed", "timestamp", "open"), weights, "feed", ["open"], F.col("open"))
+
+
+@query(f"""WITH {CANDLES_SQL}, s AS (SELECT feed, count(close) AS n, stddev_samp(close) * pow(count(close), -0.2) AS h, min(close) AS lo, max(close) AS hi, (max(close) - min(close)) / 2048 AS w FROM candles GROUP BY feed),
+  p AS (SELECT feed, (close - lo) / w AS place, least(CAST(floor((close - lo) / w) AS BIGINT), 2047) AS k FROM candles JOIN s USING (feed)),
+  g AS (SELECT feed, k, sum(m) AS m FROM (SELECT feed, k, 1 - (place - k) AS m FROM p UNION ALL SELECT feed, k + 1, place - k FROM p) GROUP BY feed, k),
+  x AS (SELECT *, lo + (hi - lo) * i / 199 AS x FROM (SELECT *, unnest(range(200)) AS i FROM s))
+  SELECT x.feed, CAST(i AS INTEGER) AS i, round(any_value(x), 9) AS x, round(any_value(w * w / (8 * pow(h, 3) * sqrt(2 * pi()))), 12) AS bound, round(sum(m / n * exp(-0.5 * pow((x - (lo + k * w)) / h, 2)) / (h * sqrt(2 * pi()))), 9) AS density
+  FROM x JOIN g USING (feed) GROUP BY x.feed, i""")
+def binned_density(spark, d):
+    found = stats.binned_density(adapt.candles(spark, d), "close")
+    return found.select("feed", "i", F.round("x", 9).alias("x"), F.round("bound", 12).alias("bound"), F.round("density", 9).alias("density"))
+
+
 @query(f"""WITH {CANDLES_SQL}, r AS (SELECT feed, open, close, row_number() OVER () AS i FROM candles WHERE timestamp // 3600000 % 7 = 0),
   n AS (SELECT a.feed, a.open, a.close, pow(a.open - b.open, 2) + pow(a.close - b.close, 2) AS far, row_number() OVER (PARTITION BY a.i ORDER BY pow(a.open - b.open, 2) + pow(a.close - b.close, 2)) AS rank FROM r a JOIN r b ON a.feed = b.feed AND a.i <> b.i)
   SELECT feed, open, close, CAST(rank AS INTEGER) AS rank, round(far, 9) AS far FROM n WHERE rank <= 5""")
