@@ -41,7 +41,7 @@ SHARD_GRAMS, BROADCAST_BYTES = 1 << 19, 128 << 20
 #: Words whose exact counts are broadcast, and bytes of each: 12.6 MB and their counts. All other words are joined.
 FREQUENT_WORDS, FREQUENT_BYTES = 1 << 18, 48
 #: Bytes of texts that are scored at once, entries that a task holds, and words that a worker keeps.
-CHUNK_BYTES, HELD, CACHED_WORDS = 2 << 20, 1 << 21, 250_000
+CHUNK_BYTES, HELD, CACHED_WORDS = 2 << 20, 1 << 20, 200_000
 #: The token that ends every text; no word is empty.
 END = b""
 
