@@ -298,11 +298,11 @@ def first_and_last_event(spark, d):
     return conditions.ends(adapt.table(spark, d, "events"), "ts")
 
 
-@query("""SELECT exchange, pair, signal, timeframe FROM (SELECT 'binance' AS exchange, unnest(['BTC/USDT', 'ETH/USDT']) AS pair), (SELECT unnest(['o', 'c']) AS signal), (SELECT unnest(['5m', '1h']) AS timeframe)
-  UNION ALL SELECT 'kraken', 'ADA/USDT', 'c', '5m'""")
+@query(f"""WITH {PREDICTIONS_SQL} SELECT contract, source AS exchange, unnest([pair, 'DOT/EUR']) AS pair, signal, timeframe FROM feeds, (SELECT unnest(['o', 'c']) AS signal)""")
 def expanded_feeds(spark, d):
-    rows = spark.createDataFrame([("binance btc-usdt,ETH/USDT oc 5m,1h",), ("kraken ADA/USDT c 5m",)], "feeds string")
-    return text.expand_feeds(rows, "feeds").drop("feeds")
+    """Every contract's feed as text, its pair written with a hyphen beside another one."""
+    rows = adapt.feeds(spark, d).select("contract", F.concat_ws(" ", "source", F.concat(F.lower(F.replace("pair", F.lit("/"), F.lit("-"))), F.lit(",DOT/EUR")), F.lit("oc"), "timeframe").alias("feeds"))
+    return text.expand_feeds(rows, "feeds").select("contract", "exchange", "pair", "signal", "timeframe")
 
 
 # Incremental enrichment, nested records
@@ -484,9 +484,17 @@ def distribution_shares(spark, d):
     return stats.distribution(adapt.candles(spark, d), "close", 200).select("feed", "i", "x", "cdf_normal", "cdf_kernel", "nq_normal", "nq_kernel")
 
 
-@query()
+_P = 10
+
+
+@query(f"""WITH RECURSIVE {CANDLES_SQL}, m AS (SELECT feed, timestamp, close - avg(close) OVER (PARTITION BY feed) AS x FROM candles),
+  p AS (SELECT feed, {', '.join(f'x * lag(x, {k}) {_W} AS c{k}' for k in range(_P + 1))} FROM m), a AS (SELECT feed, [{', '.join(f'sum(c{k}) / sum(c0)' for k in range(_P + 1))}] AS r FROM p GROUP BY feed),
+  d AS (SELECT feed, r, 0 AS k, CAST([] AS DOUBLE[]) AS phi, 1.0::DOUBLE AS pacf FROM a
+    UNION ALL SELECT feed, r, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - n * phi[k + 1 - j]), n), n
+    FROM (SELECT *, (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])), 0)) / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1])), 0)) AS n FROM d WHERE k < {_P}))
+  SELECT feed, CAST(k AS INTEGER) AS lag, round(pacf, 8) AS pacf FROM d""")
 def partial_autocorrelations(spark, d):
-    return stats.partial_autocorrelations(adapt.candles(spark, d), "close", 10)
+    return stats.partial_autocorrelations(adapt.candles(spark, d), "close", _P).withColumn("pacf", F.round("pacf", 8))
 
 
 @query()
@@ -565,3 +573,23 @@ def rare_neighbours(spark, d):
     _, rare = selection.rare_rows(_rare(spark, d).select("feed", "open", "close", "rare"), ["open", "close"], "rare", "feed")
     found = selection.nearest_rows(rare, "feed", 5)
     return found.select("feed", F.get("x", 0).alias("open"), F.get("x", 1).alias("close"), "rank", F.round("far", 9).alias("far"))
+
+
+def _rises(spark, d):
+    return adapt.candles(spark, d).select("feed", "timestamp", "open", "volume", (F.col("close") > F.col("open")).cast("int").alias("rise"))
+
+
+@query()
+def calibrated_rises(spark, d):
+    """The probability of a rise by logistic models and their curves, each fit on folds that the other does not see."""
+    rows, features = _rises(spark, d), ["open", "volume"]
+    return models.probability(models.cross_calibrate(rows, features, "rise", "logistic_balanced", folds=3), rows, features).select("feed", "timestamp", "rise", "calibrated")
+
+
+@query()
+def rise_importances(spark, d):
+    """What each feature is worth to a model of rises: shares of its coefficients, and of what accuracy loses when its values are dealt anew."""
+    rows, features = _rises(spark, d), ["open", "volume"]
+    model = models.fit(rows, features, "rise", "logistic")
+    by, dealt = models.weights(model, features), models.permutation_weights(model, rows, features, "rise", repeats=3)
+    return spark.createDataFrame([(f, float(by[f]), float(dealt[f])) for f in features], "feature string, weight double, permuted double")
