@@ -136,6 +136,15 @@ def test_best_fit_equals_a_full_search():
         assert packing.best_fit(sizes, masks, 100) == list(brute_pack(sizes, masks, 100))
 
 
+def test_repeated_rows_are_packed_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 50)
+    docs = spark.createDataFrame([(7, "a b c", "s", 1)] * 900 + [(i, "x y", f"s{i}", i) for i in range(100, 150)], "doc_id long, text string, source string, cluster long")
+    out = packing.pack(packing.sized(docs, F.col("cluster")), 10).toPandas()
+    assert len(out) == 950 and (out.doc_id == 7).sum() == 900
+    same = out[out.doc_id == 7]
+    assert same.groupby(same.bin_id.to_numpy() >> 32).size().max() < 150 and same.bin_id.is_unique
+
+
 def test_pack_keeps_all_and_respects_conflicts(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_DOCS", 50)
     rng = random.Random(3)

@@ -92,13 +92,15 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     document longer than the capacity is cut into full pieces and a rest; its pieces
     conflict with each other like any of one source. Each shard is packed by itself in
     one task, largest pieces first; documents go to shards by hash, so a frequent source
-    or cluster is spread over all of them. A null source or cluster conflicts with
+    or cluster is spread over all of them, and rows that repeat go there one by one. A null source or cluster conflicts with
     nothing. A document without words is one piece of size zero. Repeated rows are packed
     like any others, and an empty table gives an empty result.
     """
-    rows = materialize(rows.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("long"), F.col("n_tokens").cast("long"), "k1", "k2"), "pieces")
+    rows = materialize(rows.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("long"), F.col("n_tokens").cast("long"), "k1", "k2", F.monotonically_increasing_id().alias("number")), "pieces")
     shards = max(1, math.ceil(rows.count() / SHARD_DOCS))
-    return rows.groupBy(F.pmod(F.xxhash64("k1", "k2"), F.lit(shards)).alias("shard")).applyInPandas(pack_shard(capacity), PACKED)
+    again = materialize(rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1"), "repeated-rows")
+    rows = rows.join(again, ["k1", "k2"], "left").withColumn("number", F.when(F.col("n").isNotNull(), F.col("number")).otherwise(F.lit(0).cast("long"))).drop("n")
+    return rows.groupBy(F.pmod(F.xxhash64("k1", "k2", "number"), F.lit(shards)).alias("shard")).applyInPandas(pack_shard(capacity), PACKED)
 
 
 def sized(docs: DataFrame, cluster: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
