@@ -26,10 +26,10 @@ BLOCK_ROWS = 50_000
 
 
 def with_blocks(rows: DataFrame, by: str = "feed", time: str = "timestamp", block_rows: int | None = None) -> DataFrame:
-    """Adds `block`: equal stretches of a feed's time, so many that they hold `block_rows` rows on average."""
+    """Adds `block`: equal stretches of a feed's time, so many that they hold `block_rows` rows on average; and `_several`: has the feed more than one?"""
     ends = rows.groupBy(by).agg(F.min(time).alias("_first"), (F.max(time) - F.min(time) + 1).alias("_long"), F.ceil(F.count("*") / (block_rows or BLOCK_ROWS)).alias("_blocks"))
     block = F.floor((F.col(time) - F.col("_first")) * F.col("_blocks").cast("double") / F.col("_long"))
-    return rows.join(ends, by).withColumn("block", block.cast("long")).drop(*ends.columns[1:])
+    return rows.join(ends, by).withColumn("block", block.cast("long")).withColumn("_several", F.col("_blocks") > 1).drop(*ends.columns[1:])
 
 
 def in_order(df: DataFrame, by: tuple[str, ...], start: Callable[[pd.Series], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, order: str = "timestamp") -> DataFrame:
@@ -88,7 +88,7 @@ def averages(rows: DataFrame, indicators: dict[str, Indicator], block_rows: int
     """feed, timestamp, close and the indicators; rows without a close have none and are left out of the averages."""
     known = with_blocks(rows.where("close is not null").select("feed", "timestamp", "close"), block_rows=block_rows)
     used = sorted({a for i in indicators.values() for a in i.averages}, key=repr)
-    ends = known.groupBy("feed", "block").agg(F.count("*").alias("n"), F.min_by("close", "timestamp").alias("first"), F.max_by("close", "timestamp").alias("last"))
+    ends = known.where("_several").groupBy("feed", "block").agg(F.count("*").alias("n"), F.min_by("close", "timestamp").alias("first"), F.max_by("close", "timestamp").alias("last"))
 
     def lasts(_: pd.Series) -> Callable[[pd.DataFrame], pd.DataFrame]:
         last, n = None, 0
@@ -104,7 +104,7 @@ def averages(rows: DataFrame, indicators: dict[str, Indicator], block_rows: int
         return step
 
     begins = in_order(ends, ("feed",), lasts, "feed string, block long, before double, rows_before long", "block")
-    placed = known.join(begins, ["feed", "block"])
+    placed = known.join(begins, ["feed", "block"], "left").withColumn("rows_before", F.coalesce("rows_before", F.lit(0).cast("long")))  # one block of a feed needs nothing from others
 
     def offsets(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("timestamp")
@@ -116,7 +116,7 @@ def averages(rows: DataFrame, indicators: dict[str, Indicator], block_rows: int
             out.append(_averaged(values, a.alpha, start)[-1])
         return pd.DataFrame({"feed": [group["feed"].iloc[0]], "block": [group["block"].iloc[0]], "n": [len(group)], "offsets": [out]})
 
-    summed = placed.groupBy("feed", "block").applyInPandas(offsets, "feed string, block long, n long, offsets array<double>")
+    summed = placed.where("_several").groupBy("feed", "block").applyInPandas(offsets, "feed string, block long, n long, offsets array<double>")
 
     def carry(_: pd.Series) -> Callable[[pd.DataFrame], pd.DataFrame]:
         now = np.zeros(len(used))
@@ -136,17 +136,18 @@ def averages(rows: DataFrame, indicators: dict[str, Indicator], block_rows: int
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("timestamp")
-        close, before, rows_before = group["close"].to_numpy(), group["before"].iloc[0], int(group["rows_before"].iloc[0])
+        close, rows_before, carry = group["close"].to_numpy(), int(group["rows_before"].iloc[0]), group["carry"].iloc[0]
+        before = group["before"].iloc[0] if rows_before else close[0]
         count = rows_before + np.arange(1, len(group) + 1)
         found = {}
-        for a, now in zip(used, group["carry"].iloc[0], strict=True):
+        for a, now in zip(used, [0.0] * len(used) if carry is None else carry, strict=True):
             values = _series(close, before, a.of)
             found[a] = np.where(count >= a.least, _averaged(values, a.alpha, values[0] if rows_before == 0 else now), np.nan)
         with np.errstate(divide="ignore", invalid="ignore"):
             return group[["feed", "timestamp", "close"]].assign(**{n: i.combine(*(found[a] for a in i.averages)) for n, i in indicators.items()})
 
     names = ", ".join(f"{n} double" for n in indicators)
-    done = placed.join(carried, ["feed", "block"]).groupBy("feed", "block").applyInPandas(work, f"feed string, timestamp long, close double, {names}")
+    done = placed.join(carried, ["feed", "block"], "left").groupBy("feed", "block").applyInPandas(work, f"feed string, timestamp long, close double, {names}")
     done = done.select("feed", "timestamp", "close", *(F.when(~F.isnan(n), F.col(n)).alias(n) for n in indicators))
     return done.unionByName(rows.where("close is null").select("feed", "timestamp", "close"), allowMissingColumns=True)
 
@@ -236,7 +237,7 @@ def bar_numbers(rows: DataFrame, value: str, threshold: float, block_rows: int |
         return step
 
     names = [*rows.columns]
-    begins = in_order(placed.select("feed", "block", "timestamp", "_value").groupBy("feed", "block").applyInPandas(sum_up, schema), ("feed",), chain, "feed string, block long, _bar long, _open double", "block")
+    begins = in_order(placed.where("_several").select("feed", "block", "timestamp", "_value").groupBy("feed", "block").applyInPandas(sum_up, schema), ("feed",), chain, "feed string, block long, _bar long, _open double", "block")
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("timestamp")
@@ -244,4 +245,5 @@ def bar_numbers(rows: DataFrame, value: str, threshold: float, block_rows: int |
         return group[names].assign(bar=bars, so_far=sums)
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return placed.join(begins, ["feed", "block"]).groupBy("feed", "block").applyInPandas(work, f"{kinds}, bar long, so_far double")
+    begun = placed.join(begins, ["feed", "block"], "left").withColumns({"_bar": F.coalesce("_bar", F.lit(0).cast("long")), "_open": F.coalesce("_open", F.lit(0.0))})
+    return begun.groupBy("feed", "block").applyInPandas(work, f"{kinds}, bar long, so_far double")
