@@ -57,7 +57,7 @@ class BpeModel:
         # Nor does one cross from a letter to a mark that no piece has behind a letter. Numbers such as ² are no letters here.
         behind = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalpha()}
         marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_" and c not in behind)
-        plain = f"{SPACE}*[^\\W\\d_{_NUMBERS}]+(?=[{marks}])|" if marks else ""
+        plain = f"{SPACE}*[^\\W\\d_]++(?=[{marks}])(?<![{_NUMBERS}])|" if marks else ""
         self._chunks = re.compile(r".+" if inner else f"{plain}{SPACE}+{word}*|{word}+" + (f"|[{breaks}]" if breaks else ""), re.DOTALL).findall
         self._pairs: dict[tuple[str, str], bool] = {}
         self._kept: dict[str, tuple[int, str, str]] = {}
