@@ -18,12 +18,20 @@ Z95 = 1.959963984540054
 
 
 def autocorrelation(df: DataFrame, c: str, lags: int) -> DataFrame:
-    """feed, lag, acf with Bartlett's 95 % bounds; one pass of lags over each feed's window."""
-    w = Window.partitionBy("feed")
-    t = w.orderBy("timestamp")
-    x = df.select("feed", "timestamp", (F.col(c) - F.avg(c).over(w)).alias("x"))
-    products = x.select("feed", *((F.col("x") * F.lag("x", k).over(t)).alias(f"c{k}") for k in range(lags + 1)))
-    sums = products.groupBy("feed").agg(F.count("*").alias("n"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(lags + 1)))
+    """feed, lag, acf with Bartlett's 95 % bounds; one pass of lags over each feed's window.
+
+    Products are of differences from the feed's first value, which keeps them small, and the
+    mean is taken off their sums.
+    """
+    t = Window.partitionBy("feed").orderBy("timestamp")
+    x = df.select("feed", "timestamp", (F.col(c) - F.first(c, ignorenulls=True).over(t)).alias("x"))
+    pairs = x.select("feed", "x", *(F.lag("x", k).over(t).alias(f"x{k}") for k in range(lags + 1)))
+    m, parts = F.avg("x"), []
+    for k in range(lags + 1):
+        product = F.col("x") * F.col(f"x{k}")
+        both = F.sum(F.when(product.isNotNull(), F.col("x") + F.col(f"x{k}")))
+        parts.append((F.sum(product) - m * both + m * m * F.count(product)).alias(f"c{k}"))
+    sums = pairs.groupBy("feed").agg(F.count("*").alias("n"), *parts)
     long = sums.select("feed", "n", F.posexplode(F.array(*(F.try_divide(F.col(f"c{k}"), F.col("c0")) for k in range(lags + 1)))).alias("lag", "acf"))
     before = Window.partitionBy("feed").orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
     spread = F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf"))).over(before)
