@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text
 
+
+
+def amount(c: Column) -> Column:
+    """Tables show amounts in thousands and millions; there is no larger unit."""
+    return text.short_number(c, largest="M")
+
+
 #: Kinds of display; add to it to make one known.
 KINDS: dict[str, Callable[[Column], Column]] = {
     "address": text.short_address,
     "percent": text.percent,
-    "amount": text.short_number,
+    "amount": amount,
     "small_amount": text.compact_small,
 }
 
@@ -28,9 +35,9 @@ def formatted(df: DataFrame, kinds: dict[str, str] = COLUMN_KINDS) -> DataFrame:
     """All columns as text: by their kind, others as they are. With sales and both counts of buyers it adds `sales_str`."""
     out = [(KINDS[kinds[c]](F.col(c)) if c in kinds else F.col(c).cast("string")).alias(c) for c in df.columns]
     if {"sales", "df_buy_count", "ws_buy_count"} <= {*df.columns}:
-        part = lambda c, name: F.when(F.col(c) > 0, F.concat(text.short_number(F.col(c)), F.lit(f" {name}")))
+        part = lambda c, name: F.when(F.col(c) > 0, F.concat(amount(F.col(c)), F.lit(f" {name}")))
         both = F.concat_ws(", ", part("df_buy_count", "DF"), part("ws_buy_count", "WS"))
-        out.append(F.concat(text.short_number(F.col("sales")), F.lit(" ("), both, F.lit(")")).alias("sales_str"))
+        out.append(F.concat(amount(F.col("sales")), F.lit(" ("), both, F.lit(")")).alias("sales_str"))
     return df.select(*out)
 
 

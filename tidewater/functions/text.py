@@ -30,12 +30,12 @@ def percent(c: Column) -> Column:
     return F.concat(F.round(c, 2).cast("string"), F.lit("%"))
 
 
-def short_number(c: Column, digits: int = 2) -> Column:
-    """1234567 -> 1.23M, by the largest suffix that leaves at least one; trailing zeros go."""
+def short_number(c: Column, digits: int = 2, largest: str = "T") -> Column:
+    """1234567 -> 1.23M, by the largest suffix up to `largest` that leaves at least one; trailing zeros go."""
     trim = lambda x: F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", x), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     size = F.abs(c)
     out = trim(c.cast("double"))
-    for suffix, unit in SUFFIXES[1:]:
+    for suffix, unit in SUFFIXES[1 : [x for x, _ in SUFFIXES].index(largest) + 1]:
         out = F.when(size >= unit, F.concat(trim(c / unit), F.lit(suffix))).otherwise(out)
     return F.when(c.isNotNull(), F.when(out == "-0", "0").otherwise(out))
 
