@@ -7,7 +7,7 @@ event stream for price ticks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY = 86_400
@@ -24,29 +24,35 @@ def _day_seconds(c: str):
 
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contract, pair, timeframe, source."""
-    return _feeds(spark, sf_dir).drop("s_suppkey")
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    return s.join(n, s.s_nationkey == n.n_nationkey).select(*_feed_columns())
 
 
-def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+def _feed_columns() -> list[Column]:
+    """contract, pair, timeframe and source of rows of suppliers with their nations."""
     ticker = F.element_at(F.array(*map(F.lit, TICKERS)), (F.col("s_suppkey") % len(TICKERS) + 1).cast("int"))
-    return s.join(n, s.s_nationkey == n.n_nationkey).select(
-        "s_suppkey",
+    return [
         F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("contract"),
         F.concat(ticker, F.lit("/USDT")).alias("pair"),
         F.when(F.col("s_suppkey") % 2 == 0, "5m").otherwise("1h").alias("timeframe"),
         F.lower("n_name").alias("source"),
-    )
+    ]
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per prediction; `ID` is contract-slot-user and `seq` orders rows of one slot."""
+    """One row per prediction; `ID` is contract-slot-user and `seq` orders rows of one slot.
+
+    Line items meet suppliers and nations one after another: Spark knows the size of each of
+    these tables, but not that of their join, and broadcasts them while they are small.
+    """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     flag, price = F.col("l_returnflag"), F.col("l_extendedprice")
-    rows = li.join(_feeds(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")).join(o, li.l_orderkey == o.o_orderkey)
+    s, n = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    contract, pair, timeframe, source = _feed_columns()
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     rows = rows.select(
-        "contract",
+        contract,
         F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user"),
         (_day_seconds("o_orderdate") + DAY).alias("slot"),
         (_day_seconds("o_orderdate") * 1000).alias("timestamp"),
@@ -55,9 +61,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         price.alias("stake"),
         F.when(flag == "A", price * (2 - F.col("l_discount"))).when(flag == "R", 0.0).alias("payout"),
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
-        "pair",
-        "timeframe",
-        "source",
+        pair,
+        timeframe,
+        source,
     )
     return rows.withColumn("ID", F.concat_ws("-", "contract", "slot", "user"))
 
