@@ -10,7 +10,7 @@ micro-batch ends where one batch over all events does.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -58,10 +58,29 @@ def collapse(rows: DataFrame) -> DataFrame:
 
 
 def settled(predictions: DataFrame, payouts: DataFrame, wait_ms: int = WAIT_MS) -> DataFrame:
-    """What a stream of the same events ends with: one row per ID, orphans marked."""
-    rows = events(predictions, payouts, wait_ms)
-    known = collapse(rows.where("not orphan")).withColumn("orphan", F.lit(False))
-    return known.unionByName(collapse(rows.where("orphan")).withColumn("orphan", F.lit(True)))
+    """What a stream of the same events ends with: one row per ID, orphans marked.
+
+    Tables need no join: an ID's events stand together in order of time, and a settlement
+    belongs to a prediction if the last one until then is not more than `wait_ms` back. So
+    each event moves once, and one sort serves the window and the aggregate.
+    """
+    revenue = F.col("revenue") if "revenue" in payouts.columns else F.lit(None)
+    no = lambda names, kind: [F.lit(None).cast(kind[n]).alias(n) for n in names]
+    made = predictions.select("ID", *(F.col(c).cast(_KINDS[c]).alias(c) for c in _PREDICTION), *no(VALUES, _KINDS), F.lit(True).alias("_new"))
+    paid = payouts.withColumn("revenue", revenue).select("ID", F.col("timestamp").cast("long").alias("timestamp"), *no(_PREDICTION[1:], _KINDS), *(F.col(v).cast(_KINDS[v]).alias(v) for v in VALUES), F.lit(False).alias("_new"))
+    last = F.max(F.when(F.col("_new"), F.col("timestamp"))).over(Window.partitionBy("ID").orderBy("timestamp"))
+    met = F.col("ID").isNotNull() & (F.col("timestamp") - last <= wait_ms)
+    rows = made.unionByName(paid).withColumn("_known", F.col("_new") | F.coalesce(met, F.lit(False)))
+    latest = (*VALUES, "timestamp")
+    found = rows.groupBy("ID").agg(
+        F.min(F.when(F.col("_new") & F.col("timestamp").isNotNull(), F.struct(*_PREDICTION))).alias("_p"), F.bool_or("_known").alias("_some"), F.bool_and("_known").alias("_all"),
+        *(F.max(F.when(F.col("_known") == known, F.col(c))).alias(f"_{c}_{known}") for known in (True, False) for c in latest),
+    )
+    none = F.lit(None).cast(found.schema["_p"].dataType)
+    one = lambda known, p: F.struct(p.alias("_p"), *(F.col(f"_{c}_{known}").alias(c if c in VALUES else "last_event_timestamp") for c in latest), F.lit(not known).alias("orphan"))
+    both = F.filter(F.array(F.when(F.col("_some"), one(True, F.col("_p"))), F.when(~F.col("_all"), one(False, none))), lambda x: x.isNotNull())
+    out = found.select("ID", F.explode(both).alias("_e")).select("ID", _slot_id().alias("slot_id"), "_e._p.*", *(f"_e.{c}" for c in (*VALUES, "last_event_timestamp", "orphan")))
+    return out.select(*BRONZE.names, "orphan")
 
 
 def stream(predictions: DataFrame, payouts: DataFrame, store: BronzeStore, checkpoint: str, orphans: str | None = None, wait_ms: int = WAIT_MS, late: str = "1 day", every: str | None = None) -> StreamingQuery:
