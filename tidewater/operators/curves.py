@@ -52,10 +52,13 @@ def slot_figures(bronze: DataFrame, by: str, order: tuple[str, ...] = ("slot", "
     chart of the figures defines it; profit also comes as a running sum.
     """
     w = _running(by, order=order)
+    slot = Window.partitionBy(by, "slot").orderBy(*([c for c in order if c != "slot"] or ["slot"]))  # one sort serves all windows, and no aggregate holds a task's slots
+    whole = slot.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = lambda c: F.sum(c.cast(MONEY)).over(whole).cast("double")
     pay = F.coalesce("payout", F.lit(0.0))
     rows = bronze.withColumn("cnt", F.count(F.lit(1)).over(w)).withColumn("hit", F.count_if(pay > 0).over(w))
-    slots = rows.groupBy(by, "slot").agg(
-        exact_sum("stake").alias("stake"), exact_sum(F.greatest(pay, F.lit(0.0)) - F.col("stake")).alias("profit"), exact_sum(pay).alias("income"),
-        F.count("*").alias("count"), (F.sum("hit") * 100.0 / F.sum("cnt")).alias("accuracy"),
-    )
+    slots = rows.select(
+        by, "slot", total(F.col("stake")).alias("stake"), total(F.greatest(pay, F.lit(0.0)) - F.col("stake")).alias("profit"), total(pay).alias("income"),
+        F.count(F.lit(1)).over(whole).alias("count"), (F.sum("hit").over(whole) * 100.0 / F.sum("cnt").over(whole)).alias("accuracy"), F.row_number().over(slot).alias("_row"),
+    ).where(F.col("_row") == F.col("count")).drop("_row")
     return slots.withColumn("cum_profit", F.sum(F.col("profit").cast(MONEY)).over(_running(by, order=("slot",))).cast("double"))
