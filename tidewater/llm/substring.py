@@ -35,6 +35,8 @@ _STEP = 1 << 16
 #: Batches that a table goes through an index in; each meets the runs of those before it.
 BATCHES = 3
 ROW = "h long, seg long, doc_id long, tag long, pos long"
+#: The same for a batch, a row for all places of a segment in its text.
+PLACES = "h long, seg long, doc_id long, tag long, pos array<long>"
 
 
 @lru_cache(8)
@@ -87,27 +89,35 @@ class Words:
 
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row of ROW for each segment; pos holds the first window and how many there are.
+    """A row of PLACES for each segment of a text; pos holds the first window and how many there are of each place.
 
+    A text of repeated lines has few segments at many places; these stay in one row, whatever it is joined with.
     `tag` tells texts of a repeated doc_id apart. Rows with null doc_id have no segments: they neither remove words nor lose any.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[np.ndarray, ...]] = []
+            places: list[np.ndarray] = []
             for doc_id, tag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 words = (text.as_py() or b"").split()
                 if len(words) >= WINDOW:
                     start, n, h, seg = Words(words).segments()
-                    out.append((h.view(np.int64), seg.view(np.int64), np.full(len(h), doc_id), np.full(len(h), tag), start.astype(np.int64) << 6 | n))
+                    order = np.lexsort((start, seg, h))
+                    h, seg, pos = h[order].view(np.int64), seg[order].view(np.int64), (start.astype(np.int64) << 6 | n)[order]
+                    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])])
+                    out.append((h[first], seg[first], np.full(len(first), doc_id), np.full(len(first), tag), np.diff(np.r_[first, len(h)])))
+                    places.append(pos)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h", "seg", "doc_id", "tag", "pos"])
+                *columns, sizes = (np.concatenate(c) for c in zip(*out, strict=True))
+                ends = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places)))], ["h", "seg", "doc_id", "tag", "pos"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("binary").alias("text"))
-    return rows.where("doc_id is not null").mapInArrow(run, ROW)
+    return rows.where("doc_id is not null").mapInArrow(run, PLACES)
 
 
-def _least(doc_id: str = "doc_id", tag: str = "tag", pos: str = "pos") -> list[Column]:
+def _least(doc_id: str = "doc_id", tag: str = "tag", pos: str | Column = "pos") -> list[Column]:
     """The smallest doc_id of a group and tag and pos of one row that has it.
 
     All three follow the same comparisons of the same rows in the same order, so they are of
@@ -138,11 +148,14 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         lists = b.column("segments")
         ends, fields = lists.offsets.to_numpy(), lists.values
-        every_h, every_pos = (fields.field(k).to_numpy() for k in ("h", "pos"))
+        places = fields.field("pos")
+        cuts, every_pos = places.offsets.to_numpy(), places.values.to_numpy()
+        every_h = fields.field("h").to_numpy()
         doc_ids, tags = b.column("doc_id").to_numpy(), b.column("tag").to_numpy()
         for i, packed in enumerate(b.column("packed")):
             words = Words(_text(packed.as_py()).split())
-            h, pos = every_h[ends[i] : ends[i + 1]], every_pos[ends[i] : ends[i + 1]]
+            of = cuts[ends[i] : ends[i + 1] + 1]
+            h, pos = np.repeat(every_h[ends[i] : ends[i + 1]], np.diff(of)), every_pos[of[0] : of[-1]]
             n = pos & 63
             at = np.repeat((pos >> 6) - np.cumsum(n) + n, n) + np.arange(n.sum())
             cols = [np.repeat(h, n), words.run(at, WINDOW).view(np.int64), np.full(len(at), doc_ids[i]), np.full(len(at), tags[i]), at]
@@ -372,7 +385,7 @@ class FingerprintIndex:
         batch = self.spark.table(self._table(texts))
         with scratch(self.spark) as keep:
             hits = keep(self._hits(new)) if self.names else None
-        own = new.groupBy("h", "seg").agg(*_least(), F.max("doc_id").alias("last"))
+        own = new.groupBy("h", "seg").agg(*_least(pos=F.element_at("pos", 1)), F.max("doc_id").alias("last"))
         own = materialize(own.select("h", "seg", _first(), "last"), "own-segments")
         with scratch(self.spark) as keep:
             passages = keep(self._passages(new, own, hits, [*self.state["texts"], texts]))
@@ -394,7 +407,7 @@ class FingerprintIndex:
         """
         every, segments = new.withColumn("fresh", F.lit(True)), own.withColumn("fresh", F.lit(True))
         if hits is not None:
-            every = every.union(hits.withColumn("fresh", F.lit(False)))
+            every = every.union(hits.withColumns({"pos": F.array("pos"), "fresh": F.lit(False)}))
             old = hits.select("h", "seg", F.struct("doc_id", "tag", "pos").alias("first"), F.col("doc_id").alias("last"), F.lit(False).alias("fresh"))
             both = segments.union(old).select("h", "seg", "first.*", "last", "fresh").groupBy("h", "seg").agg(*_least(), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
             both = both.select("h", "seg", _first(), "last", "fresh")
@@ -411,8 +424,9 @@ class FingerprintIndex:
         one = windows.join(materialize(earliest, "earliest"), ["h", "w"]).where("doc_id > first.doc_id")
         one = one.select("doc_id", "tag", F.struct("at", F.lit(1).cast("long").alias("n"), F.col("first.doc_id").alias("f_doc"), F.col("first.tag").alias("f_tag"), F.col("first.at").alias("start")).alias("m"))
         at = lambda c: F.shiftright(c, 6)
-        whole = judged.where("done and fresh").select("doc_id", "tag", F.struct(at("pos").alias("at"), F.col("pos").bitwiseAND(F.lit(63)).alias("n"), F.col("first.doc_id").alias("f_doc"), F.col("first.tag").alias("f_tag"), at("first.pos").alias("start")).alias("m"))
-        matches = whole.union(one).groupBy("doc_id", "tag").agg(F.collect_set("m").alias("matches"))
+        same = lambda p: F.struct(at(p).alias("at"), p.bitwiseAND(F.lit(63)).alias("n"), F.col("first.doc_id").alias("f_doc"), F.col("first.tag").alias("f_tag"), at("first.pos").alias("start"))
+        whole = judged.where("done and fresh").select("doc_id", "tag", F.transform("pos", same).alias("ms"))
+        matches = whole.union(one.select("doc_id", "tag", F.array("m").alias("ms"))).groupBy("doc_id", "tag").agg(F.flatten(F.collect_set("ms")).alias("matches"))
         pairs = materialize(matches.mapInArrow(_passages, PAIR), "pairs")
         by_source = pairs.select("f_doc", "f_tag", F.explode("regions").alias("r")).groupBy("f_doc", "f_tag").agg(F.collect_set("r").alias("asked")).withColumnsRenamed({"f_doc": "doc_id", "f_tag": "tag"})
         sources = self._of_texts(texts, materialize(by_source, "by-source")).select("doc_id", "tag", "packed", "asked").mapInArrow(_sources, "f_doc long, f_tag long, low long, words binary")
