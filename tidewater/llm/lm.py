@@ -40,6 +40,8 @@ BLOCK_BITS, LEVELS_OF_BLOCK = 512, 4
 SHARD_GRAMS, BROADCAST_BYTES = 1 << 19, 128 << 20
 #: Words whose exact counts are broadcast, and bytes of each: 12.6 MB and their counts. All other words are joined.
 FREQUENT_WORDS, FREQUENT_BYTES = 1 << 18, 48
+#: Bytes of texts that ask a filter which is not broadcast, and bytes of the shards that answer as one: few large rows go between them.
+PACK_BYTES, GROUP_BYTES = 8 << 20, 8 << 20
 #: Bytes of texts that are scored at once, entries that a task holds, and words that a worker keeps.
 CHUNK_BYTES, HELD, CACHED_WORDS = 2 << 20, 1 << 20, 200_000
 #: The token that ends every text; no word is empty.
@@ -327,7 +329,10 @@ class Model:
 
     def rows(self, texts: list[bytes], words: Words, levels: Callable[[np.ndarray], np.ndarray], rest: list[list]) -> pa.RecordBatch:
         """SCORED of some texts; `rest` has doc_id and held_out of each."""
-        chunk = Chunk(texts, words, self.order)
+        return self.rows_of(Chunk(texts, words, self.order), words, levels, rest)
+
+    def rows_of(self, chunk: Chunk, words: Words, levels: Callable[[np.ndarray], np.ndarray], rest: list[list]) -> pa.RecordBatch:
+        """SCORED of a chunk's texts."""
         score = self.scores(chunk, words, levels)
         count = np.array(words.counts, np.int64)[chunk.at]
         known = count > 0
@@ -335,7 +340,7 @@ class Model:
         rare = np.flatnonzero(~known)
         of = np.searchsorted(chunk.first, rare, "right") - 1
         pairs, n = np.unique((of << 32) | chunk.at[rare], return_counts=True)
-        ends = pa.array(np.searchsorted(pairs >> 32, np.arange(len(texts) + 1)), pa.int32())
+        ends = pa.array(np.searchsorted(pairs >> 32, np.arange(len(chunk.sizes) + 1)), pa.int32())
         lists = lambda values: pa.ListArray.from_arrays(ends, values)
         names = pa.array([words.names[i] for i in (pairs & 0xFFFFFFFF).tolist()], pa.binary())
         columns = [pa.array([r[0] for r in rest], pa.int64()), pa.array([r[1] for r in rest], pa.bool_()), pa.array(chunk.sizes), pa.array(np.add.reduceat(known.astype(np.int64), chunk.first)), pa.array(base), pa.array(score), lists(names), lists(pa.array(n, pa.int64()))]
@@ -373,37 +378,42 @@ def _broadcast_scores(rows: DataFrame, model: Model, shards: DataFrame, n_shards
     return out
 
 
-def _sharded_scores(rows: DataFrame, model: Model, shards: DataFrame, n_shards: int, pack_bytes: int) -> DataFrame:
-    """The same as _broadcast_scores with a filter of any size: packs of texts ask each shard for their n-grams."""
+def _sharded_scores(rows: DataFrame, model: Model, shards: DataFrame, n_shards: int, size: int, pack_bytes: int = PACK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The same as _broadcast_scores with a filter of any size: packs of texts ask groups of shards for their n-grams.
+
+    A pack's different n-grams are sorted and groups are ranges of the hashes, so levels come
+    back alone: those of all groups one after another are the levels of the pack's n-grams.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(model)
     placed = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "lm-texts")
     packs = max(1, math.ceil((placed.agg(F.sum(F.length("text"))).first()[0] or 0) / pack_bytes))
     placed = placed.withColumn("pack", F.pmod(F.xxhash64("row"), F.lit(packs)).cast("int")).select("text", "doc_id", "held_out", "pack")
+    groups = min(n_shards, max(1, math.ceil(size / group_bytes)))
+    grouped = shards.withColumn("group", F.floor(F.col("shard").cast("long") * groups / n_shards).cast("int")).select("group", "shard", "bits")
 
     def ask(key: tuple, texts: pa.Table) -> pa.Table:
         grams = np.unique(Chunk(texts["text"].to_pylist(), Words(), sent.value.order).all_grams())
-        at = _shard_of(grams, n_shards).astype(np.int64)
+        at = _shard_of(grams, n_shards).astype(np.int64) * groups // n_shards
         ends = np.flatnonzero(np.r_[at[1:] != at[:-1], True]) + 1
         starts = np.r_[0, ends[:-1]]
-        return pa.table({"shard": pa.array(at[starts], pa.int32()), "pack": pa.array([key[0].as_py()] * len(ends), pa.int32()), "grams": pa.array([grams[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary())})
+        return pa.table({"group": pa.array(at[starts], pa.int32()), "pack": pa.array([key[0].as_py()] * len(ends), pa.int32()), "grams": pa.array([grams[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary())})
 
     def answer(key: tuple, asked: pa.Table, own: pa.Table) -> pa.Table:
-        at = key[0].as_py()
-        counts = CountFilter(n_shards, ((at, b) for b in own["bits"].to_pylist()), sum(map(len, own["bits"].to_pylist())))
-        levels = [counts.levels(np.frombuffer(g, np.uint64)).astype(np.int16).tobytes() for g in asked["grams"].to_pylist()]
-        return pa.table({"pack": asked["pack"], "grams": asked["grams"], "levels": pa.array(levels, pa.binary())})
+        counts = CountFilter(n_shards, zip(own["shard"].to_pylist(), (b.as_py() for b in own["bits"]), strict=True), sum(len(b.as_buffer()) for b in own["bits"]))
+        levels = [counts.levels(np.frombuffer(g.as_buffer(), np.uint64)).astype(np.uint8).tobytes() for g in asked["grams"]]
+        return pa.table({"pack": asked["pack"], "group": pa.array([key[0].as_py()] * len(levels), pa.int32()), "levels": pa.array(levels, pa.binary())})
 
     def finish(_key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        join = lambda c, t: np.frombuffer(b"".join(answers[c].to_pylist()), t)
-        grams, levels = join("grams", np.uint64), join("levels", np.int16)
-        order = np.argsort(grams)
-        grams, levels = grams[order], levels[order]
-        rest = list(zip(texts["doc_id"].to_pylist(), texts["held_out"].to_pylist(), strict=True))
         model = sent.value
-        return pa.Table.from_batches([model.rows(texts["text"].to_pylist(), Words(model.exact), lambda g: levels[np.searchsorted(grams, g)], rest)])
+        words = Words(model.exact)
+        chunk = Chunk(texts["text"].to_pylist(), words, model.order)
+        grams = np.unique(chunk.all_grams())
+        levels = np.frombuffer(b"".join(answers.sort_by("group")["levels"].to_pylist()), np.uint8).astype(np.int64)
+        rest = list(zip(texts["doc_id"].to_pylist(), texts["held_out"].to_pylist(), strict=True))
+        return pa.Table.from_batches([model.rows_of(chunk, words, lambda g: levels[np.searchsorted(grams, g)], rest)])
 
-    asked = placed.groupBy("pack").applyInArrow(ask, "shard int, pack int, grams binary")
-    answers = asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(answer, "pack int, grams binary, levels binary")
+    asked = placed.groupBy("pack").applyInArrow(ask, "group int, pack int, grams binary")
+    answers = asked.groupBy("group").cogroup(grouped.groupBy("group")).applyInArrow(answer, "pack int, group int, levels binary")
     found = placed.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(finish, SCORED)
     out = materialize(found.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     sent.unpersist()
@@ -435,7 +445,7 @@ def score(
         n_shards = max(1, math.ceil(total * order / SHARD_GRAMS))
         shards = materialize(filter_shards(train, n_shards, order, bits), "lm-filter")
         size = shards.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-        scored = keep(_broadcast_scores(rows, model, shards, n_shards, size) if size <= broadcast_bytes else _sharded_scores(rows, model, shards, n_shards, CHUNK_BYTES))
+        scored = keep(_broadcast_scores(rows, model, shards, n_shards, size) if size <= broadcast_bytes else _sharded_scores(rows, model, shards, n_shards, size))
     one = scored.select("row", F.explode(F.arrays_zip("rare_words", "rare_counts")).alias("r")).select("row", F.col("r.rare_words").alias("word"), F.col("r.rare_counts").alias("times"))
     found = one.join(counts, "word", "left")
     part = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + ADDED) / model.below)
